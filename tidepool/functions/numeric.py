@@ -1,0 +1,20 @@
+"""Numeric column helpers shared by scoring, metrics and losses."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def sigmoid(z: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+def softplus_neg_abs(z: Column) -> Column:
+    """ln(1 + exp(-|z|)), the stable tail of BCE-with-logits."""
+    return F.log1p(F.exp(-F.abs(z)))
+
+
+def safe_div(num: Column, den: Column) -> Column:
+    """num / den, NULL when den is 0 (ANSI mode raises on a zero divisor)."""
+    return F.try_divide(num, den)
