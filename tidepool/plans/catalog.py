@@ -126,3 +126,319 @@ def entry_query(spark, sf_dir):
     inp, preds = pool_preds(spark, sf_dir)
     scores = sel.mask_unlabelled(acq.bald(preds), inp.train_cells)
     return rounded(sel.topk_cells(scores, TOP_K))
+
+
+# ---------------------------------------------------------------------------------
+# 2.1 sources and sinks
+# ---------------------------------------------------------------------------------
+
+from tidepool.functions.hashing import hash52, sql_hash52  # noqa: E402
+from tidepool.operators import reshape as rs  # noqa: E402
+from tidepool.session import scratch_path  # noqa: E402
+from tidepool.sources import io as sio  # noqa: E402
+from tidepool.sources import testdata as td  # noqa: E402
+
+DOC_WIDE = f"doc_wide AS ({td.SQL_DOC_LABELS_WIDE})"
+
+
+@register("read_table", "SELECT doc_id, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic FROM labels")
+def q_read_table(spark, sf_dir):
+    t = sio.read_table(spark, f"{sf_dir}/labels.parquet")
+    return t.select("doc_id", F.col("quality").cast("double"), F.col("toxic").cast("double"))
+
+
+@register("write_table", _with(DOC_WIDE) + "\nSELECT id, quality, toxic FROM doc_wide")
+def q_write_table(spark, sf_dir):
+    wide = td.doc_labels_wide(spark, sf_dir)
+    path = scratch_path(spark, "doc_labels") + ".tab"
+    sio.write_table(wide, path, fmt="tab")
+    back = sio.read_table(spark, path, schema="id long, quality double, toxic double")
+    return back.select("id", "quality", "toxic")
+
+
+HIST_N = 5
+HIST_ITERS = 3
+
+
+def _sql_uniform(src: str, n: int, seed, iteration: int) -> str:
+    return (f"SELECT id, task, y FROM ({src}) s WHERE y IS NOT NULL "
+            f"ORDER BY {sql_hash52(f'{seed}|{iteration}', 'id', 'task')}, id, task LIMIT {n}")
+
+
+SQL_HISTORY = " UNION ALL ".join(
+    f"SELECT CAST(0 AS BIGINT) AS run_id, CAST({i} AS BIGINT) AS iteration, id, task, y FROM "
+    f"({_sql_uniform('SELECT * FROM train_cells', HIST_N, 42, i)}) h{i}" for i in range(HIST_ITERS))
+
+
+@register("append_history", _with(SQL_AL_BASE) + "\n" + SQL_HISTORY)
+def q_append_history(spark, sf_dir):
+    inp = al_inputs(spark, sf_dir)
+    path = scratch_path(spark, "history")
+    for i in range(HIST_ITERS):
+        q = acq.uniform(inp.train_cells, HIST_N, seed=42, iteration=i)
+        sio.append_history(q.select(F.lit(0).cast("long").alias("run_id"), F.lit(i).cast("long").alias("iteration"),
+                                    "id", "task", "y"), path)
+    # re-appending an iteration replaces it (idempotent retry), it does not duplicate
+    q = acq.uniform(inp.train_cells, HIST_N, seed=42, iteration=HIST_ITERS - 1)
+    sio.append_history(q.select(F.lit(0).cast("long").alias("run_id"),
+                                F.lit(HIST_ITERS - 1).cast("long").alias("iteration"), "id", "task", "y"), path)
+    h = sio.read_history(spark, path)
+    return h.select(F.col("run_id").cast("long"), F.col("iteration").cast("long"), "id", "task", "y")
+
+
+# ---------------------------------------------------------------------------------
+# 2.2 assembly and reshaping
+# ---------------------------------------------------------------------------------
+
+@register("labels_with_features", _with(DOC_WIDE) +
+          "\nSELECT id, quality, toxic FROM doc_wide WHERE id IN (SELECT vec_id FROM embeddings)")
+def q_labels_with_features(spark, sf_dir):
+    return rs.labels_with_features(td.doc_labels_wide(spark, sf_dir), td.emb_features(spark, sf_dir))
+
+
+def _xsum(col="x"):
+    return F.aggregate(col, F.lit(0.0), lambda a, v: a + v.cast("double"))
+
+
+SQL_XSUM = "list_reduce(list_transform(x, lambda e: CAST(e AS DOUBLE)), lambda a, b: a + b)"
+
+
+@register("features_for_labels", sql_rounded(
+    f"SELECT vec_id AS id, len(embedding) AS dim, "
+    f"{SQL_XSUM.replace('x,', 'embedding,')} AS xsum FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
+    ["xsum"]))
+def q_features_for_labels(spark, sf_dir):
+    f = rs.features_for_labels(td.emb_features(spark, sf_dir), td.table(spark, sf_dir, "labels"), label_key="doc_id")
+    return rounded(f.select("id", F.size("x").cast("long").alias("dim"), _xsum().alias("xsum")))
+
+
+@register("dedup_keep_first",
+          "SELECT doc_id, md5(text) AS text_key FROM (SELECT doc_id, text, row_number() OVER "
+          "(PARTITION BY text ORDER BY doc_id) AS rn FROM documents) d WHERE rn = 1")
+def q_dedup_keep_first(spark, sf_dir):
+    d = td.table(spark, sf_dir, "documents").select("text", "doc_id")
+    return rs.dedup_keep_first(d, ["text"], ["doc_id"]).select("doc_id", F.md5("text").alias("text_key"))
+
+
+@register("concat_features",
+          "SELECT key_id, src, md5(text) AS text_key FROM (SELECT *, row_number() OVER (PARTITION BY text "
+          "ORDER BY src, key_id) AS rn FROM (SELECT doc_id AS key_id, text, 0 AS src FROM documents UNION ALL "
+          "SELECT item_id AS key_id, text, 1 AS src FROM benchmark) u) d WHERE rn = 1")
+def q_concat_features(spark, sf_dir):
+    docs = td.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key_id"), "text")
+    bench = td.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("key_id"), "text")
+    both = rs.concat_features(docs.withColumn("src", F.lit(0)), bench.withColumn("src", F.lit(1)),
+                              key="text", order_col="key_id")
+    return both.select("key_id", F.col("src").cast("int"), F.md5("text").alias("text_key"))
+
+
+EMB_TASKS = td.EMB_TASKS
+SQL_EMB_WIDE = ("emb_wide AS (SELECT id, " + ", ".join(f"max(CASE WHEN task = '{t}' THEN y END) AS {t}"
+                                                      for t in EMB_TASKS) + " FROM cells GROUP BY id)")
+SQL_EMB = f"feats AS ({td.SQL_EMB_FEATURES}),\ncells AS ({td.SQL_EMB_CELLS}),\n{SQL_EMB_WIDE}"
+
+
+@register("align_features", sql_rounded(_with(SQL_EMB) +
+                                        f"\nSELECT w.*, {SQL_XSUM} AS xsum FROM emb_wide w JOIN feats f ON w.id = f.id",
+                                        ["xsum"]))
+def q_align_features(spark, sf_dir):
+    wide = rs.to_wide(td.emb_cells(spark, sf_dir), EMB_TASKS)
+    a = rs.align_features(wide, td.emb_features(spark, sf_dir))
+    return rounded(a.select("id", *EMB_TASKS, _xsum().alias("xsum")))
+
+
+@register("select_tasks", _with(SQL_EMB) + "\nSELECT id, t1, t3 FROM emb_wide")
+def q_select_tasks(spark, sf_dir):
+    return rs.select_tasks(rs.to_wide(td.emb_cells(spark, sf_dir), EMB_TASKS), ["t1", "t3"])
+
+
+PACK_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("pack_features", sql_rounded(
+    "SELECT l_orderkey, l_linenumber, 4 AS n, "
+    "list_reduce([CAST(l_quantity AS DOUBLE), l_extendedprice, l_discount, l_tax], lambda a, b: a + b) AS s "
+    "FROM lineitem", ["s"]))
+def q_pack_features(spark, sf_dir):
+    li = td.table(spark, sf_dir, "lineitem")
+    p = rs.pack_features(li, PACK_COLS, keep=["l_orderkey", "l_linenumber"])
+    return rounded(p.select("l_orderkey", "l_linenumber", F.size("x").alias("n"),
+                            F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("s")))
+
+
+@register("to_wide", _with(SQL_EMB) + "\nSELECT * FROM emb_wide")
+def q_to_wide(spark, sf_dir):
+    return rs.to_wide(td.emb_cells(spark, sf_dir), EMB_TASKS)
+
+
+@register("to_dataset", _with(DOC_WIDE) +
+          "\nSELECT id, CAST((quality IS NOT NULL) AS INTEGER) + CAST((toxic IS NOT NULL) AS INTEGER) AS n_obs, "
+          "coalesce(quality, 0.0) + coalesce(toxic, 0.0) AS n_pos FROM doc_wide")
+def q_to_dataset(spark, sf_dir):
+    ds = rs.to_dataset(td.doc_labels_wide(spark, sf_dir), td.DOC_TASKS)
+    return ds.select("id", F.size(F.filter("ys", lambda v: v.isNotNull())).alias("n_obs"),
+                     F.aggregate("ys", F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))).alias("n_pos"))
+
+
+SQL_DOC_LONG = ("doc_long AS (SELECT id, 'quality' AS task, quality AS y FROM doc_wide WHERE quality IS NOT NULL "
+                "UNION ALL SELECT id, 'toxic' AS task, toxic AS y FROM doc_wide WHERE toxic IS NOT NULL)")
+
+
+@register("melt_labels", _with(DOC_WIDE, SQL_DOC_LONG) + "\nSELECT id, task, y FROM doc_long")
+def q_melt_labels(spark, sf_dir):
+    return rs.melt_labels(td.doc_labels_wide(spark, sf_dir), td.DOC_TASKS)
+
+
+@register("merge_cells", _with(DOC_WIDE, SQL_DOC_LONG) +
+          "\nSELECT id, sum(CASE WHEN task = 'quality' THEN y END) AS quality, "
+          "sum(CASE WHEN task = 'toxic' THEN y END) AS toxic FROM doc_long GROUP BY id")
+def q_merge_cells(spark, sf_dir):
+    long = rs.melt_labels(td.doc_labels_wide(spark, sf_dir), td.DOC_TASKS)
+    partial = long.select("id", *[F.when(F.col("task") == t, F.col("y")).alias(t) for t in td.DOC_TASKS])
+    return rs.merge_cells(partial, td.DOC_TASKS)
+
+
+# ---------------------------------------------------------------------------------
+# 2.7 (rest) and 2.8 selection and updates
+# ---------------------------------------------------------------------------------
+
+N_QUERY = 25
+
+
+@register("acq_uniform", _with(SQL_AL_BASE) + "\n" + _sql_uniform("SELECT * FROM train_cells", N_QUERY, 42, 0))
+def q_acq_uniform(spark, sf_dir):
+    inp = al_inputs(spark, sf_dir)
+    return acq.uniform(inp.train_cells, N_QUERY, seed=42, iteration=0).select("id", "task", "y")
+
+
+_TASK_LIST = "[" + ", ".join(f"'{t}'" for t in EMB_TASKS) + "]"
+
+
+@register("acq_random_index", _with(SQL_AL_BASE) +
+          f"\nSELECT id, list_element({_TASK_LIST}, CAST({sql_hash52('42|0|task', 'id')} % {len(EMB_TASKS)} AS INTEGER) + 1)"
+          f" AS task FROM (SELECT DISTINCT id FROM train_cells) d "
+          f"ORDER BY {sql_hash52('42|0', 'id')}, id LIMIT {N_QUERY}")
+def q_acq_random_index(spark, sf_dir):
+    inp = al_inputs(spark, sf_dir)
+    return acq.random_index(inp.train_cells, EMB_TASKS, N_QUERY, seed=42, iteration=0)
+
+
+SQL_EPIG_SCORES = [SQL_AL_BASE, sql_probs("probs", SQL_POOL_IDS, K),
+                   sql_probs("tprobs", SQL_TEST_IDS, K, tasks_sql=f"SELECT '{MAIN_TASK}'"), SQL_EPIG,
+                   "epig AS (SELECT id, task, avg(s) AS score FROM terms GROUP BY id, task)"]
+
+
+@register("score_range_check", sql_rounded(
+    _with(*SQL_EPIG_SCORES) +
+    "\nSELECT count(*) AS n, sum(CASE WHEN isnan(score) OR score + 1e-6 < 0 THEN 1 ELSE 0 END) AS n_bad, "
+    "min(score) AS min_score, max(score) AS max_score FROM epig", ["min_score", "max_score"]))
+def q_score_range_check(spark, sf_dir):
+    inp, preds = pool_preds(spark, sf_dir)
+    targ = score_mc(test_feats(inp), inp.weights.where(F.col("task") == MAIN_TASK), passes=K).select("id", "ps")
+    return rounded(acq.score_range_check(acq.epig(preds, targ)))
+
+
+SQL_BALD_BASE = [SQL_AL_BASE, sql_probs("probs", SQL_POOL_IDS, K),
+                 f"bald AS ({SQL_BALD})",
+                 "masked AS (SELECT b.id, b.task, b.score FROM bald b JOIN train_cells c "
+                 "ON b.id = c.id AND b.task = c.task WHERE c.y IS NOT NULL)",
+                 f"topk AS (SELECT * FROM masked ORDER BY score DESC, id, task LIMIT {TOP_K})",
+                 "query AS (SELECT c.id, c.task, c.y FROM train_cells c JOIN topk t ON c.id = t.id AND c.task = t.task)",
+                 f"seed_train AS ({_sql_uniform('SELECT * FROM train_cells', 50, 7, 0)})"]
+
+
+def _bald_state(spark, sf_dir):
+    inp, preds = pool_preds(spark, sf_dir)
+    masked = sel.mask_unlabelled(acq.bald(preds), inp.train_cells)
+    top = sel.topk_cells(masked, TOP_K)
+    query = sel.reveal_cells(inp.train_cells, top)
+    return inp, masked, top, query
+
+
+@register("mask_unlabelled", sql_rounded(_with(*SQL_BALD_BASE) + "\nSELECT * FROM masked", ["score"]))
+def q_mask_unlabelled(spark, sf_dir):
+    return rounded(_bald_state(spark, sf_dir)[1])
+
+
+@register("topk_cells", sql_rounded(_with(*SQL_BALD_BASE) + "\nSELECT * FROM topk", ["score"]))
+def q_topk_cells(spark, sf_dir):
+    return rounded(_bald_state(spark, sf_dir)[2])
+
+
+@register("topk_one_task", sql_rounded(
+    _with(*SQL_BALD_BASE) + "\nSELECT * FROM (SELECT id, task, score, row_number() OVER (PARTITION BY task "
+    "ORDER BY score DESC, id) AS rank FROM masked) r WHERE rank <= 5", ["score"]))
+def q_topk_one_task(spark, sf_dir):
+    masked = _bald_state(spark, sf_dir)[1]
+    return rounded(sel.topk_one_task(masked, 5).select("id", "task", "score", F.col("rank").cast("long")))
+
+
+@register("reveal_cells", _with(*SQL_BALD_BASE) + "\nSELECT * FROM query")
+def q_reveal_cells(spark, sf_dir):
+    return _bald_state(spark, sf_dir)[3]
+
+
+@register("upsert_train", _with(*SQL_BALD_BASE) +
+          "\nSELECT id, task, y FROM seed_train UNION ALL SELECT q.id, q.task, q.y FROM query q "
+          "WHERE NOT EXISTS (SELECT 1 FROM seed_train s WHERE s.id = q.id AND s.task = q.task)")
+def q_upsert_train(spark, sf_dir):
+    inp, _, _, query = _bald_state(spark, sf_dir)
+    train = acq.uniform(inp.train_cells, 50, seed=7, iteration=0)
+    return sel.upsert_train(train, query)
+
+
+@register("shrink_pool", _with(*SQL_BALD_BASE) +
+          "\nSELECT p.id, p.task, p.y FROM train_cells p WHERE NOT EXISTS "
+          "(SELECT 1 FROM query q WHERE q.id = p.id AND q.task = p.task)")
+def q_shrink_pool(spark, sf_dir):
+    inp, _, _, query = _bald_state(spark, sf_dir)
+    return sel.shrink_pool(inp.train_cells, query)
+
+
+AUX = ["t1", "t2"]
+SQL_POOL_WIDE = ("pool_wide AS (SELECT id, " + ", ".join(
+    f"max(CASE WHEN task = '{t}' AND NOT EXISTS (SELECT 1 FROM query q WHERE q.id = c.id AND q.task = c.task) "
+    f"THEN y END) AS {t}" for t in EMB_TASKS) + " FROM train_cells c GROUP BY id)")
+
+
+@register("shrink_pool_single", _with(*SQL_BALD_BASE, SQL_POOL_WIDE) +
+          "\nSELECT * FROM pool_wide WHERE " + " AND ".join(f"{t} IS NOT NULL" for t in AUX))
+def q_shrink_pool_single(spark, sf_dir):
+    inp, _, _, query = _bald_state(spark, sf_dir)
+    wide = rs.to_wide(inp.train_cells, EMB_TASKS)
+    return sel.shrink_pool_single(wide, query, EMB_TASKS, AUX)
+
+
+SQL_STEP_BASE = [SQL_AL_BASE, sql_probs("probs", SQL_POOL_IDS, K),
+                 f"bald AS ({SQL_BALD})",
+                 f"seed_train AS ({_sql_uniform('SELECT * FROM train_cells', 50, 7, 0)})",
+                 "pool AS (SELECT p.id, p.task, p.y FROM train_cells p WHERE NOT EXISTS "
+                 "(SELECT 1 FROM seed_train s WHERE s.id = p.id AND s.task = p.task))",
+                 f"query AS (SELECT p.id, p.task, p.y FROM bald b JOIN pool p ON b.id = p.id AND b.task = p.task "
+                 f"WHERE p.y IS NOT NULL ORDER BY b.score DESC, b.id, b.task LIMIT {TOP_K})",
+                 "new_train AS (SELECT id, task, y FROM seed_train UNION ALL SELECT q.id, q.task, q.y "
+                 "FROM query q WHERE NOT EXISTS (SELECT 1 FROM seed_train s WHERE s.id = q.id AND s.task = q.task))",
+                 "new_pool AS (SELECT p.* FROM pool p WHERE NOT EXISTS "
+                 "(SELECT 1 FROM query q WHERE q.id = p.id AND q.task = p.task))"]
+
+
+def _step_state(spark, sf_dir):
+    from tidepool.operators.sampling import remainder_pool
+    inp, preds = pool_preds(spark, sf_dir)
+    train = acq.uniform(inp.train_cells, 50, seed=7, iteration=0)
+    pool = remainder_pool(inp.train_cells, train)
+    top = sel.topk_cells(sel.mask_unlabelled(acq.bald(preds), pool), TOP_K)
+    query = sel.reveal_cells(pool, top)
+    return train, pool, query
+
+
+@register("conservation_check", _with(*SQL_STEP_BASE) +
+          "\nSELECT role, count(*) AS n FROM (SELECT 'train' AS role, y FROM seed_train UNION ALL "
+          "SELECT 'pool', y FROM pool UNION ALL SELECT 'query', y FROM query UNION ALL "
+          "SELECT 'new_train', y FROM new_train UNION ALL SELECT 'new_pool', y FROM new_pool) u "
+          "WHERE y IS NOT NULL GROUP BY role")
+def q_conservation_check(spark, sf_dir):
+    train, pool, query = _step_state(spark, sf_dir)
+    new_train = sel.upsert_train(train, query)
+    new_pool = sel.shrink_pool(pool, query)
+    return sel.conservation_check(train, pool, query, new_train, new_pool)

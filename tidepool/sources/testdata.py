@@ -44,9 +44,9 @@ def emb_cells(spark: SparkSession, sf_dir: str, hide: bool = True) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     c = e.select("id", "label", F.explode(F.sequence(F.lit(0), F.lit(N_EMB_TASKS - 1))).alias("k"))
     c = c.select("id", F.concat(F.lit("t"), F.col("k").cast("string")).alias("task"),
-                 (F.col("label") == F.col("k")).cast("int").alias("y"))
+                 (F.col("label") == F.col("k")).cast("double").alias("y"))
     if hide:
-        c = c.withColumn("y", F.when(_hidden("id", "task"), F.lit(None).cast("int")).otherwise(F.col("y")))
+        c = c.withColumn("y", F.when(_hidden("id", "task"), F.lit(None).cast("double")).otherwise(F.col("y")))
     return c
 
 
@@ -55,14 +55,14 @@ def doc_labels_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     w = d.join(lab, "id", "left")
     for t in DOC_TASKS:
-        w = w.withColumn(t, F.when(_hidden("id", F.lit(t)), F.lit(None).cast("int")).otherwise(F.col(t).cast("int")))
+        w = w.withColumn(t, F.when(_hidden("id", F.lit(t)), F.lit(None).cast("double")).otherwise(F.col(t).cast("double")))
     return w
 
 
 def lineitem_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_orderkey").alias("id"), "l_linenumber", F.col("l_linestatus").alias("task"),
-                     (F.col("l_returnflag") == "R").cast("int").alias("y"),
+                     (F.col("l_returnflag") == "R").cast("double").alias("y"),
                      (F.col("l_discount") * 10).alias("p"),
                      (F.col("l_quantity") / 10 - 2.5).alias("z"))
 
@@ -75,26 +75,26 @@ SQL_EMB_CELLS = f"""
 SELECT id, task,
        CASE WHEN {sql_hash52(HIDE_SEED, 'id', 'task')} < {HIDE_BELOW} THEN NULL ELSE y END AS y
 FROM (SELECT e.vec_id AS id, 't' || CAST(k.range AS VARCHAR) AS task,
-             CAST(e.label = k.range AS INTEGER) AS y
+             CAST(CAST(e.label = k.range AS INTEGER) AS DOUBLE) AS y
       FROM embeddings e, range({N_EMB_TASKS}) k) c
 """
 
 SQL_EMB_CELLS_FULL = f"""
-SELECT e.vec_id AS id, 't' || CAST(k.range AS VARCHAR) AS task, CAST(e.label = k.range AS INTEGER) AS y
+SELECT e.vec_id AS id, 't' || CAST(k.range AS VARCHAR) AS task, CAST(CAST(e.label = k.range AS INTEGER) AS DOUBLE) AS y
 FROM embeddings e, range({N_EMB_TASKS}) k
 """
 
 SQL_DOC_LABELS_WIDE = f"""
 SELECT d.doc_id AS id,
        CASE WHEN {sql_hash52(HIDE_SEED, 'd.doc_id', "'quality'")} < {HIDE_BELOW} THEN NULL
-            ELSE CAST(l.quality AS INTEGER) END AS quality,
+            ELSE CAST(l.quality AS DOUBLE) END AS quality,
        CASE WHEN {sql_hash52(HIDE_SEED, 'd.doc_id', "'toxic'")} < {HIDE_BELOW} THEN NULL
-            ELSE CAST(l.toxic AS INTEGER) END AS toxic
+            ELSE CAST(l.toxic AS DOUBLE) END AS toxic
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """
 
 SQL_LINEITEM_SCORES = """
 SELECT l_orderkey AS id, l_linenumber, l_linestatus AS task,
-       CAST(l_returnflag = 'R' AS INTEGER) AS y, l_discount * 10 AS p, l_quantity / 10 - 2.5 AS z
+       CAST(CAST(l_returnflag = 'R' AS INTEGER) AS DOUBLE) AS y, l_discount * 10 AS p, l_quantity / 10 - 2.5 AS z
 FROM lineitem
 """
