@@ -442,3 +442,185 @@ def q_conservation_check(spark, sf_dir):
     new_train = sel.upsert_train(train, query)
     new_pool = sel.shrink_pool(pool, query)
     return sel.conservation_check(train, pool, query, new_train, new_pool)
+
+
+# ---------------------------------------------------------------------------------
+# 2.9 evaluation and calibration
+# ---------------------------------------------------------------------------------
+
+from tidepool.operators import metrics as mt  # noqa: E402
+
+
+def metric_scores(spark, sf_dir):
+    """Two score kinds per line status: 'disc' (11 values, many ties) and 'price' (near-continuous)."""
+    li = td.table(spark, sf_dir, "lineitem")
+    y = (F.col("l_returnflag") == "R").cast("double").alias("y")
+    disc = li.select(F.concat(F.col("l_linestatus"), F.lit("/disc")).alias("task"), y,
+                     (F.col("l_discount") * 10).alias("p"))
+    price = li.select(F.concat(F.col("l_linestatus"), F.lit("/price")).alias("task"), y,
+                      ((F.col("l_extendedprice") % 1000) / 1000).alias("p"))
+    return disc.unionByName(price)
+
+
+SQL_METRIC_SCORES = """metric_scores AS (
+SELECT l_linestatus || '/disc' AS task, CAST(CAST(l_returnflag = 'R' AS INTEGER) AS DOUBLE) AS y, l_discount * 10 AS p
+FROM lineitem UNION ALL
+SELECT l_linestatus || '/price' AS task, CAST(CAST(l_returnflag = 'R' AS INTEGER) AS DOUBLE) AS y,
+       (l_extendedprice % 1000) / 1000 AS p FROM lineitem)"""
+
+
+def sql_curve(src: str) -> str:
+    return f"""
+base AS (SELECT task, p, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS n_pos, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS n_neg
+         FROM {src} WHERE y IN (0, 1) AND p IS NOT NULL AND NOT isnan(p) GROUP BY task, p),
+curve AS (SELECT task, p, n_pos, n_neg,
+                 sum(n_pos) OVER (PARTITION BY task ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS cum_n_pos,
+                 sum(n_neg) OVER (PARTITION BY task ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS cum_n_neg,
+                 sum(n_pos) OVER (PARTITION BY task) AS tot_pos, sum(n_neg) OVER (PARTITION BY task) AS tot_neg FROM base),
+pts AS (SELECT *,
+          CAST(cum_n_pos AS DOUBLE) / NULLIF(tot_pos, 0) AS tpr, CAST(cum_n_neg AS DOUBLE) / NULLIF(tot_neg, 0) AS fpr,
+          CAST(cum_n_pos - n_pos AS DOUBLE) / NULLIF(tot_pos, 0) AS tpr_prev,
+          CAST(cum_n_neg - n_neg AS DOUBLE) / NULLIF(tot_neg, 0) AS fpr_prev,
+          CAST(cum_n_pos AS DOUBLE) / NULLIF(cum_n_pos + cum_n_neg, 0) AS precision,
+          CASE WHEN cum_n_pos - n_pos + cum_n_neg - n_neg = 0 THEN 1.0
+               ELSE CAST(cum_n_pos - n_pos AS DOUBLE) / (cum_n_pos - n_pos + cum_n_neg - n_neg) END AS precision_prev,
+          CAST(cum_n_pos AS DOUBLE) / NULLIF(tot_pos, 0) AS recall,
+          CAST(cum_n_pos - n_pos AS DOUBLE) / NULLIF(tot_pos, 0) AS recall_prev
+        FROM curve),
+pr_pts AS (SELECT * FROM pts WHERE cum_n_pos - n_pos < tot_pos),
+best AS (SELECT task, bacc, tpr, fpr, p FROM (
+           SELECT task, (tpr + (1.0 - fpr)) / 2 AS bacc, tpr, fpr, p,
+                  row_number() OVER (PARTITION BY task ORDER BY (tpr + (1.0 - fpr)) / 2 DESC, p DESC) AS rn
+           FROM pts) b WHERE rn = 1),
+sens_spec AS (SELECT task,
+          CASE WHEN bacc IS NULL THEN NULL WHEN bacc > 0.5 THEN bacc ELSE 0.5 END AS balanced_acc,
+          CASE WHEN bacc IS NULL THEN NULL WHEN bacc > 0.5 THEN tpr ELSE 0.0 END AS sensitivity,
+          CASE WHEN bacc IS NULL THEN NULL WHEN bacc > 0.5 THEN 1.0 - fpr ELSE 1.0 END AS specificity,
+          CASE WHEN bacc > 0.5 THEN p END AS threshold FROM best),
+roc_auc AS (SELECT task, sum((fpr - fpr_prev) * (tpr + tpr_prev) / 2) AS roc_auc FROM pts GROUP BY task),
+aupr AS (SELECT task, sum((recall - recall_prev) * (precision + precision_prev) / 2) AS AUPR FROM pr_pts GROUP BY task),
+ap AS (SELECT task, sum((recall - recall_prev) * precision) AS average_precision FROM pr_pts GROUP BY task),
+f1 AS (SELECT task, max(CAST(2 * cum_n_pos AS DOUBLE) / NULLIF(cum_n_pos + cum_n_neg + tot_pos, 0)) AS f1_score
+       FROM pr_pts GROUP BY task),
+ece_bins AS (SELECT task, {' + '.join(f"CASE WHEN p >= CAST('{e!r}' AS DOUBLE) THEN 1 ELSE 0 END" for e in mt.ECE_EDGES)} AS bin,
+                    n_pos, n_neg, p FROM curve),
+ece_b AS (SELECT task, bin, sum(n_pos + n_neg) AS nb, sum(n_pos) AS pos, sum(p * (n_pos + n_neg)) AS psum
+          FROM ece_bins GROUP BY task, bin),
+ece AS (SELECT b.task, sum(CAST(b.nb AS DOUBLE) / t.n * abs(CAST(b.pos AS DOUBLE) / b.nb - b.psum / b.nb)) AS ECE
+        FROM ece_b b JOIN (SELECT task, sum(nb) AS n FROM ece_b GROUP BY task) t ON b.task = t.task GROUP BY b.task),
+ace_q AS (SELECT t.task, q.qi, CAST(t.n - 1 AS DOUBLE) * q.q AS pos FROM
+          (SELECT DISTINCT task, tot_pos + tot_neg AS n FROM curve) t,
+          (SELECT unnest(range(9)) AS qi, unnest([{', '.join(f"CAST('{q!r}' AS DOUBLE)" for q in mt.ACE_QUANTILES)}]) AS q) q),
+ace_r AS (SELECT task, qi, pos, floor(pos) AS lo, ceil(pos) AS hi, pos - floor(pos) AS d FROM ace_q),
+ace_rows AS (SELECT task, p, tot_pos + tot_neg - cum_n_pos - cum_n_neg AS asc0, n_pos + n_neg AS c FROM curve),
+ace_v AS (SELECT r.task, r.qi, r.d,
+                 max(CASE WHEN r.lo >= a.asc0 AND r.lo < a.asc0 + a.c THEN a.p END) AS vlo,
+                 max(CASE WHEN r.hi >= a.asc0 AND r.hi < a.asc0 + a.c THEN a.p END) AS vhi
+          FROM ace_r r JOIN ace_rows a ON r.task = a.task GROUP BY r.task, r.qi, r.d),
+ace_e AS (SELECT task, qi, CASE WHEN d >= 0.5 THEN vhi - (vhi - vlo) * (1.0 - d) ELSE vlo + (vhi - vlo) * d END AS e
+          FROM ace_v),
+ace_bins AS (SELECT c.task, c.p, c.n_pos, c.n_neg, (SELECT count(*) FROM ace_e e WHERE e.task = c.task AND c.p >= e.e) AS bin
+             FROM curve c),
+ace_b AS (SELECT task, bin, sum(n_pos + n_neg) AS nb, sum(n_pos) AS pos, sum(p * (n_pos + n_neg)) AS psum
+          FROM ace_bins GROUP BY task, bin),
+ace AS (SELECT b.task, sum(CAST(b.nb AS DOUBLE) / t.n * abs(CAST(b.pos AS DOUBLE) / b.nb - b.psum / b.nb)) AS ACE
+        FROM ace_b b JOIN (SELECT task, sum(nb) AS n FROM ace_b GROUP BY task) t ON b.task = t.task GROUP BY b.task),
+mtab AS (SELECT s.task, s.balanced_acc, f.f1_score, s.specificity, s.sensitivity, r.roc_auc, a.AUPR,
+                ap.average_precision, e.ECE, c.ACE
+         FROM sens_spec s LEFT JOIN f1 f ON s.task = f.task LEFT JOIN roc_auc r ON s.task = r.task
+         LEFT JOIN aupr a ON s.task = a.task LEFT JOIN ap ON s.task = ap.task LEFT JOIN ece e ON s.task = e.task
+         LEFT JOIN ace c ON s.task = c.task)"""
+
+
+SQL_M = _with(SQL_METRIC_SCORES, sql_curve("metric_scores")) + "\n"
+
+
+def _curve(spark, sf_dir):
+    return mt.threshold_curve(metric_scores(spark, sf_dir))
+
+
+@register("roc_curve", sql_rounded(SQL_M + "SELECT task, p AS threshold, fpr, tpr FROM pts UNION ALL "
+                                   "SELECT DISTINCT task, NULL, CASE WHEN tot_neg > 0 THEN 0.0 END, "
+                                   "CASE WHEN tot_pos > 0 THEN 0.0 END FROM curve", ["threshold", "fpr", "tpr"]))
+def q_roc_curve(spark, sf_dir):
+    return rounded(mt.roc_curve(_curve(spark, sf_dir)))
+
+
+@register("roc_auc", sql_rounded(SQL_M + "SELECT * FROM roc_auc", ["roc_auc"]))
+def q_roc_auc(spark, sf_dir):
+    return rounded(mt.roc_auc(_curve(spark, sf_dir)))
+
+
+@register("balanced_acc", sql_rounded(SQL_M + "SELECT task, balanced_acc FROM sens_spec", ["balanced_acc"]))
+def q_balanced_acc(spark, sf_dir):
+    return rounded(mt.balanced_acc(_curve(spark, sf_dir)))
+
+
+@register("sens_spec", sql_rounded(SQL_M + "SELECT * FROM sens_spec",
+                                   ["balanced_acc", "sensitivity", "specificity", "threshold"]))
+def q_sens_spec(spark, sf_dir):
+    return rounded(mt.sens_spec(_curve(spark, sf_dir)))
+
+
+@register("pr_curve", sql_rounded(SQL_M + "SELECT task, p AS threshold, precision, recall FROM pr_pts UNION ALL "
+                                  "SELECT DISTINCT task, NULL, 1.0, 0.0 FROM curve WHERE tot_pos > 0",
+                                  ["threshold", "precision", "recall"]))
+def q_pr_curve(spark, sf_dir):
+    return rounded(mt.pr_curve(_curve(spark, sf_dir)))
+
+
+@register("aupr", sql_rounded(SQL_M + "SELECT * FROM aupr", ["AUPR"]))
+def q_aupr(spark, sf_dir):
+    return rounded(mt.aupr(_curve(spark, sf_dir)))
+
+
+@register("best_f1", sql_rounded(SQL_M + "SELECT * FROM f1", ["f1_score"]))
+def q_best_f1(spark, sf_dir):
+    return rounded(mt.best_f1(_curve(spark, sf_dir)))
+
+
+@register("f1_at_threshold", sql_rounded(
+    SQL_M + "SELECT t.task, CASE WHEN t.tot_pos > 0 THEN coalesce(x.f1, 0.0) END AS f1_at_threshold FROM "
+    "(SELECT DISTINCT task, tot_pos FROM curve) t LEFT JOIN (SELECT c.task, CAST(2 * c.cum_n_pos AS DOUBLE) / "
+    "NULLIF(c.cum_n_pos + c.cum_n_neg + c.tot_pos, 0) AS f1 FROM curve c JOIN sens_spec s ON c.task = s.task "
+    "AND c.p = s.threshold) x ON t.task = x.task", ["f1_at_threshold"]))
+def q_f1_at_threshold(spark, sf_dir):
+    return rounded(mt.f1_at_threshold(_curve(spark, sf_dir)))
+
+
+@register("average_precision", sql_rounded(SQL_M + "SELECT * FROM ap", ["average_precision"]))
+def q_average_precision(spark, sf_dir):
+    return rounded(mt.average_precision(_curve(spark, sf_dir)))
+
+
+@register("ece", sql_rounded(SQL_M + "SELECT * FROM ece", ["ECE"]))
+def q_ece(spark, sf_dir):
+    return rounded(mt.ece(mt.score_counts(metric_scores(spark, sf_dir))))
+
+
+@register("ace", sql_rounded(SQL_M + "SELECT * FROM ace", ["ACE"]))
+def q_ace(spark, sf_dir):
+    return rounded(mt.ace(_curve(spark, sf_dir)))
+
+
+@register("nanmean_metrics", sql_rounded(SQL_M + "SELECT " + ", ".join(f"avg({c}) AS {c}" for c in mt.METRIC_COLUMNS)
+                                         + " FROM mtab", mt.METRIC_COLUMNS))
+def q_nanmean_metrics(spark, sf_dir):
+    return rounded(mt.nanmean_metrics(mt.metrics_table(_curve(spark, sf_dir))))
+
+
+SQL_REPORT_SCORES = ("report_scores AS (SELECT c.task, c.y, p.p FROM test_cells c JOIN probs p "
+                     "ON c.id = p.id AND c.task = p.task)")
+
+
+@register("metrics_report", sql_rounded(
+    _with(SQL_AL_BASE, sql_probs("probs", SQL_TEST_IDS, 1, dropout=False), SQL_REPORT_SCORES,
+          sql_curve("report_scores")) +
+    "\nSELECT CAST(0 AS BIGINT) AS iteration, task AS Tasks, " + ", ".join(mt.METRIC_COLUMNS) + " FROM mtab "
+    "UNION ALL SELECT 0, 'mean', " + ", ".join(f"avg({c})" for c in mt.METRIC_COLUMNS) + " FROM mtab",
+    mt.METRIC_COLUMNS))
+def q_metrics_report(spark, sf_dir):
+    inp = al_inputs(spark, sf_dir)
+    preds = score_deterministic(test_feats(inp), inp.weights).select("id", "task", "p")
+    scored = inp.test_cells.join(preds, ["id", "task"])
+    return rounded(mt.metrics_report(mt.threshold_curve(scored), iteration=0))
