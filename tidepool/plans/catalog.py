@@ -624,3 +624,95 @@ def q_metrics_report(spark, sf_dir):
     preds = score_deterministic(test_feats(inp), inp.weights).select("id", "task", "p")
     scored = inp.test_cells.join(preds, ["id", "task"])
     return rounded(mt.metrics_report(mt.threshold_curve(scored), iteration=0))
+
+
+# ---------------------------------------------------------------------------------
+# 2.10 losses and label weights
+# ---------------------------------------------------------------------------------
+
+from tidepool.operators import losses as ls  # noqa: E402
+
+ALPHA, BETA, GAMMA, FOCAL_ALPHA = 0.5, 0.3, 2.0, 0.25
+
+
+def _loss_inputs(spark, sf_dir):
+    sc = td.lineitem_scores(spark, sf_dir).select("task", "y", "z")
+    tw = ls.target_weights(sc)
+    tasks = sc.select("task").distinct()
+    return sc, tw, ls.pos_weights(tw, tasks, ALPHA), ls.class_weights(tw, tasks, BETA)
+
+
+def _sp(x: str) -> str:
+    return f"(greatest({x}, 0.0) + ln(1 + exp(-abs({x}))))"
+
+
+def _bce(z="z", y="y", pw="1.0") -> str:
+    return f"({pw} * {y} * {_sp(f'(-{z})')} + (1.0 - {y}) * {_sp(z)})"
+
+
+SQL_LOSS_BASE = _with(
+    f"ls AS (SELECT task, y, z FROM ({td.SQL_LINEITEM_SCORES}) s WHERE y IN (0, 1))",
+    "tw_r AS (SELECT task, sum(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END) / "
+    "NULLIF(sum(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END), 0) AS r FROM ls GROUP BY task)",
+    "tw AS (SELECT task, r / avg(r) OVER () AS w FROM tw_r)",
+    f"pw AS (SELECT task, {ALPHA} * w + {1.0 - ALPHA} AS w FROM tw)",
+    f"cw AS (SELECT task, {BETA} * w + {1.0 - BETA} AS w FROM tw)",
+    "lw AS (SELECT ls.*, pw.w AS pw, cw.w AS cw, 1.0 / (1.0 + exp(-z)) AS p FROM ls "
+    "JOIN pw ON ls.task = pw.task JOIN cw ON ls.task = cw.task)") + "\n"
+
+
+def _sql_rollup(expr: str, name: str, den: str = "1.0") -> str:
+    return (f"SELECT CASE WHEN grouping(task) = 1 THEN 'all' ELSE task END AS task, "
+            f"sum({expr}) / NULLIF(sum({den}), 0) AS {name} FROM lw GROUP BY ROLLUP (task)")
+
+
+@register("target_weights", sql_rounded(SQL_LOSS_BASE + "SELECT * FROM tw", ["w"]))
+def q_target_weights(spark, sf_dir):
+    return rounded(_loss_inputs(spark, sf_dir)[1])
+
+
+@register("pos_weights", sql_rounded(SQL_LOSS_BASE + "SELECT * FROM pw", ["w"]))
+def q_pos_weights(spark, sf_dir):
+    return rounded(_loss_inputs(spark, sf_dir)[2])
+
+
+@register("class_weights", sql_rounded(SQL_LOSS_BASE + "SELECT * FROM cw", ["w"]))
+def q_class_weights(spark, sf_dir):
+    return rounded(_loss_inputs(spark, sf_dir)[3])
+
+
+@register("masked_bce", sql_rounded(SQL_LOSS_BASE + _sql_rollup(_bce(), "bce"), ["bce"]))
+def q_masked_bce(spark, sf_dir):
+    return rounded(ls.masked_bce(_loss_inputs(spark, sf_dir)[0]))
+
+
+@register("weighted_bce", sql_rounded(SQL_LOSS_BASE + _sql_rollup("cw * " + _bce(pw="pw"), "weighted_bce"),
+                                      ["weighted_bce"]))
+def q_weighted_bce(spark, sf_dir):
+    sc, _, pw, cw = _loss_inputs(spark, sf_dir)
+    return rounded(ls.weighted_bce(sc, pw, cw))
+
+
+@register("focal_loss", sql_rounded(SQL_LOSS_BASE + _sql_rollup(
+    f"(-pw * pow(1.0 - p, {GAMMA}) * y * ln(greatest(p, 1e-8)) - pow(p, {GAMMA}) * (1.0 - y) * "
+    f"ln(greatest(1.0 - p, 1e-8)))", "focal_loss"), ["focal_loss"]))
+def q_focal_loss(spark, sf_dir):
+    sc, _, pw, _ = _loss_inputs(spark, sf_dir)
+    return rounded(ls.focal_loss(sc, pw, GAMMA))
+
+
+@register("focal_loss_v2", sql_rounded(SQL_LOSS_BASE + _sql_rollup(
+    f"(({FOCAL_ALPHA} * y + {1.0 - FOCAL_ALPHA} * (1.0 - y)) * {_bce()} * "
+    f"pow(1.0 - (p * y + (1.0 - p) * (1.0 - y)), {GAMMA}))", "focal_loss_v2"), ["focal_loss_v2"]))
+def q_focal_loss_v2(spark, sf_dir):
+    return rounded(ls.focal_loss_v2(_loss_inputs(spark, sf_dir)[0], GAMMA, FOCAL_ALPHA))
+
+
+@register("pos_neg_loss", sql_rounded(
+    SQL_LOSS_BASE + "SELECT task, pos_loss, neg_loss, sqrt(pos_loss * neg_loss) AS gm_loss FROM ("
+    f"SELECT CASE WHEN grouping(task) = 1 THEN 'all' ELSE task END AS task, "
+    f"sum(CASE WHEN y = 1 THEN {_bce()} END) / NULLIF(sum(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END), 0) AS pos_loss, "
+    f"sum(CASE WHEN y = 0 THEN {_bce()} END) / NULLIF(sum(CASE WHEN y = 0 THEN 1.0 ELSE 0.0 END), 0) AS neg_loss "
+    "FROM lw GROUP BY ROLLUP (task)) r", ["pos_loss", "neg_loss", "gm_loss"]))
+def q_pos_neg_loss(spark, sf_dir):
+    return rounded(ls.pos_neg_loss(_loss_inputs(spark, sf_dir)[0]))
