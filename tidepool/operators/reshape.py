@@ -28,10 +28,14 @@ def dedup_keep_first(df: DataFrame, keys: list[str], order_cols: list[str]) -> D
     combine partially and a hot key (many copies) ships one row per map task.
     Remaining columns break exact ties, so the result never depends on partitioning.
     """
-    rest = [c for c in df.columns if c not in keys and c not in order_cols]
-    packed = F.min(F.struct(*[F.col(c) for c in order_cols + rest])).alias("_first")
+    order = [c for c in order_cols if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    fields = order + rest
+    if not fields:
+        return df.select(*keys).distinct()
+    packed = F.min(F.struct(*[F.col(c) for c in fields])).alias("_first")
     out = df.groupBy(*keys).agg(packed)
-    return out.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order_cols + rest]).select(*df.columns)
+    return out.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in fields]).select(*df.columns)
 
 
 def concat_features(*tables: DataFrame, key: str = "id", order_col: str | None = None) -> DataFrame:

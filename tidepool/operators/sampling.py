@@ -19,27 +19,33 @@ class SampleSizeError(ValueError):
     pass
 
 
-def _draw(df: DataFrame, part: list[str], per_class: int, seed, key: str, check: bool) -> DataFrame:
+def _draw(df: DataFrame, part: list[str], per_class: int, seed, key: str, check: bool,
+          expected: list | None = None) -> DataFrame:
     r = hash_rank(df.withColumn("_h", hash52(seed, key)), part, "_h", [key])
     chosen = r.where(F.col("_rn") <= per_class)
     if check:
-        short = r.where(F.col("_rn") == 1).where(F.col("_n") < per_class).select(*part, "_n").limit(1).collect()
-        if short:
-            raise SampleSizeError(f"class {[short[0][c] for c in part]} has {short[0]['_n']} rows, "
-                                  f"{per_class} requested")
+        # one row per class (a handful): sizes, including classes that are absent
+        sizes = {tuple(row[c] for c in part): row["_n"]
+                 for row in r.where(F.col("_rn") == 1).select(*part, "_n").collect()}
+        for cls in (expected or []):
+            sizes.setdefault(cls if isinstance(cls, tuple) else (cls,), 0)
+        for cls, n in sizes.items():
+            if n < per_class:
+                raise SampleSizeError(f"class {list(cls)} has {n} rows, {per_class} requested")
     return chosen.drop("_h", "_rn", "_n")
 
 
 def seed_set_balanced(cells: DataFrame, task: str, n: int, seed=0, check: bool = True) -> DataFrame:
     """n/2 positive and n/2 negative cells of ``task`` without replacement."""
     c = cells.where((F.col("task") == task) & F.col("y").isNotNull())
-    return _draw(c, ["y"], n // 2, seed, "id", check)
+    return _draw(c, ["y"], n // 2, seed, "id", check, expected=[0.0, 1.0])
 
 
 def seed_set_aux(cells: DataFrame, tasks: list[str], n_per_task: int, seed=0, check: bool = True) -> DataFrame:
     """The balanced draw for several tasks in one pass (window over (task, y))."""
     c = cells.where(F.col("task").isin(tasks) & F.col("y").isNotNull())
-    return _draw(c, ["task", "y"], n_per_task // 2, seed, "id", check)
+    return _draw(c, ["task", "y"], n_per_task // 2, seed, "id", check,
+                 expected=[(t, v) for t in tasks for v in (0.0, 1.0)])
 
 
 def row_activity(cells: DataFrame, n_tasks: int) -> DataFrame:
@@ -52,7 +58,8 @@ def row_activity(cells: DataFrame, n_tasks: int) -> DataFrame:
 
 def seed_set_any_active(cells: DataFrame, n_tasks: int, n: int, seed=0, check: bool = True) -> DataFrame:
     """n/2 rows with any positive label and n/2 rows with all labels 0: ``(id, cls)``."""
-    return _draw(row_activity(cells, n_tasks), ["cls"], n // 2, seed, "id", check)
+    return _draw(row_activity(cells, n_tasks), ["cls"], n // 2, seed, "id", check,
+                 expected=["active", "inactive"])
 
 
 def remainder_pool(cells: DataFrame, seed_set: DataFrame, by: str = "cells") -> DataFrame:

@@ -716,3 +716,145 @@ def q_focal_loss_v2(spark, sf_dir):
     "FROM lw GROUP BY ROLLUP (task)) r", ["pos_loss", "neg_loss", "gm_loss"]))
 def q_pos_neg_loss(spark, sf_dir):
     return rounded(ls.pos_neg_loss(_loss_inputs(spark, sf_dir)[0]))
+
+
+# ---------------------------------------------------------------------------------
+# 2.4 splits and folds, 2.5 seed sets
+# ---------------------------------------------------------------------------------
+
+from tidepool.operators import sampling as smp  # noqa: E402
+from tidepool.operators import split as sp  # noqa: E402
+
+
+@register("split_random", _with(SQL_AL_BASE) + "\nSELECT id, role FROM roles")
+def q_split_random(spark, sf_dir):
+    return sp.split_random(td.emb_features(spark, sf_dir).select("id"), 0.8, 42)
+
+
+@register("split_stratified",
+          f"SELECT id, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY h, id) <= "
+          f"floor(0.8 * count(*) OVER (PARTITION BY label)) THEN 'train' ELSE 'test' END AS role FROM "
+          f"(SELECT vec_id AS id, label, {sql_hash52(42, 'vec_id')} AS h FROM embeddings) e")
+def q_split_stratified(spark, sf_dir):
+    e = td.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return sp.split_stratified(e, ["label"], 0.8, 42).select("id", "role")
+
+
+SQL_GROUP_SPLIT = f"""WITH RECURSIVE
+g AS (SELECT source AS grp, count(*) AS sz FROM documents GROUP BY source),
+hist AS (SELECT sz, count(*) AS m, row_number() OVER (ORDER BY sz DESC) AS i FROM g GROUP BY sz),
+tot AS (SELECT 0.8 * count(*) AS cutoff FROM documents),
+fill(i, filled, take) AS (
+  SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT h.i,
+         f.filled + h.sz * CASE WHEN t.cutoff - f.filled >= h.sz
+                                THEN least(h.m, CAST(floor((t.cutoff - f.filled) / h.sz) AS BIGINT)) ELSE 0 END,
+         CASE WHEN t.cutoff - f.filled >= h.sz
+              THEN least(h.m, CAST(floor((t.cutoff - f.filled) / h.sz) AS BIGINT)) ELSE 0 END
+  FROM fill f JOIN hist h ON h.i = f.i + 1 CROSS JOIN tot t),
+gr AS (SELECT grp, sz, row_number() OVER (PARTITION BY sz ORDER BY {sql_hash52(42, 'grp')}, grp) AS rn FROM g),
+dec AS (SELECT gr.grp, CASE WHEN gr.rn <= f.take THEN 'train' ELSE 'test' END AS role
+        FROM gr JOIN hist h ON gr.sz = h.sz JOIN fill f ON f.i = h.i)
+SELECT d.doc_id, d.source, dec.role FROM documents d JOIN dec ON d.source = dec.grp"""
+
+
+@register("split_by_group", SQL_GROUP_SPLIT)
+def q_split_by_group(spark, sf_dir):
+    d = td.table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sp.split_by_group(d, "source", 0.8, 42).select("doc_id", "source", "role")
+
+
+@register("split_existing", _with(DOC_WIDE) +
+          "\nSELECT id, quality, toxic, 'train' AS role FROM doc_wide WHERE id IN (SELECT vec_id FROM embeddings) "
+          "UNION ALL SELECT doc_id, CAST(quality AS DOUBLE), CAST(toxic AS DOUBLE), 'test' FROM labels "
+          "WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+def q_split_existing(spark, sf_dir):
+    feats = td.emb_features(spark, sf_dir)
+    train = rs.dedup_keep_first(rs.labels_with_features(td.doc_labels_wide(spark, sf_dir), feats), ["id"], ["id"])
+    lab = td.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double"),
+                                                   F.col("toxic").cast("double"))
+    test = rs.dedup_keep_first(rs.labels_with_features(lab, feats), ["id"], ["id"])
+    return sp.split_existing(train, test)
+
+
+SQL_EMB_T0 = (f"emb_t0 AS (SELECT id, y AS t0, {sql_hash52(42, 'id')} AS h FROM ({td.SQL_EMB_CELLS}) c "
+              f"WHERE task = 't0')")
+
+
+@register("kfold_stratified", _with(SQL_EMB_T0) +
+          "\nSELECT id, (row_number() OVER (PARTITION BY coalesce(t0, 0) ORDER BY h, id) - 1) % 5 AS fold FROM emb_t0")
+def q_kfold_stratified(spark, sf_dir):
+    wide = rs.to_wide(td.emb_cells(spark, sf_dir), ["t0"])
+    return sp.kfold_stratified(wide, "t0", 5, 42).select("id", "fold")
+
+
+@register("kfold_multilabel", _with(DOC_WIDE) +
+          "\nSELECT id, (row_number() OVER (PARTITION BY sig ORDER BY h, id) - 1 + "
+          f"{sql_hash52('42|fold', 'sig')} % 5) % 5 AS fold FROM (SELECT id, "
+          "concat_ws(',', coalesce(CAST(CAST(quality AS INTEGER) AS VARCHAR), 'n'), "
+          "coalesce(CAST(CAST(toxic AS INTEGER) AS VARCHAR), 'n')) AS sig, "
+          f"{sql_hash52(42, 'id')} AS h FROM doc_wide) d")
+def q_kfold_multilabel(spark, sf_dir):
+    wide = td.doc_labels_wide(spark, sf_dir)
+    wide = wide.select("id", *[F.col(t).cast("int").alias(t) for t in td.DOC_TASKS])
+    return sp.kfold_multilabel(wide, td.DOC_TASKS, 5, 42).select("id", "fold")
+
+
+@register("fold_guard", _with(SQL_EMB_T0, f"cells AS ({td.SQL_EMB_CELLS})") +
+          "\nSELECT f.fold, c.task, coalesce(sum(c.y), 0.0) AS n_pos FROM (SELECT id, (row_number() OVER "
+          "(PARTITION BY coalesce(t0, 0) ORDER BY h, id) - 1) % 5 AS fold FROM emb_t0) f "
+          "JOIN cells c ON f.id = c.id GROUP BY f.fold, c.task")
+def q_fold_guard(spark, sf_dir):
+    cells = td.emb_cells(spark, sf_dir)
+    folds = sp.kfold_stratified(rs.to_wide(cells, ["t0"]), "t0", 5, 42).select("id", "fold")
+    return sp.fold_guard(folds.join(cells, "id"), 5)
+
+
+SEED = 3
+N_SEED = 20
+
+
+def _sql_draw(src: str, part: str, per: int) -> str:
+    return (f"SELECT * EXCLUDE (rn) FROM (SELECT s.*, row_number() OVER (PARTITION BY {part} ORDER BY "
+            f"{sql_hash52(SEED, 'id')}, id) AS rn FROM ({src}) s) d WHERE rn <= {per}")
+
+
+@register("seed_set_balanced", _with(SQL_AL_BASE) + "\n" + _sql_draw(
+    f"SELECT id, task, y FROM train_cells WHERE task = '{MAIN_TASK}' AND y IS NOT NULL", "y", N_SEED // 2))
+def q_seed_set_balanced(spark, sf_dir):
+    return smp.seed_set_balanced(al_inputs(spark, sf_dir).train_cells, MAIN_TASK, N_SEED, SEED)
+
+
+AUX_TASKS = EMB_TASKS[1:]
+
+
+@register("seed_set_aux", _with(SQL_AL_BASE) + "\n" + _sql_draw(
+    "SELECT id, task, y FROM train_cells WHERE task IN (" + ", ".join(f"'{t}'" for t in AUX_TASKS) +
+    ") AND y IS NOT NULL", "task, y", 10 // 2))
+def q_seed_set_aux(spark, sf_dir):
+    return smp.seed_set_aux(al_inputs(spark, sf_dir).train_cells, AUX_TASKS, 10, SEED)
+
+
+SQL_ACTIVITY = (f"act AS (SELECT id, CASE WHEN max(y) = 1 THEN 'active' WHEN max(y) = 0 AND count(y) = "
+                f"{len(td.DOC_TASKS)} THEN 'inactive' END AS cls FROM doc_long GROUP BY id)")
+
+
+def _doc_long(spark, sf_dir):
+    return rs.melt_labels(td.doc_labels_wide(spark, sf_dir), td.DOC_TASKS)
+
+
+@register("seed_set_any_active", _with(DOC_WIDE, SQL_DOC_LONG, SQL_ACTIVITY) + "\n" + _sql_draw(
+    "SELECT id, cls FROM act WHERE cls IS NOT NULL", "cls", N_SEED // 2))
+def q_seed_set_any_active(spark, sf_dir):
+    return smp.seed_set_any_active(_doc_long(spark, sf_dir), len(td.DOC_TASKS), N_SEED, SEED)
+
+
+@register("remainder_pool", _with(DOC_WIDE, SQL_DOC_LONG, SQL_ACTIVITY,
+                                  "seed AS (" + _sql_draw("SELECT id, cls FROM act WHERE cls IS NOT NULL", "cls",
+                                                          N_SEED // 2) + ")") +
+          "\nSELECT id, task, y FROM doc_long WHERE id NOT IN (SELECT id FROM seed)")
+def q_remainder_pool(spark, sf_dir):
+    cells = _doc_long(spark, sf_dir)
+    seed = smp.seed_set_any_active(cells, len(td.DOC_TASKS), N_SEED, SEED)
+    return smp.remainder_pool(cells, seed, by="rows")
