@@ -858,3 +858,27 @@ def q_remainder_pool(spark, sf_dir):
     cells = _doc_long(spark, sf_dir)
     seed = smp.seed_set_any_active(cells, len(td.DOC_TASKS), N_SEED, SEED)
     return smp.remainder_pool(cells, seed, by="rows")
+
+
+# ---------------------------------------------------------------------------------
+# 2.3 fingerprint job
+# ---------------------------------------------------------------------------------
+
+from tidepool.operators import fingerprint as fp  # noqa: E402
+
+
+@register("quarantine_rows",
+          "SELECT doc_id, CASE WHEN text IS NULL THEN 'NA value' "
+          "WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 'Invalid' "
+          "WHEN len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda t: t <> '')) = 0 "
+          "THEN 'Featurization failed' ELSE 'ok' END AS status FROM documents")
+def q_quarantine_rows(spark, sf_dir):
+    d = td.table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.coalesce(fp.reject_reason(d, "text"), F.lit("ok")).alias("status"))
+
+
+@register("hash_fingerprint", _with(fp.sql_fingerprint_bits("documents", "doc_id", "text")) +
+          "\nSELECT doc_id, bit FROM fp_bits")
+def q_hash_fingerprint(spark, sf_dir):
+    fps, _ = fp.hash_fingerprint(td.table(spark, sf_dir, "documents"), "text", "doc_id")
+    return fp.explode_bits(fps, "doc_id")
