@@ -103,34 +103,46 @@ bias AS (SELECT p.task, CASE WHEN p.n1 > 0 AND p.n0 > 0 THEN ln(p.n1 / p.n0) - s
 
 
 def train_surrogate(cells: DataFrame, feats: DataFrame, reg: float = 0.01, max_iter: int = 50,
-                    balance: bool = True) -> DataFrame:
+                    balance: bool = True, concurrency: int = 4) -> DataFrame:
     """Per-task L2 logistic regression (pyspark.ml) on the labelled cells.
 
-    One distributed fit per task (tasks are a handful of columns, not data);
-    class weights ``n / (2 n_class)`` when ``balance``.  Returns the same
-    ``(task, bias, w)`` table as :func:`centroid_weights`.
+    One distributed fit per task (tasks are a handful of label columns, not
+    data), several fits submitted concurrently; class weights
+    ``n / (2 n_class)`` when ``balance``.  A task with one class only is
+    skipped.  Returns the same ``(task, bias, w)`` table as
+    :func:`centroid_weights`.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import StorageLevel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     spark = cells.sparkSession
     lab = cells.where(F.col("y").isNotNull()).join(feats, "id") \
         .select("task", F.col("y").cast("double").alias("label"), array_to_vector("x").alias("features"))
+    counts = {r["task"]: (r["n"], r["n1"]) for r in
+              lab.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).collect()}
+    wt = F.lit(1.0)
     if balance:
-        counts = lab.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"))
-        lab = lab.join(counts, "task").withColumn(
-            "wt", F.when(F.col("label") == 1, F.col("n") / (2 * F.col("n1")))
-            .otherwise(F.col("n") / (2 * (F.col("n") - F.col("n1")))))
-    tasks = [r["task"] for r in lab.select("task").distinct().orderBy("task").collect()]
-    rows = []
-    for t in tasks:
-        part = lab.where(F.col("task") == t)
-        lr = LogisticRegression(regParam=reg, maxIter=max_iter, standardization=False,
-                                weightCol="wt" if balance else None)
-        if part.select("label").distinct().count() < 2:
-            continue
-        model = lr.fit(part)
-        rows.append((t, float(model.intercept), [float(v) for v in model.coefficients.toArray()]))
+        ratio = F.create_map(*[x for t, (n, n1) in counts.items() if 0 < n1 < n
+                               for x in (F.lit(t), F.lit(float(n) / (2 * n1)))])
+        ratio0 = F.create_map(*[x for t, (n, n1) in counts.items() if 0 < n1 < n
+                                for x in (F.lit(t), F.lit(float(n) / (2 * (n - n1))))])
+        wt = F.when(F.col("label") == 1, ratio[F.col("task")]).otherwise(ratio0[F.col("task")])
+    lab = lab.withColumn("wt", wt).persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = sorted(t for t, (n, n1) in counts.items() if 0 < n1 < n)
+
+    def fit(t):
+        lr = LogisticRegression(regParam=reg, maxIter=max_iter, standardization=False, weightCol="wt")
+        model = lr.fit(lab.where(F.col("task") == t))
+        return (t, float(model.intercept), [float(v) for v in model.coefficients.toArray()])
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(concurrency, len(tasks)))) as ex:
+            rows = list(ex.map(fit, tasks))
+    finally:
+        lab.unpersist()
     schema = T.StructType([T.StructField("task", T.StringType()), T.StructField("bias", T.DoubleType()),
                            T.StructField("w", T.ArrayType(T.DoubleType()))])
     return spark.createDataFrame(rows, schema)

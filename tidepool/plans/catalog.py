@@ -882,3 +882,123 @@ def q_quarantine_rows(spark, sf_dir):
 def q_hash_fingerprint(spark, sf_dir):
     fps, _ = fp.hash_fingerprint(td.table(spark, sf_dir, "documents"), "text", "doc_id")
     return fp.explode_bits(fps, "doc_id")
+
+
+# ---------------------------------------------------------------------------------
+# 2.6 training, 2.11 iteration, resume, grid
+# ---------------------------------------------------------------------------------
+
+from tidepool.operators.scoring import centroid_weights, sql_centroid_weights, train_surrogate  # noqa: E402
+from tidepool.plans import loop as lp  # noqa: E402
+from tidepool.plans.setup import SQL_AL_DATA  # noqa: E402
+from tidepool.session import cut_lineage  # noqa: E402
+
+
+@register("train_surrogate")
+def q_train_surrogate(spark, sf_dir):
+    inp = al_inputs(spark, sf_dir)
+    w = train_surrogate(inp.train_cells, inp.feats, reg=0.01, max_iter=50)
+    return rounded(w.select("task", "bias", F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, v: a + v * v)).alias("w_norm")))
+
+
+STEP_SEED = 3
+N_STEP_SEED = 10
+
+
+def _step_inputs(spark, sf_dir):
+    inp = al_inputs(spark, sf_dir)
+    seed = smp.seed_set_aux(inp.train_cells, EMB_TASKS, N_STEP_SEED, STEP_SEED).select("id", "task", "y")
+    pool = smp.remainder_pool(inp.train_cells, seed, by="cells")
+    return inp, seed, pool
+
+
+SQL_STEP_DATA = [
+    SQL_AL_DATA,
+    "seed AS (" + _sql_draw("SELECT id, task, y FROM train_cells WHERE y IS NOT NULL", "task, y", N_STEP_SEED // 2) + ")",
+    "pool AS (SELECT c.id, c.task, c.y FROM train_cells c WHERE NOT EXISTS "
+    "(SELECT 1 FROM seed s WHERE s.id = c.id AND s.task = c.task))",
+]
+
+
+@register("al_step", _with(*SQL_STEP_DATA, sql_centroid_weights("SELECT * FROM seed", "SELECT * FROM feats"),
+                           sql_probs("probs", "SELECT DISTINCT id FROM pool WHERE y IS NOT NULL", K),
+                           f"bald AS ({SQL_BALD})",
+                           f"top AS (SELECT b.id, b.task FROM bald b JOIN pool p ON b.id = p.id AND b.task = p.task "
+                           f"WHERE p.y IS NOT NULL ORDER BY b.score DESC, b.id, b.task LIMIT {TOP_K})") +
+          "\nSELECT p.id, p.task, p.y FROM pool p JOIN top t ON p.id = t.id AND p.task = t.task")
+def q_al_step(spark, sf_dir):
+    inp, seed, pool = _step_inputs(spark, sf_dir)
+    weights = centroid_weights(seed, inp.feats)
+    res = lp.al_step(seed, pool, inp.feats, weights, lp.StepConfig("BALD", n_query=TOP_K, passes=K))
+    return res.query
+
+
+RUN_SEED = 11
+RUN_ITERS = 3
+RUN_N = 5
+
+
+def _sql_run_history() -> list[str]:
+    ctes = ["pool_0 AS (SELECT * FROM pool)"]
+    for i in range(RUN_ITERS):
+        ctes.append(f"q_{i} AS ({_sql_uniform(f'SELECT * FROM pool_{i}', RUN_N, RUN_SEED, i)})")
+        ctes.append(f"pool_{i + 1} AS (SELECT p.* FROM pool_{i} p WHERE NOT EXISTS "
+                    f"(SELECT 1 FROM q_{i} q WHERE q.id = p.id AND q.task = p.task))")
+    ctes.append("hist AS (" + " UNION ALL ".join(
+        f"SELECT CAST(0 AS BIGINT) AS run_id, CAST({i} AS BIGINT) AS iteration, id, task, y FROM q_{i}"
+        for i in range(RUN_ITERS)) + ")")
+    return ctes
+
+
+def _run(spark, sf_dir):
+    from tidepool.session import scratch_path
+    inp, seed, pool = _step_inputs(spark, sf_dir)
+    path = scratch_path(spark, "al_run_history")
+    cfg = lp.RunConfig(run_id=0, iterations=RUN_ITERS, history_path=path,
+                       step=lp.StepConfig("uniform", n_query=RUN_N, seed=RUN_SEED))
+    out = lp.al_run(seed, pool, inp.feats, cfg)
+    return path, seed, pool, out
+
+
+@register("al_run", _with(*SQL_STEP_DATA, *_sql_run_history()) + "\nSELECT * FROM hist")
+def q_al_run(spark, sf_dir):
+    path, _, _, _ = _run(spark, sf_dir)
+    return spark.read.parquet(path).select(F.col("run_id").cast("long"), F.col("iteration").cast("long"),
+                                           "id", "task", "y")
+
+
+@register("iteration_done", _with(*SQL_STEP_DATA, *_sql_run_history()) +
+          "\nSELECT CAST(r.range AS BIGINT) AS iteration, CASE WHEN r.range IN (SELECT iteration FROM hist) "
+          "THEN 1 ELSE 0 END AS done FROM range(5) r")
+def q_iteration_done(spark, sf_dir):
+    path, _, _, _ = _run(spark, sf_dir)
+    return lp.iterations_done(spark, path, 0, list(range(5))).select("iteration", F.col("done").cast("int"))
+
+
+@register("replay_history", _with(*SQL_STEP_DATA, *_sql_run_history()) +
+          "\nSELECT 'train' AS role, id, task, y FROM seed UNION ALL SELECT 'train', id, task, y FROM hist "
+          "UNION ALL SELECT 'pool', p.id, p.task, p.y FROM pool p WHERE NOT EXISTS "
+          "(SELECT 1 FROM hist h WHERE h.id = p.id AND h.task = p.task)")
+def q_replay_history(spark, sf_dir):
+    path, seed, pool, _ = _run(spark, sf_dir)
+    train, pool_t = lp.replay_history(spark, path, seed, pool, 0)
+    return train.select(F.lit("train").alias("role"), "id", "task", "y").unionByName(
+        pool_t.select(F.lit("pool").alias("role"), "id", "task", "y"))
+
+
+GRID_SEEDS = [0, 1, 2]
+GRID_STRATEGIES = list(lp.STRATEGIES)
+GRID_FEATURES = ["BERT", "FP"]
+
+
+@register("experiment_grid", _with(f"cells AS ({td.SQL_EMB_CELLS})",
+                                   "t AS (SELECT task, dense_rank() OVER (ORDER BY task) - 1 AS ti FROM "
+                                   "(SELECT DISTINCT task FROM cells) d)") +
+          "\nSELECT CAST(((t.ti * 3 + s.si) * 5 + g.gi) * 2 + f.fi AS BIGINT) AS run_id, t.task, "
+          "CAST(s.seed AS BIGINT) AS seed, g.strategy, f.feature_type FROM t, "
+          f"(SELECT unnest({GRID_SEEDS}) AS seed, unnest(range(3)) AS si) s, "
+          "(SELECT unnest([" + ", ".join(f"'{x}'" for x in GRID_STRATEGIES) + "]) AS strategy, unnest(range(5)) AS gi) g, "
+          "(SELECT unnest([" + ", ".join(f"'{x}'" for x in GRID_FEATURES) + "]) AS feature_type, unnest(range(2)) AS fi) f")
+def q_experiment_grid(spark, sf_dir):
+    tasks = td.emb_cells(spark, sf_dir).select("task")
+    return lp.experiment_grid(tasks, GRID_SEEDS, GRID_STRATEGIES, GRID_FEATURES)

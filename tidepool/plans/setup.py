@@ -53,15 +53,15 @@ def test_feats(inp: ALInputs) -> DataFrame:
     return inp.feats.join(inp.roles.where(F.col("role") == "test"), "id", "left_semi")
 
 
-SQL_AL_BASE = f"""
+SQL_AL_DATA = f"""
 feats AS ({td.SQL_EMB_FEATURES}),
 cells AS ({td.SQL_EMB_CELLS}),
 ids_h AS (SELECT id, {sql_hash52(SPLIT_SEED, 'id')} AS h FROM feats),
 roles AS (SELECT id, CASE WHEN row_number() OVER (ORDER BY h, id) <= floor({TRAIN_FRAC} * count(*) OVER ())
                           THEN 'train' ELSE 'test' END AS role FROM ids_h),
 train_cells AS (SELECT c.id, c.task, c.y FROM cells c JOIN roles r ON c.id = r.id WHERE r.role = 'train'),
-test_cells AS (SELECT c.id, c.task, c.y FROM cells c JOIN roles r ON c.id = r.id WHERE r.role = 'test'),
-{sql_centroid_weights('SELECT * FROM train_cells', 'SELECT * FROM feats')}"""
+test_cells AS (SELECT c.id, c.task, c.y FROM cells c JOIN roles r ON c.id = r.id WHERE r.role = 'test')"""
+SQL_AL_BASE = SQL_AL_DATA + ",\n" + sql_centroid_weights('SELECT * FROM train_cells', 'SELECT * FROM feats')
 
 
 def sql_probs(name: str, ids_sql: str, passes: int = DEFAULT_PASSES, dropout: bool = True,
