@@ -813,6 +813,7 @@ def q_fold_guard(spark, sf_dir):
 
 SEED = 3
 N_SEED = 20
+N_ACTIVE = 10  # all-negative documents are rare: 6 at the smallest scale
 
 
 def _sql_draw(src: str, part: str, per: int) -> str:
@@ -845,18 +846,18 @@ def _doc_long(spark, sf_dir):
 
 
 @register("seed_set_any_active", _with(DOC_WIDE, SQL_DOC_LONG, SQL_ACTIVITY) + "\n" + _sql_draw(
-    "SELECT id, cls FROM act WHERE cls IS NOT NULL", "cls", N_SEED // 2))
+    "SELECT id, cls FROM act WHERE cls IS NOT NULL", "cls", N_ACTIVE // 2))
 def q_seed_set_any_active(spark, sf_dir):
-    return smp.seed_set_any_active(_doc_long(spark, sf_dir), len(td.DOC_TASKS), N_SEED, SEED)
+    return smp.seed_set_any_active(_doc_long(spark, sf_dir), len(td.DOC_TASKS), N_ACTIVE, SEED)
 
 
 @register("remainder_pool", _with(DOC_WIDE, SQL_DOC_LONG, SQL_ACTIVITY,
                                   "seed AS (" + _sql_draw("SELECT id, cls FROM act WHERE cls IS NOT NULL", "cls",
-                                                          N_SEED // 2) + ")") +
+                                                          N_ACTIVE // 2) + ")") +
           "\nSELECT id, task, y FROM doc_long WHERE id NOT IN (SELECT id FROM seed)")
 def q_remainder_pool(spark, sf_dir):
     cells = _doc_long(spark, sf_dir)
-    seed = smp.seed_set_any_active(cells, len(td.DOC_TASKS), N_SEED, SEED)
+    seed = smp.seed_set_any_active(cells, len(td.DOC_TASKS), N_ACTIVE, SEED)
     return smp.remainder_pool(cells, seed, by="rows")
 
 
@@ -1002,3 +1003,29 @@ GRID_FEATURES = ["BERT", "FP"]
 def q_experiment_grid(spark, sf_dir):
     tasks = td.emb_cells(spark, sf_dir).select("task")
     return lp.experiment_grid(tasks, GRID_SEEDS, GRID_STRATEGIES, GRID_FEATURES)
+
+
+# ---------------------------------------------------------------------------------
+# 2.4 cluster split (iterative: checked against brute force in tests, rows-only here)
+# ---------------------------------------------------------------------------------
+
+from tidepool.operators import cluster as clu  # noqa: E402
+
+CLUSTER_BITS = 1 << 20
+
+
+def _doc_fps(spark, sf_dir):
+    fps, _ = fp.hash_fingerprint(td.table(spark, sf_dir, "documents"), "text", "doc_id", size=CLUSTER_BITS)
+    return cut_lineage(fps)
+
+
+@register("similarity_clusters")
+def q_similarity_clusters(spark, sf_dir):
+    return clu.similarity_clusters(_doc_fps(spark, sf_dir), "doc_id", clu.DEFAULT_THRESHOLD) \
+        .select("doc_id", "cluster", F.col("is_centre").cast("int").alias("is_centre"))
+
+
+@register("split_by_cluster")
+def q_split_by_cluster(spark, sf_dir):
+    docs = td.table(spark, sf_dir, "documents").select("doc_id", "source")
+    return clu.split_by_cluster(docs, _doc_fps(spark, sf_dir), "doc_id", 0.8, 42).select("doc_id", "cluster", "role")
