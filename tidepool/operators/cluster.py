@@ -39,21 +39,40 @@ def collapse_identical(fps: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
-def similar_pairs(reps: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Exact pairs ``(a, b, sim)``, a < b, with Jaccard(bits_a, bits_b) >= threshold."""
+BROADCAST_UNIVERSE_MAX = 1 << 22
+
+
+def similar_pairs(reps: DataFrame, threshold: float = DEFAULT_THRESHOLD,
+                  universe: int | None = None) -> DataFrame:
+    """Exact pairs ``(a, b, sim)``, a < b, with Jaccard(bits_a, bits_b) >= threshold.
+
+    ``universe``: number of possible bit ids; when it is at most
+    ``BROADCAST_UNIVERSE_MAX`` the bit-frequency table (one row per bit id) has a
+    proven size bound and is broadcast, otherwise it is shuffle-joined.
+    """
     t = float(threshold)
     sized = reps.select("key", "bits", F.size("bits").alias("len")).where(F.col("len") > 0)
     toks = sized.select("key", "len", F.explode("bits").alias("bit"))
     freq = toks.groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
+    if universe is not None and universe <= BROADCAST_UNIVERSE_MAX:
+        freq = F.broadcast(freq)
     ranked = toks.join(freq, "bit")
     from pyspark.sql import Window
     w = Window.partitionBy("key").orderBy("df", "bit")
-    plen = F.col("len") - F.ceil(F.lit(t) * F.col("len")) + 1
-    prefix = ranked.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= plen).select("key", "len", "bit")
+    # small slack keeps float rounding from ever shortening a prefix (longer is still exact)
+    plen = F.col("len") - F.ceil(F.lit(t) * F.col("len") - F.lit(1e-9)) + 1
+    prefix = ranked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= plen) \
+        .select("key", "len", "bit", "pos")
     a = prefix.alias("a")
     b = prefix.alias("b")
+    # length filter, then positional filter: a shared token at positions (i, j) leaves
+    # at most 1 + min(|A| - i, |B| - j) common tokens, which must reach the overlap
+    # ceil(t / (1 + t) * (|A| + |B|)) that J >= t needs.
+    need = F.ceil(F.lit(t / (1 + t)) * (F.col("a.len") + F.col("b.len")) - F.lit(1e-9))
+    bound = F.lit(1) + F.least(F.col("a.len") - F.col("a.pos"), F.col("b.len") - F.col("b.pos"))
     cand = a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.key") < F.col("b.key"))
-                  & (F.col("b.len") >= F.lit(t) * F.col("a.len")) & (F.col("a.len") >= F.lit(t) * F.col("b.len"))) \
+                  & (F.col("b.len") >= F.lit(t) * F.col("a.len")) & (F.col("a.len") >= F.lit(t) * F.col("b.len"))
+                  & (bound >= need)) \
         .select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
     bits = sized.select("key", "bits")
     v = cand.join(bits.withColumnRenamed("key", "a").withColumnRenamed("bits", "ba"), "a") \
@@ -103,19 +122,20 @@ def butina(reps: DataFrame, pairs: DataFrame, max_rounds: int | None = None) ->
     return cen.unionByName(rest)
 
 
-def similarity_clusters(fps: DataFrame, key: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+def similarity_clusters(fps: DataFrame, key: str, threshold: float = DEFAULT_THRESHOLD,
+                        universe: int | None = None) -> DataFrame:
     """``(key, cluster, is_centre)`` for every input row (copies share their representative's cluster)."""
     reps, members = collapse_identical(fps.select(key, "bits"), key)
     reps = cut_lineage(reps)
-    pairs = cut_lineage(similar_pairs(reps, threshold))
+    pairs = cut_lineage(similar_pairs(reps, threshold, universe))
     cl = butina(reps, pairs)
     return members.join(cl, "key").select(F.col("member").alias(key), "cluster",
                                           (F.col("is_centre") & (F.col("member") == F.col("key"))).alias("is_centre"))
 
 
 def split_by_cluster(df: DataFrame, fps: DataFrame, key: str, frac_train: float = 0.8, seed=42,
-                     threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+                     threshold: float = DEFAULT_THRESHOLD, universe: int | None = None) -> DataFrame:
     """Cluster split: similarity clusters, then the biggest-first group split on the cluster id."""
     from tidepool.operators.split import split_by_group
-    cl = similarity_clusters(fps, key, threshold).select(key, "cluster")
+    cl = similarity_clusters(fps, key, threshold, universe).select(key, "cluster")
     return split_by_group(df.join(cl, key), "cluster", frac_train, seed)

@@ -879,10 +879,13 @@ def q_quarantine_rows(spark, sf_dir):
 
 
 @register("hash_fingerprint", _with(fp.sql_fingerprint_bits("documents", "doc_id", "text")) +
-          "\nSELECT doc_id, bit FROM fp_bits")
+          "\nSELECT doc_id, count(*) AS n_bits, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits "
+          "FROM fp_bits GROUP BY doc_id")
 def q_hash_fingerprint(spark, sf_dir):
+    """One row per valid string: bit count and the sorted bit ids as text (the sparse fingerprint)."""
     fps, _ = fp.hash_fingerprint(td.table(spark, sf_dir, "documents"), "text", "doc_id")
-    return fp.explode_bits(fps, "doc_id")
+    return fps.select("doc_id", F.size("bits").cast("long").alias("n_bits"),
+                      F.array_join(F.transform("bits", lambda b: b.cast("string")), ",").alias("bits"))
 
 
 # ---------------------------------------------------------------------------------
@@ -1021,11 +1024,12 @@ def _doc_fps(spark, sf_dir):
 
 @register("similarity_clusters")
 def q_similarity_clusters(spark, sf_dir):
-    return clu.similarity_clusters(_doc_fps(spark, sf_dir), "doc_id", clu.DEFAULT_THRESHOLD) \
+    return clu.similarity_clusters(_doc_fps(spark, sf_dir), "doc_id", clu.DEFAULT_THRESHOLD, CLUSTER_BITS) \
         .select("doc_id", "cluster", F.col("is_centre").cast("int").alias("is_centre"))
 
 
 @register("split_by_cluster")
 def q_split_by_cluster(spark, sf_dir):
     docs = td.table(spark, sf_dir, "documents").select("doc_id", "source")
-    return clu.split_by_cluster(docs, _doc_fps(spark, sf_dir), "doc_id", 0.8, 42).select("doc_id", "cluster", "role")
+    return clu.split_by_cluster(docs, _doc_fps(spark, sf_dir), "doc_id", 0.8, 42, universe=CLUSTER_BITS) \
+        .select("doc_id", "cluster", "role")
