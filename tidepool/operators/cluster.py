@@ -39,41 +39,104 @@ def collapse_identical(fps: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
-BROADCAST_UNIVERSE_MAX = 1 << 22
+BROADCAST_UNIVERSE_MAX = 1 << 22  # bit ids; the frequency array is then <= 32 MB
+
+
+def _prefix_rows_window(sized: DataFrame, freq: DataFrame, t: float, k: int) -> DataFrame:
+    """Prefix tokens by a join with the frequency table and a per-row window (any universe size)."""
+    from pyspark.sql import Window
+    toks = sized.select("key", "len", F.explode("bits").alias("bit"))
+    ranked = toks.join(freq, "bit")
+    w = Window.partitionBy("key").orderBy("df", "bit")
+    # small slack keeps float rounding from ever shortening a prefix (longer is still exact)
+    plen = F.col("len") - F.ceil(F.lit(t) * F.col("len") - F.lit(1e-9)) + k
+    return ranked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= plen) \
+        .select("key", "len", "bit", "pos")
+
+
+def _prefix_rows_lookup(sized: DataFrame, freq: DataFrame, t: float, universe: int, k: int) -> DataFrame:
+    """Same rows, computed inside each row batch with a broadcast frequency array.
+
+    The array has one entry per possible bit id (``universe``, size-checked by
+    the caller), so no token row is shuffled: each task sorts its own rows'
+    bits by (frequency, bit) with one vectorised lexsort.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    pdf = freq.toPandas()
+    lut = np.zeros(universe, dtype=np.int64)
+    lut[pdf["bit"].to_numpy(dtype=np.int64)] = pdf["df"].to_numpy(dtype=np.int64)
+    bc = sized.sparkSession.sparkContext.broadcast(lut)
+    key_field = sized.schema["key"]
+    schema = T.StructType([key_field, T.StructField("len", T.IntegerType()), T.StructField("bit", T.IntegerType()),
+                           T.StructField("pos", T.IntegerType())])
+
+    def run(batches):
+        table = bc.value
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            bits_col = batch.column("bits")
+            lens = batch.column("len").to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = bits_col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            seg = np.repeat(np.arange(n), lens)
+            order = np.lexsort((flat, table[flat], seg))
+            starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+            pos = np.arange(flat.size) - starts[seg] + 1
+            plen = lens - np.ceil(t * lens - 1e-9).astype(np.int64) + k
+            keep = pos <= plen[seg]
+            rows = seg[keep]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(rows)), pa.array(lens[rows].astype(np.int32)),
+                 pa.array(flat[order][keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
+                schema=pa.schema([pa.field("key", batch.column("key").type), pa.field("len", pa.int32()),
+                                  pa.field("bit", pa.int32()), pa.field("pos", pa.int32())]))
+
+    return sized.select("key", "bits", "len").mapInArrow(run, schema)
 
 
 def similar_pairs(reps: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                  universe: int | None = None) -> DataFrame:
+                  universe: int | None = None, prefix_extra: int = 3) -> DataFrame:
     """Exact pairs ``(a, b, sim)``, a < b, with Jaccard(bits_a, bits_b) >= threshold.
 
-    ``universe``: number of possible bit ids; when it is at most
-    ``BROADCAST_UNIVERSE_MAX`` the bit-frequency table (one row per bit id) has a
-    proven size bound and is broadcast, otherwise it is shuffle-joined.
+    Filters, all exact (no true pair is ever dropped):
+
+    * length: ``t |A| <= |B| <= |A| / t``;
+    * prefix: with bits in global (frequency, id) order, a pair needing overlap
+      ``o = ceil(t / (1 + t) (|A| + |B|))`` shares its first ``min(k, o)`` common
+      bits inside both prefixes of length ``|A| - ceil(t |A|) + k``
+      (``k = prefix_extra``), so pairs matching fewer prefix bits are dropped;
+    * position: common bits after the last matched one are at most
+      ``min(|A| - i, |B| - j)`` (i, j its positions), so matched + that >= o.
+
+    Survivors are verified on the full sets.  ``universe`` (number of possible
+    bit ids): when at most ``BROADCAST_UNIVERSE_MAX`` the bit-frequency table
+    has a proven size bound and is shipped to every task as an array;
+    otherwise token rows are shuffle-joined with it and ranked per row.
     """
     t = float(threshold)
+    k = int(prefix_extra)
     sized = reps.select("key", "bits", F.size("bits").alias("len")).where(F.col("len") > 0)
-    toks = sized.select("key", "len", F.explode("bits").alias("bit"))
-    freq = toks.groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
+    freq = sized.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
     if universe is not None and universe <= BROADCAST_UNIVERSE_MAX:
-        freq = F.broadcast(freq)
-    ranked = toks.join(freq, "bit")
-    from pyspark.sql import Window
-    w = Window.partitionBy("key").orderBy("df", "bit")
-    # small slack keeps float rounding from ever shortening a prefix (longer is still exact)
-    plen = F.col("len") - F.ceil(F.lit(t) * F.col("len") - F.lit(1e-9)) + 1
-    prefix = ranked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= plen) \
-        .select("key", "len", "bit", "pos")
+        prefix = _prefix_rows_lookup(sized, freq, t, universe, k)
+    else:
+        prefix = _prefix_rows_window(sized, freq, t, k)
+    prefix = cut_lineage(prefix)  # read by both sides of the self-join
     a = prefix.alias("a")
     b = prefix.alias("b")
-    # length filter, then positional filter: a shared token at positions (i, j) leaves
-    # at most 1 + min(|A| - i, |B| - j) common tokens, which must reach the overlap
-    # ceil(t / (1 + t) * (|A| + |B|)) that J >= t needs.
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("a.len") + F.col("b.len")) - F.lit(1e-9))
-    bound = F.lit(1) + F.least(F.col("a.len") - F.col("a.pos"), F.col("b.len") - F.col("b.pos"))
-    cand = a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.key") < F.col("b.key"))
-                  & (F.col("b.len") >= F.lit(t) * F.col("a.len")) & (F.col("a.len") >= F.lit(t) * F.col("b.len"))
-                  & (bound >= need)) \
-        .select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
+    matches = a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.key") < F.col("b.key"))
+                     & (F.col("b.len") >= F.lit(t) * F.col("a.len")) & (F.col("a.len") >= F.lit(t) * F.col("b.len")))
+    per_pair = matches.groupBy(F.col("a.key").alias("a"), F.col("b.key").alias("b")).agg(
+        F.count(F.lit(1)).alias("m"), F.max("a.pos").alias("ia"), F.max("b.pos").alias("ib"),
+        F.first("a.len").alias("la"), F.first("b.len").alias("lb"))
+    need = F.ceil(F.lit(t / (1 + t)) * (F.col("la") + F.col("lb")) - F.lit(1e-9))
+    cand = per_pair.where((F.col("m") >= F.least(F.lit(k), need))
+                          & (F.col("m") + F.least(F.col("la") - F.col("ia"), F.col("lb") - F.col("ib")) >= need)) \
+        .select("a", "b")
     bits = sized.select("key", "bits")
     v = cand.join(bits.withColumnRenamed("key", "a").withColumnRenamed("bits", "ba"), "a") \
         .join(bits.withColumnRenamed("key", "b").withColumnRenamed("bits", "bb"), "b")
@@ -126,7 +189,10 @@ def similarity_clusters(fps: DataFrame, key: str, threshold: float = DEFAULT_THR
                         universe: int | None = None) -> DataFrame:
     """``(key, cluster, is_centre)`` for every input row (copies share their representative's cluster)."""
     reps, members = collapse_identical(fps.select(key, "bits"), key)
-    reps = cut_lineage(reps)
+    # AQE may coalesce the (few, wide) representative rows into one partition; spread
+    # them by key so the per-row prefix work runs on every core
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reps = cut_lineage(reps.repartition(n, "key"))
     pairs = cut_lineage(similar_pairs(reps, threshold, universe))
     cl = butina(reps, pairs)
     return members.join(cl, "key").select(F.col("member").alias(key), "cluster",
