@@ -183,3 +183,13 @@ def test_run_resume_and_replay_equal_live(spark):
     assert as_set(live["train"]) == as_set(train_r) == as_set(resumed["train"])
     assert as_set(live["pool"]) == as_set(pool_r) == as_set(resumed["pool"])
     assert spark.read.parquet(live_path).count() == 9
+
+
+def test_score_in_task_chunks_equals_whole(spark):
+    from tidepool.operators.scoring import _score_arrow
+    feats = td.emb_features(spark, SF_SMALL)
+    w = centroid_weights(td.emb_cells(spark, SF_SMALL), feats)
+    whole = {(r["id"], r["task"]): r["ps"] for r in _score_arrow(feats, w, 3, 0.5, "id", False).collect()}
+    chunked = {(r["id"], r["task"]): r["ps"]
+               for r in _score_arrow(feats, w, 3, 0.5, "id", False, max_cells=64 * 3).collect()}
+    assert whole == chunked

@@ -1,0 +1,8 @@
+"""Streaming.
+
+The pipeline this engine rebuilds has no streaming part: every stage is a
+batch over tables, and iterations are separate batch jobs that append to a
+history table partitioned by (run_id, iteration).  Nothing is provided here
+on purpose; a consumer that wants to follow the history as it grows can point
+``spark.readStream.parquet`` at the history folder.
+"""
