@@ -192,4 +192,6 @@ def test_score_in_task_chunks_equals_whole(spark):
     whole = {(r["id"], r["task"]): r["ps"] for r in _score_arrow(feats, w, 3, 0.5, "id", False).collect()}
     chunked = {(r["id"], r["task"]): r["ps"]
                for r in _score_arrow(feats, w, 3, 0.5, "id", False, max_cells=64 * 3).collect()}
-    assert whole == chunked
+    assert whole.keys() == chunked.keys()
+    # BLAS may sum in another order for a narrower weight matrix: compare to 1e-12
+    assert max(abs(a - b) for k in whole for a, b in zip(whole[k], chunked[k])) < 1e-12
