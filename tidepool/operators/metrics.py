@@ -199,14 +199,37 @@ def ace(curve: DataFrame) -> DataFrame:
     return _calibration(binned, "ACE")
 
 
+def threshold_metrics(curve: DataFrame) -> DataFrame:
+    """All threshold metrics in one aggregation pass over the curve:
+    balanced_acc, sensitivity, specificity, f1_score, roc_auc, AUPR, average_precision."""
+    pts = _points(curve).withColumn("bacc", (F.col("tpr") + (F.lit(1.0) - F.col("fpr"))) / 2)
+    on_pr = F.col("cum_n_pos") - F.col("n_pos") < F.col("tot_pos")
+    roc_area = (F.col("fpr") - F.col("fpr_prev")) * (F.col("tpr") + F.col("tpr_prev")) / 2
+    pr_area = (F.col("recall") - F.col("recall_prev")) * (F.col("precision") + F.col("precision_prev")) / 2
+    ap_term = (F.col("recall") - F.col("recall_prev")) * F.col("precision")
+    f1 = _div(2 * F.col("cum_n_pos"), F.col("cum_n_pos") + F.col("cum_n_neg") + F.col("tot_pos"))
+    agg = pts.groupBy("task").agg(
+        F.max_by(F.struct("bacc", "tpr", "fpr"), F.struct("bacc", "p")).alias("b"),
+        F.max(F.when(on_pr, f1)).alias("f1_score"),
+        F.sum(roc_area).alias("roc_auc"),
+        F.sum(F.when(on_pr, pr_area)).alias("AUPR"),
+        F.sum(F.when(on_pr, ap_term)).alias("average_precision"))
+    start_wins = ~(F.col("b.bacc") > 0.5)
+    undefined = F.col("b.bacc").isNull()
+    return agg.select(
+        "task",
+        F.when(undefined, None).when(start_wins, F.lit(0.5)).otherwise(F.col("b.bacc")).alias("balanced_acc"),
+        "f1_score",
+        F.when(undefined, None).when(start_wins, F.lit(1.0)).otherwise(F.lit(1.0) - F.col("b.fpr"))
+        .alias("specificity"),
+        F.when(undefined, None).when(start_wins, F.lit(0.0)).otherwise(F.col("b.tpr")).alias("sensitivity"),
+        "roc_auc", "AUPR", "average_precision")
+
+
 def metrics_table(curve: DataFrame) -> DataFrame:
-    """Nine metrics per task in the report's column order."""
+    """Nine metrics per task in the report's column order (three aggregation passes)."""
     counts = curve.select("task", "p", "n_pos", "n_neg")
-    parts = [sens_spec(curve).drop("threshold"), best_f1(curve), roc_auc(curve), aupr(curve),
-             average_precision(curve), ece(counts), ace(curve)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "task", "full_outer")
+    out = threshold_metrics(curve).join(ece(counts), "task", "full_outer").join(ace(curve), "task", "full_outer")
     return out.select("task", *METRIC_COLUMNS)
 
 
