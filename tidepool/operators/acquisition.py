@@ -21,7 +21,7 @@ from tidepool.functions.hashing import hash52
 BALD_EPS = 1e-10
 UCB_BETA = 2.0
 CHECK_EPS = 1e-6
-EPIG_BROADCAST_MAX_CELLS = 20_000_000   # targets x passes shipped whole to executors
+EPIG_BROADCAST_MAX_CELLS = 8_000_000    # targets x passes shipped whole to executors (64 MB)
 EPIG_TARGET_BLOCK = 4096                 # targets per block in the blocked path
 EPIG_POOL_GROUP = 65536                  # pool cells per group in the blocked path
 
@@ -93,8 +93,8 @@ def epig(pool: DataFrame, targets: DataFrame, method: str = "auto",
 
 
 def _epig_broadcast(pool: DataFrame, targets: DataFrame, n_t: int) -> DataFrame:
-    rows = targets.select("ps").collect()
-    Q = np.array([r["ps"] for r in rows], dtype=np.float64)
+    pdf = targets.select("ps").toPandas()  # Arrow transfer; size checked by the caller
+    Q = np.stack(pdf["ps"].to_numpy()).astype(np.float64)
     bc = pool.sparkSession.sparkContext.broadcast(Q)
     schema = T.StructType([pool.schema["id"], pool.schema["task"], T.StructField("score", T.DoubleType())])
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators.ranking import prefix_sums
+from tidepool.session import cut_lineage
 
 # Equal-width calibration edges as NumPy's linspace(0, 1, 11) yields them.
 ECE_EDGES = [0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]
@@ -48,9 +49,11 @@ def score_counts(df: DataFrame) -> DataFrame:
 def threshold_curve(df: DataFrame, blocks: int | None = None) -> DataFrame:
     """(task, p, n_pos, n_neg, cum_n_pos, cum_n_neg, tot_pos, tot_neg) in descending p."""
     base = score_counts(df)
-    totals = base.groupBy("task").agg(F.sum("n_pos").alias("tot_pos"), F.sum("n_neg").alias("tot_neg"))
     cum = prefix_sums(base, ["task"], "p", ["n_pos", "n_neg"], descending=True, blocks=blocks)
-    return cum.join(totals, "task")
+    # totals from the (checkpointed) running-sum table, not from another scan of the input
+    totals = cum.groupBy("task").agg(F.sum("n_pos").alias("tot_pos"), F.sum("n_neg").alias("tot_neg"))
+    # every metric reads this relation: materialise it once (one row per distinct score)
+    return cut_lineage(cum.join(totals, "task"))
 
 
 def _points(curve: DataFrame) -> DataFrame:
