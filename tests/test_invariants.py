@@ -195,3 +195,38 @@ def test_score_in_task_chunks_equals_whole(spark):
     assert whole.keys() == chunked.keys()
     # BLAS may sum in another order for a narrower weight matrix: compare to 1e-12
     assert max(abs(a - b) for k in whole for a, b in zip(whole[k], chunked[k])) < 1e-12
+
+
+@pytest.mark.parametrize("strategy", ["greedy", "ucb", "EPIG_MT", "uniform"])
+def test_step_strategies_conserve_cells(spark, strategy):
+    feats = td.emb_features(spark, SF_SMALL)
+    cells = td.emb_cells(spark, SF_SMALL)
+    roles = sp.split_random(feats.select("id"), 0.8, 42)
+    train_cells = cells.join(roles.where("role = 'train'"), "id", "left_semi")
+    test_ids = roles.where("role = 'test'")
+    seed = smp.seed_set_aux(train_cells, td.EMB_TASKS, 6, 1).select("id", "task", "y")
+    pool = smp.remainder_pool(train_cells, seed)
+    w = centroid_weights(seed, feats)
+    cfg = lp.StepConfig(strategy, n_query=4, passes=4, main_task="t0")
+    res = lp.al_step(seed, pool, feats, w, cfg, target_feats=feats.join(test_ids, "id", "left_semi"))
+    q = res.query.collect()
+    assert len(q) == 4 and all(r["y"] is not None for r in q)
+    counts = {r["role"]: r["n"] for r in res.counts.collect()}
+    assert counts["new_train"] == counts["train"] + 4 and counts["new_pool"] == counts["pool"] - 4
+
+
+def test_run_writes_metrics_history(spark):
+    feats = td.emb_features(spark, SF_SMALL)
+    cells = td.emb_cells(spark, SF_SMALL)
+    roles = sp.split_random(feats.select("id"), 0.8, 42)
+    train_cells = cells.join(roles.where("role = 'train'"), "id", "left_semi")
+    test_cells = cells.join(roles.where("role = 'test'"), "id", "left_semi")
+    seed = smp.seed_set_aux(train_cells, td.EMB_TASKS, 6, 1).select("id", "task", "y")
+    pool = smp.remainder_pool(train_cells, seed)
+    mpath = scratch_path(spark, "metrics")
+    lp.al_run(seed, pool, feats, lp.RunConfig(iterations=2, step=lp.StepConfig("BALD", n_query=2, passes=3),
+                                              history_path=scratch_path(spark, "h"), metrics_path=mpath),
+              test_cells=test_cells)
+    m = spark.read.parquet(mpath)
+    assert m.where("Tasks = 'mean'").count() == 2
+    assert m.select("iteration").distinct().count() == 2

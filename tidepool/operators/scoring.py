@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values of the dropout hash (own design; see README "hash order").
+# Fixed values of the dropout hash (own design: integer mixing that stays inside 64 bits).
 MASK_MOD = 1000003
 MASK_MUL_ID = 7919
 MASK_MUL_PASS = 104729
