@@ -24,6 +24,7 @@ CHECK_EPS = 1e-6
 EPIG_BROADCAST_MAX_CELLS = 8_000_000    # targets x passes shipped whole to executors (64 MB)
 EPIG_TARGET_BLOCK = 4096                 # targets per block in the blocked path
 EPIG_POOL_GROUP = 65536                  # pool cells per group in the blocked path
+EPIG_POOL_TILE = 1024                    # pool rows per in-task tile
 
 
 def _mean(ps="ps"):
@@ -108,8 +109,11 @@ def _epig_broadcast(pool: DataFrame, targets: DataFrame, n_t: int) -> DataFrame:
             P = _to_matrix(batch.column("ps"), n)
             mp = P.mean(axis=1)
             acc = np.zeros(n)
-            for s in range(0, Qm.shape[0], EPIG_TARGET_BLOCK):
-                acc += _epig_block(P, mp, Qm[s:s + EPIG_TARGET_BLOCK], mq[s:s + EPIG_TARGET_BLOCK])
+            # pool rows x target block tiles keep the J matrix at <= 1024 x 4096 doubles (32 MB)
+            for r in range(0, n, EPIG_POOL_TILE):
+                rs = slice(r, r + EPIG_POOL_TILE)
+                for s in range(0, Qm.shape[0], EPIG_TARGET_BLOCK):
+                    acc[rs] += _epig_block(P[rs], mp[rs], Qm[s:s + EPIG_TARGET_BLOCK], mq[s:s + EPIG_TARGET_BLOCK])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("task"), pa.array(acc / Qm.shape[0])],
                 schema=pa.schema([pa.field("id", batch.column("id").type), pa.field("task", pa.string()),
@@ -134,11 +138,13 @@ def _epig_blocked(pool: DataFrame, targets: DataFrame, n_t: int, target_block: i
         if pdf.empty:
             return pd.DataFrame({"id": pdf["id"], "task": pdf["task"], "s": []})
         P = np.stack(pdf["ps"].to_numpy()).astype(np.float64)
-        if tdf.empty:
-            s = np.zeros(len(pdf))
-        else:
+        s = np.zeros(len(pdf))
+        if not tdf.empty:
             Q = np.stack(tdf["qs"].to_numpy()).astype(np.float64)
-            s = _epig_block(P, P.mean(axis=1), Q, Q.mean(axis=1))
+            mp, mq = P.mean(axis=1), Q.mean(axis=1)
+            for r in range(0, len(pdf), EPIG_POOL_TILE):
+                rs = slice(r, r + EPIG_POOL_TILE)
+                s[rs] = _epig_block(P[rs], mp[rs], Q, mq)
         return pd.DataFrame({"id": pdf["id"].to_numpy(), "task": pdf["task"].to_numpy(), "s": s})
 
     schema = T.StructType([pool.schema["id"], pool.schema["task"], T.StructField("s", T.DoubleType())])
@@ -174,6 +180,16 @@ def score_range_check(scores: DataFrame, max_value: float = float("inf"), eps: f
     return scores.groupBy(*(group_cols or [])).agg(*aggs)
 
 
+def warn_on_bad_scores(scores: DataFrame, max_value: float = float("inf"), eps: float = CHECK_EPS,
+                       label: str = "") -> dict:
+    """Run the range check (one aggregate row) and warn, as the original check does, if any score is bad."""
+    import warnings
+    row = score_range_check(scores, max_value, eps).first().asDict()
+    if row["n_bad"]:
+        warnings.warn(f"Invalid {label} score (min = {row['min_score']}, max = {row['max_score']})", stacklevel=2)
+    return row
+
+
 ACQUISITIONS = {
     "BALD": bald,
     "greedy": greedy,

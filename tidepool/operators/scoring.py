@@ -32,6 +32,7 @@ DEFAULT_PASSES = 20
 DEFAULT_DROPOUT = 0.5
 CENTROID_SCALE = 16.0
 MAX_WEIGHT_CELLS = 50_000_000  # tasks x width shipped to executors
+SCORE_TILE = 2048              # rows per in-task tile
 
 
 def keep_mask(keys: np.ndarray, pass_no: int, width: int) -> np.ndarray:
@@ -216,10 +217,12 @@ def _score_arrow(feats: DataFrame, weights: DataFrame, passes: int, dropout: flo
                                                                    pa.field("z", pa.float64()), pa.field("p", pa.float64())]))
                 continue
             out = np.empty((n, n_t, passes), dtype=np.float64)
-            for k in range(passes):
-                Xk = X * keep_mask(keys, k, width) * scale if dropout else X
-                Z = Xk @ Wm.T + bv
-                out[:, :, k] = 1.0 / (1.0 + np.exp(-Z))
+            # row tiles bound the per-pass mask and product to SCORE_TILE x width
+            for r in range(0, n, SCORE_TILE):
+                rs = slice(r, r + SCORE_TILE)
+                for k in range(passes):
+                    Xk = X[rs] * keep_mask(keys[rs], k, width) * scale if dropout else X[rs]
+                    out[rs, :, k] = 1.0 / (1.0 + np.exp(-(Xk @ Wm.T + bv)))
             offsets = pa.array(np.arange(0, n * n_t * passes + 1, passes, dtype=np.int32))
             ps = pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays([ids, task_col, ps],

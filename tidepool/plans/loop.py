@@ -72,7 +72,12 @@ def al_step(train: DataFrame, pool: DataFrame, feats: DataFrame, weights: DataFr
         if cfg.strategy == "EPIG_MT":
             tw = weights.where(F.col("task") == cfg.main_task)
             targ = score_mc(target_feats, tw, passes=cfg.passes).select("id", "ps")
-        scores = sel.mask_unlabelled(acquisition_scores(preds, cfg, targ), pool)
+        raw = acquisition_scores(preds, cfg, targ)
+        if cfg.strategy == "EPIG_MT" and cfg.check:
+            # EPIG can be negative (only the joint-positive term is summed): report it, keep going
+            raw = cut_lineage(raw)
+            acq.warn_on_bad_scores(raw, label="EPIG")
+        scores = sel.mask_unlabelled(raw, pool)
         query = sel.reveal_cells(pool, sel.topk_cells(scores, cfg.n_query))
     query = cut_lineage(query)  # k rows; freezes the choice for every consumer below
     new_train = sel.upsert_train(train, query)
