@@ -230,3 +230,28 @@ def test_run_writes_metrics_history(spark):
     m = spark.read.parquet(mpath)
     assert m.where("Tasks = 'mean'").count() == 2
     assert m.select("iteration").distinct().count() == 2
+
+
+def test_hot_copy_group_collapses_before_pairing(spark):
+    # a third of the rows are copies of one text: they must not produce pairs
+    base = [r["text"] for r in td.table(spark, SF_SMALL, "documents").orderBy("doc_id").limit(60).collect()]
+    texts = base + [base[0]] * 30
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    fps, _ = fp.hash_fingerprint(df, "text", "doc_id", size=1 << 16)
+    reps, members = clu.collapse_identical(fps, "doc_id")
+    assert reps.count() == len(set(texts))
+    pairs = clu.similar_pairs(reps, 0.5, 1 << 16)
+    assert pairs.where((F.col("a") == 0) | (F.col("b") == 0)).count() <= len(set(texts))
+    got = {r["doc_id"]: r["cluster"] for r in clu.similarity_clusters(fps, "doc_id", 0.5, 1 << 16).collect()}
+    want = _brute_butina({r["doc_id"]: set(r["bits"]) for r in fps.collect()}, 0.5)
+    assert got == want
+    assert len({got[i] for i in [0] + list(range(60, 90))}) == 1
+
+
+def test_dedup_hot_key_partition_independent(spark):
+    rows = [("hot", i, float(i % 2)) for i in range(3000)] + [(f"k{i}", i, 1.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "key string, ord long, y double")
+    from tidepool.operators.reshape import dedup_keep_first
+    for parts in (1, 7):
+        out = {r["key"]: (r["ord"], r["y"]) for r in dedup_keep_first(df.repartition(parts), ["key"], ["ord"]).collect()}
+        assert out["hot"] == (0, 0.0) and len(out) == 1001
