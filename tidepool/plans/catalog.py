@@ -911,8 +911,8 @@ N_STEP_SEED = 10
 
 def _step_inputs(spark, sf_dir):
     inp = al_inputs(spark, sf_dir)
-    seed = smp.seed_set_aux(inp.train_cells, EMB_TASKS, N_STEP_SEED, STEP_SEED).select("id", "task", "y")
-    pool = smp.remainder_pool(inp.train_cells, seed, by="cells")
+    seed = cut_lineage(smp.seed_set_aux(inp.train_cells, EMB_TASKS, N_STEP_SEED, STEP_SEED).select("id", "task", "y"))
+    pool = cut_lineage(smp.remainder_pool(inp.train_cells, seed, by="cells"))
     return inp, seed, pool
 
 
