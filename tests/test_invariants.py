@@ -255,3 +255,13 @@ def test_dedup_hot_key_partition_independent(spark):
     for parts in (1, 7):
         out = {r["key"]: (r["ord"], r["y"]) for r in dedup_keep_first(df.repartition(parts), ["key"], ["ord"]).collect()}
         assert out["hot"] == (0, 0.0) and len(out) == 1001
+
+
+def test_expression_scoring_equals_arrow_scoring(spark):
+    from tidepool.operators.scoring import score_mc_expr
+    feats = td.emb_features(spark, SF_SMALL).orderBy("id").limit(40)
+    w = centroid_weights(td.emb_cells(spark, SF_SMALL), td.emb_features(spark, SF_SMALL))
+    a = {(r["id"], r["task"]): r["ps"] for r in score_mc(feats, w, passes=5).collect()}
+    e = {(r["id"], r["task"]): r["ps"] for r in score_mc_expr(feats, w, passes=5).collect()}
+    assert a.keys() == e.keys()
+    assert max(abs(x - y) for k in a for x, y in zip(a[k], e[k])) < 1e-12

@@ -238,6 +238,42 @@ def score_mc(feats: DataFrame, weights: DataFrame, passes: int = DEFAULT_PASSES,
     return _score_arrow(feats, weights, passes, dropout, key_col, with_logit=False)
 
 
+def _mask_expr(key, pass_no, j):
+    """The dropout hash as a Spark expression (same integers as :func:`keep_mask`)."""
+    P = F.lit(MASK_MOD).cast("long")
+    h0 = F.pmod(F.pmod(key, P) * MASK_MUL_ID + pass_no.cast("long") * MASK_MUL_PASS
+                + j.cast("long") * MASK_MUL_UNIT, P)
+    return F.aggregate(F.array_repeat(F.lit(0), MASK_ROUNDS), h0,
+                       lambda h, _: F.pmod(h * h + 7 * h + MASK_ADD, P)) < MASK_KEEP_BELOW
+
+
+def score_mc_expr(feats: DataFrame, weights: DataFrame, passes: int = DEFAULT_PASSES,
+                  dropout: float = DEFAULT_DROPOUT, key_col: str = "id") -> DataFrame:
+    """:func:`score_mc` written with built-in array functions only (no Python workers).
+
+    Same output and the same dropout hash.  The weight table travels as one
+    array literal (size-checked like the Arrow path).  Higher-order array
+    functions are evaluated row by row in the JVM, so this form is much slower
+    than the per-batch matrix product; it exists for deployments without
+    Python workers and as an independent check of the Arrow path.
+    """
+    tasks, W, b = collect_weights(weights)
+    scale = 1.0 / (1.0 - dropout)
+    Wl, bl = F.lit(W.tolist()), F.lit(b.tolist())
+    key = F.col(key_col).cast("long")
+
+    def probs_for_pass(k):
+        xm = F.transform("x", lambda v, j: F.when(_mask_expr(key, k, j), v.cast("double") * scale)
+                         .otherwise(F.lit(0.0)))
+        return F.transform(F.sequence(F.lit(1), F.lit(len(tasks))), lambda t: F.lit(1.0) / (F.lit(1.0) + F.exp(-(
+            F.aggregate(F.zip_with(xm, F.element_at(Wl, t), lambda a, w: a * w), F.lit(0.0), lambda acc, v: acc + v)
+            + F.element_at(bl, t)))))
+
+    m = feats.select("id", F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), probs_for_pass).alias("_m"))
+    out = m.select("id", F.posexplode(F.lit(tasks)).alias("_t", "task"), "_m")
+    return out.select("id", "task", F.transform("_m", lambda row: F.element_at(row, F.col("_t") + 1)).alias("ps"))
+
+
 def score_deterministic(feats: DataFrame, weights: DataFrame) -> DataFrame:
     """One pass, dropout off: ``(id, task, z, p)`` with z the logit."""
     return _score_arrow(feats, weights, 1, None, "id", with_logit=True)
