@@ -22,8 +22,9 @@ BALD_EPS = 1e-10
 UCB_BETA = 2.0
 CHECK_EPS = 1e-6
 EPIG_BROADCAST_MAX_CELLS = 8_000_000    # targets x passes shipped whole to executors (64 MB)
-EPIG_TARGET_BLOCK = 4096                 # targets per block in the blocked path
-EPIG_POOL_GROUP = 65536                  # pool cells per group in the blocked path
+EPIG_TARGET_BLOCK = 4096                 # targets per in-task tile
+EPIG_BLOCK_CELLS = 4_000_000             # targets x passes per cogroup block (32 MB)
+EPIG_POOL_GROUP = 262_144                # pool cells per cogroup group
 EPIG_POOL_TILE = 1024                    # pool rows per in-task tile
 
 
@@ -67,7 +68,7 @@ def _to_matrix(col: pa.Array, n: int) -> np.ndarray:
 
 def epig(pool: DataFrame, targets: DataFrame, method: str = "auto",
          max_broadcast_cells: int = EPIG_BROADCAST_MAX_CELLS,
-         target_block: int = EPIG_TARGET_BLOCK, pool_group: int = EPIG_POOL_GROUP) -> DataFrame:
+         target_block: int | None = None, pool_group: int = EPIG_POOL_GROUP) -> DataFrame:
     """Expected predictive information gain of each pool cell about a target set.
 
     ``pool``: ``(id, task, ps)``; ``targets``: ``(id, ps)`` (one task, e.g. the
@@ -90,7 +91,8 @@ def epig(pool: DataFrame, targets: DataFrame, method: str = "auto",
         if n_t * k_passes > max_broadcast_cells:
             raise ValueError("target set too large to broadcast; use method='blocked'")
         return _epig_broadcast(pool, targets, n_t)
-    return _epig_blocked(pool, targets, n_t, target_block, pool_group)
+    block = target_block or max(EPIG_TARGET_BLOCK, EPIG_BLOCK_CELLS // max(1, k_passes))
+    return _epig_blocked(pool, targets, n_t, block, pool_group)
 
 
 def _epig_broadcast(pool: DataFrame, targets: DataFrame, n_t: int) -> DataFrame:
