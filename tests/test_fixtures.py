@@ -172,3 +172,16 @@ def test_ace_edges_are_linear_percentiles(spark):
               for b in range(10) if (bins == b).any())
     got = mt.ace(mt.threshold_curve(df)).collect()[0]["ACE"]
     assert abs(got - ace) < 1e-9
+
+
+def test_epig_blocked_many_blocks_matches_brute_force(spark):
+    # regression: cogroup keys of different integer types silently misrouted target blocks
+    rng = np.random.default_rng(11)
+    K = 7
+    pool = [(i, "a" if i % 2 else "b", rng.uniform(0.05, 0.95, K).tolist()) for i in range(120)]
+    targ = [(1000 + i, rng.uniform(0.05, 0.95, K).tolist()) for i in range(90)]
+    P = _packed(spark, pool)
+    T = spark.createDataFrame(targ, "id long, ps array<double>")
+    want = _epig_brute(np.array([r[2] for r in pool]), np.array([r[1] for r in targ]))
+    got = {r["id"]: r["score"] for r in acq.epig(P, T, method="blocked", target_block=7, pool_group=13).collect()}
+    assert np.allclose([got[i] for i in range(120)], want, atol=1e-12)

@@ -128,12 +128,14 @@ def _epig_blocked(pool: DataFrame, targets: DataFrame, n_t: int, target_block: i
     n_p = pool.count()
     nb = max(1, math.ceil(n_t / target_block))
     ng = max(1, math.ceil(n_p / pool_group))
+    # cogroup keys must have identical types on both sides (int vs long would
+    # hash to different partitions), so both are cast to long explicitly
     p = pool.select("id", "task", "ps",
-                    F.pmod(hash52("epig-g", "id", "task"), F.lit(ng)).alias("g"),
-                    F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("b"))
+                    F.pmod(hash52("epig-g", "id", "task"), F.lit(ng)).cast("long").alias("g"),
+                    F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("b"))
     t = targets.select(F.col("ps").alias("qs"),
-                       F.pmod(hash52("epig-b", "id"), F.lit(nb)).alias("b"),
-                       F.explode(F.sequence(F.lit(0), F.lit(ng - 1))).alias("g"))
+                       F.pmod(hash52("epig-b", "id"), F.lit(nb)).cast("long").alias("b"),
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ng - 1).cast("long"))).alias("g"))
     import pandas as pd
 
     def block(pdf: pd.DataFrame, tdf: pd.DataFrame) -> pd.DataFrame:
