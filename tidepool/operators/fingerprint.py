@@ -83,6 +83,8 @@ class NoValidRowsError(ValueError):
 def hash_fingerprint(df: DataFrame, col: str, key: str, size: int = DEFAULT_SIZE, radius: int = DEFAULT_RADIUS,
                      check: bool = True) -> tuple[DataFrame, DataFrame]:
     """(fingerprints ``(key, bits array<int>)``, rejects).  Raises when no row is valid."""
+    if check and not df.where(reject_reason(df, col).isNull()).limit(1).collect():
+        raise NoValidRowsError("no valid fingerprints were generated")
     spark = df.sparkSession
     par = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < par:
@@ -92,8 +94,6 @@ def hash_fingerprint(df: DataFrame, col: str, key: str, size: int = DEFAULT_SIZE
     # tokens are materialised once per row; the n-gram lists are built from that column
     toks = good.select(key, tokens(F.col(col)).alias("_toks"))
     fps = toks.select(key, fingerprint_bits(F.col("_toks"), size, radius).alias("bits"))
-    if check and not good.limit(1).collect():
-        raise NoValidRowsError("no valid fingerprints were generated")
     return fps, bad
 
 
