@@ -33,9 +33,40 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tidepool`` importable in Python workers started from any directory.
+
+    Operators that run numpy inside tasks (``mapInArrow``/``applyInPandas``)
+    pickle functions by module path; a worker whose working directory does not
+    contain the package could not import it.  The package is zipped once per
+    session on the driver and distributed with ``addPyFile`` (Spark's own file
+    distribution; a cluster deployment would pass the same zip as --py-files).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="tidepool-code-")
+    zpath = os.path.join(out_dir, "tidepool.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(id(sc))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder; set a local one only if unset."""
     sc = spark.sparkContext
