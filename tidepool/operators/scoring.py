@@ -60,29 +60,77 @@ def sql_keep_mask_ctes(src: str, passes: int) -> str:
 
 # ---- surrogate models -----------------------------------------------------------
 
-def centroid_weights(cells: DataFrame, feats: DataFrame, scale: float = CENTROID_SCALE) -> DataFrame:
+def _class_sums(cells: DataFrame, feats: DataFrame, tasks: list[str]) -> DataFrame:
+    """(task, y, j, s, n): per task and class, the sum of feature unit j and the row count.
+
+    One row per key carries its label vector (pivot) next to its features; each
+    Arrow batch contributes ``M_c^T X`` (tasks x width) per class with one matrix
+    product, so the N x tasks x width work runs in BLAS and only
+    batches x tasks x 2 partial rows are shuffled.
+    """
+    wide = cells.where(F.col("y").isNotNull()).groupBy("id").pivot("task", tasks).agg(F.max("y"))
+    d = wide.join(feats, "id").select("x", *[F.col(t).cast("double").alias(t) for t in tasks])
+    n_t = len(tasks)
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            X = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+            Y = np.column_stack([batch.column(t).to_numpy(zero_copy_only=False).astype(np.float64)
+                                 for t in tasks])
+            out_t, out_y, out_n, sums = [], [], [], []
+            for c in (0.0, 1.0):
+                M = (Y == c).astype(np.float64)
+                S = M.T @ X
+                for ti in range(n_t):
+                    out_t.append(tasks[ti])
+                    out_y.append(c)
+                    out_n.append(int(M[:, ti].sum()))
+                    sums.append(S[ti])
+            width = X.shape[1]
+            offsets = pa.array(np.arange(0, len(sums) * width + 1, width, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out_t, pa.string()), pa.array(out_y), pa.array(out_n, pa.int64()),
+                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sums)))],
+                schema=pa.schema([("task", pa.string()), ("y", pa.float64()), ("n", pa.int64()),
+                                  ("s", pa.list_(pa.float64()))]))
+
+    part = d.mapInArrow(run, "task string, y double, n long, s array<double>")
+    counts = part.groupBy("task", "y").agg(F.sum("n").alias("n"))
+    sums = part.select("task", "y", F.posexplode("s").alias("j", "v")).groupBy("task", "y", "j") \
+        .agg(F.sum("v").alias("s"))
+    return sums.join(counts, ["task", "y"])
+
+
+def centroid_weights(cells: DataFrame, feats: DataFrame, scale: float = CENTROID_SCALE,
+                     tasks: list[str] | None = None) -> DataFrame:
     """Closed-form per-task linear surrogate (class-centroid direction, log prior odds).
 
     ``w = scale * (mu1 - mu0)``, ``b = ln(n1/n0) - w . (mu1 + mu0) / 2``.
     Deterministic and one aggregation deep, so every downstream score can be
     checked against SQL.  A task with one class only gets w = 0, b = 0.
-    Partial aggregation happens map-side: the shuffle carries tasks x 2 x width rows.
+    ``tasks`` defaults to the distinct tasks of ``cells`` (a handful of names).
     """
-    lab = cells.where(F.col("y").isNotNull()).join(feats, "id")
-    units = lab.select("task", "y", F.posexplode("x").alias("j", "v"))
-    mu = units.groupBy("task", "j").agg(
-        F.avg(F.when(F.col("y") == 1, F.col("v").cast("double"))).alias("mu1"),
-        F.avg(F.when(F.col("y") == 0, F.col("v").cast("double"))).alias("mu0"))
+    if tasks is None:
+        tasks = sorted(r["task"] for r in cells.select("task").distinct().collect())
+    cs = _class_sums(cells, feats, tasks).where(F.col("n") > 0)
+    mu = cs.groupBy("task", "j").agg(
+        F.max(F.when(F.col("y") == 1, F.col("s") / F.col("n"))).alias("mu1"),
+        F.max(F.when(F.col("y") == 0, F.col("s") / F.col("n"))).alias("mu0"))
     wt = mu.select("task", "j",
                    F.coalesce(F.lit(scale) * (F.col("mu1") - F.col("mu0")), F.lit(0.0)).alias("w"),
                    F.coalesce(F.lit(scale) * (F.col("mu1") - F.col("mu0")) * (F.col("mu1") + F.col("mu0")) / 2,
                               F.lit(0.0)).alias("c"))
-    prior = lab.groupBy("task").agg(F.sum("y").alias("n1"), (F.count(F.lit(1)) - F.sum("y")).alias("n0"))
+    prior = cs.groupBy("task").agg(F.max(F.when(F.col("y") == 1, F.col("n"))).alias("n1"),
+                                   F.max(F.when(F.col("y") == 0, F.col("n"))).alias("n0"))
     packed = wt.groupBy("task").agg(
         F.sum("c").alias("csum"),
         F.array_sort(F.collect_list(F.struct("j", "w"))).alias("jw"))
     out = packed.join(prior, "task")
-    both = (F.col("n1") > 0) & (F.col("n0") > 0)
+    both = F.coalesce(F.col("n1"), F.lit(0)) > 0
+    both = both & (F.coalesce(F.col("n0"), F.lit(0)) > 0)
     return out.select(
         "task",
         F.when(both, F.log(F.col("n1") / F.col("n0")) - F.col("csum")).otherwise(F.lit(0.0)).alias("bias"),

@@ -41,7 +41,7 @@ def al_inputs(spark: SparkSession, sf_dir: str) -> ALInputs:
     cr = cells.join(roles, "id")
     train = cr.where(F.col("role") == "train").drop("role")
     test = cr.where(F.col("role") == "test").drop("role")
-    weights = centroid_weights(train, feats)
+    weights = centroid_weights(train, feats, tasks=td.EMB_TASKS)
     return ALInputs(feats, cells, roles, train, test, weights)
 
 
