@@ -65,8 +65,9 @@ def _prefix_rows_lookup(sized: DataFrame, freq: DataFrame, t: float, universe: i
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    pdf = freq.toPandas()
-    lut = np.zeros(universe, dtype=np.int64)
+    # bits seen once are the common case; they keep the default 1, so only df >= 2 is shipped
+    pdf = freq.where(F.col("df") >= 2).toPandas()
+    lut = np.ones(universe, dtype=np.int64)
     lut[pdf["bit"].to_numpy(dtype=np.int64)] = pdf["df"].to_numpy(dtype=np.int64)
     bc = sized.sparkSession.sparkContext.broadcast(lut)
     key_field = sized.schema["key"]
