@@ -132,7 +132,7 @@ def entry_query(spark, sf_dir):
 # 2.1 sources and sinks
 # ---------------------------------------------------------------------------------
 
-from tidepool.functions.hashing import hash52, sql_hash52  # noqa: E402
+from tidepool.functions.hashing import sql_hash52  # noqa: E402
 from tidepool.operators import reshape as rs  # noqa: E402
 from tidepool.session import scratch_path  # noqa: E402
 from tidepool.sources import io as sio  # noqa: E402
