@@ -81,6 +81,9 @@ def epig(pool: DataFrame, targets: DataFrame, method: str = "auto",
     across the other's blocks, never forming pairs as rows) and sums partials.
     ``auto`` picks by the count.
     """
+    from pyspark import StorageLevel
+
+    targets = targets.persist(StorageLevel.MEMORY_AND_DISK)  # counted, sized, then shipped or blocked
     n_t = targets.count()
     if n_t == 0:
         raise ValueError("EPIG needs a non-empty target set")
@@ -89,8 +92,11 @@ def epig(pool: DataFrame, targets: DataFrame, method: str = "auto",
         method = "broadcast" if n_t * k_passes <= max_broadcast_cells else "blocked"
     if method == "broadcast":
         if n_t * k_passes > max_broadcast_cells:
+            targets.unpersist()
             raise ValueError("target set too large to broadcast; use method='blocked'")
-        return _epig_broadcast(pool, targets, n_t)
+        out = _epig_broadcast(pool, targets, n_t)  # collects the targets eagerly
+        targets.unpersist()
+        return out
     block = target_block or max(EPIG_TARGET_BLOCK, EPIG_BLOCK_CELLS // max(1, k_passes))
     return _epig_blocked(pool, targets, n_t, block, pool_group)
 

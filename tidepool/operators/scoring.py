@@ -215,18 +215,24 @@ def collect_weights(weights: DataFrame, max_cells: int = MAX_WEIGHT_CELLS):
 
 def _score_arrow(feats: DataFrame, weights: DataFrame, passes: int, dropout: float | None,
                  key_col: str, with_logit: bool, max_cells: int = MAX_WEIGHT_CELLS) -> DataFrame:
-    shape = weights.select(F.count(F.lit(1)).alias("t"), F.max(F.size("w")).alias("d")).first()
-    if shape["t"] and shape["t"] * shape["d"] > max_cells:
-        # too wide to ship at once: score in task chunks, each under the bound
-        per = max(1, max_cells // shape["d"])
-        names = [r["task"] for r in weights.select("task").orderBy("task").collect()]
-        parts = [_score_arrow(feats, weights.where(F.col("task").isin(names[i:i + per])), passes, dropout,
-                              key_col, with_logit, max_cells) for i in range(0, len(names), per)]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-    tasks, W, b = collect_weights(weights, max_cells)
+    from pyspark import StorageLevel
+
+    weights = weights.persist(StorageLevel.MEMORY_AND_DISK)  # read by the size check and the collect
+    try:
+        shape = weights.select(F.count(F.lit(1)).alias("t"), F.max(F.size("w")).alias("d")).first()
+        if shape["t"] and shape["t"] * shape["d"] > max_cells:
+            # too wide to ship at once: score in task chunks, each under the bound
+            per = max(1, max_cells // shape["d"])
+            names = [r["task"] for r in weights.select("task").orderBy("task").collect()]
+            parts = [_score_arrow(feats, weights.where(F.col("task").isin(names[i:i + per])), passes, dropout,
+                                  key_col, with_logit, max_cells) for i in range(0, len(names), per)]
+            out = parts[0]
+            for part in parts[1:]:
+                out = out.unionByName(part)
+            return out
+        tasks, W, b = collect_weights(weights, max_cells)
+    finally:
+        weights.unpersist()
     sc = feats.sparkSession.sparkContext
     bc = sc.broadcast((tasks, W, b))
     id_type = feats.schema["id"].dataType
