@@ -110,13 +110,17 @@ def al_run(train: DataFrame, pool: DataFrame, feats: DataFrame, cfg: RunConfig,
     spark = train.sparkSession
     train = cut_lineage(train)
     pool = cut_lineage(pool)
+    tasks = sorted(r["task"] for r in train.select("task").union(pool.select("task")).distinct().collect())
     for it in range(start_iteration, start_iteration + cfg.iterations):
         if cfg.history_path and iteration_done(spark, cfg.history_path, cfg.run_id, it):
             train, pool = replay_history(spark, cfg.history_path, train, pool, cfg.run_id, upto=it)
             train, pool = cut_lineage(train), cut_lineage(pool)
             continue
-        weights = cut_lineage(centroid_weights(train, feats))
-        if cfg.metrics_path and test_cells is not None:
+        evaluate = bool(cfg.metrics_path and test_cells is not None)
+        weights = None
+        if cfg.step.strategy != "uniform" or evaluate:  # the uniform strategy needs no model
+            weights = cut_lineage(centroid_weights(train, feats, tasks=tasks))
+        if evaluate:
             tf = feats.join(test_cells.select("id").distinct(), "id", "left_semi")
             preds = score_deterministic(tf, weights).select("id", "task", "p")
             rep = mt.metrics_report(mt.threshold_curve(test_cells.join(preds, ["id", "task"])), iteration=it)
