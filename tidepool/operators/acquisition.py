@@ -192,7 +192,7 @@ def score_range_check(scores: DataFrame, max_value: float = float("inf"), eps: f
 
 def warn_on_bad_scores(scores: DataFrame, max_value: float = float("inf"), eps: float = CHECK_EPS,
                        label: str = "") -> dict:
-    """Run the range check (one aggregate row) and warn, as the original check does, if any score is bad."""
+    """Run the range check (one aggregate row) and warn if any score is out of range."""
     import warnings
     row = score_range_check(scores, max_value, eps).first().asDict()
     if row["n_bad"]:

@@ -1,6 +1,6 @@
 """Selection and working-set updates on long cell tables ``(id, task, y)``.
 
-Cell-level lookups that the pandas original did with per-cell scans become
+Cell-level lookups (one scan of the table per cell, done naively) become
 semi/anti joins on (id, task).  Top-k is a global ``orderBy(...).limit(k)``
 (Spark plans a distributed TakeOrderedAndProject: each task keeps k rows, the
 driver merges at most k x partitions).  Ties are broken by (id, task) so the

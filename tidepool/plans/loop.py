@@ -46,7 +46,7 @@ class StepResult:
 
 
 def acquisition_scores(pool_preds: DataFrame, cfg: StepConfig, target_preds: DataFrame | None = None) -> DataFrame:
-    """Name -> acquisition function (the reference's if-chain as a dispatch table)."""
+    """Strategy name -> acquisition function."""
     if cfg.strategy == "BALD":
         return acq.bald(pool_preds)
     if cfg.strategy == "greedy":

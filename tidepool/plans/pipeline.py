@@ -4,7 +4,7 @@
 * :func:`active_learning_run` — read labels and features, split, seed set,
   pool/validation split, then the loop with history and metrics per iteration
 
-Configuration keys follow the original pipeline's names where they exist
+Configuration keys follow the established key names where they exist
 (``target_file``, ``BERT_features_file``, ``ECFP_features_file``,
 ``Compound_col``, ``features_type``, ``splitter``, ``train_frac``,
 ``selected_tasks``, ``main_task``, ``main_task_initial_set_samples``,
@@ -42,7 +42,7 @@ def fingerprint_job(spark: SparkSession, input_path: str, output_path: str, colu
     """Read a file, fingerprint one string column, write ``output_path`` and ``<output>_failed``.
 
     Rows are numbered in file order (``Row_Index``) unless ``key`` names an id
-    column.  Returns the totals that the original job logged.
+    column.  Returns the totals (processed, succeeded, failed).
     """
     df = sio.read_table(spark, input_path, normalize=False)
     if column not in df.columns:
