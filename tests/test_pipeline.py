@@ -58,3 +58,12 @@ def test_fingerprint_job(spark):
                                 key="doc_id")
     assert totals == {"processed": docs.count(), "succeeded": docs.count() - 2, "failed": 2}
     assert spark.read.parquet(f"{base}/out_failed").count() == 2
+
+
+def test_cli_fingerprints(spark):
+    from tidepool.cli import main
+    base = scratch_path(spark, "cli")
+    docs = td.table(spark, SF_SMALL, "documents").select(F.col("text").alias("SMILES"))
+    sio.write_table(docs, f"{base}/in.parquet")
+    assert main(["fingerprints", "-i", f"{base}/in.parquet", "-o", f"{base}/out", "-s", "SMILES"]) == 0
+    assert spark.read.parquet(f"{base}/out").count() == docs.count()
