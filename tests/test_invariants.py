@@ -265,3 +265,13 @@ def test_expression_scoring_equals_arrow_scoring(spark):
     e = {(r["id"], r["task"]): r["ps"] for r in score_mc_expr(feats, w, passes=5).collect()}
     assert a.keys() == e.keys()
     assert max(abs(x - y) for k in a for x, y in zip(a[k], e[k])) < 1e-12
+
+
+def test_empty_inputs_are_handled(spark):
+    from tidepool.operators import metrics as mt
+    empty = spark.createDataFrame([], "task string, y double, p double")
+    assert mt.metrics_table(mt.threshold_curve(empty)).count() == 0
+    ids = spark.createDataFrame([], "id long")
+    assert sp.split_random(ids, 0.8, 1).count() == 0
+    cells = spark.createDataFrame([], "id long, task string, y double")
+    assert sel.topk_cells(cells.withColumn("score", F.lit(1.0)), 5).count() == 0
