@@ -152,7 +152,7 @@ bias AS (SELECT p.task, CASE WHEN p.n1 > 0 AND p.n0 > 0 THEN ln(p.n1 / p.n0) - s
 
 
 def train_surrogate(cells: DataFrame, feats: DataFrame, reg: float = 0.01, max_iter: int = 50,
-                    balance: bool = True, concurrency: int = 4) -> DataFrame:
+                    balance: bool = True, concurrency: int = 8) -> DataFrame:
     """Per-task L2 logistic regression (pyspark.ml) on the labelled cells.
 
     One distributed fit per task (tasks are a handful of label columns, not
