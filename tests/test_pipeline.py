@@ -67,3 +67,17 @@ def test_cli_fingerprints(spark):
     sio.write_table(docs, f"{base}/in.parquet")
     assert main(["fingerprints", "-i", f"{base}/in.parquet", "-o", f"{base}/out", "-s", "SMILES"]) == 0
     assert spark.read.parquet(f"{base}/out").count() == docs.count()
+
+
+def test_cluster_split_from_config(spark):
+    base = _files(spark)
+    fps = td.emb_features(spark, SF_SMALL).select(
+        F.col("id").alias("SMILES"), *[(F.col("x")[i] > 0).cast("double").alias(f"MF_{i}") for i in range(64)])
+    sio.write_table(fps, f"{base}/mf.csv", fmt="csv")
+    config = {"target_file": f"{base}/labels.tab", "ECFP_features_file": f"{base}/mf.csv", "features_type": "FP",
+              "Compound_col": "X", "selected_tasks": ["t0"], "splitter": "ButinaSplitter", "train_frac": 0.8}
+    cells, feats = pl.load_labelled(spark, config)
+    roles = pl.split_train_test(cells, feats, config)
+    n = roles.count()
+    assert n == cells.select("id").distinct().count()
+    assert roles.where("role = 'train'").count() <= 0.8 * n

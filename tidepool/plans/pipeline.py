@@ -35,6 +35,7 @@ from tidepool.sources import io as sio
 log = logging.getLogger("tidepool")
 
 SPLITTERS = ("ScaffoldSplitter", "ButinaSplitter", "RandomSplitter", "RandomStratifiedSplitter")
+BUTINA_SIMILARITY = 0.4
 
 
 def fingerprint_job(spark: SparkSession, input_path: str, output_path: str, column: str = "SMILES",
@@ -124,7 +125,8 @@ def split_train_test(cells: DataFrame, feats: DataFrame, config: dict, split_see
         return sp.split_by_group(ids.join(groups, "id"), "_grp", frac, split_seed).select("id", "role")
     if splitter == "ButinaSplitter":
         bits = _bits_from_dense(feats.join(ids, "id", "left_semi"))
-        thr = float(config.get("butina_threshold", clu.DEFAULT_THRESHOLD))
+        # the cluster split's customary distance cutoff is 0.6, i.e. Jaccard similarity >= 0.4
+        thr = float(config.get("butina_threshold", BUTINA_SIMILARITY))
         return clu.split_by_cluster(ids, bits, "id", frac, split_seed, thr).select("id", "role")
     raise ValueError(f"Invalid splitter: {splitter}")
 
