@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions.hashing import hash52
+from tidepool.session import broadcast
 
 BALD_EPS = 1e-10
 UCB_BETA = 2.0
@@ -104,7 +105,7 @@ def epig(pool: DataFrame, targets: DataFrame, method: str = "auto",
 def _epig_broadcast(pool: DataFrame, targets: DataFrame, n_t: int) -> DataFrame:
     pdf = targets.select("ps").toPandas()  # Arrow transfer; size checked by the caller
     Q = np.stack(pdf["ps"].to_numpy()).astype(np.float64)
-    bc = pool.sparkSession.sparkContext.broadcast(Q)
+    bc = broadcast(pool.sparkSession, Q)
     schema = T.StructType([pool.schema["id"], pool.schema["task"], T.StructField("score", T.DoubleType())])
 
     def run(batches):

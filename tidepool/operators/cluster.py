@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.session import cut_lineage
+from tidepool.session import broadcast, cut_lineage
 
 DEFAULT_THRESHOLD = 0.7
 
@@ -69,7 +69,7 @@ def _prefix_rows_lookup(sized: DataFrame, freq: DataFrame, t: float, universe: i
     pdf = freq.where(F.col("df") >= 2).toPandas()
     lut = np.ones(universe, dtype=np.int64)
     lut[pdf["bit"].to_numpy(dtype=np.int64)] = pdf["df"].to_numpy(dtype=np.int64)
-    bc = sized.sparkSession.sparkContext.broadcast(lut)
+    bc = broadcast(sized.sparkSession, lut)
     key_field = sized.schema["key"]
     schema = T.StructType([key_field, T.StructField("len", T.IntegerType()), T.StructField("bit", T.IntegerType()),
                            T.StructField("pos", T.IntegerType())])

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.session import broadcast
+
 # Fixed values of the dropout hash (own design: integer mixing that stays inside 64 bits).
 MASK_MOD = 1000003
 MASK_MUL_ID = 7919
@@ -233,8 +235,7 @@ def _score_arrow(feats: DataFrame, weights: DataFrame, passes: int, dropout: flo
         tasks, W, b = collect_weights(weights, max_cells)
     finally:
         weights.unpersist()
-    sc = feats.sparkSession.sparkContext
-    bc = sc.broadcast((tasks, W, b))
+    bc = broadcast(feats.sparkSession, (tasks, W, b))
     id_type = feats.schema["id"].dataType
     scale = 1.0 / (1.0 - dropout) if dropout else 1.0
     fields = [T.StructField("id", id_type), T.StructField("task", T.StringType())]

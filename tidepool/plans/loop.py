@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidepool.operators import acquisition as acq
 from tidepool.operators import selection as sel
 from tidepool.operators.scoring import DEFAULT_PASSES, centroid_weights, score_deterministic, score_mc
-from tidepool.session import cut_lineage
+from tidepool.session import broadcast_scope, cut_lineage
 from tidepool.sources.io import append_history
 
 STRATEGIES = ("BALD", "EPIG_MT", "greedy", "ucb", "uniform")
@@ -112,25 +112,26 @@ def al_run(train: DataFrame, pool: DataFrame, feats: DataFrame, cfg: RunConfig,
     pool = cut_lineage(pool)
     tasks = sorted(r["task"] for r in train.select("task").union(pool.select("task")).distinct().collect())
     for it in range(start_iteration, start_iteration + cfg.iterations):
-        if cfg.history_path and iteration_done(spark, cfg.history_path, cfg.run_id, it):
-            train, pool = replay_history(spark, cfg.history_path, train, pool, cfg.run_id, upto=it)
-            train, pool = cut_lineage(train), cut_lineage(pool)
-            continue
-        evaluate = bool(cfg.metrics_path and test_cells is not None)
-        weights = None
-        if cfg.step.strategy != "uniform" or evaluate:  # the uniform strategy needs no model
-            weights = cut_lineage(centroid_weights(train, feats, tasks=tasks))
-        if evaluate:
-            tf = feats.join(test_cells.select("id").distinct(), "id", "left_semi")
-            preds = score_deterministic(tf, weights).select("id", "task", "p")
-            rep = mt.metrics_report(mt.threshold_curve(test_cells.join(preds, ["id", "task"])), iteration=it)
-            append_history(rep.withColumn("run_id", F.lit(cfg.run_id).cast("long")), cfg.metrics_path)
-        res = al_step(train, pool, feats, weights, cfg.step, iteration=it, target_feats=target_feats)
-        if cfg.history_path:
-            append_history(res.query.select(F.lit(cfg.run_id).cast("long").alias("run_id"),
-                                            F.lit(it).cast("long").alias("iteration"), "id", "task", "y"),
-                           cfg.history_path)
-        train, pool = cut_lineage(res.train), cut_lineage(res.pool)
+        with broadcast_scope():
+            if cfg.history_path and iteration_done(spark, cfg.history_path, cfg.run_id, it):
+                train, pool = replay_history(spark, cfg.history_path, train, pool, cfg.run_id, upto=it)
+                train, pool = cut_lineage(train), cut_lineage(pool)
+                continue
+            evaluate = bool(cfg.metrics_path and test_cells is not None)
+            weights = None
+            if cfg.step.strategy != "uniform" or evaluate:  # the uniform strategy needs no model
+                weights = cut_lineage(centroid_weights(train, feats, tasks=tasks))
+            if evaluate:
+                tf = feats.join(test_cells.select("id").distinct(), "id", "left_semi")
+                preds = score_deterministic(tf, weights).select("id", "task", "p")
+                rep = mt.metrics_report(mt.threshold_curve(test_cells.join(preds, ["id", "task"])), iteration=it)
+                append_history(rep.withColumn("run_id", F.lit(cfg.run_id).cast("long")), cfg.metrics_path)
+            res = al_step(train, pool, feats, weights, cfg.step, iteration=it, target_feats=target_feats)
+            if cfg.history_path:
+                append_history(res.query.select(F.lit(cfg.run_id).cast("long").alias("run_id"),
+                                                F.lit(it).cast("long").alias("iteration"), "id", "task", "y"),
+                               cfg.history_path)
+            train, pool = cut_lineage(res.train), cut_lineage(res.pool)
     return {"train": train, "pool": pool}
 
 

@@ -38,6 +38,36 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 _SHIPPED: set[int] = set()
+_BROADCAST_SCOPES: list[list] = []
+
+
+def broadcast(spark: SparkSession, value):
+    """``sc.broadcast`` that is released at the end of the innermost :func:`broadcast_scope`."""
+    b = spark.sparkContext.broadcast(value)
+    if _BROADCAST_SCOPES:
+        _BROADCAST_SCOPES[-1].append(b)
+    return b
+
+
+class broadcast_scope:
+    """Destroy the broadcasts created inside the block on exit.
+
+    Used around one loop iteration: once its results are checkpointed nothing
+    reads those broadcasts again, so a long run does not accumulate model
+    weights and target matrices on the driver and executors.
+    """
+
+    def __enter__(self):
+        _BROADCAST_SCOPES.append([])
+        return self
+
+    def __exit__(self, *exc):
+        for b in _BROADCAST_SCOPES.pop():
+            try:
+                b.destroy()
+            except Exception:  # already gone
+                pass
+        return False
 
 
 def ship_package(spark: SparkSession) -> None:
