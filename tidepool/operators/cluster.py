@@ -39,6 +39,7 @@ def collapse_identical(fps: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
+PREFIX_CHUNK_BITS = 4_000_000  # bits handled per numpy call in the prefix step
 BROADCAST_UNIVERSE_MAX = 1 << 22  # bit ids; the frequency array is then <= 32 MB
 
 
@@ -74,27 +75,40 @@ def _prefix_rows_lookup(sized: DataFrame, freq: DataFrame, t: float, universe: i
     schema = T.StructType([key_field, T.StructField("len", T.IntegerType()), T.StructField("bit", T.IntegerType()),
                            T.StructField("pos", T.IntegerType())])
 
+    def chunks(batch, max_bits=PREFIX_CHUNK_BITS):
+        # bound the per-call arrays by total bits, not rows (one long text can hold 60k bits)
+        lens = batch.column("len").to_numpy(zero_copy_only=False).astype(np.int64)
+        start, acc = 0, 0
+        for i, n in enumerate(lens):
+            if acc and acc + n > max_bits:
+                yield batch.slice(start, i - start)
+                start, acc = i, 0
+            acc += n
+        if start < len(lens):
+            yield batch.slice(start, len(lens) - start)
+
     def run(batches):
         table = bc.value
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            bits_col = batch.column("bits")
-            lens = batch.column("len").to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = bits_col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            seg = np.repeat(np.arange(n), lens)
-            order = np.lexsort((flat, table[flat], seg))
-            starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-            pos = np.arange(flat.size) - starts[seg] + 1
-            plen = lens - np.ceil(t * lens - 1e-9).astype(np.int64) + k
-            keep = pos <= plen[seg]
-            rows = seg[keep]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(pa.array(rows)), pa.array(lens[rows].astype(np.int32)),
-                 pa.array(flat[order][keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
-                schema=pa.schema([pa.field("key", batch.column("key").type), pa.field("len", pa.int32()),
-                                  pa.field("bit", pa.int32()), pa.field("pos", pa.int32())]))
+        for whole in batches:
+            for batch in chunks(whole):
+                n = batch.num_rows
+                if n == 0:
+                    continue
+                bits_col = batch.column("bits")
+                lens = batch.column("len").to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = bits_col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                seg = np.repeat(np.arange(n), lens)
+                order = np.lexsort((flat, table[flat], seg))
+                starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
+                pos = np.arange(flat.size) - starts[seg] + 1
+                plen = lens - np.ceil(t * lens - 1e-9).astype(np.int64) + k
+                keep = pos <= plen[seg]
+                rows = seg[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(pa.array(rows)), pa.array(lens[rows].astype(np.int32)),
+                     pa.array(flat[order][keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
+                    schema=pa.schema([pa.field("key", batch.column("key").type), pa.field("len", pa.int32()),
+                                      pa.field("bit", pa.int32()), pa.field("pos", pa.int32())]))
 
     return sized.select("key", "bits", "len").mapInArrow(run, schema)
 
