@@ -185,3 +185,22 @@ def test_epig_blocked_many_blocks_matches_brute_force(spark):
     want = _epig_brute(np.array([r[2] for r in pool]), np.array([r[1] for r in targ]))
     got = {r["id"]: r["score"] for r in acq.epig(P, T, method="blocked", target_block=7, pool_group=13).collect()}
     assert np.allclose([got[i] for i in range(120)], want, atol=1e-12)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 12)), min_size=4, max_size=60))
+def test_threshold_metrics_property(spark, pairs):
+    y = np.array([float(a) for a, _ in pairs])
+    p = np.array([b / 12 for _, b in pairs])  # few distinct scores: many ties
+    df = spark.createDataFrame([("t", float(a), float(b)) for a, b in zip(y, p)], "task string, y double, p double")
+    got = mt.threshold_metrics(mt.threshold_curve(df, blocks=3)).collect()
+    if y.min() == y.max():
+        assert got[0]["roc_auc"] is None or got[0]["balanced_acc"] is None
+        return
+    want = _metrics_brute(y, p)
+    for k, v in want.items():
+        assert abs(got[0][k] - v) < 1e-9, (k, got[0][k], v)
