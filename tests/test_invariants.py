@@ -285,3 +285,15 @@ def test_prefix_chunking_does_not_change_pairs(spark, monkeypatch):
     monkeypatch.setattr(clu, "PREFIX_CHUNK_BITS", 500)
     got = {(r["a"], r["b"]) for r in clu.similar_pairs(reps, 0.5, 1 << 16).collect()}
     assert got == want and len(want) > 0
+
+
+def test_seed_sets_for_many_runs_in_one_job(spark):
+    cells = td.emb_cells(spark, SF_SMALL)
+    grid = lp.experiment_grid(cells.select("task").where(F.col("task").isin("t0", "t3")), [1, 2, 3], ["BALD"])
+    many = smp.seed_sets_for_runs(cells, grid, 8)
+    got = {}
+    for r in many.collect():
+        got.setdefault(r["run_id"], set()).add((r["id"], r["y"]))
+    for g in grid.collect():
+        one = {(r["id"], r["y"]) for r in smp.seed_set_balanced(cells, g["task"], 8, g["seed"]).collect()}
+        assert got[g["run_id"]] == one

@@ -16,8 +16,9 @@ HASH_SCALE = float(2 ** HASH_BITS)
 
 
 def _key(seed, cols) -> Column:
-    parts = [F.lit(str(seed))] + [F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
-                                  for c in cols]
+    """``seed|col1|col2...``; ``seed`` may be a literal or a Column (one seed per run)."""
+    head = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    parts = [head] + [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]
     return F.concat_ws("|", *parts)
 
 

@@ -62,6 +62,28 @@ def seed_set_any_active(cells: DataFrame, n_tasks: int, n: int, seed=0, check: b
                  expected=["active", "inactive"])
 
 
+def seed_sets_for_runs(cells: DataFrame, runs: DataFrame, n: int, check: bool = True) -> DataFrame:
+    """One balanced seed set per run, all runs in one job.
+
+    ``runs``: ``(run_id, seed, task)`` (e.g. from ``experiment_grid``).  Each
+    run's draw equals :func:`seed_set_balanced` with that run's task and seed;
+    ``run_id`` leads the ranking key, so many experiments share one shuffle
+    instead of one job each.
+    """
+    c = cells.where(F.col("y").isNotNull()).join(runs.select("run_id", "seed", "task"), "task")
+    c = c.withColumn("_h", hash52(F.col("seed"), "id"))
+    r = hash_rank(c, ["run_id", "y"], "_h", ["id"])
+    if check:
+        short = r.where(F.col("_rn") == 1).groupBy("run_id").agg(
+            F.count(F.lit(1)).alias("classes"), F.min("_n").alias("smallest")) \
+            .where((F.col("classes") < 2) | (F.col("smallest") < n // 2)).limit(1).collect()
+        missing = runs.join(r.select("run_id").distinct(), "run_id", "left_anti").limit(1).collect()
+        if short or missing:
+            bad = short[0]["run_id"] if short else missing[0]["run_id"]
+            raise SampleSizeError(f"run {bad}: a class has fewer than {n // 2} rows")
+    return r.where(F.col("_rn") <= n // 2).select("run_id", "id", "task", "y")
+
+
 def remainder_pool(cells: DataFrame, seed_set: DataFrame, by: str = "cells") -> DataFrame:
     """Training data minus the seed set, by cell (id, task) or by whole row (id)."""
     keys = ["id", "task"] if by == "cells" else ["id"]
