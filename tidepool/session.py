@@ -76,14 +76,19 @@ def ship_package(spark: SparkSession) -> None:
     Operators that run numpy inside tasks (``mapInArrow``/``applyInPandas``)
     pickle functions by module path; a worker whose working directory does not
     contain the package could not import it.  The package is zipped once per
-    session on the driver and distributed with ``addPyFile`` (Spark's own file
-    distribution; a cluster deployment would pass the same zip as --py-files).
+    session on the driver and distributed with ``addPyFile`` in local mode; a
+    cluster deployment passes the package with ``--py-files`` (or installs it),
+    so nothing is written to a machine-local folder there.
     """
     import zipfile
 
     sc = spark.sparkContext
     if id(sc) in _SHIPPED:
         return
+    if not sc.master.startswith("local"):
+        # on a cluster the deployment ships the package (--py-files / an installed wheel)
+        _SHIPPED.add(id(sc))
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     out_dir = tempfile.mkdtemp(prefix="tidepool-code-")
     zpath = os.path.join(out_dir, "tidepool.zip")
