@@ -25,8 +25,8 @@ def test_hash_rank_equals_row_number_with_hot_stratum(spark):
     df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(99).alias("s"))
     df = df.withColumn("h", hash52(5, "id"))
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("h", "id")))
-    for parts in (1, 8):
-        got = hash_rank(df.repartition(parts), ["s"], "h", ["id"], bits=6)
+    for parts, kw in ((1, {"bits": 6}), (8, {"bits": 6}), (8, {"target_rows": 100})):
+        got = hash_rank(df.repartition(parts), ["s"], "h", ["id"], **kw)
         diff = got.join(want, ["id"]).where(F.col("_rn") != F.col("rn")).count()
         assert diff == 0
         assert got.where(F.col("s") == 99).agg(F.max("_n")).first()[0] == 2000

@@ -19,13 +19,17 @@ when their measured size is under the broadcast threshold.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.hashing import hash_bucket
 from tidepool.session import cut_lineage
 
-DEFAULT_RANK_BITS = 10
+HASH_BITS_MAX = 30
+BASE_RANK_BITS = 10          # 1024 hash blocks per key to start with
+TARGET_BLOCK_ROWS = 2_000_000  # more bits are taken when a block would exceed this
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
@@ -43,22 +47,42 @@ def join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str
     return left.join(r, cond, how).drop(*renamed.values())
 
 
+def _block_counts(d: DataFrame, parts: list[str], h_col: str, bits: int) -> DataFrame:
+    return d.withColumn("_bkt", hash_bucket(F.col(h_col), bits)).groupBy(*parts, "_bkt") \
+        .agg(F.count(F.lit(1)).alias("_cnt"))
+
+
 def hash_rank(df: DataFrame, part_cols: list[str], h_col: str, tie_cols: list[str],
               rank_col: str = "_rn", size_col: str | None = "_n",
-              bits: int = DEFAULT_RANK_BITS) -> DataFrame:
+              bits: int | None = None, target_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
     """1-based rank of each row within ``part_cols`` ordered by (h_col, tie_cols).
 
     Equals ``row_number() over (partition by part_cols order by h, ties)`` but no
     task ever sorts more than one hash block of one key.  ``size_col`` (optional)
     receives the key's row count.
+
+    ``bits=None`` sizes the blocks from the data: block counts are taken with
+    ``BASE_RANK_BITS`` (and checkpointed, so the input is not counted twice);
+    if the largest block exceeds ``target_rows`` the hash is split further
+    (one more count pass, only for data that large).  A fixed ``bits`` skips
+    the sizing.
     """
-    d = df.withColumn("_bkt", hash_bucket(F.col(h_col), bits))
     parts = list(part_cols)
+    d = df
     if not parts:
         d = d.withColumn("_all", F.lit(0))
         parts = ["_all"]
+    if bits is None:
+        bits = BASE_RANK_BITS
+        counts = cut_lineage(_block_counts(d, parts, h_col, bits))
+        largest = counts.agg(F.max("_cnt")).first()[0] or 0
+        if largest > target_rows:
+            bits = min(HASH_BITS_MAX, bits + math.ceil(math.log2(largest / target_rows)))
+            counts = cut_lineage(_block_counts(d, parts, h_col, bits))
+    else:
+        counts = _block_counts(d, parts, h_col, bits)
+    d = d.withColumn("_bkt", hash_bucket(F.col(h_col), bits))
     keys = parts + ["_bkt"]
-    counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     cols = [*keys, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]
     if size_col:
