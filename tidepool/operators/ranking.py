@@ -95,19 +95,30 @@ def hash_rank(df: DataFrame, part_cols: list[str], h_col: str, tie_cols: list[st
 
 
 def prefix_sums(base: DataFrame, part_cols: list[str], order_col: str, value_cols: list[str],
-                descending: bool = True, blocks: int | None = None, prefix: str = "cum_") -> DataFrame:
+                descending: bool = True, blocks: int | None = None, prefix: str = "cum_",
+                target_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
     """Inclusive running sums of ``value_cols`` per ``part_cols`` in ``order_col`` order.
 
     ``base`` must be unique on (part_cols, order_col) (e.g. the output of a
     group-by); ties are then impossible and the running sum is well defined.
+    With ``blocks=None`` the range blocks start at ``spark.sql.shuffle.partitions``
+    and are re-cut finer when the largest exceeds ``target_rows``.
     """
     spark = base.sparkSession
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order: Column = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    ranged = base.repartitionByRange(n, *[F.col(c) for c in part_cols], order) \
-        .withColumn("_blk", F.spark_partition_id())
-    # Freeze block ids: range bounds are sampled, so a recomputation could move rows.
-    ranged = cut_lineage(ranged)
+
+    def ranged_into(parts: int) -> DataFrame:
+        r = base.repartitionByRange(parts, *[F.col(c) for c in part_cols], order) \
+            .withColumn("_blk", F.spark_partition_id())
+        # Freeze block ids: range bounds are sampled, so a recomputation could move rows.
+        return cut_lineage(r)
+
+    ranged = ranged_into(n)
+    if blocks is None:
+        largest = ranged.groupBy("_blk").count().agg(F.max("count")).first()[0] or 0
+        if largest > target_rows:
+            ranged = ranged_into(n * math.ceil(largest / target_rows))
     keys = list(part_cols) + ["_blk"]
     totals = ranged.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     before = Window.partitionBy(*part_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
