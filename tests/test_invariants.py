@@ -20,7 +20,14 @@ from tidepool.sources import io as sio
 from tidepool.sources import testdata as td
 
 
-def test_hash_rank_equals_row_number_with_hot_stratum(spark):
+@pytest.fixture
+def sizing_always(spark):
+    spark.conf.set("tidepool.blockSizing", "always")
+    yield
+    spark.conf.set("tidepool.blockSizing", "auto")
+
+
+def test_hash_rank_equals_row_number_with_hot_stratum(spark, sizing_always):
     # one stratum holds 2/3 of the rows
     df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(99).alias("s"))
     df = df.withColumn("h", hash52(5, "id"))
@@ -32,7 +39,7 @@ def test_hash_rank_equals_row_number_with_hot_stratum(spark):
         assert got.where(F.col("s") == 99).agg(F.max("_n")).first()[0] == 2000
 
 
-def test_prefix_sums_equal_window(spark):
+def test_prefix_sums_equal_window(spark, sizing_always):
     rng = np.random.default_rng(1)
     rows = [(str(t), float(p), int(c)) for t, p, c in zip(rng.integers(0, 3, 500), rng.uniform(0, 1, 500),
                                                            rng.integers(0, 5, 500))]

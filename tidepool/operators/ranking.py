@@ -28,6 +28,8 @@ from tidepool.functions.hashing import hash_bucket
 from tidepool.session import cut_lineage
 
 HASH_BITS_MAX = 30
+SIZING_CONF = "tidepool.blockSizing"  # auto | always | off
+SIZING_MIN_PARTITIONS = 64
 BASE_RANK_BITS = 10          # 1024 hash blocks per key to start with
 TARGET_BLOCK_ROWS = 2_000_000  # more bits are taken when a block would exceed this
 
@@ -47,6 +49,21 @@ def join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str
     return left.join(r, cond, how).drop(*renamed.values())
 
 
+def sizing_enabled(spark) -> bool:
+    """Whether to size blocks from the data (one small extra job per operator).
+
+    ``auto`` (default) sizes them in sessions configured for large data
+    (``spark.sql.shuffle.partitions`` >= 64); small sessions keep the fixed
+    1024 hash blocks per key, which already bounds a block to N / 1024 rows.
+    """
+    mode = (spark.conf.get(SIZING_CONF, "auto") or "auto").lower()
+    if mode in ("always", "true", "on"):
+        return True
+    if mode in ("off", "false", "never"):
+        return False
+    return int(spark.conf.get("spark.sql.shuffle.partitions")) >= SIZING_MIN_PARTITIONS
+
+
 def _block_counts(d: DataFrame, parts: list[str], h_col: str, bits: int) -> DataFrame:
     return d.withColumn("_bkt", hash_bucket(F.col(h_col), bits)).groupBy(*parts, "_bkt") \
         .agg(F.count(F.lit(1)).alias("_cnt"))
@@ -61,17 +78,19 @@ def hash_rank(df: DataFrame, part_cols: list[str], h_col: str, tie_cols: list[st
     task ever sorts more than one hash block of one key.  ``size_col`` (optional)
     receives the key's row count.
 
-    ``bits=None`` sizes the blocks from the data: block counts are taken with
-    ``BASE_RANK_BITS`` (and checkpointed, so the input is not counted twice);
-    if the largest block exceeds ``target_rows`` the hash is split further
-    (one more count pass, only for data that large).  A fixed ``bits`` skips
-    the sizing.
+    ``bits=None`` sizes the blocks from the data (see :func:`sizing_enabled`):
+    block counts are taken with ``BASE_RANK_BITS`` (and checkpointed, so the
+    input is not counted twice); if the largest block exceeds ``target_rows``
+    the hash is split further (one more count pass, only for data that large).
+    A fixed ``bits`` skips the sizing.
     """
     parts = list(part_cols)
     d = df
     if not parts:
         d = d.withColumn("_all", F.lit(0))
         parts = ["_all"]
+    if bits is None and not sizing_enabled(df.sparkSession):
+        bits = BASE_RANK_BITS
     if bits is None:
         bits = BASE_RANK_BITS
         counts = cut_lineage(_block_counts(d, parts, h_col, bits))
@@ -102,7 +121,8 @@ def prefix_sums(base: DataFrame, part_cols: list[str], order_col: str, value_col
     ``base`` must be unique on (part_cols, order_col) (e.g. the output of a
     group-by); ties are then impossible and the running sum is well defined.
     With ``blocks=None`` the range blocks start at ``spark.sql.shuffle.partitions``
-    and are re-cut finer when the largest exceeds ``target_rows``.
+    and, when block sizing is on (:func:`sizing_enabled`), are re-cut finer
+    when the largest exceeds ``target_rows``.
     """
     spark = base.sparkSession
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -115,7 +135,7 @@ def prefix_sums(base: DataFrame, part_cols: list[str], order_col: str, value_col
         return cut_lineage(r)
 
     ranged = ranged_into(n)
-    if blocks is None:
+    if blocks is None and sizing_enabled(spark):
         largest = ranged.groupBy("_blk").count().agg(F.max("count")).first()[0] or 0
         if largest > target_rows:
             ranged = ranged_into(n * math.ceil(largest / target_rows))
