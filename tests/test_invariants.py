@@ -315,3 +315,18 @@ def test_api_exposes_every_inventory_key():
     keys = re.findall(r"^\| \d+ \| `([a-z_0-9]+)`", survey, re.M)
     assert len(keys) == 74
     assert [k for k in keys if not hasattr(api, k)] == []
+
+
+def test_block_sizing_does_not_change_metrics(spark, sizing_always, monkeypatch):
+    from tidepool.operators import metrics as mt
+    from tidepool.operators import ranking
+    li = td.lineitem_scores(spark, SF_SMALL)
+    spark.conf.set("tidepool.blockSizing", "off")
+    want = {r["task"]: r.asDict() for r in mt.threshold_metrics(mt.threshold_curve(li)).collect()}
+    spark.conf.set("tidepool.blockSizing", "always")
+    monkeypatch.setattr(ranking, "TARGET_BLOCK_ROWS", 3)
+    got = {r["task"]: r.asDict() for r in mt.threshold_metrics(mt.threshold_curve(li)).collect()}
+    assert got.keys() == want.keys()
+    for t in want:
+        for k, v in want[t].items():
+            assert v == got[t][k] or abs(v - got[t][k]) < 1e-12, (t, k)

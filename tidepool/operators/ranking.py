@@ -71,7 +71,7 @@ def _block_counts(d: DataFrame, parts: list[str], h_col: str, bits: int) -> Data
 
 def hash_rank(df: DataFrame, part_cols: list[str], h_col: str, tie_cols: list[str],
               rank_col: str = "_rn", size_col: str | None = "_n",
-              bits: int | None = None, target_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
+              bits: int | None = None, target_rows: int | None = None) -> DataFrame:
     """1-based rank of each row within ``part_cols`` ordered by (h_col, tie_cols).
 
     Equals ``row_number() over (partition by part_cols order by h, ties)`` but no
@@ -84,6 +84,7 @@ def hash_rank(df: DataFrame, part_cols: list[str], h_col: str, tie_cols: list[st
     the hash is split further (one more count pass, only for data that large).
     A fixed ``bits`` skips the sizing.
     """
+    target_rows = target_rows or TARGET_BLOCK_ROWS
     parts = list(part_cols)
     d = df
     if not parts:
@@ -115,7 +116,7 @@ def hash_rank(df: DataFrame, part_cols: list[str], h_col: str, tie_cols: list[st
 
 def prefix_sums(base: DataFrame, part_cols: list[str], order_col: str, value_cols: list[str],
                 descending: bool = True, blocks: int | None = None, prefix: str = "cum_",
-                target_rows: int = TARGET_BLOCK_ROWS) -> DataFrame:
+                target_rows: int | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` per ``part_cols`` in ``order_col`` order.
 
     ``base`` must be unique on (part_cols, order_col) (e.g. the output of a
@@ -125,6 +126,7 @@ def prefix_sums(base: DataFrame, part_cols: list[str], order_col: str, value_col
     when the largest exceeds ``target_rows``.
     """
     spark = base.sparkSession
+    target_rows = target_rows or TARGET_BLOCK_ROWS
     n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order: Column = F.col(order_col).desc() if descending else F.col(order_col).asc()
 
