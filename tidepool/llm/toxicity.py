@@ -7,7 +7,8 @@
    every lexicon speaks for all languages and kinds of toxic text.
 2. *Label model.*  A two-class latent model with a hit rate per voter and class is fitted
    by expectation maximisation to the vote patterns of all documents (a table of
-   patterns and counts, summed in Spark).  Correlations of voters within a class are
+   patterns and counts, summed in Spark).  A voter that does not fire abstains; only a text
+   on which all abstain has their silence held against it.  Correlations of voters within a class are
    estimated from its residuals, and correlated votes count for less: voter ``j`` weighs
    ``1 / (1 + sum of its positive correlations)``.  Labels are not used here.
 3. *Classifier.*  A logistic regression on the votes and a few densities, trained on the
@@ -43,7 +44,7 @@ CAPITALS = re.compile(r"[A-Z]{3,}")
 PREFIXES = (3, 4, 5, 6, 7, 8)
 LEXICONS = 8
 MIN_NEW = 4
-MIN_LOG_ODDS = 4.0
+MIN_LOG_ODDS = 5.0
 
 #: Plain insults (en, de, fr, es).
 PLAIN = frozenset(
@@ -64,12 +65,19 @@ def held_out(id_col: str) -> Column:
 
 # ---------------------------------------------------------------------- voters
 
+def stems_of(words: set[str], n: int) -> tuple[set[str], set[str]]:
+    """Prefixes of ``n`` letters of longer words, and those that two or more of the words share."""
+    seen = Counter(w[:n] for w in words if len(w) > n)
+    return set(seen), {s for s, k in seen.items() if k > 1}
+
+
 def terms(text: str) -> set[str]:
-    """The words of a text in lower case, and their prefixes marked with their length."""
+    """The words of a text in lower case, their prefixes marked with their length, shared ones once more with a plus."""
     words = set(WORDS.findall(text.lower()))
     out = set(words)
     for n in PREFIXES:
-        out |= {f"{n}{w[:n]}" for w in words if len(w) > n}
+        once, shared = stems_of(words, n)
+        out |= {f"{n}{s}" for s in once} | {f"{n}{s}+" for s in shared}
     return out
 
 
@@ -85,14 +93,17 @@ class Voters:
     def vote(self, text: str) -> tuple[int, float, float]:
         """(votes as bits, log of 1 + words hit, share of capitals)."""
         words = set(WORDS.findall(text.lower()))
-        stems = {n: {w[:n] for w in words if len(w) > n} for n in self.lengths}
+        stems = {}
+        for n in self.lengths:
+            once, shared = stems_of(words, n)
+            stems[n] = once | {f"{x}+" for x in shared}
         fired, hits = [], set()
         for own, starts in zip(self.words, self.stems):
             found = words & own
             for n in self.lengths:
                 if starts.get(n):
                     for stem in stems[n] & starts[n]:
-                        found |= {w for w in words if w.startswith(stem)}
+                        found |= {w for w in words if w.startswith(stem.rstrip("+"))}
             fired.append(bool(found))
             hits |= found
         capitals = sum(map(len, CAPITALS.findall(text))) / max(len(text), 1)
@@ -141,7 +152,7 @@ def mine_lexicons(sample: DataFrame) -> list[list[str]]:
     counts = once.mapInPandas(count, "toxic int, term string, n long").groupBy("term").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b")).where(F.col("a") >= MIN_NEW)
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    a, b = F.col("a") + 0.5, F.col("b") + 0.1
     odds = F.log(a / (n1 - F.col("a") + 0.5)) - F.log(b / (n0 - F.col("b") + 0.5))
     good = frozenset(r["term"] for r in counts.where(odds >= MIN_LOG_ODDS).select("term").collect())
     if not good:
@@ -193,8 +204,9 @@ class LabelModel:
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """P(toxic) of rows of a 0/1 vote matrix."""
-        llr = np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0]))
-        z = math.log(self.prior / (1 - self.prior)) + votes @ (self.weights * llr[0]) + (1 - votes) @ (self.weights * llr[1])
+        fired = self.weights * np.log(self.rates[1] / self.rates[0])
+        silent = self.weights * np.log((1 - self.rates[1]) / (1 - self.rates[0]))
+        z = math.log(self.prior / (1 - self.prior)) + votes @ fired + (votes.sum(axis=1) == 0) * silent.sum()
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
