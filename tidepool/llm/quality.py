@@ -179,7 +179,7 @@ def count_grams(order: int, flush: int = 2_000_000):
     return run
 
 
-def slices(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
+def slices(texts: list[str], chars: int = 400_000) -> Iterator[list[str]]:
     """Consecutive runs of texts of about ``chars`` characters (a longer text is a run of its own)."""
     part, size = [], 0
     for t in texts:
