@@ -80,8 +80,8 @@ def test_epig_paths_agree_and_can_be_negative(spark):
     P = _packed(spark, pool)
     T = spark.createDataFrame(targ, "id long, ps array<double>")
     want = _epig_brute(np.array([r[2] for r in pool]), np.array([r[1] for r in targ]))
-    for method in ("broadcast", "blocked"):
-        got = {r["id"]: r["score"] for r in acq.epig(P, T, method=method, target_block=1, pool_group=1).collect()}
+    for kw in ({}, {"target_block": 1, "pool_group": 1}):
+        got = {r["id"]: r["score"] for r in acq.epig(P, T, **kw).collect()}
         assert np.allclose([got[1], got[2], got[3]], want, atol=1e-12)
     assert want[1] < 0  # anti-correlated pool cell: negative EPIG (kept, reported by the range check)
     chk = acq.score_range_check(acq.epig(P, T)).collect()[0]
@@ -183,7 +183,7 @@ def test_epig_blocked_many_blocks_matches_brute_force(spark):
     P = _packed(spark, pool)
     T = spark.createDataFrame(targ, "id long, ps array<double>")
     want = _epig_brute(np.array([r[2] for r in pool]), np.array([r[1] for r in targ]))
-    got = {r["id"]: r["score"] for r in acq.epig(P, T, method="blocked", target_block=7, pool_group=13).collect()}
+    got = {r["id"]: r["score"] for r in acq.epig(P, T, target_block=7, pool_group=13).collect()}
     assert np.allclose([got[i] for i in range(120)], want, atol=1e-12)
 
 

@@ -20,33 +20,26 @@ from tidepool.sources import io as sio
 from tidepool.sources import testdata as td
 
 
-@pytest.fixture
-def sizing_always(spark):
-    spark.conf.set("tidepool.blockSizing", "always")
-    yield
-    spark.conf.set("tidepool.blockSizing", "auto")
-
-
-def test_hash_rank_equals_row_number_with_hot_stratum(spark, sizing_always):
+def test_hash_rank_equals_row_number_with_hot_stratum(spark):
     # one stratum holds 2/3 of the rows
     df = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(99).alias("s"))
     df = df.withColumn("h", hash52(5, "id"))
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("s").orderBy("h", "id")))
-    for parts, kw in ((1, {"bits": 6}), (8, {"bits": 6}), (8, {"target_rows": 100})):
+    for parts, kw in ((1, {"bits": 6}), (8, {"bits": 6}), (8, {})):
         got = hash_rank(df.repartition(parts), ["s"], "h", ["id"], **kw)
         diff = got.join(want, ["id"]).where(F.col("_rn") != F.col("rn")).count()
         assert diff == 0
         assert got.where(F.col("s") == 99).agg(F.max("_n")).first()[0] == 2000
 
 
-def test_prefix_sums_equal_window(spark, sizing_always):
+def test_prefix_sums_equal_window(spark):
     rng = np.random.default_rng(1)
     rows = [(str(t), float(p), int(c)) for t, p, c in zip(rng.integers(0, 3, 500), rng.uniform(0, 1, 500),
                                                            rng.integers(0, 5, 500))]
     base = spark.createDataFrame(rows, "task string, p double, c long").groupBy("task", "p").agg(F.sum("c").alias("c"))
     w = Window.partitionBy("task").orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
     want = base.withColumn("want", F.sum("c").over(w))
-    for kw in ({"blocks": 5}, {"target_rows": 50}):  # fixed blocks; blocks re-cut from the data
+    for kw in ({"blocks": 5}, {"blocks": 1}, {}):
         got = prefix_sums(base, ["task"], "p", ["c"], descending=True, **kw)
         assert got.count() == base.count()
         assert got.join(want, ["task", "p"]).where(F.col("cum_c") != F.col("want")).count() == 0
@@ -130,12 +123,11 @@ def _brute_butina(bits, t):
     return assigned
 
 
-@pytest.mark.parametrize("universe", [None, 1 << 16])
-def test_butina_equals_sequential(spark, universe):
+def test_butina_equals_sequential(spark):
     docs = td.table(spark, SF_SMALL, "documents")
     fps, _ = fp.hash_fingerprint(docs, "text", "doc_id", size=1 << 16)
     fps = fps.cache()
-    got = {r["doc_id"]: r["cluster"] for r in clu.similarity_clusters(fps, "doc_id", 0.5, universe).collect()}
+    got = {r["doc_id"]: r["cluster"] for r in clu.similarity_clusters(fps, "doc_id", 0.5).collect()}
     want = _brute_butina({r["doc_id"]: set(r["bits"]) for r in fps.collect()}, 0.5)
     assert got == want
 
@@ -315,18 +307,3 @@ def test_api_exposes_every_inventory_key():
     keys = re.findall(r"^\| \d+ \| `([a-z_0-9]+)`", survey, re.M)
     assert len(keys) == 74
     assert [k for k in keys if not hasattr(api, k)] == []
-
-
-def test_block_sizing_does_not_change_metrics(spark, sizing_always, monkeypatch):
-    from tidepool.operators import metrics as mt
-    from tidepool.operators import ranking
-    li = td.lineitem_scores(spark, SF_SMALL)
-    spark.conf.set("tidepool.blockSizing", "off")
-    want = {r["task"]: r.asDict() for r in mt.threshold_metrics(mt.threshold_curve(li)).collect()}
-    spark.conf.set("tidepool.blockSizing", "always")
-    monkeypatch.setattr(ranking, "TARGET_BLOCK_ROWS", 3)
-    got = {r["task"]: r.asDict() for r in mt.threshold_metrics(mt.threshold_curve(li)).collect()}
-    assert got.keys() == want.keys()
-    for t in want:
-        for k, v in want[t].items():
-            assert v == got[t][k] or abs(v - got[t][k]) < 1e-12, (t, k)

@@ -5,10 +5,11 @@ import math
 import pytest
 
 import __spark_entry__ as se
+from tidepool.plans import registry
 from tests.conftest import SF_SMALL
 
-ORACLE = se.oracle_sql()
-QUERIES = se.queries()
+QUERIES = {k: v for k, v in se.queries().items() if k in registry.QUERIES}  # tests/llm has those of tidepool.llm
+ORACLE = {k: v for k, v in se.oracle_sql().items() if k in registry.QUERIES}
 
 
 def _norm(v):

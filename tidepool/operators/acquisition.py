@@ -17,12 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions.hashing import hash52
-from tidepool.session import broadcast
 
 BALD_EPS = 1e-10
 UCB_BETA = 2.0
 CHECK_EPS = 1e-6
-EPIG_BROADCAST_MAX_CELLS = 8_000_000    # targets x passes shipped whole to executors (64 MB)
 EPIG_TARGET_BLOCK = 4096                 # targets per in-task tile
 EPIG_BLOCK_CELLS = 4_000_000             # targets x passes per cogroup block (32 MB)
 EPIG_POOL_GROUP = 262_144                # pool cells per cogroup group
@@ -67,70 +65,25 @@ def _to_matrix(col: pa.Array, n: int) -> np.ndarray:
     return vals.reshape(n, -1)
 
 
-def epig(pool: DataFrame, targets: DataFrame, method: str = "auto",
-         max_broadcast_cells: int = EPIG_BROADCAST_MAX_CELLS,
-         target_block: int | None = None, pool_group: int = EPIG_POOL_GROUP) -> DataFrame:
+def epig(pool: DataFrame, targets: DataFrame, target_block: int | None = None,
+         pool_group: int = EPIG_POOL_GROUP) -> DataFrame:
     """Expected predictive information gain of each pool cell about a target set.
 
     ``pool``: ``(id, task, ps)``; ``targets``: ``(id, ps)`` (one task, e.g. the
     main task on the test inputs).  Score = mean over targets t of
     ``J ln(J / (m_a m_t))`` with ``J = mean_k p_ak p_tk`` (0 where J = 0).
 
-    ``method``: ``broadcast`` ships the target matrix to every task when
-    targets x passes <= ``max_broadcast_cells`` (checked with a count);
-    ``blocked`` cogroups pool groups with target blocks (replicating each side
-    across the other's blocks, never forming pairs as rows) and sums partials.
-    ``auto`` picks by the count.
+    Pool groups of about ``pool_group`` cells are cogrouped with target blocks of about
+    ``target_block`` targets (each side replicated across the other's blocks, never
+    forming pairs as rows), and the partial sums are added up.
     """
-    from pyspark import StorageLevel
-
-    targets = targets.persist(StorageLevel.MEMORY_AND_DISK)  # counted, sized, then shipped or blocked
-    n_t = targets.count()
+    n_t, k_passes = targets.agg(F.count(F.lit(1)), F.max(F.size("ps"))).first()
     if n_t == 0:
         raise ValueError("EPIG needs a non-empty target set")
-    k_passes = targets.select(F.size("ps").alias("k")).first()["k"]
-    if method == "auto":
-        method = "broadcast" if n_t * k_passes <= max_broadcast_cells else "blocked"
-    if method == "broadcast":
-        if n_t * k_passes > max_broadcast_cells:
-            targets.unpersist()
-            raise ValueError("target set too large to broadcast; use method='blocked'")
-        out = _epig_broadcast(pool, targets, n_t)  # collects the targets eagerly
-        targets.unpersist()
-        return out
     block = target_block or max(EPIG_TARGET_BLOCK, EPIG_BLOCK_CELLS // max(1, k_passes))
     return _epig_blocked(pool, targets, n_t, block, pool_group)
 
 
-def _epig_broadcast(pool: DataFrame, targets: DataFrame, n_t: int) -> DataFrame:
-    pdf = targets.select("ps").toPandas()  # Arrow transfer; size checked by the caller
-    Q = np.stack(pdf["ps"].to_numpy()).astype(np.float64)
-    bc = broadcast(pool.sparkSession, Q)
-    schema = T.StructType([pool.schema["id"], pool.schema["task"], T.StructField("score", T.DoubleType())])
-
-    def run(batches):
-        Qm = bc.value
-        mq = Qm.mean(axis=1)
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            P = _to_matrix(batch.column("ps"), n)
-            mp = P.mean(axis=1)
-            acc = np.zeros(n)
-            # pool rows x target block tiles keep the J matrix at <= 1024 x 4096 doubles (32 MB)
-            for r in range(0, n, EPIG_POOL_TILE):
-                rs = slice(r, r + EPIG_POOL_TILE)
-                for s in range(0, Qm.shape[0], EPIG_TARGET_BLOCK):
-                    acc[rs] += _epig_block(P[rs], mp[rs], Qm[s:s + EPIG_TARGET_BLOCK], mq[s:s + EPIG_TARGET_BLOCK])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("task"), pa.array(acc / Qm.shape[0])],
-                schema=pa.schema([pa.field("id", batch.column("id").type), pa.field("task", pa.string()),
-                                  pa.field("score", pa.float64())]))
-
-    return pool.select("id", "task", "ps").mapInArrow(run, schema)
-
-
 def _epig_blocked(pool: DataFrame, targets: DataFrame, n_t: int, target_block: int, pool_group: int) -> DataFrame:
     n_p = pool.count()
     nb = max(1, math.ceil(n_t / target_block))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.session import broadcast, cut_lineage
+from tidepool.session import cut_lineage
 
 DEFAULT_THRESHOLD = 0.7
 
@@ -39,12 +39,8 @@ def collapse_identical(fps: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return reps, members
 
 
-PREFIX_CHUNK_BITS = 4_000_000  # bits handled per numpy call in the prefix step
-BROADCAST_UNIVERSE_MAX = 1 << 22  # bit ids; the frequency array is then <= 32 MB
-
-
-def _prefix_rows_window(sized: DataFrame, freq: DataFrame, t: float, k: int) -> DataFrame:
-    """Prefix tokens by a join with the frequency table and a per-row window (any universe size)."""
+def _prefix_rows(sized: DataFrame, freq: DataFrame, t: float, k: int) -> DataFrame:
+    """Prefix tokens by a join with the frequency table and a per-row window."""
     from pyspark.sql import Window
     toks = sized.select("key", "len", F.explode("bits").alias("bit"))
     ranked = toks.join(freq, "bit")
@@ -55,66 +51,8 @@ def _prefix_rows_window(sized: DataFrame, freq: DataFrame, t: float, k: int) ->
         .select("key", "len", "bit", "pos")
 
 
-def _prefix_rows_lookup(sized: DataFrame, freq: DataFrame, t: float, universe: int, k: int) -> DataFrame:
-    """Same rows, computed inside each row batch with a broadcast frequency array.
-
-    The array has one entry per possible bit id (``universe``, size-checked by
-    the caller), so no token row is shuffled: each task sorts its own rows'
-    bits by (frequency, bit) with one vectorised lexsort.
-    """
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
-    # bits seen once are the common case; they keep the default 1, so only df >= 2 is shipped
-    pdf = freq.where(F.col("df") >= 2).toPandas()
-    lut = np.ones(universe, dtype=np.int64)
-    lut[pdf["bit"].to_numpy(dtype=np.int64)] = pdf["df"].to_numpy(dtype=np.int64)
-    bc = broadcast(sized.sparkSession, lut)
-    key_field = sized.schema["key"]
-    schema = T.StructType([key_field, T.StructField("len", T.IntegerType()), T.StructField("bit", T.IntegerType()),
-                           T.StructField("pos", T.IntegerType())])
-
-    def chunks(batch, max_bits=PREFIX_CHUNK_BITS):
-        # bound the per-call arrays by total bits, not rows (one long text can hold 60k bits)
-        lens = batch.column("len").to_numpy(zero_copy_only=False).astype(np.int64)
-        start, acc = 0, 0
-        for i, n in enumerate(lens):
-            if acc and acc + n > max_bits:
-                yield batch.slice(start, i - start)
-                start, acc = i, 0
-            acc += n
-        if start < len(lens):
-            yield batch.slice(start, len(lens) - start)
-
-    def run(batches):
-        table = bc.value
-        for whole in batches:
-            for batch in chunks(whole):
-                n = batch.num_rows
-                if n == 0:
-                    continue
-                bits_col = batch.column("bits")
-                lens = batch.column("len").to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = bits_col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                seg = np.repeat(np.arange(n), lens)
-                order = np.lexsort((flat, table[flat], seg))
-                starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-                pos = np.arange(flat.size) - starts[seg] + 1
-                plen = lens - np.ceil(t * lens - 1e-9).astype(np.int64) + k
-                keep = pos <= plen[seg]
-                rows = seg[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").take(pa.array(rows)), pa.array(lens[rows].astype(np.int32)),
-                     pa.array(flat[order][keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
-                    schema=pa.schema([pa.field("key", batch.column("key").type), pa.field("len", pa.int32()),
-                                      pa.field("bit", pa.int32()), pa.field("pos", pa.int32())]))
-
-    return sized.select("key", "bits", "len").mapInArrow(run, schema)
-
-
 def similar_pairs(reps: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                  universe: int | None = None, prefix_extra: int = 3) -> DataFrame:
+                  prefix_extra: int = 3) -> DataFrame:
     """Exact pairs ``(a, b, sim)``, a < b, with Jaccard(bits_a, bits_b) >= threshold.
 
     Filters, all exact (no true pair is ever dropped):
@@ -127,20 +65,13 @@ def similar_pairs(reps: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     * position: common bits after the last matched one are at most
       ``min(|A| - i, |B| - j)`` (i, j its positions), so matched + that >= o.
 
-    Survivors are verified on the full sets.  ``universe`` (number of possible
-    bit ids): when at most ``BROADCAST_UNIVERSE_MAX`` the bit-frequency table
-    has a proven size bound and is shipped to every task as an array;
-    otherwise token rows are shuffle-joined with it and ranked per row.
+    Survivors are verified on the full sets.
     """
     t = float(threshold)
     k = int(prefix_extra)
     sized = reps.select("key", "bits", F.size("bits").alias("len")).where(F.col("len") > 0)
     freq = sized.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
-    if universe is not None and universe <= BROADCAST_UNIVERSE_MAX:
-        prefix = _prefix_rows_lookup(sized, freq, t, universe, k)
-    else:
-        prefix = _prefix_rows_window(sized, freq, t, k)
-    prefix = cut_lineage(prefix)  # read by both sides of the self-join
+    prefix = cut_lineage(_prefix_rows(sized, freq, t, k))  # read by both sides of the self-join
     a = prefix.alias("a")
     b = prefix.alias("b")
     matches = a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.key") < F.col("b.key"))
@@ -200,23 +131,26 @@ def butina(reps: DataFrame, pairs: DataFrame, max_rounds: int | None = None) ->
     return cen.unionByName(rest)
 
 
-def similarity_clusters(fps: DataFrame, key: str, threshold: float = DEFAULT_THRESHOLD,
-                        universe: int | None = None) -> DataFrame:
+def similarity_clusters(fps: DataFrame, key: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """``(key, cluster, is_centre)`` for every input row (copies share their representative's cluster)."""
     reps, members = collapse_identical(fps.select(key, "bits"), key)
     # AQE may coalesce the (few, wide) representative rows into one partition; spread
     # them by key so the per-row prefix work runs on every core
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     reps = cut_lineage(reps.repartition(n, "key"))
-    pairs = cut_lineage(similar_pairs(reps, threshold, universe))
+    pairs = cut_lineage(similar_pairs(reps, threshold))
     cl = butina(reps, pairs)
     return members.join(cl, "key").select(F.col("member").alias(key), "cluster",
                                           (F.col("is_centre") & (F.col("member") == F.col("key"))).alias("is_centre"))
 
 
 def split_by_cluster(df: DataFrame, fps: DataFrame, key: str, frac_train: float = 0.8, seed=42,
-                     threshold: float = DEFAULT_THRESHOLD, universe: int | None = None) -> DataFrame:
-    """Cluster split: similarity clusters, then the biggest-first group split on the cluster id."""
+                     threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Cluster split: similarity clusters, then the biggest-first group split on the cluster id.
+
+    A row without a fingerprint is a cluster of its own.
+    """
     from tidepool.operators.split import split_by_group
-    cl = similarity_clusters(fps, key, threshold, universe).select(key, "cluster")
-    return split_by_group(df.join(cl, key), "cluster", frac_train, seed)
+    cl = similarity_clusters(fps, key, threshold).select(key, "cluster")
+    clustered = df.join(cl, key, "left").withColumn("cluster", F.coalesce("cluster", key))
+    return split_by_group(clustered, "cluster", frac_train, seed)

@@ -85,11 +85,6 @@ def hash_fingerprint(df: DataFrame, col: str, key: str, size: int = DEFAULT_SIZE
     """(fingerprints ``(key, bits array<int>)``, rejects).  Raises when no row is valid."""
     if check and not df.where(reject_reason(df, col).isNull()).limit(1).collect():
         raise NoValidRowsError("no valid fingerprints were generated")
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        # a few large files: spread rows before the per-row work (no-op at cluster scale)
-        df = df.repartition(par, key)
     good, bad = quarantine_rows(df, col, key)
     # tokens are materialised once per row; the n-gram lists are built from that column
     toks = good.select(key, tokens(F.col(col)).alias("_toks"))

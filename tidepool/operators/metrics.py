@@ -13,7 +13,8 @@ ROC starts at (0, 0) (threshold +inf, reported as NULL); the precision-recall
 curve stops at the first full-recall threshold and ends at (recall 0,
 precision 1); balanced accuracy is the maximum over ROC points, ties going to
 the highest threshold; ``p >= t`` counts as positive.  A task with one class
-only gets NULL threshold metrics.  Rows with y NULL or -1 are unlabelled.
+only gets NULL threshold metrics.  Rows with y NULL or -1 are unlabelled.  A NaN
+score on a labelled row leaves its task's metrics undefined: all of them NULL.
 """
 
 from __future__ import annotations
@@ -36,24 +37,30 @@ def _div(a, b):
 
 
 def labelled(df: DataFrame) -> DataFrame:
-    return df.where(F.col("y").isin(0, 1) & F.col("p").isNotNull() & ~F.isnan("p"))
+    return df.where(F.col("y").isin(0, 1) & F.col("p").isNotNull())
 
 
 def score_counts(df: DataFrame) -> DataFrame:
-    """(task, p, n_pos, n_neg): one row per distinct score; map-side combined."""
+    """(task, p, n_pos, n_neg): one row per distinct score (NaN is one); map-side combined."""
     return labelled(df).groupBy("task", "p").agg(
         F.sum((F.col("y") == 1).cast("long")).alias("n_pos"),
         F.sum((F.col("y") == 0).cast("long")).alias("n_neg"))
 
 
 def threshold_curve(df: DataFrame, blocks: int | None = None) -> DataFrame:
-    """(task, p, n_pos, n_neg, cum_n_pos, cum_n_neg, tot_pos, tot_neg) in descending p."""
-    base = score_counts(df)
-    cum = prefix_sums(base, ["task"], "p", ["n_pos", "n_neg"], descending=True, blocks=blocks)
-    # totals from the (checkpointed) running-sum table, not from another scan of the input
-    totals = cum.groupBy("task").agg(F.sum("n_pos").alias("tot_pos"), F.sum("n_neg").alias("tot_neg"))
+    """(task, p, n_pos, n_neg, cum_n_pos, cum_n_neg, tot_pos, tot_neg) in descending p.
+
+    A task with a NaN score has one row, all NULL but the task.
+    """
+    base = score_counts(df).withColumn("nan", F.isnan("p").cast("long"))
+    cum = prefix_sums(base, ["task"], "p", ["n_pos", "n_neg", "nan"], descending=True, blocks=blocks, total_prefix="tot_")
+    undefined = F.col("tot_nan") > 0
+    cum = cum.where(~undefined | F.isnan("p"))
+    numbers = ["p", "n_pos", "n_neg", "cum_n_pos", "cum_n_neg"]
+    cum = cum.select("task", *[F.when(~undefined, F.col(c)).alias(c) for c in numbers],
+                     *[F.when(~undefined, F.col(f"tot_n_{c}")).alias(f"tot_{c}") for c in ("pos", "neg")])
     # every metric reads this relation: materialise it once (one row per distinct score)
-    return cut_lineage(cum.join(totals, "task"))
+    return cut_lineage(cum)
 
 
 def _points(curve: DataFrame) -> DataFrame:
@@ -96,21 +103,21 @@ def sens_spec(curve: DataFrame) -> DataFrame:
         .alias("sensitivity"),
         F.when(F.col("b.bacc").isNull(), None).when(start_wins, F.lit(1.0)).otherwise(F.lit(1.0) - F.col("b.fpr"))
         .alias("specificity"),
-        F.when(start_wins, F.lit(None).cast("double")).otherwise(F.col("b.p")).alias("threshold"))
+        F.when(~start_wins, F.col("b.p")).alias("threshold"))
 
 
 def balanced_acc(curve: DataFrame) -> DataFrame:
     return sens_spec(curve).select("task", "balanced_acc")
 
 
-def _pr_points(curve: DataFrame) -> DataFrame:
+def _on_pr():
     # The curve stops at the first threshold that reaches full recall.
-    return _points(curve).where(F.col("cum_n_pos") - F.col("n_pos") < F.col("tot_pos"))
+    return F.col("cum_n_pos") - F.col("n_pos") < F.col("tot_pos")
 
 
 def pr_curve(curve: DataFrame) -> DataFrame:
     """(task, threshold, precision, recall) down to full recall, plus the (recall 0, precision 1) end."""
-    pts = _pr_points(curve).select("task", F.col("p").alias("threshold"), "precision", "recall")
+    pts = _points(curve).where(_on_pr()).select("task", F.col("p").alias("threshold"), "precision", "recall")
     end = curve.where(F.col("tot_pos") > 0).select("task").distinct().select(
         "task", F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
         F.lit(0.0).alias("recall"))
@@ -119,18 +126,18 @@ def pr_curve(curve: DataFrame) -> DataFrame:
 
 def aupr(curve: DataFrame) -> DataFrame:
     area = (F.col("recall") - F.col("recall_prev")) * (F.col("precision") + F.col("precision_prev")) / 2
-    return _pr_points(curve).groupBy("task").agg(F.sum(area).alias("AUPR"))
+    return _points(curve).groupBy("task").agg(F.sum(F.when(_on_pr(), area)).alias("AUPR"))
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
     term = (F.col("recall") - F.col("recall_prev")) * F.col("precision")
-    return _pr_points(curve).groupBy("task").agg(F.sum(term).alias("average_precision"))
+    return _points(curve).groupBy("task").agg(F.sum(F.when(_on_pr(), term)).alias("average_precision"))
 
 
 def best_f1(curve: DataFrame) -> DataFrame:
     """Maximum F1 over the precision-recall thresholds (one scan, not one pass per threshold)."""
     f1 = _div(2 * F.col("cum_n_pos"), F.col("cum_n_pos") + F.col("cum_n_neg") + F.col("tot_pos"))
-    return _pr_points(curve).groupBy("task").agg(F.max(f1).alias("f1_score"))
+    return _points(curve).groupBy("task").agg(F.max(F.when(_on_pr(), f1)).alias("f1_score"))
 
 
 def f1_at_threshold(curve: DataFrame) -> DataFrame:
@@ -154,16 +161,26 @@ def _calibration(binned: DataFrame, name: str) -> DataFrame:
     n_b = F.col("n_pos") + F.col("n_neg")
     per_bin = binned.groupBy("task", "bin").agg(
         F.sum(n_b).alias("nb"), F.sum("n_pos").alias("pos"), F.sum(F.col("p") * n_b).alias("psum"))
-    term = F.col("nb") / F.col("n") * F.abs(F.col("pos") / F.col("nb") - F.col("psum") / F.col("nb"))
-    totals = per_bin.groupBy("task").agg(F.sum("nb").alias("n"))
-    return per_bin.join(totals, "task").groupBy("task").agg(F.sum(term).alias(name))
+    # sum over bins of nb / n * |pos / nb - psum / nb|, n being the sum of nb
+    error = F.sum(F.abs(F.col("pos") - F.col("psum"))) / F.sum("nb")
+    return per_bin.groupBy("task").agg(F.when(~F.isnan(error), error).alias(name))
 
 
 def ece(counts: DataFrame) -> DataFrame:
-    """Expected calibration error, 10 equal-width bins (bin = number of edges <= p)."""
+    """Expected calibration error, 10 equal-width bins (bin = number of edges <= p).
+
+    Reads (task, p, n_pos, n_neg) rows, or :func:`score_rows`: binning comes first, so at
+    most ten partial rows per task and map task are exchanged.
+    """
     return _calibration(counts.withColumn("bin", _bin_index([F.lit(e) for e in ECE_EDGES])), "ECE")
 
 
+def score_rows(df: DataFrame) -> DataFrame:
+    """Labelled rows as (task, p, n_pos, n_neg), not combined by score."""
+    return labelled(df).select("task", "p", (F.col("y") == 1).cast("long").alias("n_pos"),
+                               (F.col("y") == 0).cast("long").alias("n_neg"))
+
+
 def quantile_edges(curve: DataFrame, quantiles=ACE_QUANTILES) -> DataFrame:
     """(task, edges array) : linear-interpolation percentiles of p (NumPy's default method).
 
@@ -197,7 +214,7 @@ def quantile_edges(curve: DataFrame, quantiles=ACE_QUANTILES) -> DataFrame:
 def ace(curve: DataFrame) -> DataFrame:
     """Adaptive calibration error: bins at the deciles of p."""
     edges = quantile_edges(curve)
-    counts = curve.select("task", "p", "n_pos", "n_neg").join(F.broadcast(edges), "task")
+    counts = curve.select("task", "p", "n_pos", "n_neg").join(F.broadcast(edges), "task", "left")  # one row per task (label columns)
     binned = counts.withColumn("bin", _bin_index([F.col("edges")[i] for i in range(len(ACE_QUANTILES))]))
     return _calibration(binned, "ACE")
 
@@ -206,7 +223,7 @@ def threshold_metrics(curve: DataFrame) -> DataFrame:
     """All threshold metrics in one aggregation pass over the curve:
     balanced_acc, sensitivity, specificity, f1_score, roc_auc, AUPR, average_precision."""
     pts = _points(curve).withColumn("bacc", (F.col("tpr") + (F.lit(1.0) - F.col("fpr"))) / 2)
-    on_pr = F.col("cum_n_pos") - F.col("n_pos") < F.col("tot_pos")
+    on_pr = _on_pr()
     roc_area = (F.col("fpr") - F.col("fpr_prev")) * (F.col("tpr") + F.col("tpr_prev")) / 2
     pr_area = (F.col("recall") - F.col("recall_prev")) * (F.col("precision") + F.col("precision_prev")) / 2
     ap_term = (F.col("recall") - F.col("recall_prev")) * F.col("precision")

@@ -13,25 +13,20 @@ third of the data.  Both helpers here split each key into blocks first:
   value distribution), frozen with a reliable checkpoint so every consumer
   sees the same block ids, then the same offset trick.
 
-The offset tables are ``keys x blocks`` rows; Spark's AQE broadcasts them only
-when their measured size is under the broadcast threshold.
+The number of blocks is a parameter and never depends on the session or the
+data.  The rows meet their offsets by an equi-join on the same plain keys that
+the block window is partitioned by, so they are exchanged once.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.hashing import hash_bucket
 from tidepool.session import cut_lineage
 
-HASH_BITS_MAX = 30
-SIZING_CONF = "tidepool.blockSizing"  # auto | always | off
-SIZING_MIN_PARTITIONS = 64
-BASE_RANK_BITS = 10          # 1024 hash blocks per key to start with
-TARGET_BLOCK_ROWS = 2_000_000  # more bits are taken when a block would exceed this
+RANK_BITS = 14       # 16,384 hash blocks per key: 10**10 rows of one key are sorted 600,000 at a time
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
@@ -49,105 +44,52 @@ def join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str
     return left.join(r, cond, how).drop(*renamed.values())
 
 
-def sizing_enabled(spark) -> bool:
-    """Whether to size blocks from the data (one small extra job per operator).
-
-    ``auto`` (default) sizes them in sessions configured for large data
-    (``spark.sql.shuffle.partitions`` >= 64); small sessions keep the fixed
-    1024 hash blocks per key, which already bounds a block to N / 1024 rows.
-    """
-    mode = (spark.conf.get(SIZING_CONF, "auto") or "auto").lower()
-    if mode in ("always", "true", "on"):
-        return True
-    if mode in ("off", "false", "never"):
-        return False
-    return int(spark.conf.get("spark.sql.shuffle.partitions")) >= SIZING_MIN_PARTITIONS
-
-
-def _block_counts(d: DataFrame, parts: list[str], h_col: str, bits: int) -> DataFrame:
-    return d.withColumn("_bkt", hash_bucket(F.col(h_col), bits)).groupBy(*parts, "_bkt") \
-        .agg(F.count(F.lit(1)).alias("_cnt"))
-
-
 def hash_rank(df: DataFrame, part_cols: list[str], h_col: str, tie_cols: list[str],
-              rank_col: str = "_rn", size_col: str | None = "_n",
-              bits: int | None = None, target_rows: int | None = None) -> DataFrame:
+              rank_col: str = "_rn", size_col: str | None = "_n", bits: int = RANK_BITS) -> DataFrame:
     """1-based rank of each row within ``part_cols`` ordered by (h_col, tie_cols).
 
     Equals ``row_number() over (partition by part_cols order by h, ties)`` but no
-    task ever sorts more than one hash block of one key.  ``size_col`` (optional)
-    receives the key's row count.
-
-    ``bits=None`` sizes the blocks from the data (see :func:`sizing_enabled`):
-    block counts are taken with ``BASE_RANK_BITS`` (and checkpointed, so the
-    input is not counted twice); if the largest block exceeds ``target_rows``
-    the hash is split further (one more count pass, only for data that large).
-    A fixed ``bits`` skips the sizing.
+    task ever sorts more than one hash block (of ``2**bits``) of one key.  ``size_col``
+    (optional) receives the key's row count.  NULL is a key like any other.
     """
-    target_rows = target_rows or TARGET_BLOCK_ROWS
-    parts = list(part_cols)
-    d = df
-    if not parts:
-        d = d.withColumn("_all", F.lit(0))
-        parts = ["_all"]
-    if bits is None and not sizing_enabled(df.sparkSession):
-        bits = BASE_RANK_BITS
-    if bits is None:
-        bits = BASE_RANK_BITS
-        counts = cut_lineage(_block_counts(d, parts, h_col, bits))
-        largest = counts.agg(F.max("_cnt")).first()[0] or 0
-        if largest > target_rows:
-            bits = min(HASH_BITS_MAX, bits + math.ceil(math.log2(largest / target_rows)))
-            counts = cut_lineage(_block_counts(d, parts, h_col, bits))
-    else:
-        counts = _block_counts(d, parts, h_col, bits)
-    d = d.withColumn("_bkt", hash_bucket(F.col(h_col), bits))
-    keys = parts + ["_bkt"]
-    before = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    cols = [*keys, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]
+    # a struct compares NULL fields as equal, so it is a plain key of joins and windows
+    key = F.struct(*[F.col(c) for c in part_cols]) if part_cols else F.lit(0)
+    d = df.withColumn("_key", key).withColumn("_bkt", hash_bucket(F.col(h_col), bits))
+    counts = d.groupBy("_key", "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy("_key").orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    cols = ["_key", "_bkt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")]
     if size_col:
-        cols.append(F.sum("_cnt").over(Window.partitionBy(*parts)).alias(size_col))
-    offsets = counts.select(*cols)
-    d = join_null_safe(d, offsets, keys)
-    w = Window.partitionBy(*keys).orderBy(F.col(h_col), *[F.col(c) for c in tie_cols])
-    out = d.withColumn(rank_col, F.row_number().over(w) + F.col("_off")).drop("_bkt", "_off")
-    return out.drop("_all") if not part_cols else out
+        cols.append(F.sum("_cnt").over(Window.partitionBy("_key")).alias(size_col))
+    w = Window.partitionBy("_key", "_bkt").orderBy(F.col(h_col), *[F.col(c) for c in tie_cols])
+    return d.join(counts.select(*cols), ["_key", "_bkt"]) \
+        .withColumn(rank_col, F.row_number().over(w) + F.col("_off")).drop("_key", "_bkt", "_off")
 
 
 def prefix_sums(base: DataFrame, part_cols: list[str], order_col: str, value_cols: list[str],
                 descending: bool = True, blocks: int | None = None, prefix: str = "cum_",
-                target_rows: int | None = None) -> DataFrame:
+                total_prefix: str | None = None) -> DataFrame:
     """Inclusive running sums of ``value_cols`` per ``part_cols`` in ``order_col`` order.
 
     ``base`` must be unique on (part_cols, order_col) (e.g. the output of a
     group-by); ties are then impossible and the running sum is well defined.
-    With ``blocks=None`` the range blocks start at ``spark.sql.shuffle.partitions``
-    and, when block sizing is on (:func:`sizing_enabled`), are re-cut finer
-    when the largest exceeds ``target_rows``.
+    ``blocks`` is the number of range blocks (``spark.sql.shuffle.partitions`` if
+    not given): a task sorts about ``rows / blocks`` rows.  ``total_prefix`` adds the
+    keys' totals, taken from the block sums.
     """
-    spark = base.sparkSession
-    target_rows = target_rows or TARGET_BLOCK_ROWS
-    n = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks or int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order: Column = F.col(order_col).desc() if descending else F.col(order_col).asc()
-
-    def ranged_into(parts: int) -> DataFrame:
-        r = base.repartitionByRange(parts, *[F.col(c) for c in part_cols], order) \
-            .withColumn("_blk", F.spark_partition_id())
-        # Freeze block ids: range bounds are sampled, so a recomputation could move rows.
-        return cut_lineage(r)
-
-    ranged = ranged_into(n)
-    if blocks is None and sizing_enabled(spark):
-        largest = ranged.groupBy("_blk").count().agg(F.max("count")).first()[0] or 0
-        if largest > target_rows:
-            ranged = ranged_into(n * math.ceil(largest / target_rows))
-    keys = list(part_cols) + ["_blk"]
-    totals = ranged.groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    before = Window.partitionBy(*part_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}")
-                                     for v in value_cols])
-    out = join_null_safe(ranged, offsets, keys)
-    running = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = base.repartitionByRange(n, *[F.col(c) for c in part_cols], order) \
+        .withColumn("_blk", F.spark_partition_id())
+    # Freeze block ids: range bounds are sampled, so a recomputation could move rows.
+    ranged = cut_lineage(ranged).withColumn("_key", F.struct(*[F.col(c) for c in part_cols]))
+    totals = ranged.groupBy("_key", "_blk").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    whole = Window.partitionBy("_key")
+    before = whole.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    cols = ["_key", "_blk", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in value_cols]]
+    if total_prefix:
+        cols += [F.sum(f"_t_{v}").over(whole).alias(f"{total_prefix}{v}") for v in value_cols]
+    out = ranged.join(totals.select(*cols), ["_key", "_blk"])
+    running = Window.partitionBy("_key", "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for v in value_cols:
         out = out.withColumn(f"{prefix}{v}", F.sum(v).over(running) + F.col(f"_o_{v}"))
-    return out.drop("_blk", *[f"_o_{v}" for v in value_cols])
+    return out.drop("_key", "_blk", *[f"_o_{v}" for v in value_cols])

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.session import broadcast
+from tidepool.functions.hashing import hash52
+from tidepool.session import broadcast, cut_lineage
 
 # Fixed values of the dropout hash (own design: integer mixing that stays inside 64 bits).
 MASK_MOD = 1000003
@@ -28,34 +29,44 @@ MASK_MUL_PASS = 104729
 MASK_MUL_UNIT = 1299709
 MASK_ADD = 12345
 MASK_ROUNDS = 3
-MASK_KEEP_BELOW = 500001
 
 DEFAULT_PASSES = 20
 DEFAULT_DROPOUT = 0.5
+
 CENTROID_SCALE = 16.0
-MAX_WEIGHT_CELLS = 50_000_000  # tasks x width shipped to executors
+MAX_WEIGHT_CELLS = 50_000_000  # tasks x width shipped to executors (400 MB); more is an error
 SCORE_TILE = 2048              # rows per in-task tile
 
 
-def keep_mask(keys: np.ndarray, pass_no: int, width: int) -> np.ndarray:
+def keep_below(dropout: float) -> int:
+    """Mask hashes under this are kept: a share of ``1 - dropout`` of all."""
+    return round((1.0 - dropout) * MASK_MOD)
+
+
+def mask_key(key: str, kind: T.DataType):
+    """Integer mask key of a row key: integers stand for themselves, others are hashed."""
+    return F.col(key).cast("long") if isinstance(kind, T.IntegralType) else hash52("mask", key)
+
+
+def keep_mask(keys: np.ndarray, pass_no: int, width: int, dropout: float = DEFAULT_DROPOUT) -> np.ndarray:
     """Boolean (n, width) keep-mask for integer row keys in pass ``pass_no``."""
     j = np.arange(width, dtype=np.int64)
     h = (np.mod(keys.astype(np.int64), MASK_MOD)[:, None] * MASK_MUL_ID
          + pass_no * MASK_MUL_PASS + j[None, :] * MASK_MUL_UNIT) % MASK_MOD
     for _ in range(MASK_ROUNDS):
         h = (h * h + 7 * h + MASK_ADD) % MASK_MOD
-    return h < MASK_KEEP_BELOW
+    return h < keep_below(dropout)
 
 
-def sql_keep_mask_ctes(src: str, passes: int) -> str:
+def sql_keep_mask_ctes(src: str, passes: int, dropout: float = DEFAULT_DROPOUT, key: str = "s.id") -> str:
     """DuckDB CTE text: ``mask_final(id, pass, j, keep)`` from ``src(id, j)`` rows."""
     steps = [f"mask_0 AS (SELECT s.id, r.range AS pass, s.j, "
-             f"(((s.id % {MASK_MOD}) * {MASK_MUL_ID} + r.range * {MASK_MUL_PASS} + s.j * {MASK_MUL_UNIT}) "
+             f"((({key} % {MASK_MOD}) * {MASK_MUL_ID} + r.range * {MASK_MUL_PASS} + s.j * {MASK_MUL_UNIT}) "
              f"% {MASK_MOD}) AS h FROM {src} s, range({passes}) r)"]
     for i in range(1, MASK_ROUNDS + 1):
         steps.append(f"mask_{i} AS (SELECT id, pass, j, (h * h + 7 * h + {MASK_ADD}) % {MASK_MOD} AS h "
                      f"FROM mask_{i - 1})")
-    steps.append(f"mask_final AS (SELECT id, pass, j, CASE WHEN h < {MASK_KEEP_BELOW} THEN 1 ELSE 0 END AS keep "
+    steps.append(f"mask_final AS (SELECT id, pass, j, CASE WHEN h < {keep_below(dropout)} THEN 1 ELSE 0 END AS keep "
                  f"FROM mask_{MASK_ROUNDS})")
     return ",\n".join(steps)
 
@@ -100,10 +111,9 @@ def _class_sums(cells: DataFrame, feats: DataFrame, tasks: list[str]) -> DataFra
                                   ("s", pa.list_(pa.float64()))]))
 
     part = d.mapInArrow(run, "task string, y double, n long, s array<double>")
-    counts = part.groupBy("task", "y").agg(F.sum("n").alias("n"))
-    sums = part.select("task", "y", F.posexplode("s").alias("j", "v")).groupBy("task", "y", "j") \
-        .agg(F.sum("v").alias("s"))
-    return sums.join(counts, ["task", "y"])
+    # the count travels with every unit's sum; the table (tasks x classes x width rows) is read twice
+    return cut_lineage(part.select("task", "y", "n", F.posexplode("s").alias("j", "v")).groupBy("task", "y", "j")
+                       .agg(F.sum("v").alias("s"), F.sum("n").alias("n")))
 
 
 def centroid_weights(cells: DataFrame, feats: DataFrame, scale: float = CENTROID_SCALE,
@@ -159,8 +169,8 @@ def train_surrogate(cells: DataFrame, feats: DataFrame, reg: float = 0.01, max_i
 
     One distributed fit per task (tasks are a handful of label columns, not
     data), several fits submitted concurrently; class weights
-    ``n / (2 n_class)`` when ``balance``.  A task with one class only is
-    skipped.  Returns the same ``(task, bias, w)`` table as
+    ``n / (2 n_class)`` when ``balance``.  A task with one class only gets w = 0,
+    b = 0, as there.  Returns the same ``(task, bias, w)`` table as
     :func:`centroid_weights`.
     """
     from concurrent.futures import ThreadPoolExecutor
@@ -174,24 +184,23 @@ def train_surrogate(cells: DataFrame, feats: DataFrame, reg: float = 0.01, max_i
         .select("task", F.col("y").cast("double").alias("label"), array_to_vector("x").alias("features"))
     counts = {r["task"]: (r["n"], r["n1"]) for r in
               lab.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).collect()}
-    wt = F.lit(1.0)
-    if balance:
-        ratio = F.create_map(*[x for t, (n, n1) in counts.items() if 0 < n1 < n
-                               for x in (F.lit(t), F.lit(float(n) / (2 * n1)))])
-        ratio0 = F.create_map(*[x for t, (n, n1) in counts.items() if 0 < n1 < n
-                                for x in (F.lit(t), F.lit(float(n) / (2 * (n - n1))))])
-        wt = F.when(F.col("label") == 1, ratio[F.col("task")]).otherwise(ratio0[F.col("task")])
-    lab = lab.withColumn("wt", wt).persist(StorageLevel.MEMORY_AND_DISK)
-    tasks = sorted(t for t, (n, n1) in counts.items() if 0 < n1 < n)
+    lab = lab.persist(StorageLevel.MEMORY_AND_DISK)
+    width = (feats.select(F.size("x").alias("d")).first() or {"d": 0})["d"]
 
     def fit(t):
+        n, n1 = counts[t]
+        if not 0 < n1 < n:
+            return (t, 0.0, [0.0] * width)
+        own = lab.where(F.col("task") == t)
+        own = own.withColumn("wt", F.when(F.col("label") == 1, n / (2 * n1)).otherwise(n / (2 * (n - n1)))
+                             if balance else F.lit(1.0))
         lr = LogisticRegression(regParam=reg, maxIter=max_iter, standardization=False, weightCol="wt")
-        model = lr.fit(lab.where(F.col("task") == t))
+        model = lr.fit(own)
         return (t, float(model.intercept), [float(v) for v in model.coefficients.toArray()])
 
     try:
-        with ThreadPoolExecutor(max_workers=max(1, min(concurrency, len(tasks)))) as ex:
-            rows = list(ex.map(fit, tasks))
+        with ThreadPoolExecutor(max_workers=max(1, min(concurrency, len(counts)))) as ex:
+            rows = list(ex.map(fit, sorted(counts)))
     finally:
         lab.unpersist()
     schema = T.StructType([T.StructField("task", T.StringType()), T.StructField("bias", T.DoubleType()),
@@ -202,13 +211,13 @@ def train_surrogate(cells: DataFrame, feats: DataFrame, reg: float = 0.01, max_i
 # ---- scoring ------------------------------------------------------------------------
 
 def collect_weights(weights: DataFrame, max_cells: int = MAX_WEIGHT_CELLS):
-    """Bring the (small, checked) weight table to the driver as numpy arrays."""
-    rows = weights.orderBy("task").collect()
-    if not rows:
+    """Bring the weight table (tasks x width, counted first) to the driver as numpy arrays."""
+    n, width = weights.agg(F.count(F.lit(1)), F.max(F.size("w"))).first()
+    if not n:
         raise ValueError("empty weight table")
-    width = len(rows[0]["w"])
-    if len(rows) * width > max_cells:
-        raise ValueError(f"weight table {len(rows)}x{width} exceeds {max_cells} cells; not shipping it")
+    if n * width > max_cells:
+        raise ValueError(f"weight table {n}x{width} exceeds {max_cells} cells; score fewer tasks at a time")
+    rows = weights.orderBy("task").collect()
     tasks = [r["task"] for r in rows]
     W = np.array([r["w"] for r in rows], dtype=np.float64)
     b = np.array([r["bias"] for r in rows], dtype=np.float64)
@@ -221,17 +230,6 @@ def _score_arrow(feats: DataFrame, weights: DataFrame, passes: int, dropout: flo
 
     weights = weights.persist(StorageLevel.MEMORY_AND_DISK)  # read by the size check and the collect
     try:
-        shape = weights.select(F.count(F.lit(1)).alias("t"), F.max(F.size("w")).alias("d")).first()
-        if shape["t"] and shape["t"] * shape["d"] > max_cells:
-            # too wide to ship at once: score in task chunks, each under the bound
-            per = max(1, max_cells // shape["d"])
-            names = [r["task"] for r in weights.select("task").orderBy("task").collect()]
-            parts = [_score_arrow(feats, weights.where(F.col("task").isin(names[i:i + per])), passes, dropout,
-                                  key_col, with_logit, max_cells) for i in range(0, len(names), per)]
-            out = parts[0]
-            for part in parts[1:]:
-                out = out.unionByName(part)
-            return out
         tasks, W, b = collect_weights(weights, max_cells)
     finally:
         weights.unpersist()
@@ -244,7 +242,9 @@ def _score_arrow(feats: DataFrame, weights: DataFrame, passes: int, dropout: flo
     else:
         fields += [T.StructField("ps", T.ArrayType(T.DoubleType()))]
     schema = T.StructType(fields)
-    src = feats.select("id", F.col(key_col).cast("long").alias("_key"), "x")
+    # without dropout no mask is drawn, and no key is needed
+    key = mask_key(key_col, feats.schema[key_col].dataType) if dropout else F.lit(0).cast("long")
+    src = feats.select("id", key.alias("_key"), "x")
 
     def run(batches):
         tnames, Wm, bv = bc.value
@@ -276,7 +276,7 @@ def _score_arrow(feats: DataFrame, weights: DataFrame, passes: int, dropout: flo
             for r in range(0, n, SCORE_TILE):
                 rs = slice(r, r + SCORE_TILE)
                 for k in range(passes):
-                    Xk = X[rs] * keep_mask(keys[rs], k, width) * scale if dropout else X[rs]
+                    Xk = X[rs] * keep_mask(keys[rs], k, width, dropout) * scale if dropout else X[rs]
                     out[rs, :, k] = 1.0 / (1.0 + np.exp(-(Xk @ Wm.T + bv)))
             offsets = pa.array(np.arange(0, n * n_t * passes + 1, passes, dtype=np.int32))
             ps = pa.ListArray.from_arrays(offsets, pa.array(out.reshape(-1)))
@@ -293,13 +293,13 @@ def score_mc(feats: DataFrame, weights: DataFrame, passes: int = DEFAULT_PASSES,
     return _score_arrow(feats, weights, passes, dropout, key_col, with_logit=False)
 
 
-def _mask_expr(key, pass_no, j):
+def _mask_expr(key, pass_no, j, dropout):
     """The dropout hash as a Spark expression (same integers as :func:`keep_mask`)."""
     P = F.lit(MASK_MOD).cast("long")
     h0 = F.pmod(F.pmod(key, P) * MASK_MUL_ID + pass_no.cast("long") * MASK_MUL_PASS
                 + j.cast("long") * MASK_MUL_UNIT, P)
     return F.aggregate(F.array_repeat(F.lit(0), MASK_ROUNDS), h0,
-                       lambda h, _: F.pmod(h * h + 7 * h + MASK_ADD, P)) < MASK_KEEP_BELOW
+                       lambda h, _: F.pmod(h * h + 7 * h + MASK_ADD, P)) < keep_below(dropout)
 
 
 def score_mc_expr(feats: DataFrame, weights: DataFrame, passes: int = DEFAULT_PASSES,
@@ -315,10 +315,10 @@ def score_mc_expr(feats: DataFrame, weights: DataFrame, passes: int = DEFAULT_PA
     tasks, W, b = collect_weights(weights)
     scale = 1.0 / (1.0 - dropout)
     Wl, bl = F.lit(W.tolist()), F.lit(b.tolist())
-    key = F.col(key_col).cast("long")
+    key = mask_key(key_col, feats.schema[key_col].dataType)
 
     def probs_for_pass(k):
-        xm = F.transform("x", lambda v, j: F.when(_mask_expr(key, k, j), v.cast("double") * scale)
+        xm = F.transform("x", lambda v, j: F.when(_mask_expr(key, k, j, dropout), v.cast("double") * scale)
                          .otherwise(F.lit(0.0)))
         return F.transform(F.sequence(F.lit(1), F.lit(len(tasks))), lambda t: F.lit(1.0) / (F.lit(1.0) + F.exp(-(
             F.aggregate(F.zip_with(xm, F.element_at(Wl, t), lambda a, w: a * w), F.lit(0.0), lambda acc, v: acc + v)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.hashing import hash52
-from tidepool.operators.ranking import hash_rank
+from tidepool.operators.ranking import hash_rank, join_null_safe
 
 
 def _with_rank(df: DataFrame, key: str, seed, strata: list[str]) -> DataFrame:
@@ -88,7 +88,7 @@ def split_by_group(df: DataFrame, group_col: str, frac_train: float = 0.8, seed=
                        size_col=None)
     groups = ranked.join(F.broadcast(decision), "_size") \
         .select(group_col, F.when(F.col("_rn") <= F.col("_take"), "train").otherwise("test").alias("role"))
-    return df.join(groups, group_col, "inner")
+    return join_null_safe(df, groups, [group_col])  # rows without a group are a group of their own
 
 
 def kfold_stratified(df: DataFrame, label_col: str, k: int = 5, seed=42, key: str = "id") -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidepool.functions.hashing import sql_hash52
 from tidepool.operators import acquisition as acq
 from tidepool.operators import selection as sel
 from tidepool.operators.scoring import (
@@ -43,6 +44,19 @@ def q_score_mc(spark, sf_dir):
     return rounded(explode_passes(preds).select("id", "task", F.col("pass").cast("long").alias("pass"), "p"))
 
 
+STRING_KEY = "'k' || CAST(s.id AS VARCHAR)"
+
+
+@register("score_mc_string_key", sql_rounded(
+    _with(SQL_AL_BASE, sql_probs("probs", SQL_POOL_IDS, K, rate=0.2, key=sql_hash52("mask", STRING_KEY))) +
+    "\nSELECT 'k' || CAST(id AS VARCHAR) AS id, task, avg(p) AS mean FROM probs GROUP BY id, task", ["mean"]))
+def q_score_mc_string_key(spark, sf_dir):
+    """Row keys that are strings, and another dropout rate."""
+    inp = al_inputs(spark, sf_dir)
+    feats = pool_feats(inp).withColumn("id", F.concat(F.lit("k"), F.col("id").cast("string")))
+    return rounded(pred_mean_var(score_mc(feats, inp.weights, passes=K, dropout=0.2)).select("id", "task", "mean"))
+
+
 @register("score_deterministic", sql_rounded(_with(SQL_AL_BASE, sql_probs("probs", SQL_TEST_IDS, 1, dropout=False)) +
                                              "\nSELECT id, task, z, p FROM probs", ["z", "p"]))
 def q_score_deterministic(spark, sf_dir):
@@ -452,17 +466,26 @@ from tidepool.operators import metrics as mt  # noqa: E402
 
 
 def metric_scores(spark, sf_dir):
-    """Two score kinds per line status: 'disc' (11 values, many ties) and 'price' (near-continuous)."""
+    """Two score kinds per line status: 'disc' (11 values, many ties) and 'price' (near-continuous);
+    a task without positives and one with NaN scores, from the labels."""
     li = td.table(spark, sf_dir, "lineitem")
     y = (F.col("l_returnflag") == "R").cast("double").alias("y")
     disc = li.select(F.concat(F.col("l_linestatus"), F.lit("/disc")).alias("task"), y,
                      (F.col("l_discount") * 10).alias("p"))
     price = li.select(F.concat(F.col("l_linestatus"), F.lit("/price")).alias("task"), y,
                       ((F.col("l_extendedprice") % 1000) / 1000).alias("p"))
-    return disc.unionByName(price)
+    lab = td.table(spark, sf_dir, "labels")
+    p = (F.col("doc_id") % 100) / 100
+    negative = lab.select(F.lit("labels/negative").alias("task"), F.lit(0.0).alias("y"), p.alias("p"))
+    nan = lab.select(F.lit("labels/nan").alias("task"), F.col("toxic").cast("double").alias("y"),
+                     F.when(F.col("quality") == 0, F.lit(float("nan"))).otherwise(p).alias("p"))
+    return disc.unionByName(price).unionByName(negative).unionByName(nan)
 
 
 SQL_METRIC_SCORES = """metric_scores AS (
+SELECT 'labels/negative' AS task, 0.0 AS y, (doc_id % 100) / 100 AS p FROM labels UNION ALL
+SELECT 'labels/nan', CAST(toxic AS DOUBLE), CASE WHEN quality = 0 THEN CAST('nan' AS DOUBLE) ELSE (doc_id % 100) / 100 END
+FROM labels UNION ALL
 SELECT l_linestatus || '/disc' AS task, CAST(CAST(l_returnflag = 'R' AS INTEGER) AS DOUBLE) AS y, l_discount * 10 AS p
 FROM lineitem UNION ALL
 SELECT l_linestatus || '/price' AS task, CAST(CAST(l_returnflag = 'R' AS INTEGER) AS DOUBLE) AS y,
@@ -471,12 +494,15 @@ SELECT l_linestatus || '/price' AS task, CAST(CAST(l_returnflag = 'R' AS INTEGER
 
 def sql_curve(src: str) -> str:
     return f"""
-base AS (SELECT task, p, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS n_pos, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS n_neg
-         FROM {src} WHERE y IN (0, 1) AND p IS NOT NULL AND NOT isnan(p) GROUP BY task, p),
+base_all AS (SELECT task, p, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS n_pos, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS n_neg
+             FROM {src} WHERE y IN (0, 1) AND p IS NOT NULL GROUP BY task, p),
+nan_tasks AS (SELECT DISTINCT task FROM base_all WHERE isnan(p)),
+base AS (SELECT * FROM base_all WHERE task NOT IN (SELECT task FROM nan_tasks)),
 curve AS (SELECT task, p, n_pos, n_neg,
                  sum(n_pos) OVER (PARTITION BY task ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS cum_n_pos,
                  sum(n_neg) OVER (PARTITION BY task ORDER BY p DESC ROWS UNBOUNDED PRECEDING) AS cum_n_neg,
-                 sum(n_pos) OVER (PARTITION BY task) AS tot_pos, sum(n_neg) OVER (PARTITION BY task) AS tot_neg FROM base),
+                 sum(n_pos) OVER (PARTITION BY task) AS tot_pos, sum(n_neg) OVER (PARTITION BY task) AS tot_neg FROM base
+          UNION ALL SELECT task, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM nan_tasks),
 pts AS (SELECT *,
           CAST(cum_n_pos AS DOUBLE) / NULLIF(tot_pos, 0) AS tpr, CAST(cum_n_neg AS DOUBLE) / NULLIF(tot_neg, 0) AS fpr,
           CAST(cum_n_pos - n_pos AS DOUBLE) / NULLIF(tot_pos, 0) AS tpr_prev,
@@ -498,10 +524,12 @@ sens_spec AS (SELECT task,
           CASE WHEN bacc IS NULL THEN NULL WHEN bacc > 0.5 THEN 1.0 - fpr ELSE 1.0 END AS specificity,
           CASE WHEN bacc > 0.5 THEN p END AS threshold FROM best),
 roc_auc AS (SELECT task, sum((fpr - fpr_prev) * (tpr + tpr_prev) / 2) AS roc_auc FROM pts GROUP BY task),
-aupr AS (SELECT task, sum((recall - recall_prev) * (precision + precision_prev) / 2) AS AUPR FROM pr_pts GROUP BY task),
-ap AS (SELECT task, sum((recall - recall_prev) * precision) AS average_precision FROM pr_pts GROUP BY task),
-f1 AS (SELECT task, max(CAST(2 * cum_n_pos AS DOUBLE) / NULLIF(cum_n_pos + cum_n_neg + tot_pos, 0)) AS f1_score
-       FROM pr_pts GROUP BY task),
+aupr AS (SELECT task, sum((recall - recall_prev) * (precision + precision_prev) / 2)
+                FILTER (cum_n_pos - n_pos < tot_pos) AS AUPR FROM pts GROUP BY task),
+ap AS (SELECT task, sum((recall - recall_prev) * precision) FILTER (cum_n_pos - n_pos < tot_pos) AS average_precision
+       FROM pts GROUP BY task),
+f1 AS (SELECT task, max(CAST(2 * cum_n_pos AS DOUBLE) / NULLIF(cum_n_pos + cum_n_neg + tot_pos, 0))
+              FILTER (cum_n_pos - n_pos < tot_pos) AS f1_score FROM pts GROUP BY task),
 ece_bins AS (SELECT task, {' + '.join(f"CASE WHEN p >= CAST('{e!r}' AS DOUBLE) THEN 1 ELSE 0 END" for e in mt.ECE_EDGES)} AS bin,
                     n_pos, n_neg, p FROM curve),
 ece_b AS (SELECT task, bin, sum(n_pos + n_neg) AS nb, sum(n_pos) AS pos, sum(p * (n_pos + n_neg)) AS psum
@@ -595,7 +623,7 @@ def q_average_precision(spark, sf_dir):
 
 @register("ece", sql_rounded(SQL_M + "SELECT * FROM ece", ["ECE"]))
 def q_ece(spark, sf_dir):
-    return rounded(mt.ece(mt.score_counts(metric_scores(spark, sf_dir))))
+    return rounded(mt.ece(mt.score_rows(metric_scores(spark, sf_dir))))
 
 
 @register("ace", sql_rounded(SQL_M + "SELECT * FROM ace", ["ACE"]))
@@ -741,7 +769,8 @@ def q_split_stratified(spark, sf_dir):
 
 
 SQL_GROUP_SPLIT = f"""WITH RECURSIVE
-g AS (SELECT source AS grp, count(*) AS sz FROM documents GROUP BY source),
+src AS (SELECT doc_id, NULLIF(source, 'src0') AS source FROM documents),
+g AS (SELECT source AS grp, count(*) AS sz FROM src GROUP BY source),
 hist AS (SELECT sz, count(*) AS m, row_number() OVER (ORDER BY sz DESC) AS i FROM g GROUP BY sz),
 tot AS (SELECT 0.8 * count(*) AS cutoff FROM documents),
 fill(i, filled, take) AS (
@@ -756,12 +785,13 @@ fill(i, filled, take) AS (
 gr AS (SELECT grp, sz, row_number() OVER (PARTITION BY sz ORDER BY {sql_hash52(42, 'grp')}, grp) AS rn FROM g),
 dec AS (SELECT gr.grp, CASE WHEN gr.rn <= f.take THEN 'train' ELSE 'test' END AS role
         FROM gr JOIN hist h ON gr.sz = h.sz JOIN fill f ON f.i = h.i)
-SELECT d.doc_id, d.source, dec.role FROM documents d JOIN dec ON d.source = dec.grp"""
+SELECT d.doc_id, d.source, dec.role FROM src d JOIN dec ON d.source IS NOT DISTINCT FROM dec.grp"""
 
 
 @register("split_by_group", SQL_GROUP_SPLIT)
 def q_split_by_group(spark, sf_dir):
-    d = td.table(spark, sf_dir, "documents").select("doc_id", "source")
+    """Groups are the sources; src0 is made NULL, which is a group like any other."""
+    d = td.table(spark, sf_dir, "documents").select("doc_id", F.expr("nullif(source, 'src0')").alias("source"))
     return sp.split_by_group(d, "source", 0.8, 42).select("doc_id", "source", "role")
 
 
@@ -937,15 +967,23 @@ def q_al_step(spark, sf_dir):
     return res.query
 
 
-RUN_SEED = 11
-RUN_ITERS = 3
+RUN_ITERS = 2
 RUN_N = 5
+RUN_DROPOUT = 0.2
 
 
 def _sql_run_history() -> list[str]:
-    ctes = ["pool_0 AS (SELECT * FROM pool)"]
+    """The BALD loop: every iteration fits, evaluates and queries in a nested query."""
+    ctes = ["train_0 AS (SELECT * FROM seed)", "pool_0 AS (SELECT * FROM pool)"]
     for i in range(RUN_ITERS):
-        ctes.append(f"q_{i} AS ({_sql_uniform(f'SELECT * FROM pool_{i}', RUN_N, RUN_SEED, i)})")
+        fit = sql_centroid_weights(f"SELECT * FROM train_{i}", "SELECT * FROM feats")
+        probs = sql_probs("probs", f"SELECT DISTINCT id FROM pool_{i} WHERE y IS NOT NULL", K, rate=RUN_DROPOUT)
+        ctes.append(f"q_{i} AS ({_with(fit, probs, f'bald AS ({SQL_BALD})')} SELECT p.id, p.task, p.y FROM bald b "
+                    f"JOIN pool_{i} p ON b.id = p.id AND b.task = p.task WHERE p.y IS NOT NULL "
+                    f"ORDER BY b.score DESC, b.id, b.task LIMIT {RUN_N})")
+        ctes.append(f"m_{i} AS ({_with(fit, sql_probs('probs', SQL_TEST_IDS, 1, dropout=False), SQL_REPORT_SCORES, sql_curve('report_scores'))}"
+                    f" SELECT * FROM mtab)")
+        ctes.append(f"train_{i + 1} AS (SELECT * FROM train_{i} UNION ALL SELECT * FROM q_{i})")
         ctes.append(f"pool_{i + 1} AS (SELECT p.* FROM pool_{i} p WHERE NOT EXISTS "
                     f"(SELECT 1 FROM q_{i} q WHERE q.id = p.id AND q.task = p.task))")
     ctes.append("hist AS (" + " UNION ALL ".join(
@@ -957,26 +995,40 @@ def _sql_run_history() -> list[str]:
 def _run(spark, sf_dir):
     from tidepool.session import scratch_path
     inp, seed, pool = _step_inputs(spark, sf_dir)
-    path = scratch_path(spark, "al_run_history")
-    cfg = lp.RunConfig(run_id=0, iterations=RUN_ITERS, history_path=path,
-                       step=lp.StepConfig("uniform", n_query=RUN_N, seed=RUN_SEED))
-    out = lp.al_run(seed, pool, inp.feats, cfg)
-    return path, seed, pool, out
+    cfg = lp.RunConfig(run_id=0, iterations=RUN_ITERS, history_path=scratch_path(spark, "al_run_history"),
+                       metrics_path=scratch_path(spark, "al_run_metrics"),
+                       step=lp.StepConfig("BALD", n_query=RUN_N, passes=K, dropout=RUN_DROPOUT))
+    lp.al_run(seed, pool, inp.feats, cfg, test_cells=inp.test_cells)
+    return cfg, seed, pool
+
+
+RUN_METRICS = ["balanced_acc", "roc_auc", "average_precision", "ECE"]
 
 
-@register("al_run", _with(*SQL_STEP_DATA, *_sql_run_history()) + "\nSELECT * FROM hist")
+@register("al_run", sql_rounded(_with(*SQL_STEP_DATA, *_sql_run_history()) +
+          "\nSELECT 'query' AS kind, iteration, id, task, 'y' AS name, y AS value FROM hist UNION ALL " + " UNION ALL ".join(
+    f"SELECT 'metric', {i}, NULL, {task}, '{c}', {value} FROM m_{i}{group}"
+    for i in range(RUN_ITERS) for c in RUN_METRICS
+    for task, value, group in (("task", c, ""), ("'mean'", f"avg({c})", ""))), ["value"]))
 def q_al_run(spark, sf_dir):
-    path, _, _, _ = _run(spark, sf_dir)
-    return spark.read.parquet(path).select(F.col("run_id").cast("long"), F.col("iteration").cast("long"),
-                                           "id", "task", "y")
+    """History and metrics of a BALD run: fit, evaluate, query and update in every iteration."""
+    cfg, _, _ = _run(spark, sf_dir)
+    it = F.col("iteration").cast("long").alias("iteration")
+    hist = spark.read.parquet(cfg.history_path).select(
+        F.lit("query").alias("kind"), it, F.col("id").cast("long"), "task", F.lit("y").alias("name"),
+        F.col("y").cast("double").alias("value"))
+    long = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in RUN_METRICS])).alias("m")
+    metrics = spark.read.parquet(cfg.metrics_path).select(it, F.col("Tasks").alias("task"), long).select(
+        F.lit("metric").alias("kind"), "iteration", F.lit(None).cast("long").alias("id"), "task", "m.name", "m.value")
+    return rounded(hist.unionByName(metrics))
 
 
 @register("iteration_done", _with(*SQL_STEP_DATA, *_sql_run_history()) +
           "\nSELECT CAST(r.range AS BIGINT) AS iteration, CASE WHEN r.range IN (SELECT iteration FROM hist) "
           "THEN 1 ELSE 0 END AS done FROM range(5) r")
 def q_iteration_done(spark, sf_dir):
-    path, _, _, _ = _run(spark, sf_dir)
-    return lp.iterations_done(spark, path, 0, list(range(5))).select("iteration", F.col("done").cast("int"))
+    cfg, _, _ = _run(spark, sf_dir)
+    return lp.iterations_done(spark, cfg.history_path, 0, list(range(5))).select("iteration", F.col("done").cast("int"))
 
 
 @register("replay_history", _with(*SQL_STEP_DATA, *_sql_run_history()) +
@@ -984,8 +1036,8 @@ def q_iteration_done(spark, sf_dir):
           "UNION ALL SELECT 'pool', p.id, p.task, p.y FROM pool p WHERE NOT EXISTS "
           "(SELECT 1 FROM hist h WHERE h.id = p.id AND h.task = p.task)")
 def q_replay_history(spark, sf_dir):
-    path, seed, pool, _ = _run(spark, sf_dir)
-    train, pool_t = lp.replay_history(spark, path, seed, pool, 0)
+    cfg, seed, pool = _run(spark, sf_dir)
+    train, pool_t = lp.replay_history(spark, cfg.history_path, seed, pool, 0)
     return train.select(F.lit("train").alias("role"), "id", "task", "y").unionByName(
         pool_t.select(F.lit("pool").alias("role"), "id", "task", "y"))
 
@@ -1024,12 +1076,12 @@ def _doc_fps(spark, sf_dir):
 
 @register("similarity_clusters")
 def q_similarity_clusters(spark, sf_dir):
-    return clu.similarity_clusters(_doc_fps(spark, sf_dir), "doc_id", clu.DEFAULT_THRESHOLD, CLUSTER_BITS) \
+    return clu.similarity_clusters(_doc_fps(spark, sf_dir), "doc_id", clu.DEFAULT_THRESHOLD) \
         .select("doc_id", "cluster", F.col("is_centre").cast("int").alias("is_centre"))
 
 
 @register("split_by_cluster")
 def q_split_by_cluster(spark, sf_dir):
     docs = td.table(spark, sf_dir, "documents").select("doc_id", "source")
-    return clu.split_by_cluster(docs, _doc_fps(spark, sf_dir), "doc_id", 0.8, 42, universe=CLUSTER_BITS) \
+    return clu.split_by_cluster(docs, _doc_fps(spark, sf_dir), "doc_id", 0.8, 42) \
         .select("doc_id", "cluster", "role")

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import acquisition as acq
 from tidepool.operators import selection as sel
-from tidepool.operators.scoring import DEFAULT_PASSES, centroid_weights, score_deterministic, score_mc
+from tidepool.operators.scoring import (
+    DEFAULT_DROPOUT, DEFAULT_PASSES, centroid_weights, score_deterministic, score_mc, train_surrogate,
+)
 from tidepool.session import broadcast_scope, cut_lineage
-from tidepool.sources.io import append_history
+from tidepool.sources.io import append_history, read_if_present
 
 STRATEGIES = ("BALD", "EPIG_MT", "greedy", "ucb", "uniform")
 
@@ -33,6 +35,7 @@ class StepConfig:
     seed: int = 0
     ucb_beta: float = acq.UCB_BETA
     main_task: str | None = None
+    dropout: float = DEFAULT_DROPOUT
     check: bool = True
 
 
@@ -67,11 +70,11 @@ def al_step(train: DataFrame, pool: DataFrame, feats: DataFrame, weights: DataFr
         query = acq.uniform(pool, cfg.n_query, cfg.seed, iteration).select("id", "task", "y")
     else:
         pool_f = feats.join(pool.where(F.col("y").isNotNull()).select("id").distinct(), "id", "left_semi")
-        preds = score_mc(pool_f, weights, passes=cfg.passes)
+        preds = score_mc(pool_f, weights, passes=cfg.passes, dropout=cfg.dropout)
         targ = None
         if cfg.strategy == "EPIG_MT":
             tw = weights.where(F.col("task") == cfg.main_task)
-            targ = score_mc(target_feats, tw, passes=cfg.passes).select("id", "ps")
+            targ = score_mc(target_feats, tw, passes=cfg.passes, dropout=cfg.dropout).select("id", "ps")
         raw = acquisition_scores(preds, cfg, targ)
         if cfg.strategy == "EPIG_MT" and cfg.check:
             # EPIG can be negative (only the joint-positive term is summed): report it, keep going
@@ -95,6 +98,16 @@ class RunConfig:
     step: StepConfig = field(default_factory=StepConfig)
     history_path: str | None = None
     metrics_path: str | None = None
+    surrogate: str = "centroid"  # or "logistic"
+
+
+def fit_surrogate(name: str, train: DataFrame, feats: DataFrame, tasks: list[str]) -> DataFrame:
+    """Weights ``(task, bias, w)`` of the named surrogate, one row per task."""
+    if name == "centroid":
+        return centroid_weights(train, feats, tasks=tasks)
+    if name == "logistic":
+        return train_surrogate(train, feats)
+    raise ValueError(f"unknown surrogate {name!r}")
 
 
 def al_run(train: DataFrame, pool: DataFrame, feats: DataFrame, cfg: RunConfig,
@@ -102,7 +115,8 @@ def al_run(train: DataFrame, pool: DataFrame, feats: DataFrame, cfg: RunConfig,
            start_iteration: int = 0) -> dict:
     """The loop: fit surrogate, evaluate, acquire, update; history and metrics appended per iteration.
 
-    Iterations already present in the history are skipped (resume).  The
+    Iterations already present in the history are replayed at once, and the loop goes on
+    after them (resume).  It ends early when the pool holds no labelled cell.  The
     working sets are checkpointed at the end of every iteration.
     """
     from tidepool.operators import metrics as mt
@@ -111,16 +125,22 @@ def al_run(train: DataFrame, pool: DataFrame, feats: DataFrame, cfg: RunConfig,
     train = cut_lineage(train)
     pool = cut_lineage(pool)
     tasks = sorted(r["task"] for r in train.select("task").union(pool.select("task")).distinct().collect())
-    for it in range(start_iteration, start_iteration + cfg.iterations):
+    last = start_iteration + cfg.iterations
+    done = stored_iterations(spark, cfg.history_path, cfg.run_id) if cfg.history_path else set()
+    first = start_iteration
+    while first in done and first < last:
+        first += 1
+    if first > start_iteration:
+        train, pool = replay_history(spark, cfg.history_path, train, pool, cfg.run_id, upto=first - 1)
+        train, pool = cut_lineage(train), cut_lineage(pool)
+    for it in range(first, last):
+        if pool.where(F.col("y").isNotNull()).isEmpty():
+            break
         with broadcast_scope():
-            if cfg.history_path and iteration_done(spark, cfg.history_path, cfg.run_id, it):
-                train, pool = replay_history(spark, cfg.history_path, train, pool, cfg.run_id, upto=it)
-                train, pool = cut_lineage(train), cut_lineage(pool)
-                continue
             evaluate = bool(cfg.metrics_path and test_cells is not None)
             weights = None
             if cfg.step.strategy != "uniform" or evaluate:  # the uniform strategy needs no model
-                weights = cut_lineage(centroid_weights(train, feats, tasks=tasks))
+                weights = cut_lineage(fit_surrogate(cfg.surrogate, train, feats, tasks))
             if evaluate:
                 tf = feats.join(test_cells.select("id").distinct(), "id", "left_semi")
                 preds = score_deterministic(tf, weights).select("id", "task", "p")
@@ -136,14 +156,24 @@ def al_run(train: DataFrame, pool: DataFrame, feats: DataFrame, cfg: RunConfig,
 
 
 def iteration_done(spark: SparkSession, history_path: str, run_id: int, iteration: int) -> bool:
-    """Does the history hold rows for (run_id, iteration)?  Partition-pruned, reads at most one row."""
-    try:
-        h = spark.read.parquet(history_path)
-    except Exception:  # no history yet
+    """Does the history hold rows for (run_id, iteration)?  Partition-pruned, reads at most one row.
+
+    No history means no; a damaged one raises.
+    """
+    h = read_if_present(spark, history_path)
+    if h is None:
         return False
     return bool(h.where((F.col("run_id") == run_id) & (F.col("iteration") == iteration)).limit(1).collect())
 
 
+def stored_iterations(spark: SparkSession, history_path: str, run_id: int) -> set[int]:
+    """Iterations of a run that the history holds (one number per iteration comes back)."""
+    h = read_if_present(spark, history_path)
+    if h is None:
+        return set()
+    return {int(r[0]) for r in h.where(F.col("run_id") == run_id).select("iteration").distinct().collect()}
+
+
 def iterations_done(spark: SparkSession, history_path: str, run_id: int, iterations: list[int]) -> DataFrame:
     """(iteration, done) for several iterations in one job over the partition listing."""
     h = spark.read.parquet(history_path).where(F.col("run_id") == run_id).select("iteration").distinct()

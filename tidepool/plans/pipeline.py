@@ -10,8 +10,9 @@ Configuration keys follow the established key names where they exist
 ``selected_tasks``, ``main_task``, ``main_task_initial_set_samples``,
 ``sampling_strategy``, ``num_forward_passes``, ``n_query``,
 ``num_iterations``, ``ucb_beta``, ``dropout_p``, ``seed``,
-``train_test_split_exists``).  Keys added here: ``output_dir`` (folder for
-history and metrics tables), ``group_col`` (group key for the scaffold-style
+``train_test_split_exists``, ``aux_task``, ``aux_task_samples``).  Keys added here:
+``surrogate`` (``centroid`` or ``logistic``), ``output_dir`` (folder for the
+initial set, the validation set, history and metrics tables), ``group_col`` (group key for the scaffold-style
 split, since no chemistry is computed), ``train_file`` / ``test_file`` (when
 the split exists), ``butina_threshold`` and ``run_id``.
 """
@@ -28,6 +29,7 @@ from tidepool.operators import fingerprint as fp
 from tidepool.operators import reshape as rs
 from tidepool.operators import sampling as smp
 from tidepool.operators import split as sp
+from tidepool.operators.scoring import DEFAULT_DROPOUT
 from tidepool.plans import loop as lp
 from tidepool.session import cut_lineage
 from tidepool.sources import io as sio
@@ -47,7 +49,7 @@ def fingerprint_job(spark: SparkSession, input_path: str, output_path: str, colu
     """
     df = sio.read_table(spark, input_path, normalize=False)
     if column not in df.columns:
-        raise ValueError(f"Column '{column}' not found in the input file")
+        raise ValueError(f"{input_path} has no column {column!r}; it has {df.columns}")
     if key is None:
         # row number in file order; deterministic for a given file listing, so both
         # outputs (and any retried task) see the same numbers without materialising
@@ -88,8 +90,8 @@ def load_labelled(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFra
     labels keep only keys with features, one row per key (first in file order), and
     features keep only labelled keys — always joined by key, never by position."""
     key = config.get("Compound_col", "SMILES")
-    tasks = list(config["selected_tasks"])
-    labels = sio.read_table(spark, config["target_file"], normalize=True)
+    tasks = task_list(config)
+    labels = sio.read_table(spark, config["target_file"], normalize=True, label_cols=tasks)
     ftype = config.get("features_type", "BERT")
     feat_path = config["ECFP_features_file"] if ftype == "FP" else config["BERT_features_file"]
     feat_key = config.get("features_key_col", "SMILES")
@@ -99,7 +101,7 @@ def load_labelled(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFra
                          _file_order().alias("_o"))
     wide = rs.labels_with_features(wide, feats)
     wide = rs.dedup_keep_first(wide, ["id"], ["_o"]).drop("_o")
-    wide = cut_lineage(wide)
+    wide = cut_lineage(wide.select("id", *tasks))
     feats = cut_lineage(rs.features_for_labels(feats, wide))
     return rs.melt_labels(wide, tasks, keep_null=True), feats
 
@@ -112,7 +114,7 @@ def split_train_test(cells: DataFrame, feats: DataFrame, config: dict, split_see
     if splitter == "RandomSplitter":
         return sp.split_random(ids, frac, split_seed)
     if splitter == "RandomStratifiedSplitter":
-        tasks = list(config["selected_tasks"])
+        tasks = task_list(config)
         wide = rs.to_wide(cells, tasks)
         return sp.split_stratified(wide.withColumn("_sig", sp.label_signature(tasks)), ["_sig"], frac,
                                    split_seed).select("id", "role")
@@ -121,7 +123,8 @@ def split_train_test(cells: DataFrame, feats: DataFrame, config: dict, split_see
         if not gcol:
             raise ValueError("ScaffoldSplitter needs 'group_col' (no chemistry is computed here)")
         groups = sio.read_table(spark_of(cells), config["target_file"]) \
-            .select(F.col(config.get("Compound_col", "SMILES")).alias("id"), F.col(gcol).alias("_grp"))
+            .select(F.col(config.get("Compound_col", "SMILES")).alias("id"), F.col(gcol).alias("_grp"), _file_order().alias("_o"))
+        groups = rs.dedup_keep_first(groups, ["id"], ["_o"]).drop("_o")  # a repeated key has the group of its first row
         return sp.split_by_group(ids.join(groups, "id"), "_grp", frac, split_seed).select("id", "role")
     if splitter == "ButinaSplitter":
         bits = _bits_from_dense(feats.join(ids, "id", "left_semi"))
@@ -131,6 +134,12 @@ def split_train_test(cells: DataFrame, feats: DataFrame, config: dict, split_see
     raise ValueError(f"Invalid splitter: {splitter}")
 
 
+def task_list(config: dict) -> list[str]:
+    """``selected_tasks`` may be one name or a list."""
+    tasks = config["selected_tasks"]
+    return [tasks] if isinstance(tasks, str) else list(tasks)
+
+
 def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -143,7 +152,7 @@ def active_learning_run(spark: SparkSession, config: dict) -> dict:
     A history already holding iterations is resumed, not recomputed.
     """
     seed = int(config.get("seed", 0))
-    tasks = list(config["selected_tasks"])
+    tasks = task_list(config)
     main = config.get("main_task", tasks[0])
     out_dir = config["output_dir"].rstrip("/")
     cells, feats = load_labelled(spark, config)
@@ -158,6 +167,12 @@ def active_learning_run(spark: SparkSession, config: dict) -> dict:
     test_cells = cut_lineage(cells.join(roles.where(F.col("role") == "test"), "id", "left_semi"))
     n0 = int(config.get("main_task_initial_set_samples", 100))
     seed_set = smp.seed_set_balanced(train_all, main, n0, seed).select("id", "task", "y")
+    if config.get("aux_task") and config.get("aux_task_samples"):
+        aux = [config["aux_task"]] if isinstance(config["aux_task"], str) else list(config["aux_task"])
+        seed_set = seed_set.unionByName(smp.seed_set_aux(train_all, aux, int(config["aux_task_samples"]), seed)
+                                        .select("id", "task", "y"))
+    seed_set = cut_lineage(seed_set)
+    sio.write_table(seed_set, f"{out_dir}/initial_set")
     rest = smp.remainder_pool(train_all, seed_set, by="cells")
     # pool / validation 85 / 15, stratified on the label signature, with the run seed
     wide = rs.to_wide(rest, tasks)
@@ -168,8 +183,8 @@ def active_learning_run(spark: SparkSession, config: dict) -> dict:
     sio.write_table(val, f"{out_dir}/validation")
     step = lp.StepConfig(strategy=config.get("sampling_strategy", "BALD"), n_query=int(config.get("n_query", 1)),
                          passes=int(config.get("num_forward_passes", 20)), seed=seed,
-                         ucb_beta=float(config.get("ucb_beta", 2.0)), main_task=main)
-    run = lp.RunConfig(run_id=int(config.get("run_id", 0)), iterations=int(config.get("num_iterations", 1)),
+                         ucb_beta=float(config.get("ucb_beta", 2.0)), main_task=main, dropout=float(config.get("dropout_p", DEFAULT_DROPOUT)))
+    run = lp.RunConfig(surrogate=config.get("surrogate", "centroid"), run_id=int(config.get("run_id", 0)), iterations=int(config.get("num_iterations", 1)),
                        step=step, history_path=f"{out_dir}/query_history", metrics_path=f"{out_dir}/metrics_history")
     target_feats = feats.join(test_cells.select("id").distinct(), "id", "left_semi")
     res = lp.al_run(seed_set, pool, feats, run, test_cells=test_cells, target_feats=target_feats)

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.hashing import sql_hash52
 from tidepool.operators.scoring import (
-    DEFAULT_PASSES, centroid_weights, sql_centroid_weights, sql_keep_mask_ctes,
+    DEFAULT_DROPOUT, DEFAULT_PASSES, centroid_weights, sql_centroid_weights, sql_keep_mask_ctes,
 )
 from tidepool.operators.split import split_random
+from tidepool.session import cut_lineage
 from tidepool.sources import testdata as td
 
 SPLIT_SEED = 42
@@ -37,7 +38,8 @@ class ALInputs:
 def al_inputs(spark: SparkSession, sf_dir: str) -> ALInputs:
     feats = td.emb_features(spark, sf_dir)
     cells = td.emb_cells(spark, sf_dir)
-    roles = split_random(feats.select("id"), TRAIN_FRAC, SPLIT_SEED)
+    # read by every consumer below: drawn once
+    roles = cut_lineage(split_random(feats.select("id"), TRAIN_FRAC, SPLIT_SEED))
     cr = cells.join(roles, "id")
     train = cr.where(F.col("role") == "train").drop("role")
     test = cr.where(F.col("role") == "test").drop("role")
@@ -65,14 +67,14 @@ SQL_AL_BASE = SQL_AL_DATA + ",\n" + sql_centroid_weights('SELECT * FROM train_ce
 
 
 def sql_probs(name: str, ids_sql: str, passes: int = DEFAULT_PASSES, dropout: bool = True,
-              tasks_sql: str | None = None) -> str:
+              tasks_sql: str | None = None, rate: float = DEFAULT_DROPOUT, key: str = "s.id") -> str:
     """CTEs ending in ``{name}(id, task, pass, p)`` for the ids selected by ``ids_sql``."""
     wsel = f"(SELECT * FROM wt WHERE task IN ({tasks_sql}))" if tasks_sql else "wt"
     xv = (f"{name}_xv AS (SELECT id, unnest(range(len(x))) AS j, CAST(unnest(x) AS DOUBLE) AS v "
           f"FROM feats WHERE id IN ({ids_sql}))")
     if dropout:
-        mask = sql_keep_mask_ctes(f"{name}_xv", passes).replace("mask_", f"{name}_mask_")
-        zsum = (f"{name}_z AS (SELECT m.id, m.pass, w.task, sum(w.w * (x.v * (m.keep * 2.0))) AS s "
+        mask = sql_keep_mask_ctes(f"{name}_xv", passes, rate, key).replace("mask_", f"{name}_mask_")
+        zsum = (f"{name}_z AS (SELECT m.id, m.pass, w.task, sum(w.w * (x.v * (m.keep * {1.0 / (1.0 - rate)!r}))) AS s "
                 f"FROM {name}_mask_final m JOIN {name}_xv x ON m.id = x.id AND m.j = x.j "
                 f"JOIN {wsel} w ON w.j = m.j GROUP BY m.id, m.pass, w.task)")
         return ",\n".join([xv, mask, zsum,

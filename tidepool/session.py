@@ -110,6 +110,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         # Only reached in local tests: no cluster-provided folder exists.
         conf_dir = tempfile.mkdtemp(prefix="tidepool-ckpt-")
     sc.setCheckpointDir(conf_dir)

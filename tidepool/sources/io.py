@@ -3,20 +3,24 @@
 ``read_table`` dispatches on the file extension: ``.parquet`` is Parquet,
 ``.tab`` is tab-separated text with a header, anything else is CSV with a
 header.  Pass an explicit schema for text files on large inputs (inference is
-a full extra scan).  All floating columns are normalised so that NaN and the
-sentinel -1 used for missing labels become SQL NULL; NaN would otherwise sort
-above every number and poison averages.
+a full extra scan).  NaN in floating columns becomes SQL NULL (it would sort
+above every number and poison averages), and in the columns named as labels so
+does the sentinel -1, which stands for a missing label.
 """
 
 from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MISSING_LABELS = (-1.0,)
+
+
 def normalize_missing(df: DataFrame, cols: list[str] | None = None,
                       sentinels: tuple[float, ...] = ()) -> DataFrame:
     """Turn NaN (and optional sentinel values) into NULL in the given numeric columns."""
@@ -36,7 +40,7 @@ def normalize_missing(df: DataFrame, cols: list[str] | None = None,
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-               normalize: bool = True) -> DataFrame:
+               normalize: bool = True, label_cols: list[str] | None = None) -> DataFrame:
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext == ".parquet":
         reader = spark.read
@@ -50,7 +54,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         # "NaN" cells in text files are read as NaN, then normalised below.
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
         df = reader.csv(path)
-    return normalize_missing(df) if normalize else df
+    if normalize:
+        df = normalize_missing(df)
+    if label_cols:
+        df = normalize_missing(df, label_cols, MISSING_LABELS)
+    return df
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -78,25 +86,26 @@ def append_history(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("r
     iteration i replaces only partition (run_id, i).  A header mismatch with the
     existing table raises instead of warning.
     """
-    spark = df.sparkSession
-    try:
-        existing = spark.read.parquet(path)
-    except Exception:  # absent: first write creates it
-        existing = None
+    existing = read_if_present(df.sparkSession, path)
     if existing is not None:
         want = [f.name for f in existing.schema.fields]
         got = [c for c in df.columns]
         if sorted(want) != sorted(got):
             raise HistorySchemaError(f"history columns differ: expected {want}, got {got}")
         df = df.select(*[c for c in want])
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
     return path
 
 
+def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if there is none.  A damaged table raises."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
