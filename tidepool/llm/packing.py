@@ -25,7 +25,9 @@ columns are read; a NULL id stays NULL.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,11 @@ from tidepool.llm.common import table, text_of
 WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_500_000
 LONG_CHUNK = 64
+WORD_END = "</w>"
+#: Plain letters, then ASCII marks other than the apostrophe: two pre-tokens.
+LETTERS_THEN_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 # -------------------------------------------------------------------- encoding
@@ -51,26 +56,60 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+
+    def _encode_each(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words of plain letters are one pre-token each, so they may be encoded as one text and cut at word ends."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return self._encode_each(words)
+        return [x.tobytes() for x in np.split(ids, stops[:-1])]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(chunks, encoded)}
+        split = {c: m for c in chunks if (m := LETTERS_THEN_MARKS.fullmatch(c))}
+        words = list({m[1] for m in split.values()} - self.known.keys())
+        out = {}
+        for i in range(0, len(words), 20_000):
+            out.update(zip(words[i:i + 20_000], self._encode_words(words[i:i + 20_000])))
+        rest = list({m[2] for m in split.values() if m[2]}.union(c for c in chunks if c not in split) - self.known.keys())
+        out.update(zip(rest, self._encode_each(rest)))
+        for c, m in split.items():
+            if m[2]:
+                out[c] = (out.get(m[1]) or self.known[m[1]]) + (out.get(m[2]) or self.known[m[2]])
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = list({c for words in split for c in words} - self.known.keys())
+        split = [_folded(t).replace("\n", " ").split(" ") for t in texts]
+        missing = set().union(*split) - self.known.keys()
         if len(self.known) + len(missing) > CACHE_CHUNKS:
             self.known = {}
-            missing = list({c for words in split for c in words})
-        fresh = self._learn(missing) if missing else {}
-        long = {c: v for c, v in fresh.items() if len(c) > LONG_CHUNK}
-        self.known.update(fresh)
+            missing = set().union(*split)
+        if missing:
+            self.known.update(self._learn(list(missing)))
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4") for words in split]
-        for c in long:
-            del self.known[c]
+        for c in missing:
+            if len(c) > LONG_CHUNK:
+                del self.known[c]
         return out
 
 
+def _folded(text: str) -> str:
+    """A text in lower case where that is surely what the tokenizer's normaliser does."""
+    if "<|" in text:  # special tokens are matched before case is folded
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
