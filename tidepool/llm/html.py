@@ -65,6 +65,7 @@ PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|top-bar)(?:$|[\s_-])", r
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment\w*|reply|replies|disqus)(?:$|[\s_-])", re.I)
 ROOTS = frozenset(["article", "main"])
 NO_DROP = frozenset(["html", "body"])
+SALTS = 64
 
 
 class Element:
@@ -290,7 +291,11 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     sites = site_templates(pages, host, html_col, min_pages, min_share).withColumnRenamed("host", "_host")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
                         host.alias("host"))
-    joined = rows.join(sites, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "template")
+    # a host may hold a third of all pages: its pages are dealt out by salt, its list copied to every salt
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+    sites = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    joined = rows.join(sites, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left") \
+        .select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
