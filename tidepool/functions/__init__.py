@@ -1,4 +1,3 @@
 """Column-level building blocks (all JVM-side built-ins, no Python UDFs)."""
 
-from tidepool.functions.hashing import hash52, hash_unit, hash_bucket  # noqa: F401
-from tidepool.functions.numeric import sigmoid, softplus_neg_abs, safe_div  # noqa: F401
+from tidepool.functions.hashing import hash52, hash_bucket  # noqa: F401

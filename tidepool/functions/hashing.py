@@ -27,11 +27,6 @@ def hash52(seed, *cols) -> Column:
     return F.conv(F.substring(F.md5(_key(seed, cols)), 1, 13), 16, 10).cast("long")
 
 
-def hash_unit(seed, *cols) -> Column:
-    """Uniform double in [0, 1) derived from :func:`hash52` (exact division)."""
-    return hash52(seed, *cols) / F.lit(HASH_SCALE)
-
-
 def hash_bucket(h52: Column, bits: int) -> Column:
     """Top ``bits`` bits of a 52-bit hash: a balanced bucket id in [0, 2**bits)."""
     return F.shiftright(h52, HASH_BITS - bits)

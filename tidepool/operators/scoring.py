@@ -34,7 +34,7 @@ DEFAULT_PASSES = 20
 DEFAULT_DROPOUT = 0.5
 
 CENTROID_SCALE = 16.0
-MAX_WEIGHT_CELLS = 50_000_000  # tasks x width shipped to executors (400 MB); more is an error
+MAX_WEIGHT_CELLS = 50_000_000  # tasks x width shipped to executors at once (400 MB)
 SCORE_TILE = 2048              # rows per in-task tile
 
 
@@ -210,29 +210,40 @@ def train_surrogate(cells: DataFrame, feats: DataFrame, reg: float = 0.01, max_i
 
 # ---- scoring ------------------------------------------------------------------------
 
-def collect_weights(weights: DataFrame, max_cells: int = MAX_WEIGHT_CELLS):
-    """Bring the weight table (tasks x width, counted first) to the driver as numpy arrays."""
-    n, width = weights.agg(F.count(F.lit(1)), F.max(F.size("w"))).first()
-    if not n:
-        raise ValueError("empty weight table")
-    if n * width > max_cells:
-        raise ValueError(f"weight table {n}x{width} exceeds {max_cells} cells; score fewer tasks at a time")
+def collect_weights(weights: DataFrame):
+    """Bring a weight table (at most ``MAX_WEIGHT_CELLS`` numbers, see :func:`weight_chunks`) to the driver."""
     rows = weights.orderBy("task").collect()
+    if not rows:
+        raise ValueError("empty weight table")
     tasks = [r["task"] for r in rows]
     W = np.array([r["w"] for r in rows], dtype=np.float64)
     b = np.array([r["bias"] for r in rows], dtype=np.float64)
     return tasks, W, b
 
 
+def weight_chunks(weights: DataFrame, max_cells: int = MAX_WEIGHT_CELLS) -> list[DataFrame]:
+    """The weight table in runs of whole tasks of at most ``max_cells`` numbers (one task at least), counted first."""
+    width = weights.agg(F.max(F.size("w"))).first()[0]
+    if width is None:
+        raise ValueError("empty weight table")
+    names = sorted(r["task"] for r in weights.select("task").collect())
+    per = max(1, max_cells // max(1, width))
+    return [weights.where(F.col("task").isin(names[i:i + per])) for i in range(0, len(names), per)]
+
+
 def _score_arrow(feats: DataFrame, weights: DataFrame, passes: int, dropout: float | None,
                  key_col: str, with_logit: bool, max_cells: int = MAX_WEIGHT_CELLS) -> DataFrame:
-    from pyspark import StorageLevel
+    weights = cut_lineage(weights)  # sized, then collected by chunk
+    out = None
+    for chunk in weight_chunks(weights, max_cells):
+        part = _score_chunk(feats, chunk, passes, dropout, key_col, with_logit)
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    weights = weights.persist(StorageLevel.MEMORY_AND_DISK)  # read by the size check and the collect
-    try:
-        tasks, W, b = collect_weights(weights, max_cells)
-    finally:
-        weights.unpersist()
+
+def _score_chunk(feats: DataFrame, weights: DataFrame, passes: int, dropout: float | None,
+                 key_col: str, with_logit: bool) -> DataFrame:
+    tasks, W, b = collect_weights(weights)
     bc = broadcast(feats.sparkSession, (tasks, W, b))
     id_type = feats.schema["id"].dataType
     scale = 1.0 / (1.0 - dropout) if dropout else 1.0

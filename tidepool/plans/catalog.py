@@ -768,11 +768,13 @@ def q_split_stratified(spark, sf_dir):
     return sp.split_stratified(e, ["label"], 0.8, 42).select("id", "role")
 
 
-SQL_GROUP_SPLIT = f"""WITH RECURSIVE
-src AS (SELECT doc_id, NULLIF(source, 'src0') AS source FROM documents),
-g AS (SELECT source AS grp, count(*) AS sz FROM src GROUP BY source),
+def sql_group_split(source_ctes: str, group: str) -> str:
+    """Biggest-first group split of ``src(doc_id, <group>)``, which ``source_ctes`` end with."""
+    return f"""WITH RECURSIVE
+{source_ctes},
+g AS (SELECT {group} AS grp, count(*) AS sz FROM src GROUP BY {group}),
 hist AS (SELECT sz, count(*) AS m, row_number() OVER (ORDER BY sz DESC) AS i FROM g GROUP BY sz),
-tot AS (SELECT 0.8 * count(*) AS cutoff FROM documents),
+tot AS (SELECT 0.8 * count(*) AS cutoff FROM src),
 fill(i, filled, take) AS (
   SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
   UNION ALL
@@ -785,10 +787,11 @@ fill(i, filled, take) AS (
 gr AS (SELECT grp, sz, row_number() OVER (PARTITION BY sz ORDER BY {sql_hash52(42, 'grp')}, grp) AS rn FROM g),
 dec AS (SELECT gr.grp, CASE WHEN gr.rn <= f.take THEN 'train' ELSE 'test' END AS role
         FROM gr JOIN hist h ON gr.sz = h.sz JOIN fill f ON f.i = h.i)
-SELECT d.doc_id, d.source, dec.role FROM src d JOIN dec ON d.source IS NOT DISTINCT FROM dec.grp"""
+SELECT d.doc_id, d.{group}, dec.role FROM src d JOIN dec ON d.{group} IS NOT DISTINCT FROM dec.grp"""
 
 
-@register("split_by_group", SQL_GROUP_SPLIT)
+@register("split_by_group", sql_group_split(
+    "src AS (SELECT doc_id, NULLIF(source, 'src0') AS source FROM documents)", "source"))
 def q_split_by_group(spark, sf_dir):
     """Groups are the sources; src0 is made NULL, which is a group like any other."""
     d = td.table(spark, sf_dir, "documents").select("doc_id", F.expr("nullif(source, 'src0')").alias("source"))
@@ -898,14 +901,28 @@ def q_remainder_pool(spark, sf_dir):
 from tidepool.operators import fingerprint as fp  # noqa: E402
 
 
+def _mixed_texts(spark, sf_dir):
+    """The documents with some texts missing and some without a letter or digit."""
+    text = F.when(F.col("source") == "src0", F.lit(None)).when(
+        F.col("source") == "src1", F.regexp_replace("text", fp.VALID_CHAR, "")).otherwise(F.col("text"))
+    return td.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
 @register("quarantine_rows",
-          "SELECT doc_id, CASE WHEN text IS NULL THEN 'NA value' "
+          "WITH d AS (SELECT doc_id, CASE WHEN source = 'src0' THEN NULL WHEN source = 'src1' THEN "
+          "regexp_replace(text, '[\\p{L}\\p{N}]', '', 'g') ELSE text END AS text FROM documents), "
+          "r AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN 'NA value' "
           "WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN 'Invalid' "
           "WHEN len(list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda t: t <> '')) = 0 "
-          "THEN 'Featurization failed' ELSE 'ok' END AS status FROM documents")
+          "THEN 'Featurization failed' END AS error FROM d) "
+          "SELECT CASE WHEN error IS NULL THEN 'kept' ELSE 'rejected' END AS sink, doc_id, length(text) AS n_chars, error FROM r")
 def q_quarantine_rows(spark, sf_dir):
-    d = td.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.coalesce(fp.reject_reason(d, "text"), F.lit("ok")).alias("status"))
+    """Rows of both sinks: the kept table and the reject table."""
+    good, bad = fp.quarantine_rows(_mixed_texts(spark, sf_dir), "text", "doc_id")
+    kept = good.select(F.lit("kept").alias("sink"), "doc_id", F.length("text").cast("long").alias("n_chars"),
+                       F.lit(None).cast("string").alias("error"))
+    return kept.unionByName(bad.select(F.lit("rejected").alias("sink"), F.col("row_index").alias("doc_id"),
+                                       F.length("text").cast("long").alias("n_chars"), "error"))
 
 
 @register("hash_fingerprint", _with(fp.sql_fingerprint_bits("documents", "doc_id", "text")) +
@@ -1047,41 +1064,80 @@ GRID_STRATEGIES = list(lp.STRATEGIES)
 GRID_FEATURES = ["BERT", "FP"]
 
 
+N_GRID_SEED = 6
+
+
 @register("experiment_grid", _with(f"cells AS ({td.SQL_EMB_CELLS})",
                                    "t AS (SELECT task, dense_rank() OVER (ORDER BY task) - 1 AS ti FROM "
-                                   "(SELECT DISTINCT task FROM cells) d)") +
-          "\nSELECT CAST(((t.ti * 3 + s.si) * 5 + g.gi) * 2 + f.fi AS BIGINT) AS run_id, t.task, "
-          "CAST(s.seed AS BIGINT) AS seed, g.strategy, f.feature_type FROM t, "
-          f"(SELECT unnest({GRID_SEEDS}) AS seed, unnest(range(3)) AS si) s, "
-          "(SELECT unnest([" + ", ".join(f"'{x}'" for x in GRID_STRATEGIES) + "]) AS strategy, unnest(range(5)) AS gi) g, "
-          "(SELECT unnest([" + ", ".join(f"'{x}'" for x in GRID_FEATURES) + "]) AS feature_type, unnest(range(2)) AS fi) f")
+                                   "(SELECT DISTINCT task FROM cells) d)",
+                                   "grid AS (SELECT CAST(((t.ti * 3 + s.si) * 5 + g.gi) * 2 + f.fi AS BIGINT) AS run_id, t.task, "
+                                   "CAST(s.seed AS BIGINT) AS seed, g.strategy, f.feature_type FROM t, "
+                                   f"(SELECT unnest({GRID_SEEDS}) AS seed, unnest(range(3)) AS si) s, "
+                                   "(SELECT unnest([" + ", ".join(f"'{x}'" for x in GRID_STRATEGIES) + "]) AS strategy, unnest(range(5)) AS gi) g, "
+                                   "(SELECT unnest([" + ", ".join(f"'{x}'" for x in GRID_FEATURES) + "]) AS feature_type, unnest(range(2)) AS fi) f)",
+                                   "drawn AS (SELECT g.*, c.id, c.y, row_number() OVER (PARTITION BY g.run_id, c.y ORDER BY "
+                                   "CAST(('0x' || substr(md5(concat_ws('|', CAST(g.seed AS VARCHAR), CAST(c.id AS VARCHAR))), 1, 13)) AS BIGINT), "
+                                   "c.id) AS rn FROM grid g JOIN cells c ON c.task = g.task WHERE c.y IS NOT NULL)") +
+          f"\nSELECT run_id, task, seed, strategy, feature_type, id, y FROM drawn WHERE rn <= {N_GRID_SEED // 2}")
 def q_experiment_grid(spark, sf_dir):
-    tasks = td.emb_cells(spark, sf_dir).select("task")
-    return lp.experiment_grid(tasks, GRID_SEEDS, GRID_STRATEGIES, GRID_FEATURES)
+    """The grid of the data's tasks, and the seed set of every run, drawn in one job."""
+    cells = td.emb_cells(spark, sf_dir)
+    grid = cut_lineage(lp.experiment_grid(cells.select("task"), GRID_SEEDS, GRID_STRATEGIES, GRID_FEATURES))
+    seeds = smp.seed_sets_for_runs(cells, grid, N_GRID_SEED)
+    return grid.join(seeds.drop("task"), "run_id").select("run_id", "task", "seed", "strategy", "feature_type", "id", "y")
 
 
 # ---------------------------------------------------------------------------------
-# 2.4 cluster split (iterative: checked against brute force in tests, rows-only here)
+# 2.4 cluster split
 # ---------------------------------------------------------------------------------
 
 from tidepool.operators import cluster as clu  # noqa: E402
 
 CLUSTER_BITS = 1 << 20
 
+#: Exact pairs by a bit join; Butina in fixed order as a walk over the ranked nodes.
+SQL_CLUSTERS = fp.sql_fingerprint_bits("documents", "doc_id", "text", size=CLUSTER_BITS).strip() + f""",
+sets AS (SELECT doc_id, list(bit ORDER BY bit) AS bits FROM fp_bits GROUP BY doc_id),
+reps AS (SELECT min(doc_id) AS key, count(*) AS mult, bits, len(bits) AS n FROM sets GROUP BY bits),
+rep_bits AS (SELECT key, unnest(bits) AS bit FROM reps),
+shared AS (SELECT x.key AS a, y.key AS b, count(*) AS n FROM rep_bits x JOIN rep_bits y ON x.bit = y.bit AND x.key < y.key
+           GROUP BY x.key, y.key),
+pairs AS (SELECT s.a, s.b FROM shared s JOIN reps x ON x.key = s.a JOIN reps y ON y.key = s.b
+          WHERE CAST(s.n AS DOUBLE) / (x.n + y.n - s.n) >= {clu.DEFAULT_THRESHOLD}),
+und AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+ranked AS (SELECT r.key, row_number() OVER (ORDER BY r.mult - 1 + coalesce(w.s, 0) DESC, r.key) AS pos
+           FROM reps r LEFT JOIN (SELECT u.a, sum(r.mult) AS s FROM und u JOIN reps r ON r.key = u.b GROUP BY u.a) w ON w.a = r.key),
+near AS (SELECT x.pos, y.pos AS other FROM und u JOIN ranked x ON x.key = u.a JOIN ranked y ON y.key = u.b),
+lists AS (SELECT r.pos, coalesce(list(n.other) FILTER (n.other IS NOT NULL), []) AS others
+          FROM ranked r LEFT JOIN near n ON n.pos = r.pos GROUP BY r.pos),
+walk(pos, centres) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT l.pos, CASE WHEN list_has_any(w.centres, l.others) THEN w.centres ELSE list_append(w.centres, l.pos) END
+  FROM walk w JOIN lists l ON l.pos = w.pos + 1),
+centres AS (SELECT unnest(centres) AS pos FROM (SELECT centres FROM walk ORDER BY pos DESC LIMIT 1) z),
+claims AS (SELECT pos, pos AS centre FROM centres UNION ALL
+           SELECT n.pos, min(n.other) FROM near n JOIN centres c ON c.pos = n.other
+           WHERE n.pos NOT IN (SELECT pos FROM centres) GROUP BY n.pos),
+clusters AS (SELECT s.doc_id, c.key AS cluster, CAST(m.pos = m.centre AND s.doc_id = x.key AS INTEGER) AS is_centre
+             FROM sets s JOIN reps x ON x.bits = s.bits JOIN ranked r ON r.key = x.key JOIN claims m ON m.pos = r.pos
+             JOIN ranked c ON c.pos = m.centre)"""
+
 
 def _doc_fps(spark, sf_dir):
     fps, _ = fp.hash_fingerprint(td.table(spark, sf_dir, "documents"), "text", "doc_id", size=CLUSTER_BITS)
     return cut_lineage(fps)
 
 
-@register("similarity_clusters")
+@register("similarity_clusters", "WITH RECURSIVE " + SQL_CLUSTERS + "\nSELECT * FROM clusters")
 def q_similarity_clusters(spark, sf_dir):
     return clu.similarity_clusters(_doc_fps(spark, sf_dir), "doc_id", clu.DEFAULT_THRESHOLD) \
         .select("doc_id", "cluster", F.col("is_centre").cast("int").alias("is_centre"))
 
 
-@register("split_by_cluster")
+@register("split_by_cluster", sql_group_split(
+    SQL_CLUSTERS + ",\nsrc AS (SELECT d.doc_id, coalesce(c.cluster, d.doc_id) AS cluster FROM documents d "
+    "LEFT JOIN clusters c ON c.doc_id = d.doc_id)", "cluster"))
 def q_split_by_cluster(spark, sf_dir):
     docs = td.table(spark, sf_dir, "documents").select("doc_id", "source")
-    return clu.split_by_cluster(docs, _doc_fps(spark, sf_dir), "doc_id", 0.8, 42) \
-        .select("doc_id", "cluster", "role")
+    return clu.split_by_cluster(docs, _doc_fps(spark, sf_dir), "doc_id", 0.8, 42).select("doc_id", "cluster", "role")

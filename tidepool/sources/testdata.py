@@ -79,11 +79,6 @@ FROM (SELECT e.vec_id AS id, 't' || CAST(k.range AS VARCHAR) AS task,
       FROM embeddings e, range({N_EMB_TASKS}) k) c
 """
 
-SQL_EMB_CELLS_FULL = f"""
-SELECT e.vec_id AS id, 't' || CAST(k.range AS VARCHAR) AS task, CAST(CAST(e.label = k.range AS INTEGER) AS DOUBLE) AS y
-FROM embeddings e, range({N_EMB_TASKS}) k
-"""
-
 SQL_DOC_LABELS_WIDE = f"""
 SELECT d.doc_id AS id,
        CASE WHEN {sql_hash52(HIDE_SEED, 'd.doc_id', "'quality'")} < {HIDE_BELOW} THEN NULL
