@@ -23,6 +23,8 @@ def test_broken_pages():
              "<p title='>'>k</p>": "k", "</p></div>x": "x", "<p>&amp &am &#233;&#xe9;": "& &am éé", "<p>a  \n b": "a b"}
     for page, text in cases.items():
         assert H.main_text(page, set()) == text, page
+    wrapped = "<body><form id='aspnetForm'><div class='with-sidebar ad-free'><div class='layout-menu'><main><article><p>in</p></article></main></div></div></form>"
+    assert H.main_text(wrapped, set()) == "in"
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert H.main_text(deep, set()) == "x"
     assert len(H.main_text("<p>" + "word " * 200_000, set())) == 999_999

@@ -61,6 +61,8 @@ WORDS = re.compile(
     r"breadcrumb\w*|masthead|footer|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|"
     r"login|social|share|sharing|related|recommend\w*|comment\w*|disqus|respond|reply|replies|widget\w*|toolbar|pagination|"
     r"pager|skip-link|paywall|copyright)(?:$|[\s_-])", re.I)
+#: Names of layouts, not of their parts (with-sidebar, ad-free).
+LAYOUT = re.compile(r"\b(?:with|has|no|without)[_-][\w-]+|\b\w+-free\b", re.I)
 PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|top-bar)(?:$|[\s_-])", re.I)
 COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment\w*|reply|replies|disqus)(?:$|[\s_-])", re.I)
 ROOTS = frozenset(["article", "main"])
@@ -69,11 +71,11 @@ SALTS = 64
 
 
 class Element:
-    __slots__ = ("tag", "start", "end", "parent", "dropped", "in_root", "items", "index")
+    __slots__ = ("tag", "start", "end", "parent", "unwanted", "dropped", "in_root", "items", "index")
 
-    def __init__(self, tag, start, parent, dropped, in_root, index):
+    def __init__(self, tag, start, parent, unwanted, in_root, index):
         self.tag, self.start, self.end, self.parent = tag, start, -1, parent
-        self.dropped, self.in_root, self.index = dropped, in_root, index
+        self.unwanted, self.dropped, self.in_root, self.index = unwanted, False, in_root, index
         self.items = []  # text segments (str) and child elements
 
 
@@ -92,7 +94,7 @@ def is_dropped(tag: str, attrs: str, in_root: bool) -> bool:
     a = attributes(attrs)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
+    names = LAYOUT.sub(" ", f"{a.get('class', '')} {a.get('id', '')}")
     if tag in ROOTS:
         return bool(COMMENTS.search(names)) and tag == "article"
     if a.get("role", "").lower() in ROLES:
@@ -142,14 +144,14 @@ def parse(page: str) -> list[Element]:
                     break
         top = open_[-1]
         in_root = top.in_root or top.tag in ROOTS
-        e = Element(tag, m.start(), top, top.dropped or is_dropped(tag, m[3], in_root), in_root, len(elements))
+        e = Element(tag, m.start(), top, is_dropped(tag, m[3], in_root), in_root, len(elements))
         elements.append(e)
         top.items.append(e)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             e.end = at
         elif tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            if not e.dropped:
+            if not e.unwanted:
                 e.items.append(page[at:stop.start() if stop else len(page)])
             at = stop.end() if stop else len(page)
             e.end = at
@@ -157,6 +159,15 @@ def parse(page: str) -> list[Element]:
             open_.append(e)
     for e in open_:
         e.end = len(page)
+    for e in elements:  # a form round the article, or anything round main, is layout
+        if e.tag in ROOTS and not e.unwanted:
+            p = e.parent
+            while p is not None:
+                if p.tag == "form" or e.tag == "main":
+                    p.unwanted = False
+                p = p.parent
+    for e in elements[1:]:
+        e.dropped = e.parent.dropped or e.unwanted
     return elements
 
 
