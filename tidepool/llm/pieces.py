@@ -13,8 +13,8 @@ unknown at the model's lowest score less ``UNKNOWN_PENALTY``, and becomes its UT
 
 No piece of such a model has a mark behind another character (checked when the file is
 loaded), so the boundary before a mark that follows another character is always common to all
-paths.  Runs between such boundaries are therefore streamed by themselves, and the ids of
-short runs are kept in a bounded table per worker.
+paths.  Runs between such boundaries are therefore streamed by themselves, and a task keeps
+the ids of short runs it has seen in a bounded table.
 
 Defined cases: NULL and empty texts have no ids and decode to an empty text; a U+2581 in a
 text is read as a space (so decoding gives a space); repeated rows are encoded row by
@@ -36,7 +36,7 @@ from tidepool.llm.common import table, text_of
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_RUNS = 600_000
+CACHE_RUNS = 400_000
 LONG_RUN = 64
 
 
@@ -228,6 +228,7 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     ids.append(x.astype(np.int32))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
+        enc.known.clear()  # workers live on; their memory is the next task's
     names = ["id", "n_ids", "ids_crc32", "round_trip"] + ["ids"] * with_ids
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     schema = f"id {kind}, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
