@@ -278,16 +278,6 @@ def test_empty_inputs_are_handled(spark):
     assert sel.topk_cells(cells.withColumn("score", F.lit(1.0)), 5).count() == 0
 
 
-def test_prefix_chunking_does_not_change_pairs(spark, monkeypatch):
-    docs = td.table(spark, SF_SMALL, "documents")
-    fps, _ = fp.hash_fingerprint(docs, "text", "doc_id", size=1 << 16)
-    reps, _ = clu.collapse_identical(fps, "doc_id")
-    want = {(r["a"], r["b"]) for r in clu.similar_pairs(reps, 0.5, 1 << 16).collect()}
-    monkeypatch.setattr(clu, "PREFIX_CHUNK_BITS", 500)
-    got = {(r["a"], r["b"]) for r in clu.similar_pairs(reps, 0.5, 1 << 16).collect()}
-    assert got == want and len(want) > 0
-
-
 def test_seed_sets_for_many_runs_in_one_job(spark):
     cells = td.emb_cells(spark, SF_SMALL)
     grid = lp.experiment_grid(cells.select("task").where(F.col("task").isin("t0", "t3")), [1, 2, 3], ["BALD"])

@@ -4,7 +4,7 @@ One iteration is a handful of DataFrame jobs: score the pool (K passes, no
 shuffle), rank cells, take the global top-k (bounded by k per task), reveal,
 update the training and pool cells with semi/anti joins, and verify cell
 conservation.  Each iteration appends its query rows to a history table
-partitioned by (run_id, iteration) and checkpoints the new working sets, so a
+partitioned by (run_id, iteration) and checkpoints the rows queried so far, so a
 1000-iteration run never builds a 1000-deep lineage and a lost executor only
 recomputes the current iteration.
 """
@@ -64,13 +64,19 @@ def acquisition_scores(pool_preds: DataFrame, cfg: StepConfig, target_preds: Dat
 
 
 def al_step(train: DataFrame, pool: DataFrame, feats: DataFrame, weights: DataFrame, cfg: StepConfig,
-            iteration: int = 0, target_feats: DataFrame | None = None) -> StepResult:
-    """One iteration: score -> acquire -> mask -> top-k -> reveal -> update -> check."""
+            iteration: int = 0, target_feats: DataFrame | None = None,
+            pool_feats: DataFrame | None = None) -> StepResult:
+    """One iteration: score -> acquire -> mask -> top-k -> reveal -> update -> check.
+
+    ``pool_feats``: features of (at least) the pool's rows, prepared by the caller; a loop
+    then scores them without a shuffle, and the mask leaves the pool's cells.
+    """
     if cfg.strategy == "uniform":
         query = acq.uniform(pool, cfg.n_query, cfg.seed, iteration).select("id", "task", "y")
     else:
-        pool_f = feats.join(pool.where(F.col("y").isNotNull()).select("id").distinct(), "id", "left_semi")
-        preds = score_mc(pool_f, weights, passes=cfg.passes, dropout=cfg.dropout)
+        if pool_feats is None:
+            pool_feats = feats.join(pool.where(F.col("y").isNotNull()).select("id").distinct(), "id", "left_semi")
+        preds = score_mc(pool_feats, weights, passes=cfg.passes, dropout=cfg.dropout)
         targ = None
         if cfg.strategy == "EPIG_MT":
             tw = weights.where(F.col("task") == cfg.main_task)
@@ -116,24 +122,36 @@ def al_run(train: DataFrame, pool: DataFrame, feats: DataFrame, cfg: RunConfig,
     """The loop: fit surrogate, evaluate, acquire, update; history and metrics appended per iteration.
 
     Iterations already present in the history are replayed at once, and the loop goes on
-    after them (resume).  It ends early when the pool holds no labelled cell.  The
-    working sets are checkpointed at the end of every iteration.
+    after them (resume).  It ends early when the pool holds no labelled cell.
+
+    An iteration keeps its query rows only: the working sets are always the initial ones
+    with all queries applied, so neither pool nor features are copied or shuffled per
+    iteration, and lineage stays flat.
     """
     from tidepool.operators import metrics as mt
 
     spark = train.sparkSession
-    train = cut_lineage(train)
-    pool = cut_lineage(pool)
-    tasks = sorted(r["task"] for r in train.select("task").union(pool.select("task")).distinct().collect())
+    train0, pool0 = cut_lineage(train), cut_lineage(pool)
+    tasks = sorted(r["task"] for r in train0.select("task").union(pool0.select("task")).distinct().collect())
     last = start_iteration + cfg.iterations
     done = stored_iterations(spark, cfg.history_path, cfg.run_id) if cfg.history_path else set()
     first = start_iteration
     while first in done and first < last:
         first += 1
+    queried = None  # rows queried so far: k per iteration
     if first > start_iteration:
-        train, pool = replay_history(spark, cfg.history_path, train, pool, cfg.run_id, upto=first - 1)
-        train, pool = cut_lineage(train), cut_lineage(pool)
+        queried = cut_lineage(stored_queries(spark, cfg.history_path, cfg.run_id, upto=first - 1))
+    pool_feats = None
+    if cfg.step.strategy != "uniform" and first < last:
+        pool_feats = cut_lineage(feats.join(pool0.where(F.col("y").isNotNull()).select("id").distinct(), "id", "left_semi"))
+
+    def working_sets() -> tuple[DataFrame, DataFrame]:
+        if queried is None:
+            return train0, pool0
+        return sel.upsert_train(train0, queried), sel.shrink_pool(pool0, queried)
+
     for it in range(first, last):
+        train, pool = working_sets()
         if pool.where(F.col("y").isNotNull()).isEmpty():
             break
         with broadcast_scope():
@@ -146,13 +164,16 @@ def al_run(train: DataFrame, pool: DataFrame, feats: DataFrame, cfg: RunConfig,
                 preds = score_deterministic(tf, weights).select("id", "task", "p")
                 rep = mt.metrics_report(mt.threshold_curve(test_cells.join(preds, ["id", "task"])), iteration=it)
                 append_history(rep.withColumn("run_id", F.lit(cfg.run_id).cast("long")), cfg.metrics_path)
-            res = al_step(train, pool, feats, weights, cfg.step, iteration=it, target_feats=target_feats)
+            res = al_step(train, pool, feats, weights, cfg.step, iteration=it, target_feats=target_feats,
+                          pool_feats=pool_feats)
             if cfg.history_path:
                 append_history(res.query.select(F.lit(cfg.run_id).cast("long").alias("run_id"),
                                                 F.lit(it).cast("long").alias("iteration"), "id", "task", "y"),
                                cfg.history_path)
-            train, pool = cut_lineage(res.train), cut_lineage(res.pool)
-    return {"train": train, "pool": pool}
+            new = res.query.select("id", "task", "y")
+            queried = cut_lineage(new if queried is None else queried.unionByName(new))
+    train, pool = working_sets()
+    return {"train": cut_lineage(train), "pool": cut_lineage(pool)}
 
 
 def iteration_done(spark: SparkSession, history_path: str, run_id: int, iteration: int) -> bool:
@@ -182,13 +203,18 @@ def iterations_done(spark: SparkSession, history_path: str, run_id: int, iterati
         .select("iteration", F.coalesce("done", F.lit(0)).alias("done"))
 
 
-def replay_history(spark: SparkSession, history_path: str, train0: DataFrame, pool0: DataFrame, run_id: int,
-                   upto: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rebuild training and pool cells from stored queries, all past iterations at once."""
+def stored_queries(spark: SparkSession, history_path: str, run_id: int, upto: int | None = None) -> DataFrame:
+    """Query rows (id, task, y) of a run's iterations, up to one of them."""
     h = spark.read.parquet(history_path).where(F.col("run_id") == run_id)
     if upto is not None:
         h = h.where(F.col("iteration") <= upto)
-    q = h.select("id", "task", "y")
+    return h.select("id", "task", "y")
+
+
+def replay_history(spark: SparkSession, history_path: str, train0: DataFrame, pool0: DataFrame, run_id: int,
+                   upto: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rebuild training and pool cells from stored queries, all past iterations at once."""
+    q = stored_queries(spark, history_path, run_id, upto)
     return sel.upsert_train(train0, q), sel.shrink_pool(pool0, q)
 
 
