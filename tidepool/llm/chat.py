@@ -46,8 +46,8 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     mine = F.col("role") == F.col("speaker")
     head = F.when(mine, F.lit("<|assistant|>\n")).when(F.col("role") == "system", F.lit("<|system|>\n")) \
         .otherwise(F.concat(F.lit("<|user name="), F.col("role"), F.lit("|>\n")))
-    rows = rows.withColumn("head", head).withColumn("segment", F.concat("head", "body", F.lit(END))) \
-        .withColumn("n", F.length("segment").cast("long"))
+    # the segment is put together last, so that texts are exchanged once per row
+    rows = rows.withColumn("n", (F.length(head) + F.length("body") + len(END)).cast("long"))
     # NULLs are made plain keys, so that the joins below are simple equi-joins
     keys = ["ck", "speaker", "bk"]
     rows = rows.withColumn("ck", F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00"))) \
@@ -60,8 +60,8 @@ def perspectives(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     placed = rows.withColumn("upto", F.sum("n").over(within)).join(offsets, keys)
     end = F.col("offset") + F.col("upto")
     return placed.select(
-        "conv_id", "speaker", "turn", "role", "segment", (end - F.col("n")).alias("start"), end.alias("end"),
-        F.when(mine, end - F.col("n") + F.length("head")).alias("mask_start"), F.when(mine, end).alias("mask_end"))
+        "conv_id", "speaker", "turn", "role", F.concat(head, "body", F.lit(END)).alias("segment"), (end - F.col("n")).alias("start"), end.alias("end"),
+        F.when(mine, end - F.col("n") + F.length(head)).alias("mask_start"), F.when(mine, end).alias("mask_end"))
 
 
 def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
