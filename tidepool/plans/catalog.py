@@ -1009,11 +1009,11 @@ def _sql_run_history() -> list[str]:
     return ctes
 
 
-def _run(spark, sf_dir):
+def _run(spark, sf_dir, evaluate=True):
     from tidepool.session import scratch_path
     inp, seed, pool = _step_inputs(spark, sf_dir)
     cfg = lp.RunConfig(run_id=0, iterations=RUN_ITERS, history_path=scratch_path(spark, "al_run_history"),
-                       metrics_path=scratch_path(spark, "al_run_metrics"),
+                       metrics_path=scratch_path(spark, "al_run_metrics") if evaluate else None,
                        step=lp.StepConfig("BALD", n_query=RUN_N, passes=K, dropout=RUN_DROPOUT))
     lp.al_run(seed, pool, inp.feats, cfg, test_cells=inp.test_cells)
     return cfg, seed, pool
@@ -1044,7 +1044,7 @@ def q_al_run(spark, sf_dir):
           "\nSELECT CAST(r.range AS BIGINT) AS iteration, CASE WHEN r.range IN (SELECT iteration FROM hist) "
           "THEN 1 ELSE 0 END AS done FROM range(5) r")
 def q_iteration_done(spark, sf_dir):
-    cfg, _, _ = _run(spark, sf_dir)
+    cfg, _, _ = _run(spark, sf_dir, evaluate=False)
     return lp.iterations_done(spark, cfg.history_path, 0, list(range(5))).select("iteration", F.col("done").cast("int"))
 
 
@@ -1053,7 +1053,7 @@ def q_iteration_done(spark, sf_dir):
           "UNION ALL SELECT 'pool', p.id, p.task, p.y FROM pool p WHERE NOT EXISTS "
           "(SELECT 1 FROM hist h WHERE h.id = p.id AND h.task = p.task)")
 def q_replay_history(spark, sf_dir):
-    cfg, seed, pool = _run(spark, sf_dir)
+    cfg, seed, pool = _run(spark, sf_dir, evaluate=False)
     train, pool_t = lp.replay_history(spark, cfg.history_path, seed, pool, 0)
     return train.select(F.lit("train").alias("role"), "id", "task", "y").unionByName(
         pool_t.select(F.lit("pool").alias("role"), "id", "task", "y"))

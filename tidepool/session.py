@@ -118,8 +118,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+#: Called with every DataFrame that is about to be checkpointed (plan checks hook in here).
+CHECKPOINT_OBSERVERS: list = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable, eager checkpoint; survives executor loss (unlike localCheckpoint)."""
+    for observe in CHECKPOINT_OBSERVERS:
+        observe(df)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
