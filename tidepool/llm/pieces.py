@@ -47,6 +47,8 @@ class PieceModel:
         self.pieces, self.byte_ids, self.texts = pieces, byte_ids, texts
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
+        #: Pieces with their ids and scores, and the beginnings of pieces that are none (False).
+        self.prefixes = {p[:n]: False for p in pieces for n in range(1, len(p))} | pieces
         self.cuts_at_marks = not any(MARK in p.lstrip(MARK) for p in pieces)
 
     @classmethod
@@ -157,21 +159,23 @@ class PieceEncoder:
     def _short(self, run: str) -> bytes:
         """The same path for a run that is kept whole and committed at its end."""
         m, n = self.model, len(run)
-        get, longest = m.pieces.get, m.longest
-        scores, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            best, last = None, None
-            for i in range(j - longest if j > longest else 0, j):
+        get = m.prefixes.get
+        scores, back = [None] * (n + 1), [None] * (n + 1)
+        scores[0] = 0.0
+        for i in range(n):
+            base = scores[i]
+            for j in range(i + 1, n + 1):
                 found = get(run[i:j])
-                if found is not None:
-                    s = scores[i] + found[1]
-                    if best is None or s > best:
-                        best, last = s, (i, found[0])
-            if found is None:  # the last one looked up is the character itself
-                s = scores[i] + m.unknown
-                if best is None or s > best:
-                    best, last = s, (i, None)
-            scores[j], back[j] = best, last
+                if found is None:  # no piece goes on like this
+                    break
+                if found:
+                    s, t = base + found[1], scores[j]
+                    if t is None or s > t:
+                        scores[j], back[j] = s, (i, found[0])
+            if run[i] not in m.pieces:
+                s, t = base + m.unknown, scores[i + 1]
+                if t is None or s > t:
+                    scores[i + 1], back[i + 1] = s, (i, None)
         out, j = [], n
         while j:
             i, piece = back[j]
