@@ -44,6 +44,7 @@ CLASS_BITS = 12
 CLASS_MASK = (1 << CLASS_BITS) - 1
 BOS, EOS, OTHER = 0, 2, 1
 SYMBOLS = "#*$%&|<>"
+LANG_CLASSES = 4096
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 _SYMBOL_TABLE = {ord(c): None for c in SYMBOLS}
@@ -360,15 +361,21 @@ def base_failed(s: str | None = None) -> Column:
     return (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
 
 
+def lang_class(lang_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(lang_col), F.lit("\x00"))), F.lit(LANG_CLASSES))
+
+
 def perplexity_bands(scored: DataFrame, lang_col: str, ppl: Column, low: float, high: float) -> DataFrame:
-    """(lang, lower, upper) from the median and the scaled median absolute deviation of ``ppl``.
+    """(class, lower, upper) from the median and the scaled median absolute deviation of ``ppl``.
+
+    Bands are kept for ``LANG_CLASSES`` classes that languages are hashed to, so there are at most so many rows.
 
     The deviation is taken from quartiles of the same sketch pass: for a band around
     a median the half interquartile distance is the median absolute deviation of a
     symmetric distribution, and each side gets its own.
     """
     q = F.percentile_approx(ppl, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000)
-    b = scored.groupBy(F.col(lang_col).alias("_lang")).agg(q.alias("_q"))
+    b = scored.groupBy(lang_class(lang_col).alias("_lang")).agg(q.alias("_q"))
     sigma = 1.4826
     floor = F.lit(0.02)
     return b.select("_lang",
@@ -390,7 +397,8 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "l
                          .select(*[F.col(f"`{c}`") for c in cols], s, F.col(lang_col).cast("string").alias(lang)),
                          "quality-scores")
     bands = perplexity_bands(scored.where(~base_failed(s)), lang, F.col(f"{s}.log_ppl"), low, high)
-    j = scored.join(bands, F.col(lang).eqNullSafe(F.col("_lang")), "left")
+    # at most LANG_CLASSES rows: the scored rows, which hold the texts, stay where they are
+    j = scored.join(F.broadcast(bands), lang_class(lang) == F.col("_lang"), "left")
     failed = base_failed(s)
     ppl = F.col(f"{s}.log_ppl")
     kept = ~failed & ppl.between(F.col("_lower"), F.col("_upper"))

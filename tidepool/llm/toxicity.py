@@ -44,6 +44,7 @@ CAPITALS = re.compile(r"[A-Z]{3,}")
 PREFIXES = (3, 4, 5, 6, 7, 8)
 LEXICONS = 8
 MIN_NEW = 4
+FLUSH_TERMS = 200_000  # partial counts a task holds before it hands them on
 MIN_LOG_ODDS = 5.0
 
 #: Plain insults (en, de, fr, es).
@@ -141,12 +142,18 @@ def mine_lexicons(sample: DataFrame) -> list[list[str]]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = [Counter(), Counter()]
+
+        def out():
+            for y in (0, 1):
+                if n[y]:
+                    yield pd.DataFrame({"toxic": y, "term": list(n[y].keys()), "n": list(n[y].values())})
+                    n[y].clear()
         for pdf in batches:
             for y, t in zip(pdf["toxic"], pdf["text"]):
                 n[y].update(terms(t))
-        for y in (0, 1):
-            if n[y]:
-                yield pd.DataFrame({"toxic": y, "term": list(n[y].keys()), "n": list(n[y].values())})
+                if len(n[y]) > FLUSH_TERMS:
+                    yield from out()
+        yield from out()
     size = {r["toxic"]: r["count"] for r in once.groupBy("toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     counts = once.mapInPandas(count, "toxic int, term string, n long").groupBy("term").agg(
