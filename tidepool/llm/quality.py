@@ -1,27 +1,17 @@
 """Quality rules: base counters and an n-gram perplexity verdict.
 
-The language model is a modified Kneser-Ney model over characters.  Spark counts
-the n-grams of every document (numpy counts inside a task, one map-side-combined
-aggregate across tasks), derives the continuation counts, discounts, back-off
-weights and probabilities of every order with DataFrame operations, and stores
-each order as a *sorted hash array*: the n-gram's hash, folded to ``hash_bits``
-bits, with its log probability (and, for contexts, the log back-off weight).
-
-* A text is read as its words joined by one space, digits as ``0``, ``order - 1``
+The verdict uses the held-out word n-gram model of ``wordlm``, whose hash arrays stay partitioned,
+and language-specific bands of a text's log perplexity: one below the band (templates) or above it
+(noise, word salad) is rejected.
+
+This module also holds a modified Kneser-Ney model over characters with broadcast arrays folded to
+``hash_bits`` (``fit_perplexity``, ``with_scores``).  It merges n-grams when they outgrow the
+arrays, so no query uses it.
+
+* It reads a text as its words joined by one space, digits as ``0``, ``order - 1``
   start symbols before it and one end symbol after it.  A character is a 12-bit
   class: code points below 4096 are their own class, the others share classes
   by a multiplicative hash.
-* Languages have separate models: the language is part of an n-gram's hash.
-* The arrays are broadcast.  Their size has a proven bound that does not depend
-  on the corpus: a folded hash has ``2**hash_bits`` values, so an order takes at
-  most ``2**hash_bits`` entries of 8 bytes, twice (n-grams and contexts).  N-grams
-  that fold to one value share the larger probability.
-
-The verdict uses language-specific bands of the per-word log perplexity: with
-``m`` the median and ``s`` the scaled median absolute deviation of a language's
-documents, one below ``m - low * s`` (repetition, templates) or above
-``m + high * s`` (noise) is rejected.  Medians cover every document that passes
-the base rules.
 
 Defined cases: NULL text is an empty text (no words, base_failed); a NULL
 language is a language of its own; repeated rows are judged row by row; an empty
@@ -37,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.llm import wordlm
 from tidepool.llm.common import fresh, materialize, table, text_of
 from tidepool.session import broadcast
 
@@ -199,7 +190,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
     """Modified Kneser-Ney discounts d1, d2, d3 of each language from its counts of counts."""
     n = [F.sum(F.when(F.col("a") == i, 1).otherwise(0)).cast("double") for i in (1, 2, 3, 4)]
     d = counts.groupBy("lang").agg(*[x.alias(f"n{i + 1}") for i, x in enumerate(n)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
 
     def bounded(e: Column, top: int, default: float) -> Column:
         return F.greatest(F.lit(0.05), F.least(F.lit(float(top)), F.coalesce(e, F.lit(default))))
@@ -366,7 +357,7 @@ def lang_class(lang_col: str) -> Column:
 
 
 def perplexity_bands(scored: DataFrame, lang_col: str, ppl: Column, low: float, high: float) -> DataFrame:
-    """(class, lower, upper) from the median and the scaled median absolute deviation of ``ppl``.
+    """(class, lower, upper) from the quartiles of ``ppl``.
 
     Bands are kept for ``LANG_CLASSES`` classes that languages are hashed to, so there are at most so many rows.
 
@@ -383,18 +374,47 @@ def perplexity_bands(scored: DataFrame, lang_col: str, ppl: Column, low: float,
                     (F.col("_q")[1] + high * sigma * F.greatest(F.col("_q")[2] - F.col("_q")[1], floor)).alias("_upper"))
 
 
-def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = 4,
-                     hash_bits: int = 23, low: float = 8.0, high: float = 7.5, keep_columns: list[str] | None = None
-                     ) -> DataFrame:
+BASE = SCORES.rsplit(", ", 1)[0]
+
+
+def base_scores(text: Column) -> Column:
+    """Struct of the base counters."""
+    @F.pandas_udf(BASE)
+    def counts(text: pd.Series) -> pd.DataFrame:
+        base = np.array([base_counts(t) for t in text], dtype=np.int64).reshape(len(text), 5)
+        return pd.DataFrame(base, columns=[f.split()[0] for f in BASE.split(", ")])
+    return counts(text)
+
+
+def quality_scores(docs: DataFrame, out_col: str, text_col: str = "text", lang_col: str = "lang",
+                   order: int = wordlm.ORDER, keep_columns: list[str] | None = None) -> DataFrame:
+    """``keep_columns`` of ``docs`` and a struct column of the base counters and the log perplexity.
+
+    Log perplexities come by an equi-join on the hash of text and language.
+    """
+    ppl = wordlm.log_perplexity(docs, text_col, lang_col, order)
+    cols = docs.columns if keep_columns is None else keep_columns
+    base, k1, k2 = fresh(docs, "base", "k1", "k2")
+    a, b = wordlm.text_keys(text_of(text_col), F.col(lang_col).cast("string"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*cols, lang_col])], a.alias(k1), b.alias(k2),
+                       base_scores(text_of(text_col)).alias(base))
+    ppl = ppl.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("log_ppl").alias("_ppl"))
+    fields = [f.split()[0] for f in BASE.split(", ")]
+    score = F.struct(*[F.col(f"{base}.{f}").alias(f) for f in fields], F.col("_ppl").alias("log_ppl"))
+    return rows.join(ppl, (F.col(k1) == F.col("_k1")) & (F.col(k2) == F.col("_k2")), "left") \
+        .withColumn(out_col, score).drop(base, k1, k2, "_k1", "_k2", "_ppl")
+
+
+def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = wordlm.ORDER,
+                     low: float = 8.0, high: float = 7.5, keep_columns: list[str] | None = None) -> DataFrame:
     """``keep_columns`` of ``docs`` (all by default) and a struct column ``verdict``.
 
     The struct has the base counters, ``log_ppl``, ``base_failed`` and ``kept``.
     """
-    model = fit_perplexity(docs, text_col, lang_col, order, hash_bits)
     s, lang = fresh(docs, "score", "lang")
     cols = docs.columns if keep_columns is None else keep_columns
-    scored = materialize(with_scores(docs, model, s, text_col, lang_col)
-                         .select(*[F.col(f"`{c}`") for c in cols], s, F.col(lang_col).cast("string").alias(lang)),
+    scored = quality_scores(docs, s, text_col, lang_col, order, cols)
+    scored = materialize(scored.select(*[F.col(f"`{c}`") for c in cols], s, F.col(lang_col).cast("string").alias(lang)),
                          "quality-scores")
     bands = perplexity_bands(scored.where(~base_failed(s)), lang, F.col(f"{s}.log_ppl"), low, high)
     # at most LANG_CLASSES rows: the scored rows, which hold the texts, stay where they are
