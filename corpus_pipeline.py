@@ -23,7 +23,7 @@ from tidepool.llm.common import materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.quality_filter(docs)
+    return quality.quality_filter(docs, labels=table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_MID
+from tidepool.llm import quality as q
 from tidepool.llm import wordlm as w
 from tidepool.llm.common import table
 
@@ -90,3 +91,37 @@ def test_model_entries_grow_with_the_corpus(spark):
     top = rows.mapInArrow(w._distinct(ORDER + 1), "lang string, w0 long, w1 long, w2 long, w3 long").distinct()
     assert top.count() == len(want)
     assert w.left_out(top, ORDER).count() == len({(x[0], *x[2:]) for x in want})
+
+
+def junk_kind(text):
+    own = text.split()
+    if sum(x == "|" for x in own) > 0.1 * len(own):
+        return "bars"
+    if sum(len(x) > 2 and x.upper() == x != x.lower() for x in own) > 0.25 * len(own):
+        return "upper case"
+    return "symbols" if sum(c in "#*$%&" for c in text) > 0.08 * len(text) else "repeated"
+
+
+def test_bands_reject_every_class_of_junk_and_keep_clean_rows(spark):
+    labels = table(spark, SF_MID, "labels")
+    docs = table(spark, SF_MID, "documents").select("doc_id", "text", "lang")
+    kept = {r.doc_id for r in q.quality_filter(docs, labels=labels).select("doc_id").collect()}
+    rows = docs.join(labels, "doc_id").collect()
+    out = defaultdict(list)
+    for r in rows:
+        failed = len(r.text.split()) < 10 or q.base_counts(r.text)[4] * 5 > len(r.text.split())
+        if r.quality == 0 or not failed:
+            out["clean" if r.quality == 1 else junk_kind(r.text)].append(r.doc_id in kept)
+    assert set(out) == {"clean", "bars", "upper case", "symbols", "repeated"}
+    share = {k: sum(v) / len(v) for k, v in out.items()}
+    assert share.pop("clean") >= 0.97
+    assert all(v <= 0.1 for v in share.values()), share
+
+
+def test_clean_rows_set_the_bands_of_their_language(spark):
+    rows = [(i, "xx" if i < 1000 else "yy", float(i % 1000), i < 1000 and i % 1000 < 900) for i in range(2000)]
+    scored = spark.createDataFrame(rows, "id long, lang string, ppl double, clean boolean")
+    bands = {round(r._upper): r for r in q.perplexity_bands(scored, "lang", F.col("ppl"), F.col("clean"), 0.98, 8.0, 7.5).collect()}
+    assert bands.pop(890)._lower == pytest.approx(8, abs=2)
+    (other,) = bands.values()
+    assert other._upper > 3000 and other._lower < -2000

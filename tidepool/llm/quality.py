@@ -38,6 +38,7 @@ SYMBOLS = "#*$%&|<>"
 LANG_CLASSES = 4096
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+MIN_CLEAN = 50
 _SYMBOL_TABLE = {ord(c): None for c in SYMBOLS}
 
 
@@ -356,22 +357,27 @@ def lang_class(lang_col: str) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(F.col(lang_col), F.lit("\x00"))), F.lit(LANG_CLASSES))
 
 
-def perplexity_bands(scored: DataFrame, lang_col: str, ppl: Column, low: float, high: float) -> DataFrame:
-    """(class, lower, upper) from the quartiles of ``ppl``.
+def perplexity_bands(scored: DataFrame, lang_col: str, ppl: Column, clean: Column, recall: float, low: float,
+                     high: float) -> DataFrame:
+    """(class, lower, upper) of the languages' bands.
 
-    Bands are kept for ``LANG_CLASSES`` classes that languages are hashed to, so there are at most so many rows.
-
-    The deviation is taken from quartiles of the same sketch pass: for a band around
-    a median the half interquartile distance is the median absolute deviation of a
-    symmetric distribution, and each side gets its own.
+    A language with ``MIN_CLEAN`` rows where ``clean`` holds keeps ``recall`` of these, half of the rest on either side.
+    Others have ``low`` and ``high`` robust deviations around the median, each side's from its own quartile
+    of all rows.  Bands are kept for ``LANG_CLASSES`` classes that languages are hashed to, so there
+    are at most so many rows.
     """
     q = F.percentile_approx(ppl, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000)
-    b = scored.groupBy(lang_class(lang_col).alias("_lang")).agg(q.alias("_q"))
+    tail = (1 - recall) / 2
+    c = F.percentile_approx(F.when(clean, ppl), F.array(F.lit(tail), F.lit(1 - tail)), 10_000)
+    b = scored.groupBy(lang_class(lang_col).alias("_lang")).agg(
+        q.alias("_q"), c.alias("_c"), F.count(F.when(clean & ppl.isNotNull(), 1)).alias("_n"))
     sigma = 1.4826
     floor = F.lit(0.02)
-    return b.select("_lang",
-                    (F.col("_q")[1] - low * sigma * F.greatest(F.col("_q")[1] - F.col("_q")[0], floor)).alias("_lower"),
-                    (F.col("_q")[1] + high * sigma * F.greatest(F.col("_q")[2] - F.col("_q")[1], floor)).alias("_upper"))
+    labelled = F.col("_n") >= MIN_CLEAN
+    lower = F.col("_q")[1] - low * sigma * F.greatest(F.col("_q")[1] - F.col("_q")[0], floor)
+    upper = F.col("_q")[1] + high * sigma * F.greatest(F.col("_q")[2] - F.col("_q")[1], floor)
+    return b.select("_lang", F.when(labelled, F.col("_c")[0]).otherwise(lower).alias("_lower"),
+                    F.when(labelled, F.col("_c")[1]).otherwise(upper).alias("_upper"))
 
 
 BASE = SCORES.rsplit(", ", 1)[0]
@@ -406,17 +412,29 @@ def quality_scores(docs: DataFrame, out_col: str, text_col: str = "text", lang_c
 
 
 def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = wordlm.ORDER,
-                     low: float = 8.0, high: float = 7.5, keep_columns: list[str] | None = None) -> DataFrame:
+                     low: float = 8.0, high: float = 7.5, keep_columns: list[str] | None = None,
+                     labels: DataFrame | None = None, id_col: str = "doc_id", recall: float = 0.99) -> DataFrame:
     """``keep_columns`` of ``docs`` (all by default) and a struct column ``verdict``.
 
+    ``labels`` (``id_col``, quality): rows of quality 1 set the bands of their language, see ``perplexity_bands``.
+
     The struct has the base counters, ``log_ppl``, ``base_failed`` and ``kept``.
     """
-    s, lang = fresh(docs, "score", "lang")
+    s, lang, clean = fresh(docs, "score", "lang", "clean")
     cols = docs.columns if keep_columns is None else keep_columns
+    if labels is not None and id_col not in cols:
+        raise ValueError(f"bands from labels need {id_col} among the kept columns")
     scored = quality_scores(docs, s, text_col, lang_col, order, cols)
     scored = materialize(scored.select(*[F.col(f"`{c}`") for c in cols], s, F.col(lang_col).cast("string").alias(lang)),
                          "quality-scores")
-    bands = perplexity_bands(scored.where(~base_failed(s)), lang, F.col(f"{s}.log_ppl"), low, high)
+    judged = scored.where(~base_failed(s))
+    if labels is None:
+        judged = judged.withColumn(clean, F.lit(False))
+    else:
+        good = labels.where("quality = 1").select(F.col(id_col).alias("_id"), F.lit(True).alias(clean)).distinct()
+        judged = judged.select(F.col(f"`{id_col}`"), lang, s).join(good, F.col(f"`{id_col}`") == F.col("_id"), "left") \
+            .withColumn(clean, F.coalesce(F.col(clean), F.lit(False)))
+    bands = perplexity_bands(judged, lang, F.col(f"{s}.log_ppl"), F.col(clean), recall, low, high)
     # at most LANG_CLASSES rows: the scored rows, which hold the texts, stay where they are
     j = scored.join(F.broadcast(bands), lang_class(lang) == F.col("_lang"), "left")
     failed = base_failed(s)
@@ -436,7 +454,7 @@ def quality_filter(docs: DataFrame, **kw) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = quality_verdicts(table(spark, sf_dir, "documents"), keep_columns=["doc_id"])
+    v = quality_verdicts(table(spark, sf_dir, "documents"), keep_columns=["doc_id"], labels=table(spark, sf_dir, "labels"))
     c = "verdict"
     return v.select("doc_id", f"{c}.n_words", f"{c}.word_chars", f"{c}.n_symbols", f"{c}.n_dup_lines",
                     f"{c}.n_repeat_words", f"{c}.base_failed", f"{c}.kept", F.round(f"{c}.log_ppl", 6).alias("log_ppl"))
