@@ -2,6 +2,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,18 @@ def test_clean_rows_set_the_bands_of_their_language(spark):
     assert bands.pop(890)._lower == pytest.approx(8, abs=2)
     (other,) = bands.values()
     assert other._upper > 3000 and other._lower < -2000
+
+
+def test_n_grams_beyond_the_folded_size_are_not_merged(spark):
+    rnd = np.random.default_rng(2)
+    words = list(rnd.integers(0, 2 ** 63, (3, 2_000_000), dtype=np.uint64))
+    assert len(np.unique(w.gram_hash(words))) == 2_000_000
+    assert len(np.unique(q.fold(words[0].view(np.int64), 0, 23))) < 1_900_000  # what the character model merges
+
+
+def test_other_languages_do_not_change_a_score(spark):
+    rnd = random.Random(6)
+    rows = some_rows(6)
+    noise = [(" ".join("".join(rnd.choices("qwxzjkv日本#", k=8)) for _ in range(200)), f"l{i}") for i in range(100)]
+    alone, among = scores(spark, rows), scores(spark, rows + noise)
+    assert alone == pytest.approx({k: among[k] for k in alone}, abs=1e-6)

@@ -259,7 +259,7 @@ def log_perplexity(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     rows = docs.select(text.alias("text"), lang.alias("lang"), k1.alias("k1"), k2.alias("k2"))
     words = [f"w{j}" for j in range(order + 1)]
     columns = ", ".join(f"{w} long" for w in words)
-    top = materialize(rows.mapInArrow(_distinct(order + 1), f"lang string, {columns}").distinct(), "word-grams")
+    top = rows.mapInArrow(_distinct(order + 1), f"lang string, {columns}").distinct()
     model = left_out(top, order)
     n = -(-model.count() // bucket_grams) or 1
     blobs = model.select(*words[1:], "q").mapInArrow(_model_blobs(order, n), _BLOB) \
