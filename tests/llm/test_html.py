@@ -64,3 +64,23 @@ def test_hosts(spark):
     urls = {"http://A.example:80/x": "a.example", "https://u:p@b.example?q": "b.example", "//c.example/": "c.example", "x": ""}
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {r.url: r.h for r in df.select("url", H.host_of("url").alias("h")).collect()} == urls
+
+
+def test_all_articles_and_text_beside_a_short_one_stay():
+    many = "<body><nav>m</nav><article><p>first</p></article><article><p>second one</p></article></body>"
+    assert H.main_text(many, set()) == "first\nsecond one"
+    long = "a long text " * 20
+    for page in ("<body><article><p>teaser</p></article><main><p>{}</p></main></body>",
+                 "<body><article><p>teaser</p></article><div><p>{}</p></div></body>"):
+        assert long.strip() in H.main_text(page.format(long), set())
+    assert H.main_text(f"<body><p>out</p><main><p>{long}</p></main></body>", set()) == long.strip()
+    assert H.main_text("<body><div><p>no root</p></div></body>", set()) == "no root"
+
+
+def test_class_words_that_name_content_do_not_drop_prose():
+    prose = "what others have found out about this question before"
+    page = ("<article><h2 id='alert-levels'>Levels</h2><section id='related-work'><p>{0}</p></section>"
+            "<p class='notice-period'>{0}</p><div class='related'><a href='x'>{0}</a></div>"
+            "<div class='ad related'>{0}</div></article>").format(prose)
+    assert H.main_text(page, set()) == f"Levels\n{prose}\n{prose}"
+    assert H.main_text(f"<body><div class='cookie-notice'>{prose * 9}</div><p>in</p></body>", set()) == "in"

@@ -9,10 +9,14 @@
    that are no article text by their tag, role, class or id (menus, headers, footers, sidebars,
    notices, adverts, forms, scripts, styles, reader comments).
 
-The content root is the longest outermost ``article``, else ``main``, else the body.
-Prose inside an ``article`` or ``main`` (paragraphs, headings, list items, quotes) is never taken
-for template, however often it recurs: pages of a host may share passages or whole articles.
-Containers inside it may be template; the root and its ancestors may not.
+The content root is all outermost ``article`` elements together if they hold most of the text that is
+left, else ``main`` if it does, else the body.  Prose inside an ``article`` or ``main`` (paragraphs,
+headings, list items, quotes) is never taken for template, however often it recurs: pages of a host
+share lines, passages and whole articles.  Containers inside it may be template; the root and its
+ancestors may not.
+
+Words of a class or id that also name content (related-work, notice-period) drop an element only if it
+holds little prose outside links; inside a root no heading goes by its class or id.
 
 Text: character references are decoded, white space within a block becomes one space,
 blocks are trimmed, empty ones left out, and joined by a line feed in page order.
@@ -61,6 +65,13 @@ WORDS = re.compile(
     r"breadcrumb\w*|masthead|footer|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|"
     r"login|social|share|sharing|related|recommend\w*|comment\w*|disqus|respond|reply|replies|widget\w*|toolbar|pagination|"
     r"pager|skip-link|paywall|copyright)(?:$|[\s_-])", re.I)
+#: Of these, words that also name content.
+WEAK = re.compile(
+    r"(?:^|[\s_-])(?:banner|menu\w*|consent|gdpr|notice\w*|alert|modal|overlay|subscri\w*|signup|login|social|share|sharing|"
+    r"related|recommend\w*|widget\w*|copyright)(?=$|[\s_-])", re.I)
+#: Characters of prose outside links that keep such an element, in a root and elsewhere.
+PROSE_CHARS = {True: 40, False: 200}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Names of layouts, not of their parts (with-sidebar, ad-free).
 LAYOUT = re.compile(r"\b(?:with|has|no|without)[_-][\w-]+|\b\w+-free\b", re.I)
 PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|topbar|top-bar)(?:$|[\s_-])", re.I)
@@ -71,11 +82,11 @@ SALTS = 64
 
 
 class Element:
-    __slots__ = ("tag", "start", "end", "parent", "unwanted", "dropped", "in_root", "items", "index")
+    __slots__ = ("tag", "start", "end", "parent", "unwanted", "weak", "dropped", "in_root", "items", "index")
 
     def __init__(self, tag, start, parent, unwanted, in_root, index):
         self.tag, self.start, self.end, self.parent = tag, start, -1, parent
-        self.unwanted, self.dropped, self.in_root, self.index = unwanted, False, in_root, index
+        self.unwanted, self.weak, self.dropped, self.in_root, self.index = unwanted, False, False, in_root, index
         self.items = []  # text segments (str) and child elements
 
 
@@ -102,6 +113,35 @@ def is_dropped(tag: str, attrs: str, in_root: bool) -> bool:
     return bool(WORDS.search(names)) or (not in_root and bool(PAGE_HEADER.search(names)))
 
 
+def is_weak(tag: str, attrs: str, in_root: bool) -> bool:
+    """Whether a dropped element is so only by a word that also names content."""
+    if not attrs.strip() or tag in DROPPED or tag == "header" or tag in ROOTS or is_dropped(tag, ATTRIBUTE.sub(_no_names, attrs), in_root):
+        return False
+    a = attributes(attrs)
+    names = LAYOUT.sub(" ", f"{a.get('class', '')} {a.get('id', '')}")
+    if in_root and tag in HEADINGS:
+        return not COMMENTS.search(names)
+    rest = WEAK.sub(" ", names)
+    return not WORDS.search(rest) and (in_root or not PAGE_HEADER.search(rest))
+
+
+def _no_names(m: re.Match) -> str:
+    return " " if m[1].lower() in ("class", "id") else m[0]
+
+
+def _keep_prose(elements: list[Element]) -> None:
+    """Elements dropped by a weak word stay if they hold prose outside links (headings: any)."""
+    if not any(e.weak for e in elements):
+        return
+    size = [0] * len(elements)
+    for e in reversed(elements):  # an element's children come after it
+        size[e.index] += sum(len(SPACE.sub(" ", x).strip()) for x in e.items if isinstance(x, str))
+        if e.weak and (e.in_root and e.tag in HEADINGS or size[e.index] >= PROSE_CHARS[e.in_root]):
+            e.unwanted = False
+        if e.parent is not None and e.tag != "a" and not e.unwanted:
+            size[e.parent.index] += size[e.index]
+
+
 def parse(page: str) -> list[Element]:
     """Elements of a page in order; the first is the document."""
     root = Element("#document", 0, None, False, False, 0)
@@ -145,6 +185,7 @@ def parse(page: str) -> list[Element]:
         top = open_[-1]
         in_root = top.in_root or top.tag in ROOTS
         e = Element(tag, m.start(), top, is_dropped(tag, m[3], in_root), in_root, len(elements))
+        e.weak = e.unwanted and is_weak(tag, m[3], in_root)
         elements.append(e)
         top.items.append(e)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
@@ -159,6 +200,7 @@ def parse(page: str) -> list[Element]:
             open_.append(e)
     for e in open_:
         e.end = len(page)
+    _keep_prose(elements)
     for e in elements:  # a form round the article, or anything round main, is layout
         if e.tag in ROOTS and not e.unwanted:
             p = e.parent
@@ -237,17 +279,16 @@ def main_text(page: str, template: set[int]) -> str:
     for e in elements:
         if e.index in skip or (e.parent is not None and e.parent.index in hidden):
             hidden.add(e.index)
-    best = None
+    whole = block_texts(elements[0], skip)
+    most = sum(map(len, whole)) / 2
     for tag in ("article", "main"):
+        blocks = []
         for e in elements:
-            if e.tag == tag and not e.dropped and e.index not in hidden and not (e.in_root and tag == "article" and _inside(e, tag)):
-                blocks = block_texts(e, skip)
-                size = sum(map(len, blocks))
-                if size and (best is None or size > best[0]):
-                    best = (size, blocks)
-        if best:
-            return "\n".join(best[1])
-    return "\n".join(block_texts(elements[0], skip))
+            if e.tag == tag and not e.dropped and e.index not in hidden and not _inside(e, tag):
+                blocks += block_texts(e, skip)
+        if blocks and sum(map(len, blocks)) >= most:
+            return "\n".join(blocks)
+    return "\n".join(whole)
 
 
 def _inside(e: Element, tag: str) -> bool:
