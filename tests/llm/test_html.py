@@ -84,3 +84,17 @@ def test_class_words_that_name_content_do_not_drop_prose():
             "<div class='ad related'>{0}</div></article>").format(prose)
     assert H.main_text(page, set()) == f"Levels\n{prose}\n{prose}"
     assert H.main_text(f"<body><div class='cookie-notice'>{prose * 9}</div><p>in</p></body>", set()) == "in"
+
+
+def test_recurrence_is_judged_alike_on_small_and_large_hosts(spark):
+    def page(i, extra):
+        return f"<body>{extra}<div><p>own text {i}</p></div></body>"
+    menu, shared = "<div>Section menu</div>", f"<div>{'a shared story ' * 60}</div>"
+    rows = [(i, "http://small.example/p", page(i, menu)) for i in range(8)]
+    rows += [(1000 + i, "http://large.example/p", page(i, f"<div>Notice {i % 25}</div>")) for i in range(750)]
+    rows += [(3000 + i, "http://copy.example/p", page(i, shared)) for i in range(4)]
+    text = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(text) == len(rows)
+    assert all(text[i] == f"own text {i}" for i in range(8))
+    assert all(text[1000 + i] == f"own text {i}" for i in range(750))
+    assert all(t.startswith("a shared story") for i, t in text.items() if i >= 3000)

@@ -2,9 +2,10 @@
 
 1. Every page is parsed into elements.  Subtrees that can be template (see below) are
    hashed, and Spark counts for each host the pages that hold each hash.
-2. A hash on at least ``min_pages`` pages and ``min_share`` of its host's pages is site
-   template.  A host has at most (subtrees per page / ``min_share``) such hashes, so they travel
-   as one list per host, joined to the pages on the host.
+2. A hash on at least ``min_pages`` pages is site template if these are ``min_share`` of its host's pages
+   or ``many`` at least, so a recurrence counts the same on a large host.  Below ``many`` pages a subtree with more
+   than ``LONG`` characters outside links is a shared text, not template.  Pages meet the
+   templates by an equi-join on host and hash; nothing is held per host.
 3. A page's text is its content root without template subtrees and without elements
    that are no article text by their tag, role, class or id (menus, headers, footers, sidebars,
    notices, adverts, forms, scripts, styles, reader comments).
@@ -32,7 +33,6 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -79,6 +79,7 @@ COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment\w*|reply|replies|disqus)(?:$|[\s_
 ROOTS = frozenset(["article", "main"])
 NO_DROP = frozenset(["html", "body"])
 SALTS = 64
+LONG = 600
 
 
 class Element:
@@ -233,8 +234,15 @@ def subtree_hash(page: str, e: Element) -> int:
     return xxhash.xxh64_intdigest(SPACE.sub(" ", page[e.start:e.end]).strip().encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def page_hashes(page: str) -> set[int]:
-    return {subtree_hash(page, e) for e in countable(parse(page))}
+def page_hashes(page: str) -> dict[int, bool]:
+    """Hashes of the subtrees of a page that can be template, and whether they are long."""
+    elements = parse(page)
+    size = [0] * len(elements)
+    for e in reversed(elements):  # an element's children come after it
+        size[e.index] += sum(len(x) for x in e.items if isinstance(x, str))
+        if e.parent is not None and e.tag != "a":
+            size[e.parent.index] += size[e.index]
+    return {subtree_hash(page, e): size[e.index] > LONG for e in countable(elements)}
 
 
 def block_texts(e: Element, skip: set[int]) -> list[str]:
@@ -307,46 +315,42 @@ def host_of(url: str) -> Column:
     return F.coalesce(h, F.lit(""))
 
 
-def count_subtrees(batches: Iterator[pa.RecordBatch], flush: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """Task function: (host, html) to partial counts (host, hash, n); a NULL hash counts the pages."""
-    n: Counter = Counter()
-
-    def out():
-        keys = list(n)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()),
-                                           pa.array([n[k] for k in keys], pa.int64())], ["host", "hash", "n"])
-    for batch in batches:
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            n[host, None] += 1
-            n.update((host, h) for h in page_hashes(page or ""))
-        if len(n) > flush:
-            yield out()
-            n.clear()
-    if n:
-        yield out()
-
-
-def site_templates(pages: DataFrame, host: Column, html_col: str, min_pages: int, min_share: float) -> DataFrame:
-    """(host, template): hashes of the recurring subtrees of every host that has any."""
-    counts = pages.select(host.alias("host"), F.col(html_col).alias("html")) \
-        .mapInArrow(count_subtrees, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.where((F.col("n") >= min_pages) | F.col("hash").isNull()), "html-subtrees")
-    sizes = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    return counts.where("hash is not null").join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")) \
-        .groupBy("host").agg(F.collect_list("hash").alias("template"))
+def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: (k1, k2, host, html) to (k1, k2, host, hashes, long)."""
+    for b in batches:
+        found = [page_hashes(p or "") for p in b.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), b.column(2), pa.array([list(x) for x in found], pa.list_(pa.int64())),
+             pa.array([list(x.values()) for x in found], pa.list_(pa.bool_()))], ["k1", "k2", "host", "hashes", "long"])
+
+
+def page_templates(rows: DataFrame, min_pages: int, min_share: float, many: int) -> DataFrame:
+    """(k1, k2, template): of every page (k1, k2, host, html) with any, the hashes that are template of its host."""
+    pages = materialize(rows.select("k1", "k2", "host", "html").mapInArrow(
+        subtrees, "k1 long, k2 long, host string, hashes array<long>, long array<boolean>"), "html-subtrees")
+    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    each = pages.select("host", F.explode(F.arrays_zip("hashes", "long")).alias("s")) \
+        .groupBy("host", F.col("s.hashes").alias("hash")).agg(F.count(F.lit(1)).alias("n"), F.max("s.long").alias("long"))
+    sites = each.where(F.col("n") >= min_pages).join(sizes, "host") \
+        .where((F.col("n") >= many) | (F.col("n") >= min_share * F.col("pages")) & ~F.col("long")) \
+        .select(F.col("host").alias("_host"), F.col("hash").alias("_hash"))
+    # a template may be on a third of all pages: they are dealt out by salt, it is copied to every salt
+    sites = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    own = pages.groupBy("k1", "k2").agg(F.first("host").alias("host"), F.first("hashes").alias("hashes")) \
+        .select("k1", "k2", "host", F.explode("hashes").alias("hash")).withColumn("salt", F.pmod("k1", F.lit(SALTS)))
+    met = own.join(sites, (F.col("host") == F.col("_host")) & (F.col("hash") == F.col("_hash")) & (F.col("salt") == F.col("_salt")))
+    return met.groupBy("k1", "k2").agg(F.collect_list("hash").alias("template"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                      min_pages: int = 10, min_share: float = 0.05) -> DataFrame:
+                      min_pages: int = 3, min_share: float = 0.05, many: int = 10) -> DataFrame:
     """(page_id, url, text) of every page."""
     host = host_of(url_col)
-    sites = site_templates(pages, host, html_col, min_pages, min_share).withColumnRenamed("host", "_host")
+    parts = (F.coalesce(F.col(html_col), F.lit("")), host)  # pages of a host with equal html have equal texts
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"),
-                        host.alias("host"))
-    # a host may hold a third of all pages: its pages are dealt out by salt, its list copied to every salt
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-    sites = sites.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    joined = rows.join(sites, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left") \
+                        host.alias("host"), F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit("second"), *parts).alias("k2"))
+    sites = page_templates(rows, min_pages, min_share, many).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
+    joined = rows.join(sites, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left") \
         .select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
