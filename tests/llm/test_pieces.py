@@ -65,3 +65,14 @@ def test_round_trip_in_spark(spark, model):
     assert back == sorted((i, (t or "").replace("▁", " ")) for i, t in rows)
     assert all(r.round_trip == ("▁" not in (dict(rows)[r.id] or "")) for r in enc.collect())
     assert P.encode_pieces(docs.where("false")).count() == 0
+
+
+def test_short_runs_go_through_the_stream_too(model, monkeypatch):
+    seen, push = [], P.StreamingViterbi.push
+
+    def counted(self, chars):
+        seen.append(chars)
+        return push(self, chars)
+    monkeypatch.setattr(P.StreamingViterbi, "push", counted)
+    P.PieceEncoder(model).encode("the cat the dog")
+    assert seen == ["▁the", "▁cat", "▁dog"]

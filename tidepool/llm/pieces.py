@@ -47,8 +47,8 @@ class PieceModel:
         self.pieces, self.byte_ids, self.texts = pieces, byte_ids, texts
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        #: Pieces with their ids and scores, and the beginnings of pieces that are none (False).
-        self.prefixes = {p[:n]: False for p in pieces for n in range(1, len(p))} | pieces
+        #: Pieces with their ids and scores, and the ends of pieces that are none (False).
+        self.suffixes = {p[-n:]: False for p in pieces for n in range(1, len(p))} | pieces
         self.cuts_at_marks = not any(MARK in p.lstrip(MARK) for p in pieces)
 
     @classmethod
@@ -82,26 +82,30 @@ class StreamingViterbi:
     def push(self, chars: Iterable[str]) -> Iterator[int]:
         """Read characters; yields the ids that become certain."""
         m, longest = self.model, self.model.longest
+        get, scores, back, w = m.suffixes.get, self.scores, self.back, self.window
         for c in chars:
-            self.window = (self.window + c)[-longest:]
-            w, best, step, ids = self.window, None, 0, ()
-            for n in range(len(w), 0, -1):
-                if n > len(self.scores):
-                    continue
-                found = m.pieces.get(w[-n:])
-                if found is not None:
-                    s = self.scores[-n] + found[1]
-                    if best is None or s > best:
+            w = (w + c)[-longest:]
+            best, step, ids = None, 0, ()
+            for n in range(1, min(len(w), len(scores)) + 1):
+                found = get(w[-n:])
+                if found is None:  # no piece ends like this
+                    break
+                if found:
+                    s = scores[-n] + found[1]
+                    if best is None or s >= best:
                         best, step, ids = s, n, (found[0],)
-            if w[-1] not in m.pieces:
-                s = self.scores[-1] + m.unknown
+            if c not in m.pieces:
+                s = scores[-1] + m.unknown
                 if best is None or s > best:
                     best, step, ids = s, 1, tuple(m.byte_ids[b] for b in c.encode("utf-8", "replace"))
-            self.scores = [*self.scores[-longest + 1:], best] if longest > 1 else [best]
-            self.back.append((step, ids))
-            self.held = max(self.held, len(self.back))
-            if len(self.back) % self.check_every == 0:
+            scores.append(best)
+            if len(scores) > longest:
+                del scores[0]
+            back.append((step, ids))
+            if len(back) % self.check_every == 0:
+                self.window, self.held = w, max(self.held, len(back))
                 yield from self._commit(self._common())
+        self.window, self.held = w, max(self.held, len(back))
 
     def _common(self) -> int:
         """Latest boundary (counted from the last commit) on the paths of all boundaries in the window."""
@@ -156,42 +160,13 @@ class PieceEncoder:
         v = StreamingViterbi(self.model)
         return np.array([*v.push(run), *v.finish()], dtype="<u4").tobytes()
 
-    def _short(self, run: str) -> bytes:
-        """The same path for a run that is kept whole and committed at its end."""
-        m, n = self.model, len(run)
-        get = m.prefixes.get
-        scores, back = [None] * (n + 1), [None] * (n + 1)
-        scores[0] = 0.0
-        for i in range(n):
-            base = scores[i]
-            for j in range(i + 1, n + 1):
-                found = get(run[i:j])
-                if found is None:  # no piece goes on like this
-                    break
-                if found:
-                    s, t = base + found[1], scores[j]
-                    if t is None or s > t:
-                        scores[j], back[j] = s, (i, found[0])
-            if run[i] not in m.pieces:
-                s, t = base + m.unknown, scores[i + 1]
-                if t is None or s > t:
-                    scores[i + 1], back[i + 1] = s, (i, None)
-        out, j = [], n
-        while j:
-            i, piece = back[j]
-            out.extend([piece] if piece is not None else [m.byte_ids[b] for b in reversed(run[i].encode("utf-8", "replace"))])
-            j = i
-        return np.array(out[::-1], dtype="<u4").tobytes()
-
     def encode(self, text: str) -> np.ndarray:
         known, out = self.known, []
         for run in self.runs(text):
             ids = known.get(run)
             if ids is None:
-                if len(run) > LONG_RUN:
-                    ids = self._stream(run)
-                else:
-                    ids = self._short(run)
+                ids = self._stream(run)
+                if len(run) <= LONG_RUN:
                     if len(known) >= CACHE_RUNS:
                         known.clear()
                     known[run] = ids
