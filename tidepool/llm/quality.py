@@ -39,6 +39,7 @@ LANG_CLASSES = 4096
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_CLEAN = 50
+BELOW = 0.05
 _SYMBOL_TABLE = {ord(c): None for c in SYMBOLS}
 
 
@@ -361,14 +362,14 @@ def perplexity_bands(scored: DataFrame, lang_col: str, ppl: Column, clean: Colum
                      high: float) -> DataFrame:
     """(class, lower, upper) of the languages' bands.
 
-    A language with ``MIN_CLEAN`` rows where ``clean`` holds keeps ``recall`` of these, half of the rest on either side.
+    A language with ``MIN_CLEAN`` rows where ``clean`` holds keeps ``recall`` of these; of the rest ``BELOW`` lies under the band.
     Others have ``low`` and ``high`` robust deviations around the median, each side's from its own quartile
     of all rows.  Bands are kept for ``LANG_CLASSES`` classes that languages are hashed to, so there
     are at most so many rows.
     """
     q = F.percentile_approx(ppl, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000)
-    tail = (1 - recall) / 2
-    c = F.percentile_approx(F.when(clean, ppl), F.array(F.lit(tail), F.lit(1 - tail)), 10_000)
+    below = (1 - recall) * BELOW
+    c = F.percentile_approx(F.when(clean, ppl), F.array(F.lit(below), F.lit(recall + below)), 10_000)
     b = scored.groupBy(lang_class(lang_col).alias("_lang")).agg(
         q.alias("_q"), c.alias("_c"), F.count(F.when(clean & ppl.isNotNull(), 1)).alias("_n"))
     sigma = 1.4826
@@ -413,7 +414,7 @@ def quality_scores(docs: DataFrame, out_col: str, text_col: str = "text", lang_c
 
 def quality_verdicts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = wordlm.ORDER,
                      low: float = 8.0, high: float = 7.5, keep_columns: list[str] | None = None,
-                     labels: DataFrame | None = None, id_col: str = "doc_id", recall: float = 0.99) -> DataFrame:
+                     labels: DataFrame | None = None, id_col: str = "doc_id", recall: float = 0.98) -> DataFrame:
     """``keep_columns`` of ``docs`` (all by default) and a struct column ``verdict``.
 
     ``labels`` (``id_col``, quality): rows of quality 1 set the bands of their language, see ``perplexity_bands``.
