@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidepool.llm import chat, html, packing, pieces, pii, quality, sharding, simhash, topk, toxicity
+from tidepool.llm import (
+    chat, html, merkle, packing, pieces, pii, quality, sharding, simhash, topk, toxicity,
+)
 
 QUERIES: dict[str, Callable] = {
     "op1_html_main_text": html.op1_html_main_text,
@@ -17,10 +19,12 @@ QUERIES: dict[str, Callable] = {
     "op8_extendible_sharding": sharding.op8_extendible_sharding,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_perspective_rotation": chat.op10_perspective_rotation,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
     "op7_threshold_top_k": topk.OP7_SQL,
     "op8_extendible_sharding": sharding.OP8_SQL,
     "op10_perspective_rotation": chat.OP10_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
