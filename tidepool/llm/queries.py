@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from tidepool.llm import (
-    chat, html, merkle, packing, pieces, pii, quality, sharding, simhash, topk, toxicity,
+    chat, html, merkle, packing, pieces, pii, quality, repair, sharding, simhash, superminhash, topk, toxicity,
 )
 
 QUERIES: dict[str, Callable] = {
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable] = {
     "op8_extendible_sharding": sharding.op8_extendible_sharding,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_perspective_rotation": chat.op10_perspective_rotation,
+    "op11_rank_convergence_viterbi": repair.op11_rank_convergence_viterbi,
+    "op12_superminhash_near_dedup": superminhash.op12_superminhash_near_dedup,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
@@ -26,5 +28,6 @@ ORACLE: dict[str, str] = {
     "op7_threshold_top_k": topk.OP7_SQL,
     "op8_extendible_sharding": sharding.OP8_SQL,
     "op10_perspective_rotation": chat.OP10_SQL,
+    "op12_superminhash_near_dedup": superminhash.OP12_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }
