@@ -28,6 +28,7 @@ ORACLE: dict[str, str] = {
     "op7_threshold_top_k": topk.OP7_SQL,
     "op8_extendible_sharding": sharding.OP8_SQL,
     "op10_perspective_rotation": chat.OP10_SQL,
+    "op11_rank_convergence_viterbi": repair.OP11_SQL,
     "op12_superminhash_near_dedup": superminhash.OP12_SQL,
     "op13_merkle_manifest": merkle.OP13_SQL,
 }

@@ -39,6 +39,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from tidepool.llm.common import WORD, materialize, table
+from tidepool.llm.merkle import sql_crc32
 from tidepool.llm.streams import to_batches
 
 # fixed values: costs of the edits, states of the role pattern
@@ -365,3 +366,57 @@ def op11_rank_convergence_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame
                for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select(F.col("conv.id").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
                       F.coalesce("sha", F.lit(EMPTY_SHA)).alias("repaired_sha256"))
+
+
+#: forward recurrence: per conversation, row and state the least (cost, audit), which carries the repaired lines along
+OP11_SQL = rf"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {sql_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM t WHERE k <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d
+), f AS MATERIALIZED (
+  SELECT *, left(role, 1) AS ini, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM o
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (i > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+), ins(s, k, s1, added) AS (VALUES
+  (0, 0, 0, ''), (0, 1, 2, chr(10) || 'user:'), (0, 2, 3, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (1, 0, 1, ''), (1, 1, 2, chr(10) || 'user:'), (1, 2, 3, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 0, 2, ''), (2, 1, 3, chr(10) || 'assistant:'), (3, 0, 3, ''), (3, 1, 2, chr(10) || 'user:')
+), keep(s1, ini, s2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+other(s1, role, s2) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+edits AS MATERIALIZED (
+  SELECT f.conv_id, f.i, s1.s1, 'D' AS op, 4 AS price, s1.s1 AS s2, '' AS line FROM f, (SELECT DISTINCT s1 FROM ins) s1
+  UNION ALL
+  SELECT f.conv_id, f.i, keep.s1, 'K', CASE WHEN fault = 't' THEN 3 ELSE 0 END, keep.s2, chr(10) || role || ':' || text
+  FROM f JOIN keep ON keep.ini = f.ini WHERE fault IN ('', 't')
+  UNION ALL
+  SELECT f.conv_id, f.i, other.s1, 'R', CASE WHEN fault = 't' THEN 6 ELSE 3 END, other.s2, chr(10) || other.role || ':' || text
+  FROM f, other WHERE fault IN ('', 't')
+), dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, struct_pack(cost := 0, audit := '', lines := '') AS best FROM counts
+  UNION ALL
+  SELECT dp.conv_id, e.i, e.s2, min(struct_pack(cost := best.cost + 3 * ins.k + e.price,
+    audit := best.audit || repeat('I', ins.k) || e.op, lines := best.lines || ins.added || e.line))
+  FROM dp JOIN ins ON ins.s = dp.s JOIN edits e ON e.conv_id IS NOT DISTINCT FROM dp.conv_id AND e.i = dp.i + 1 AND e.s1 = ins.s1
+  GROUP BY dp.conv_id, e.i, e.s2
+), ends AS (
+  SELECT dp.conv_id, min(struct_pack(cost := best.cost + 3 * ins.k, audit := best.audit || repeat('I', ins.k), lines := best.lines || ins.added)) AS best
+  FROM dp JOIN counts c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id AND c.n = dp.i JOIN ins ON ins.s = dp.s AND ins.s1 IN (0, 3)
+  GROUP BY dp.conv_id
+)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost,
+  coalesce(e.best.audit, '') AS audit, sha256(coalesce(substr(e.best.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM q.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM q.conv_id
+"""
