@@ -241,9 +241,9 @@ def test_hot_copy_group_collapses_before_pairing(spark):
     fps, _ = fp.hash_fingerprint(df, "text", "doc_id", size=1 << 16)
     reps, members = clu.collapse_identical(fps, "doc_id")
     assert reps.count() == len(set(texts))
-    pairs = clu.similar_pairs(reps, 0.5, 1 << 16)
+    pairs = clu.similar_pairs(reps, 0.5)
     assert pairs.where((F.col("a") == 0) | (F.col("b") == 0)).count() <= len(set(texts))
-    got = {r["doc_id"]: r["cluster"] for r in clu.similarity_clusters(fps, "doc_id", 0.5, 1 << 16).collect()}
+    got = {r["doc_id"]: r["cluster"] for r in clu.similarity_clusters(fps, "doc_id", 0.5).collect()}
     want = _brute_butina({r["doc_id"]: set(r["bits"]) for r in fps.collect()}, 0.5)
     assert got == want
     assert len({got[i] for i in [0] + list(range(60, 90))}) == 1

@@ -1,9 +1,11 @@
 """Entry points driven by a configuration dictionary, on files written from the driver tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_SMALL
 from tidepool.operators import reshape as rs
+from tidepool.operators.split import OverlapError
 from tidepool.plans import pipeline as pl
 from tidepool.session import scratch_path
 from tidepool.sources import io as sio
@@ -31,6 +33,10 @@ def test_active_learning_run_from_config(spark):
     res = pl.active_learning_run(spark, config)
     hist = spark.read.parquet(res["history"])
     assert hist.count() == 4
+    # pool and validation keep their 85 / 15 of the rows that are left (20 queried cells or fewer apart)
+    val = spark.read.parquet(f"{base}/out/validation").select("id").distinct().count()
+    rest = spark.read.parquet(f"{base}/out/validation").select("id").union(res["pool"].select("id")).distinct().count()
+    assert abs(val / rest - 0.15) < 0.01
     assert spark.read.parquet(res["metrics"]).where("Tasks = 'mean'").count() == 2
     # resume: same config again adds nothing
     pl.active_learning_run(spark, config)
@@ -81,3 +87,53 @@ def test_cluster_split_from_config(spark):
     n = roles.count()
     assert n == cells.select("id").distinct().count()
     assert roles.where("role = 'train'").count() <= 0.8 * n
+
+
+def test_sides_with_their_own_files(spark):
+    base = _files(spark)
+    for side, keep in (("train", "X % 4 != 0"), ("test", "X % 4 = 0")):
+        sio.write_table(sio.read_table(spark, f"{base}/labels.tab").where(keep), f"{base}/{side}.tab", fmt="tab")
+        sio.write_table(sio.read_table(spark, f"{base}/bert.csv").where(keep.replace("X", "SMILES")), f"{base}/{side}.csv", fmt="csv")
+    config = {"train_test_split_exists": True, "Compound_col": "X", "selected_tasks": ["t0", "t1"], "main_task": "t0",
+              "all_tasks": td.EMB_TASKS, "use_all_tasks_to_split": True,
+              **{f"{s}_target_file": f"{base}/{s}.tab" for s in ("train", "test")},
+              **{f"{s}_BERT_features_file": f"{base}/{s}.csv" for s in ("train", "test")}}
+    cells, feats, roles = pl.load_split(spark, config)
+    assert {r["task"] for r in cells.select("task").distinct().collect()} == {"t0", "t1"}
+    assert {(r["id"] % 4 == 0, r["role"]) for r in roles.collect()} == {(True, "test"), (False, "train")}
+    assert feats.count() == roles.count() == td.emb_features(spark, SF_SMALL).count()
+    with pytest.raises(OverlapError):
+        pl.load_split(spark, {**config, "test_target_file": f"{base}/train.tab", "test_BERT_features_file": f"{base}/train.csv"})
+    whole = {k: v for k, v in config.items() if not k.startswith("train_") and not k.startswith("test_")}
+    whole.update(target_file=f"{base}/labels.tab", BERT_features_file=f"{base}/bert.csv", splitter="RandomStratifiedSplitter")
+    cells, _, roles = pl.load_split(spark, whole)   # split on ten tasks, go on with two
+    assert {r["task"] for r in cells.select("task").distinct().collect()} == {"t0", "t1"}
+    n = roles.count()
+    assert roles.where("role = 'train'").count() == int(0.8 * n)
+
+
+def test_wide_text_never_becomes_columns(spark, tmp_path):
+    width = 2048
+    head = ",".join(["SMILES", *[f"u{i}" for i in range(width)]])
+    rows = ['"C(C,""x"")O",' + ",".join(str(i % 7) for i in range(width)),
+            "CC," + ",".join(["NaN", "", "bad"] + ["0.5"] * (width - 3))]
+    folder = tmp_path / "wide.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text(head + "\n" + rows[0] + "\n")
+    (folder / "b.csv").write_text(head + "\n" + rows[1] + "\n")
+    df = sio.read_features(spark, str(folder), "SMILES")
+    got = {r["id"]: list(r["x"]) for r in df.collect()}
+    assert got['C(C,"x")O'] == [float(i % 7) for i in range(width)]
+    assert got["CC"] == [None, None, None] + [0.5] * (width - 3)
+    plan = df._jdf.queryExecution().toString()
+    assert "u100" not in plan and plan.count("FileScan") == 1
+
+
+def test_key_column_in_the_middle(spark, tmp_path):
+    (tmp_path / "m.tab").write_text("a\tkey\tb\n1\tk 1\t2\n3\tk2\t4.5\n")
+    got = {r["id"]: list(r["x"]) for r in sio.read_features(spark, str(tmp_path / "m.tab"), "key").collect()}
+    assert got == {"k 1": [1.0, 2.0], "k2": [3.0, 4.5]}
+    (tmp_path / "e.tab").write_text("x\tkey\n")
+    assert sio.read_features(spark, str(tmp_path / "e.tab"), "key").count() == 0
+    with pytest.raises(ValueError):
+        sio.read_features(spark, str(tmp_path / "m.tab"), "none")

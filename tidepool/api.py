@@ -18,7 +18,7 @@ from tidepool.operators.metrics import (  # noqa: F401
     ace, aupr, average_precision, balanced_acc, best_f1, ece, f1_at_threshold, metrics_report, metrics_table,
     nanmean_metrics, pr_curve, roc_auc, roc_curve, sens_spec, threshold_curve, threshold_metrics,
 )
-from tidepool.operators.ranking import hash_rank, prefix_sums  # noqa: F401
+from tidepool.operators.ranking import hash_rank, ordered_rank, prefix_sums  # noqa: F401
 from tidepool.operators.reshape import (  # noqa: F401
     align_features, concat_features, dedup_keep_first, features_for_labels, labels_with_features, melt_labels,
     merge_cells, pack_features, select_tasks, select_tasks_long, to_dataset, to_wide, unpack_features,
@@ -35,10 +35,13 @@ from tidepool.operators.selection import (  # noqa: F401
     topk_cells, topk_one_task, upsert_train, upsert_train_wide,
 )
 from tidepool.operators.split import (  # noqa: F401
-    fold_guard, kfold_multilabel, kfold_stratified, split_by_group, split_existing, split_random, split_stratified,
+    fold_guard, kfold_multilabel, kfold_stratified, split_by_group, split_existing, split_multilabel, split_random,
+    split_stratified,
 )
 from tidepool.plans.loop import (  # noqa: F401
     al_run, al_step, experiment_grid, iteration_done, iterations_done, replay_history,
 )
 from tidepool.plans.pipeline import active_learning_run, fingerprint_job  # noqa: F401
-from tidepool.sources.io import append_history, normalize_missing, read_history, read_table, write_table  # noqa: F401
+from tidepool.plans.runs import RunSpec, al_runs  # noqa: F401
+from tidepool.sources.history import append_history, compact_history, read_history  # noqa: F401
+from tidepool.sources.io import normalize_missing, read_features, read_table, write_table  # noqa: F401

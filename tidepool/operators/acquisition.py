@@ -31,12 +31,19 @@ def _mean(ps="ps"):
     return F.aggregate(ps, F.lit(0.0), lambda a, p: a + p) / F.size(ps)
 
 
+def _bald(m, eps: float = BALD_EPS):
+    eh = F.aggregate("ps", F.lit(0.0), lambda a, p: a + (-p * F.log(p + F.lit(eps)))) / F.size("ps")
+    return (-m * F.log(m + F.lit(eps))) - eh
+
+
+def _ucb(m, beta: float):
+    var = F.aggregate("ps", F.lit(0.0), lambda a, p: a + (p - m) * (p - m)) / F.size("ps")
+    return m + F.lit(beta) * F.sqrt(var)
+
+
 def bald(preds: DataFrame, eps: float = BALD_EPS) -> DataFrame:
     """Mutual information, positive-class term only: H(mean p) - mean H(p), H(p) = -p ln(p+eps)."""
-    m = F.col("_m")
-    eh = F.aggregate("ps", F.lit(0.0), lambda a, p: a + (-p * F.log(p + F.lit(eps)))) / F.size("ps")
-    return preds.withColumn("_m", _mean()).select(
-        "id", "task", ((-m * F.log(m + F.lit(eps))) - eh).alias("score"))
+    return preds.withColumn("_m", _mean()).select("id", "task", _bald(F.col("_m"), eps).alias("score"))
 
 
 def greedy(preds: DataFrame) -> DataFrame:
@@ -45,9 +52,14 @@ def greedy(preds: DataFrame) -> DataFrame:
 
 def ucb(preds: DataFrame, beta: float = UCB_BETA) -> DataFrame:
     """mean + beta * population std over passes."""
-    d = preds.withColumn("_m", _mean())
-    var = F.aggregate("ps", F.lit(0.0), lambda a, p: a + (p - F.col("_m")) * (p - F.col("_m"))) / F.size("ps")
-    return d.select("id", "task", (F.col("_m") + F.lit(beta) * F.sqrt(var)).alias("score"))
+    return preds.withColumn("_m", _mean()).select("id", "task", _ucb(F.col("_m"), beta).alias("score"))
+
+
+def score_by(preds: DataFrame, strategy, beta: float = UCB_BETA, keep: list[str] | None = None) -> DataFrame:
+    """Scores of rows that follow different per-cell strategies (``strategy``: a column of their names)."""
+    m = F.col("_m")
+    score = F.when(strategy == "BALD", _bald(m)).when(strategy == "greedy", m).when(strategy == "ucb", _ucb(m, beta))
+    return preds.withColumn("_m", _mean()).select("id", "task", *(keep or []), score.alias("score"))
 
 
 def _epig_block(P: np.ndarray, mp: np.ndarray, Q: np.ndarray, mq: np.ndarray) -> np.ndarray:
@@ -66,7 +78,7 @@ def _to_matrix(col: pa.Array, n: int) -> np.ndarray:
 
 
 def epig(pool: DataFrame, targets: DataFrame, target_block: int | None = None,
-         pool_group: int = EPIG_POOL_GROUP) -> DataFrame:
+         pool_group: int = EPIG_POOL_GROUP, by: str | None = None) -> DataFrame:
     """Expected predictive information gain of each pool cell about a target set.
 
     ``pool``: ``(id, task, ps)``; ``targets``: ``(id, ps)`` (one task, e.g. the
@@ -76,31 +88,39 @@ def epig(pool: DataFrame, targets: DataFrame, target_block: int | None = None,
     Pool groups of about ``pool_group`` cells are cogrouped with target blocks of about
     ``target_block`` targets (each side replicated across the other's blocks, never
     forming pairs as rows), and the partial sums are added up.
+
+    ``by``: a column of both sides (such as the run); pool cells meet the targets of their own
+    value only.  Every value has as many targets.
     """
-    n_t, k_passes = targets.agg(F.count(F.lit(1)), F.max(F.size("ps"))).first()
-    if n_t == 0:
+    own = [by] if by else []
+    sizes = targets.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("ps")).alias("k"))
+    n_t, fewest, k_passes, values = sizes.agg(F.max("n"), F.min("n"), F.max("k"), F.count(F.lit(1))).first()
+    if not n_t:
         raise ValueError("EPIG needs a non-empty target set")
+    if fewest != n_t:
+        raise ValueError(f"EPIG targets differ in number by {by}: {fewest} to {n_t}")
     block = target_block or max(EPIG_TARGET_BLOCK, EPIG_BLOCK_CELLS // max(1, k_passes))
-    return _epig_blocked(pool, targets, n_t, block, pool_group)
+    return _epig_blocked(pool, targets, n_t, block, pool_group, own, values)
 
 
-def _epig_blocked(pool: DataFrame, targets: DataFrame, n_t: int, target_block: int, pool_group: int) -> DataFrame:
-    n_p = pool.count()
+def _epig_blocked(pool: DataFrame, targets: DataFrame, n_t: int, target_block: int, pool_group: int,
+                  own: list[str], values: int) -> DataFrame:
+    n_p = pool.count() // values
     nb = max(1, math.ceil(n_t / target_block))
     ng = max(1, math.ceil(n_p / pool_group))
     # cogroup keys must have identical types on both sides (int vs long would
     # hash to different partitions), so both are cast to long explicitly
-    p = pool.select("id", "task", "ps",
+    p = pool.select("id", "task", "ps", *own,
                     F.pmod(hash52("epig-g", "id", "task"), F.lit(ng)).cast("long").alias("g"),
                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))).alias("b"))
-    t = targets.select(F.col("ps").alias("qs"),
+    t = targets.select(F.col("ps").alias("qs"), *own,
                        F.pmod(hash52("epig-b", "id"), F.lit(nb)).cast("long").alias("b"),
                        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ng - 1).cast("long"))).alias("g"))
     import pandas as pd
 
     def block(pdf: pd.DataFrame, tdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
-            return pd.DataFrame({"id": pdf["id"], "task": pdf["task"], "s": []})
+            return pd.DataFrame({"id": pdf["id"], "task": pdf["task"], **{c: pdf[c] for c in own}, "s": []})
         P = np.stack(pdf["ps"].to_numpy()).astype(np.float64)
         s = np.zeros(len(pdf))
         if not tdf.empty:
@@ -109,11 +129,12 @@ def _epig_blocked(pool: DataFrame, targets: DataFrame, n_t: int, target_block: i
             for r in range(0, len(pdf), EPIG_POOL_TILE):
                 rs = slice(r, r + EPIG_POOL_TILE)
                 s[rs] = _epig_block(P[rs], mp[rs], Q, mq)
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "task": pdf["task"].to_numpy(), "s": s})
+        return pd.DataFrame({"id": pdf["id"].to_numpy(), "task": pdf["task"].to_numpy(),
+                             **{c: pdf[c].to_numpy() for c in own}, "s": s})
 
-    schema = T.StructType([pool.schema["id"], pool.schema["task"], T.StructField("s", T.DoubleType())])
-    parts = p.groupBy("g", "b").cogroup(t.groupBy("g", "b")).applyInPandas(block, schema)
-    return parts.groupBy("id", "task").agg((F.sum("s") / F.lit(float(n_t))).alias("score"))
+    schema = T.StructType([pool.schema["id"], pool.schema["task"], *[pool.schema[c] for c in own], T.StructField("s", T.DoubleType())])
+    parts = p.groupBy(*own, "g", "b").cogroup(t.groupBy(*own, "g", "b")).applyInPandas(block, schema)
+    return parts.groupBy("id", "task", *own).agg((F.sum("s") / F.lit(float(n_t))).alias("score"))
 
 
 def uniform(pool_cells: DataFrame, n: int, seed: int = 0, iteration: int = 0) -> DataFrame:
@@ -150,7 +171,8 @@ def warn_on_bad_scores(scores: DataFrame, max_value: float = float("inf"), eps:
     import warnings
     row = score_range_check(scores, max_value, eps).first().asDict()
     if row["n_bad"]:
-        warnings.warn(f"Invalid {label} score (min = {row['min_score']}, max = {row['max_score']})", stacklevel=2)
+        warnings.warn(f"{row['n_bad']} of {row['n']} {label} scores are out of range; they span "
+                      f"{row['min_score']} to {row['max_score']}", stacklevel=2)
     return row
 
 

@@ -4,7 +4,8 @@ Neighbours are pairs with Jaccard similarity >= ``threshold``.  They are found
 with an exact set-similarity join (prefix filtering): with bits ordered
 globally from rarest to most common, two sets with J >= t must share one of
 the first ``|A| - ceil(t |A|) + 1`` bits of each; a length filter prunes
-more.  Candidates are then verified exactly.  Identical bit sets are
+more.  Posting lists are cut into blocks, so a common bit is spread over many
+tasks.  Candidates are then verified exactly.  Identical bit sets are
 collapsed first (they are always neighbours of each other), so copies of one
 text never produce pairs; what remains is the neighbour graph itself.
 
@@ -18,12 +19,16 @@ centre, which is the centre that claims it in the sequential algorithm.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.session import cut_lineage
+from tidepool.operators.ranking import join_hot
+from tidepool.session import cut_lineage, release
 
 DEFAULT_THRESHOLD = 0.7
+POSTING_BLOCK = 4_096    # rows of a posting list that meet in one join key
 
 
 def _rank_key() -> "F.Column":
@@ -31,64 +36,93 @@ def _rank_key() -> "F.Column":
     return F.struct((-F.col("nbrs")).alias("a"), F.col("key").alias("b"))
 
 
+def _digest() -> list["F.Column"]:
+    """128 bits that stand for a bit set."""
+    return [F.xxhash64("bits").alias("_d1"), F.xxhash64(F.lit("set"), "bits").alias("_d2")]
+
+
 def collapse_identical(fps: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(representatives ``(key, bits, mult)``, members ``(member, key)``): one node per distinct bit set."""
-    g = fps.groupBy("bits").agg(F.min(key).alias("key"), F.count(F.lit(1)).alias("mult"))
-    reps = g.select("key", "bits", "mult")
-    members = fps.select(F.col(key).alias("member"), "bits").join(g.select("bits", "key"), "bits").drop("bits")
-    return reps, members
+    """(representatives ``(key, bits, mult)``, members ``(member, key)``): one node per distinct bit set.
+
+    Equal sets meet by a 128-bit digest; the sets themselves are moved once per map task and group.
+    """
+    d = fps.select(F.col(key).alias("member"), "bits", *_digest())
+    g = cut_lineage(d.groupBy("_d1", "_d2").agg(F.min("member").alias("key"), F.count(F.lit(1)).alias("mult"),
+                                                F.first("bits").alias("bits")))
+    members = join_hot(d.select("member", "_d1", "_d2"), g.select("_d1", "_d2", "key", "mult"), ["_d1", "_d2"], "mult")
+    return g.select("key", "bits", "mult"), members.select("member", "key")
+
 
+def _prefix_rows(sized: DataFrame, freq: DataFrame, t: float, k: int, block: int) -> DataFrame:
+    """Prefix tokens by a join with the frequency table and a per-row window.
 
-def _prefix_rows(sized: DataFrame, freq: DataFrame, t: float, k: int) -> DataFrame:
-    """Prefix tokens by a join with the frequency table and a per-row window."""
+    ``nb`` is the number of blocks that the token's posting list is cut into: it has at most ``df`` rows.
+    """
     from pyspark.sql import Window
     toks = sized.select("key", "len", F.explode("bits").alias("bit"))
-    ranked = toks.join(freq, "bit")
+    ranked = join_hot(toks, freq, ["bit"], "df")
     w = Window.partitionBy("key").orderBy("df", "bit")
     # small slack keeps float rounding from ever shortening a prefix (longer is still exact)
     plen = F.col("len") - F.ceil(F.lit(t) * F.col("len") - F.lit(1e-9)) + k
-    return ranked.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= plen) \
-        .select("key", "len", "bit", "pos")
+    return ranked.withColumn("pos", F.row_number().over(w)).where((F.col("pos") <= plen) & (F.col("df") > 1)) \
+        .select("key", "len", "bit", F.col("pos").cast("int").alias("pos"), F.ceil(F.col("df") / block).cast("int").alias("nb"),
+                F.floor(F.log("len") / F.lit(max(-math.log(t), 1e-9)) + F.lit(1e-9)).alias("cls"))
+
+
+def _sides(prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The shorter and the longer sets of the self-join on ``(bit, cls, x, y)``.
+
+    ``x`` and ``y`` are the blocks of the two sides: a row stands in its own block, once for
+    every block of the other side; the longer set's class is the shorter's or the next.
+    """
+    own = F.pmod(F.xxhash64("key"), F.col("nb")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    short = prefix.select("bit", "cls", own.alias("x"), others.alias("y"),
+                          F.col("key").alias("a"), F.col("len").alias("la"), F.col("pos").alias("ia"))
+    long = prefix.withColumn("cls", F.explode(F.array("cls", F.col("cls") - 1))).select(
+        "bit", "cls", own.alias("y"), others.alias("x"), F.col("key").alias("b"), F.col("len").alias("lb"), F.col("pos").alias("ib"))
+    return short, long
 
 
 def similar_pairs(reps: DataFrame, threshold: float = DEFAULT_THRESHOLD,
-                  prefix_extra: int = 3) -> DataFrame:
+                  prefix_extra: int = 3, block: int = POSTING_BLOCK) -> DataFrame:
     """Exact pairs ``(a, b, sim)``, a < b, with Jaccard(bits_a, bits_b) >= threshold.
 
     Filters, all exact (no true pair is ever dropped):
 
-    * length: ``t |A| <= |B| <= |A| / t``;
+    * length: ``t |A| <= |B| <= |A| / t``, so the longer set is in the length class
+      (logarithm to the base ``1 / t``) of the shorter or in the next one;
     * prefix: with bits in global (frequency, id) order, a pair needing overlap
       ``o = ceil(t / (1 + t) (|A| + |B|))`` shares its first ``min(k, o)`` common
       bits inside both prefixes of length ``|A| - ceil(t |A|) + k``
       (``k = prefix_extra``), so pairs matching fewer prefix bits are dropped;
-    * position: common bits after the last matched one are at most
-      ``min(|A| - i, |B| - j)`` (i, j its positions), so matched + that >= o.
+    * position: common bits after the last of those are at most
+      ``min(|A| - i, |B| - j)`` (i, j its positions), so each of the first ``k`` has
+      ``min(|A| - i, |B| - j) + k >= o``; other matches are not even counted.
 
-    Survivors are verified on the full sets.
+    A bit's posting list is cut into blocks of about ``block`` rows, and blocks are joined
+    against blocks, so a bit that is common to a third of the sets is spread over
+    (blocks x blocks) join keys.  Survivors are verified on the full sets.
     """
     t = float(threshold)
     k = int(prefix_extra)
     sized = reps.select("key", "bits", F.size("bits").alias("len")).where(F.col("len") > 0)
-    freq = sized.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
-    prefix = cut_lineage(_prefix_rows(sized, freq, t, k))  # read by both sides of the self-join
-    a = prefix.alias("a")
-    b = prefix.alias("b")
-    matches = a.join(b, (F.col("a.bit") == F.col("b.bit")) & (F.col("a.key") < F.col("b.key"))
-                     & (F.col("b.len") >= F.lit(t) * F.col("a.len")) & (F.col("a.len") >= F.lit(t) * F.col("b.len")))
-    per_pair = matches.groupBy(F.col("a.key").alias("a"), F.col("b.key").alias("b")).agg(
-        F.count(F.lit(1)).alias("m"), F.max("a.pos").alias("ia"), F.max("b.pos").alias("ib"),
-        F.first("a.len").alias("la"), F.first("b.len").alias("lb"))
+    freq = cut_lineage(sized.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("df")))
+    prefix = cut_lineage(_prefix_rows(sized, freq, t, k, block))  # read by both sides of the self-join
+    short, long = _sides(prefix)
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("la") + F.col("lb")) - F.lit(1e-9))
-    cand = per_pair.where((F.col("m") >= F.least(F.lit(k), need))
-                          & (F.col("m") + F.least(F.col("la") - F.col("ia"), F.col("lb") - F.col("ib")) >= need)) \
-        .select("a", "b")
+    left = F.least(F.col("la") - F.col("ia"), F.col("lb") - F.col("ib"))
+    matches = short.join(long, ["bit", "cls", "x", "y"]).where(
+        ((F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b"))))
+        & (F.col("la") >= F.lit(t) * F.col("lb")) & (left + k >= need))
+    per_pair = matches.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("la").alias("la"), F.first("lb").alias("lb"))
+    cand = per_pair.where(F.col("m") >= F.least(F.lit(k), need)).select("a", "b")
     bits = sized.select("key", "bits")
     v = cand.join(bits.withColumnRenamed("key", "a").withColumnRenamed("bits", "ba"), "a") \
         .join(bits.withColumnRenamed("key", "b").withColumnRenamed("bits", "bb"), "b")
     inter = F.size(F.array_intersect("ba", "bb"))
     sim = inter / (F.size("ba") + F.size("bb") - inter)
-    return v.select("a", "b", sim.alias("sim")).where(F.col("sim") >= F.lit(t))
+    return v.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), sim.alias("sim")).where(F.col("sim") >= F.lit(t))
 
 
 def butina(reps: DataFrame, pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -100,23 +134,26 @@ def butina(reps: DataFrame, pairs: DataFrame, max_rounds: int | None = None) ->
         .select("key", (F.col("mult") - 1 + F.coalesce("s", F.lit(0))).alias("nbrs"))
     nodes = cut_lineage(nodes.select("key", _rank_key().alias("rk")))
     edges = cut_lineage(und.join(nodes.select(F.col("key").alias("b"), F.col("rk").alias("rkb")), "b"))
-    live = nodes
+    live, open_edges = nodes, edges
     centres = None
     rounds = 0
     while True:
         rounds += 1
-        e = edges.join(live.select(F.col("key").alias("a")), "a", "left_semi") \
-            .join(live.select(F.col("key").alias("b")), "b", "left_semi")
-        best_nbr = e.groupBy("a").agg(F.min("rkb").alias("best"))
+        best_nbr = open_edges.groupBy("a").agg(F.min("rkb").alias("best"))
         new_c = live.join(best_nbr.withColumnRenamed("a", "key"), "key", "left") \
             .where(F.col("best").isNull() | (F.col("rk") < F.col("best"))).select("key")
         new_c = cut_lineage(new_c)
         if not new_c.limit(1).collect():
             break
         centres = new_c if centres is None else cut_lineage(centres.unionByName(new_c))
-        gone = new_c.unionByName(edges.join(new_c.withColumnRenamed("key", "a"), "a", "left_semi")
-                                 .select(F.col("b").alias("key")))
+        gone = cut_lineage(new_c.unionByName(open_edges.join(new_c.withColumnRenamed("key", "a"), "a", "left_semi")
+                                             .select(F.col("b").alias("key"))).distinct())
+        # only edges between live nodes go into the next round
+        before = (live if rounds > 1 else None, open_edges if rounds > 1 else None, gone)
         live = cut_lineage(live.join(gone, "key", "left_anti"))
+        open_edges = cut_lineage(open_edges.join(gone.withColumnRenamed("key", "a"), "a", "left_anti")
+                                 .join(gone.withColumnRenamed("key", "b"), "b", "left_anti"))
+        release(*before)
         if not live.limit(1).collect():
             break
         if max_rounds is not None and rounds >= max_rounds:
@@ -133,7 +170,7 @@ def butina(reps: DataFrame, pairs: DataFrame, max_rounds: int | None = None) ->
 
 def similarity_clusters(fps: DataFrame, key: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """``(key, cluster, is_centre)`` for every input row (copies share their representative's cluster)."""
-    reps, members = collapse_identical(fps.select(key, "bits"), key)
+    reps, members = collapse_identical(cut_lineage(fps.select(key, "bits")), key)
     # AQE may coalesce the (few, wide) representative rows into one partition; spread
     # them by key so the per-row prefix work runs on every core
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -29,26 +29,29 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, TOKEN_SPLIT), lambda t: t != "")
 
 
-def ngram_lists(toks: Column, max_n: int) -> list[Column]:
-    """Token n-grams of length 1..max_n, each built from the previous one in one
-    linear pass (``zip_with`` of shifted slices): no per-gram slicing of the text."""
-    out = [toks]
-    prev = toks
+def with_ngrams(df: DataFrame, max_n: int) -> tuple[DataFrame, list[str]]:
+    """Adds token n-grams of length 1..max_n of column ``_g1`` as columns ``_g2``, ``_g3``, ...
+
+    Each is built from the previous one in one linear pass (``zip_with`` of shifted
+    slices): no per-gram slicing of the text.  As columns they are evaluated once,
+    though both the next length and the fingerprint read them.
+    """
+    names = ["_g1"]
     for n in range(2, max_n + 1):
-        k = F.greatest(F.size(toks) - (n - 1), F.lit(0))
-        prev = F.zip_with(F.slice(prev, 1, k), F.slice(toks, n, k), lambda a, b: F.concat(a, F.lit(" "), b))
-        out.append(prev)
-    return out
+        k = F.greatest(F.size("_g1") - (n - 1), F.lit(0))
+        df = df.withColumn(f"_g{n}", F.zip_with(F.slice(names[-1], 1, k), F.slice("_g1", n, k),
+                                                lambda a, b: F.concat(a, F.lit(" "), b)))
+        names.append(f"_g{n}")
+    return df, names
 
 
 def gram_bit(gram: Column, size: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int")
 
 
-def fingerprint_bits(toks: Column, size: int = DEFAULT_SIZE, radius: int = DEFAULT_RADIUS) -> Column:
-    """Sorted distinct bit ids of an already tokenised string (``array<string>``)."""
-    grams = F.flatten(F.array(*ngram_lists(toks, radius + 1)))
-    return F.array_sort(F.array_distinct(F.transform(grams, lambda g: gram_bit(g, size))))
+def fingerprint_bits(grams: list[str], size: int = DEFAULT_SIZE) -> Column:
+    """Sorted distinct bit ids of n-gram columns (``array<string>``)."""
+    return F.array_sort(F.array_distinct(F.transform(F.concat(*grams), lambda g: gram_bit(g, size))))
 
 
 def reject_reason(df: DataFrame, col: str) -> Column:
@@ -81,15 +84,20 @@ class NoValidRowsError(ValueError):
 
 
 def hash_fingerprint(df: DataFrame, col: str, key: str, size: int = DEFAULT_SIZE, radius: int = DEFAULT_RADIUS,
-                     check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints ``(key, bits array<int>)``, rejects).  Raises when no row is valid."""
+                     check: bool = True, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints ``(key, bits array<int>)``, rejects).  Raises when no row is valid.
+
+    ``partitions``: deal the valid rows out to so many tasks first.  For inputs of few, large row
+    groups, whose scan has too few tasks for this much work per row.
+    """
     if check and not df.where(reject_reason(df, col).isNull()).limit(1).collect():
         raise NoValidRowsError("no valid fingerprints were generated")
     good, bad = quarantine_rows(df, col, key)
-    # tokens are materialised once per row; the n-gram lists are built from that column
-    toks = good.select(key, tokens(F.col(col)).alias("_toks"))
-    fps = toks.select(key, fingerprint_bits(F.col("_toks"), size, radius).alias("bits"))
-    return fps, bad
+    rows = good.select(key, col)
+    if partitions:
+        rows = rows.repartition(partitions, key)
+    grams, names = with_ngrams(rows.select(key, tokens(F.col(col)).alias("_g1")), radius + 1)
+    return grams.select(key, fingerprint_bits(names, size).alias("bits")), bad
 
 
 def explode_bits(fps: DataFrame, key: str) -> DataFrame:

@@ -144,7 +144,7 @@ def f1_at_threshold(curve: DataFrame) -> DataFrame:
     """F1 at the balanced-accuracy threshold (in-training metric); 0 when that is the +inf start."""
     ss = sens_spec(curve).select("task", F.col("threshold").alias("thr"))
     tot = curve.select("task", "tot_pos").distinct()
-    at = curve.join(ss, "task").where(F.col("p") == F.col("thr")) \
+    at = curve.join(F.broadcast(ss), "task").where(F.col("p") == F.col("thr")) \
         .select("task", _div(2 * F.col("cum_n_pos"), F.col("cum_n_pos") + F.col("cum_n_neg") + F.col("tot_pos")).alias("f1"))
     return tot.join(at, "task", "left").select(
         "task", F.when(F.col("tot_pos") > 0, F.coalesce(F.col("f1"), F.lit(0.0))).alias("f1_at_threshold"))

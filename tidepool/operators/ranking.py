@@ -12,10 +12,14 @@ third of the data.  Both helpers here split each key into blocks first:
   Blocks come from a range repartition (sampled bounds, so balanced for any
   value distribution), frozen with a reliable checkpoint so every consumer
   sees the same block ids, then the same offset trick.
+* :func:`ordered_rank` numbers all rows of a table in the order of some columns:
+  a range repartition, the place within the sorted partition, and one offset per
+  partition.
 
-The number of blocks is a parameter and never depends on the session or the
-data.  The rows meet their offsets by an equi-join on the same plain keys that
-the block window is partitioned by, so they are exchanged once.
+The number of blocks is a parameter (by default ``spark.sql.shuffle.partitions`` for the
+range-partitioned forms) and never depends on the data; results do not depend on it.  In
+:func:`hash_rank` and :func:`prefix_sums` the rows meet their offsets by an equi-join on the
+same plain keys that the block window is partitioned by, so they are exchanged once.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from tidepool.functions.hashing import hash_bucket
 from tidepool.session import cut_lineage
 
+POS_BITS = 33        # monotonically_increasing_id is partition << 33 | place in the partition
 RANK_BITS = 14       # 16,384 hash blocks per key: 10**10 rows of one key are sorted 600,000 at a time
 
 
@@ -44,6 +49,22 @@ def join_null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str
     return left.join(r, cond, how).drop(*renamed.values())
 
 
+HOT_KEYS = 10_000
+
+
+def join_hot(rows: DataFrame, info: DataFrame, keys: list[str], count_col: str) -> DataFrame:
+    """``rows`` joined with ``info`` (one row per key, with the number of ``rows`` that have it).
+
+    Keys with more than one in ``HOT_KEYS`` of all rows, of which there are fewer than
+    ``HOT_KEYS``, are broadcast; the others meet their rows in an ordinary join.
+    """
+    total = info.agg(F.sum(count_col)).first()[0] or 0
+    hot = F.col(count_col) > max(1_000, total // HOT_KEYS)
+    few = F.broadcast(info.where(hot))
+    return rows.join(few, keys).unionByName(
+        rows.join(few.select(*keys), keys, "left_anti").join(info.where(~hot), keys))
+
+
 def hash_rank(df: DataFrame, part_cols: list[str], h_col: str, tie_cols: list[str],
               rank_col: str = "_rn", size_col: str | None = "_n", bits: int = RANK_BITS) -> DataFrame:
     """1-based rank of each row within ``part_cols`` ordered by (h_col, tie_cols).
@@ -93,3 +114,22 @@ def prefix_sums(base: DataFrame, part_cols: list[str], order_col: str, value_col
     for v in value_cols:
         out = out.withColumn(f"{prefix}{v}", F.sum(v).over(running) + F.col(f"_o_{v}"))
     return out.drop("_key", "_blk", *[f"_o_{v}" for v in value_cols])
+
+
+def ordered_rank(df: DataFrame, order_cols: list[str], rank_col: str = "_rn", blocks: int | None = None) -> DataFrame:
+    """1-based place of each row in the order of ``order_cols`` over the whole table.
+
+    One range exchange (frozen by a checkpoint) and a join with one offset per
+    partition.  ``order_cols`` should identify a row: a hot prefix is then spread
+    over as many partitions as it has rows for.
+    """
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) for c in order_cols]
+    d = cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+                    .withColumn("_pos", F.monotonically_increasing_id()))
+    d = d.withColumn("_blk", F.shiftright("_pos", POS_BITS))
+    sizes = d.groupBy("_blk").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("_blk", (F.coalesce(F.sum("_cnt").over(before), F.lit(0))
+                                    - F.shiftleft("_blk", POS_BITS) + 1).alias("_off"))
+    return d.join(F.broadcast(offsets), "_blk").withColumn(rank_col, F.col("_pos") + F.col("_off")).drop("_blk", "_pos", "_off")

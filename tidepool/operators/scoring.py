@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions.hashing import hash52
-from tidepool.session import broadcast, cut_lineage
+from tidepool.session import broadcast, cut_lineage, release
 
 # Fixed values of the dropout hash (own design: integer mixing that stays inside 64 bits).
 MASK_MOD = 1000003
@@ -163,49 +163,152 @@ bias AS (SELECT p.task, CASE WHEN p.n1 > 0 AND p.n0 > 0 THEN ln(p.n1 / p.n0) - s
          FROM prior p JOIN (SELECT task, sum(c) AS csum FROM wt GROUP BY task) s ON p.task = s.task)"""
 
 
-def train_surrogate(cells: DataFrame, feats: DataFrame, reg: float = 0.01, max_iter: int = 50,
-                    balance: bool = True, concurrency: int = 8) -> DataFrame:
-    """Per-task L2 logistic regression (pyspark.ml) on the labelled cells.
+def labelled_rows(cells: DataFrame, feats: DataFrame, tasks: list[str]) -> DataFrame:
+    """``(x, ys)``: one row per labelled key, with its labels as one array in task order."""
+    wide = cells.where(F.col("y").isNotNull()).groupBy("id").pivot("task", tasks).agg(F.max("y"))
+    ys = wide.select("id", F.array(*[F.col(f"`{t}`").cast("double") for t in tasks]).alias("ys"))
+    return ys.join(feats, "id").select("x", "ys")
 
-    One distributed fit per task (tasks are a handful of label columns, not
-    data), several fits submitted concurrently; class weights
-    ``n / (2 n_class)`` when ``balance``.  A task with one class only gets w = 0,
-    b = 0, as there.  Returns the same ``(task, bias, w)`` table as
-    :func:`centroid_weights`.
-    """
-    from concurrent.futures import ThreadPoolExecutor
 
-    from pyspark import StorageLevel
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+def _loss_pass(data: DataFrame, W: np.ndarray, b: np.ndarray, wt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted logistic loss and its gradient for several weight sets in one pass over the data.
 
-    spark = cells.sparkSession
-    lab = cells.where(F.col("y").isNotNull()).join(feats, "id") \
-        .select("task", F.col("y").cast("double").alias("label"), array_to_vector("x").alias("features"))
-    counts = {r["task"]: (r["n"], r["n1"]) for r in
-              lab.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1")).collect()}
-    lab = lab.persist(StorageLevel.MEMORY_AND_DISK)
-    width = (feats.select(F.size("x").alias("d")).first() or {"d": 0})["d"]
+    ``W`` (sets, tasks, width), ``b`` (sets, tasks), ``wt`` (2, tasks): weight of a negative and of a positive.
+    Each map task adds up one array of sets x tasks x (width + 2) numbers; these are summed by position.
+    """
+    spark = data.sparkSession
+    n_s, n_t, width = W.shape
+    bc = spark.sparkContext.broadcast((W, b, wt))
 
-    def fit(t):
-        n, n1 = counts[t]
-        if not 0 < n1 < n:
-            return (t, 0.0, [0.0] * width)
-        own = lab.where(F.col("task") == t)
-        own = own.withColumn("wt", F.when(F.col("label") == 1, n / (2 * n1)).otherwise(n / (2 * (n - n1)))
-                             if balance else F.lit(1.0))
-        lr = LogisticRegression(regParam=reg, maxIter=max_iter, standardization=False, weightCol="wt")
-        model = lr.fit(own)
-        return (t, float(model.intercept), [float(v) for v in model.coefficients.toArray()])
+    def run(batches):
+        Ws, bs, c = bc.value
+        acc = np.zeros((n_s, n_t, width + 2))
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            X = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, width)
+            Y = batch.column("ys").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, n_t)
+            C = np.where(Y == 1, c[1], np.where(Y == 0, c[0], 0.0))  # missing labels (NaN) weigh nothing
+            Y = np.where(Y == 1, 1.0, 0.0)
+            for i in range(n_s):
+                Z = X @ Ws[i].T + bs[i]
+                R = C * (1.0 / (1.0 + np.exp(-np.clip(Z, -700, 700))) - Y)
+                acc[i, :, :width] += R.T @ X
+                acc[i, :, width] += R.sum(axis=0)
+                acc[i, :, width + 1] += (C * (np.logaddexp(0.0, Z) - Y * Z)).sum(axis=0)
+        yield pa.RecordBatch.from_pydict({"v": pa.array([acc.ravel()], pa.list_(pa.float64()))})
 
     try:
-        with ThreadPoolExecutor(max_workers=max(1, min(concurrency, len(counts)))) as ex:
-            rows = list(ex.map(fit, sorted(counts)))
+        total = data.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "v")) \
+            .groupBy("i").agg(F.sum("v").alias("v")).toPandas()
     finally:
-        lab.unpersist()
+        bc.destroy()
+    out = np.zeros(n_s * n_t * (width + 2))
+    out[total["i"].to_numpy()] = total["v"].to_numpy()
+    out = out.reshape(n_s, n_t, width + 2)
+    return out[:, :, width + 1], out[:, :, :width + 1]
+
+
+def _direction(g: np.ndarray, steps: list, bends: list) -> np.ndarray:
+    """Two-loop L-BFGS direction of every task (rows), from its own steps and gradient changes."""
+    q = -g
+    used = []
+    for s_, y_ in reversed(list(zip(steps, bends))):
+        sy = (s_ * y_).sum(axis=1)
+        rho = np.where(sy > 1e-300, 1.0 / np.where(sy > 1e-300, sy, 1.0), 0.0)
+        alpha = rho * (s_ * q).sum(axis=1)
+        q = q - alpha[:, None] * y_
+        used.append((s_, y_, rho, alpha))
+    if used:
+        s_, y_, rho, _ = used[0]
+        yy = (y_ * y_).sum(axis=1)
+        q = q * np.where(rho > 0, (s_ * y_).sum(axis=1) / np.where(yy > 0, yy, 1.0), 1.0)[:, None]
+    for s_, y_, rho, alpha in reversed(used):
+        q = q + (alpha - rho * (y_ * q).sum(axis=1))[:, None] * s_
+    return q
+
+
+STEPS = (1.0, 0.25, 0.03)      # tried in one pass
+MEMORY = 10                    # steps that the curvature is estimated from
+
+
+def train_surrogate(cells: DataFrame, feats: DataFrame, reg: float = 0.01, max_iter: int = 200,
+                    balance: bool = True, tol: float = 1e-7) -> DataFrame:
+    """L2 logistic regression of every task on the labelled cells, all tasks in one fit.
+
+    Per task the mean weighted log loss plus ``reg / 2 |w|^2`` (the bias is free); class weights
+    ``n / (2 n_class)`` when ``balance``.  L-BFGS runs for all tasks in lockstep: one pass over the labelled rows
+    yields loss and gradient of all tasks for a few step lengths, summed map-side as tasks x width
+    numbers; the driver holds a few arrays of that size.  It ends when every task's gradient norm
+    is below ``tol`` (raises after ``max_iter`` passes).  A task with one class only gets w = 0, b = 0.
+    Returns the same ``(task, bias, w)`` table as :func:`centroid_weights`.
+    """
+    spark = cells.sparkSession
     schema = T.StructType([T.StructField("task", T.StringType()), T.StructField("bias", T.DoubleType()),
                            T.StructField("w", T.ArrayType(T.DoubleType()))])
-    return spark.createDataFrame(rows, schema)
+    tasks = sorted(r["task"] for r in cells.where(F.col("y").isNotNull()).select("task").distinct().collect())
+    width = (feats.select(F.size("x").alias("d")).first() or {"d": 0})["d"]
+    if not tasks:
+        return spark.createDataFrame([], schema)
+    data = cut_lineage(labelled_rows(cells, feats, tasks))
+    counts = data.select(F.posexplode("ys").alias("t", "y")).groupBy("t").agg(
+        F.sum((F.col("y") == 0).cast("long")).alias("n0"), F.sum((F.col("y") == 1).cast("long")).alias("n1")).collect()
+    n = np.zeros((2, len(tasks)))
+    for r in counts:
+        n[:, r["t"]] = r["n0"] or 0, r["n1"] or 0
+    open_ = (n > 0).all(axis=0)
+    total = n.sum(axis=0)
+    weight = total / np.maximum(2 * n, 1) if balance else np.ones_like(n)
+    weight = np.where(open_, weight / np.maximum((weight * n).sum(axis=0), 1e-300), 0.0)  # a mean over the weights
+
+    def losses(V: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f, g = _loss_pass(data, V[:, :, :width], V[:, :, width], weight)
+        f = f + reg / 2 * (V[:, :, :width] ** 2).sum(axis=2)
+        g[:, :, :width] += reg * V[:, :, :width]
+        return f, g * open_[None, :, None]
+
+    v = np.zeros((len(tasks), width + 1))
+    (f,), (g,) = losses(v[None])
+    steps, bends = [], []
+    for _ in range(max_iter):
+        norm = np.sqrt((g * g).sum(axis=1))
+        if norm.max() < tol:
+            break
+        p = _direction(g, steps, bends)
+        slope = (p * g).sum(axis=1)
+        p = np.where((slope < 0)[:, None], p, -g)  # a task whose curvature is lost starts anew
+        slope = (p * g).sum(axis=1)
+        if not steps:
+            p, slope = p / np.maximum(norm, 1.0)[:, None], slope / np.maximum(norm, 1.0)
+        scale = np.ones(len(tasks))
+        while True:
+            tried = [v + (a * scale)[:, None] * p for a in STEPS]
+            fs, gs = losses(np.stack(tried))
+            best, at = np.full(len(tasks), -1), np.arange(len(tasks))
+            for i, a in reversed(list(enumerate(STEPS))):  # the longest step that lowers the loss enough
+                # near the end a loss no longer shows differences; then the slope along the step decides
+                flat = np.abs(fs[i] - f) <= 1e-14 * np.abs(f) + 1e-300
+                fine = (fs[i] <= f + 1e-4 * a * scale * slope) | (flat & (np.abs((gs[i] * p).sum(axis=1)) <= 0.9 * np.abs(slope)))
+                best = np.where(fine, i, best)
+            best = np.where(norm < tol, 0, best)
+            if (best >= 0).all() or scale.min() < 1e-12:
+                break
+            scale = np.where(best >= 0, scale, scale * STEPS[-1] / 4)
+        moved = (best >= 0) & (norm >= tol)
+        best = np.maximum(best, 0)
+        new_v = np.where(moved[:, None], np.stack(tried)[best, at], v)
+        new_g = np.where(moved[:, None], gs[best, at], g)
+        f = np.where(moved, fs[best, at], f)
+        steps, bends = [*steps, new_v - v][-MEMORY:], [*bends, new_g - g][-MEMORY:]
+        v, g = new_v, new_g
+        if not moved.any():
+            break
+    norm = np.sqrt((g * g).sum(axis=1))
+    release(data)
+    if norm.max() > max(100 * tol, 1e-6):
+        raise RuntimeError(f"fit of {tasks[int(norm.argmax())]} has not converged: gradient norm {norm.max():.2e}")
+    return spark.createDataFrame([(t, float(r[width]), r[:width].tolist()) for t, r in zip(tasks, v)], schema)
 
 
 # ---- scoring ------------------------------------------------------------------------

@@ -86,27 +86,33 @@ class ConservationError(AssertionError):
     pass
 
 
-def cell_counts(**tables: DataFrame) -> DataFrame:
-    """Non-null cell counts per named table in one job: ``(role, n)``."""
-    parts = [df.where(F.col("y").isNotNull()).select(F.lit(name).alias("role")) for name, df in tables.items()]
+def cell_counts(by=None, **tables: DataFrame) -> DataFrame:
+    """Non-null cell counts per named table in one job: ``(role, n)``, and per value of ``by`` (a column ``part``) if given."""
+    keys = ["role"] if by is None else ["role", "part"]
+    parts = [df.where(F.col("y").isNotNull()).select(F.lit(name).alias("role"), *([] if by is None else [by.alias("part")]))
+             for name, df in tables.items()]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    return u.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
 def conservation_check(train: DataFrame, pool: DataFrame, query: DataFrame,
-                       new_train: DataFrame, new_pool: DataFrame, raise_on_error: bool = True) -> DataFrame:
-    """train' = train + query and pool' = pool - query (non-null cells); raise on violation."""
-    counts = cell_counts(train=train, pool=pool, query=query, new_train=new_train, new_pool=new_pool)
+                       new_train: DataFrame, new_pool: DataFrame, raise_on_error: bool = True, by=None) -> DataFrame:
+    """train' = train + query and pool' = pool - query (non-null cells); raise on violation.
+
+    ``by``: a column (such as the run) for each of whose values this must hold.
+    """
+    counts = cell_counts(by, train=train, pool=pool, query=query, new_train=new_train, new_pool=new_pool)
     if raise_on_error:
-        rows = counts.collect()  # five rows
-        c = {r["role"]: r["n"] for r in rows}
-        get = lambda k: c.get(k, 0)
-        if get("new_train") != get("train") + get("query"):
-            raise ConservationError(f"training cells {get('new_train')} != {get('train')} + {get('query')}")
-        if get("new_pool") != get("pool") - get("query"):
-            raise ConservationError(f"pool cells {get('new_pool')} != {get('pool')} - {get('query')}")
+        rows = counts.collect()  # five rows, for every value of ``by``
+        c = {(r["role"], None if by is None else r["part"]): r["n"] for r in rows}
+        for part in {k[1] for k in c}:
+            get = lambda k: c.get((k, part), 0)
+            if get("new_train") != get("train") + get("query"):
+                raise ConservationError(f"training cells {get('new_train')} != {get('train')} + {get('query')}")
+            if get("new_pool") != get("pool") - get("query"):
+                raise ConservationError(f"pool cells {get('new_pool')} != {get('pool')} - {get('query')}")
         # hand back the counts already computed instead of re-running five branches
         return train.sparkSession.createDataFrame(rows, counts.schema)
     return counts

@@ -150,6 +150,7 @@ from tidepool.functions.hashing import sql_hash52  # noqa: E402
 from tidepool.operators import reshape as rs  # noqa: E402
 from tidepool.session import scratch_path  # noqa: E402
 from tidepool.sources import io as sio  # noqa: E402
+from tidepool.sources.history import compact_history, read_history  # noqa: E402
 from tidepool.sources import testdata as td  # noqa: E402
 
 DOC_WIDE = f"doc_wide AS ({td.SQL_DOC_LABELS_WIDE})"
@@ -196,7 +197,7 @@ def q_append_history(spark, sf_dir):
     q = acq.uniform(inp.train_cells, HIST_N, seed=42, iteration=HIST_ITERS - 1)
     sio.append_history(q.select(F.lit(0).cast("long").alias("run_id"),
                                 F.lit(HIST_ITERS - 1).cast("long").alias("iteration"), "id", "task", "y"), path)
-    h = sio.read_history(spark, path)
+    h = read_history(spark, path)
     return h.select(F.col("run_id").cast("long"), F.col("iteration").cast("long"), "id", "task", "y")
 
 
@@ -210,6 +211,19 @@ def q_labels_with_features(spark, sf_dir):
     return rs.labels_with_features(td.doc_labels_wide(spark, sf_dir), td.emb_features(spark, sf_dir))
 
 
+@register("compact_history", _with(SQL_AL_BASE) + "\n" + SQL_HISTORY)
+def q_compact_history(spark, sf_dir):
+    """A run's history after its first iterations have been merged into one file set."""
+    inp = al_inputs(spark, sf_dir)
+    path = scratch_path(spark, "compacted")
+    for i in range(HIST_ITERS):
+        q = acq.uniform(inp.train_cells, HIST_N, seed=42, iteration=i)
+        sio.append_history(q.select(F.lit(0).cast("long").alias("run_id"), F.lit(i).cast("long").alias("iteration"),
+                                    "id", "task", "y"), path)
+    compact_history(spark, path, 0)
+    return read_history(spark, path).select("run_id", "iteration", "id", "task", "y")
+
+
 def _xsum(col="x"):
     return F.aggregate(col, F.lit(0.0), lambda a, v: a + v.cast("double"))
 
@@ -217,6 +231,17 @@ def _xsum(col="x"):
 SQL_XSUM = "list_reduce(list_transform(x, lambda e: CAST(e AS DOUBLE)), lambda a, b: a + b)"
 
 
+@register("read_features", sql_rounded(
+    f"SELECT vec_id AS id, len(embedding) AS dim, {SQL_XSUM.replace('x,', 'embedding,')} AS xsum FROM embeddings", ["xsum"]))
+def q_read_features(spark, sf_dir):
+    """The features written as a wide text file and read back, key and vector per line."""
+    path = scratch_path(spark, "wide") + ".csv"
+    feats = td.emb_features(spark, sf_dir)
+    sio.write_table(rs.unpack_features(feats, 64), path, fmt="csv")
+    back = sio.read_features(spark, path, "id")
+    return rounded(back.select(F.col("id").cast("long"), F.size("x").cast("long").alias("dim"), _xsum().alias("xsum")))
+
+
 @register("features_for_labels", sql_rounded(
     f"SELECT vec_id AS id, len(embedding) AS dim, "
     f"{SQL_XSUM.replace('x,', 'embedding,')} AS xsum FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
@@ -759,15 +784,43 @@ def q_split_random(spark, sf_dir):
     return sp.split_random(td.emb_features(spark, sf_dir).select("id"), 0.8, 42)
 
 
-@register("split_stratified",
-          f"SELECT id, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY h, id) <= "
-          f"floor(0.8 * count(*) OVER (PARTITION BY label)) THEN 'train' ELSE 'test' END AS role FROM "
-          f"(SELECT vec_id AS id, label, {sql_hash52(42, 'vec_id')} AS h FROM embeddings) e")
+def sql_systematic(source: str, order: str, frac: float, first: str = "train", second: str = "test") -> str:
+    """Role per row of ``source`` in the given order: taken where ``floor(frac * place)`` rises."""
+    return (f"SELECT id, CASE WHEN floor({frac} * g) > floor({frac} * (g - 1)) THEN '{first}' ELSE '{second}' END AS role "
+            f"FROM (SELECT id, row_number() OVER (ORDER BY {order}) AS g FROM ({source}) q) p")
+
+
+@register("split_stratified", sql_systematic(
+    f"SELECT vec_id AS id, label, {sql_hash52(42, 'vec_id')} AS h FROM embeddings", "label, h, id", 0.8))
 def q_split_stratified(spark, sf_dir):
     e = td.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
     return sp.split_stratified(e, ["label"], 0.8, 42).select("id", "role")
 
 
+def sql_label_strata(wide: str, tasks: list[str], seed) -> str:
+    """CTEs ``cells``, ``ranks`` (rarest task first) and ``strata(id, sig, own, h)`` of a wide label table."""
+    cells = " UNION ALL ".join(f"SELECT id, '{t}' AS task, {t} AS y FROM {wide}" for t in tasks)
+    return f"""cells AS MATERIALIZED ({cells}),
+ranks AS MATERIALIZED (SELECT task, row_number() OVER (ORDER BY n, task) - 1 AS r FROM (
+  SELECT task, count(*) FILTER (WHERE y = 1) AS n FROM cells GROUP BY task) c),
+strata AS MATERIALIZED (SELECT id, {sql_hash52(seed, 'id')} AS h,
+  string_agg(CASE WHEN y = 1 THEN '0' ELSE '1' END, '' ORDER BY r) || '|' ||
+  string_agg(CASE WHEN y IS NULL THEN '1' ELSE '0' END, '' ORDER BY r) AS sig,
+  coalesce(min(CASE WHEN y = 1 THEN r END), {len(tasks)}) AS own
+  FROM cells JOIN ranks USING (task) GROUP BY id)"""
+
+
+DOC_MARKS_CTE = f"doc_marks AS MATERIALIZED ({td.SQL_DOC_MARKS_WIDE})"
+
+
+@register("split_multilabel", _with(DOC_MARKS_CTE, sql_label_strata("doc_marks", td.MARK_TASKS, 42)) + "\n" +
+          sql_systematic("SELECT id, sig, h FROM strata", "sig, h, id", 0.85, "pool", "val"))
+def q_split_multilabel(spark, sf_dir):
+    """Pool / validation split over twelve sparse tasks."""
+    wide = td.doc_marks_wide(spark, sf_dir)
+    return sp.split_multilabel(wide, td.MARK_TASKS, 0.85, 42, roles=("pool", "val")).select("id", "role")
+
+
 def sql_group_split(source_ctes: str, group: str) -> str:
     """Biggest-first group split of ``src(doc_id, <group>)``, which ``source_ctes`` end with."""
     return f"""WITH RECURSIVE
@@ -800,13 +853,16 @@ def q_split_by_group(spark, sf_dir):
 
 @register("split_existing", _with(DOC_WIDE) +
           "\nSELECT id, quality, toxic, 'train' AS role FROM doc_wide WHERE id IN (SELECT vec_id FROM embeddings) "
+          "AND id NOT IN (SELECT doc_id FROM labels) "
           "UNION ALL SELECT doc_id, CAST(quality AS DOUBLE), CAST(toxic AS DOUBLE), 'test' FROM labels "
           "WHERE doc_id IN (SELECT vec_id FROM embeddings)")
 def q_split_existing(spark, sf_dir):
+    """Two inputs: documents without an entry in ``labels``, and the rows of ``labels``."""
     feats = td.emb_features(spark, sf_dir)
-    train = rs.dedup_keep_first(rs.labels_with_features(td.doc_labels_wide(spark, sf_dir), feats), ["id"], ["id"])
     lab = td.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double"),
                                                    F.col("toxic").cast("double"))
+    rest = td.doc_labels_wide(spark, sf_dir).join(lab.select("id"), "id", "left_anti")
+    train = rs.dedup_keep_first(rs.labels_with_features(rest, feats), ["id"], ["id"])
     test = rs.dedup_keep_first(rs.labels_with_features(lab, feats), ["id"], ["id"])
     return sp.split_existing(train, test)
 
@@ -822,16 +878,41 @@ def q_kfold_stratified(spark, sf_dir):
     return sp.kfold_stratified(wide, "t0", 5, 42).select("id", "fold")
 
 
-@register("kfold_multilabel", _with(DOC_WIDE) +
-          "\nSELECT id, (row_number() OVER (PARTITION BY sig ORDER BY h, id) - 1 + "
-          f"{sql_hash52('42|fold', 'sig')} % 5) % 5 AS fold FROM (SELECT id, "
-          "concat_ws(',', coalesce(CAST(CAST(quality AS INTEGER) AS VARCHAR), 'n'), "
-          "coalesce(CAST(CAST(toxic AS INTEGER) AS VARCHAR), 'n')) AS sig, "
-          f"{sql_hash52(42, 'id')} AS h FROM doc_wide) d")
+def sql_iterative_folds(wide: str, tasks: list[str], k: int, seed) -> str:
+    """CTEs up to ``dealt(id, fold)``: round by round, the rows of one task go to the lowest free slots.
+
+    A slot is (positives the fold would then have, the fold's place in the round's order).
+    """
+    out = [sql_label_strata(wide, tasks, seed),
+           f"own AS MATERIALIZED (SELECT id, own, row_number() OVER (PARTITION BY own ORDER BY sig, h, id) AS i FROM strata),\n"
+           f"folds AS (SELECT range AS fold FROM range({k}))"]
+    done = "SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS fold WHERE false"
+    for r in range(len(tasks) + 1):
+        out.append(f"done{r} AS MATERIALIZED ({done})")
+        size = f"(SELECT count(*) FROM done{r} d WHERE d.fold = f.fold)"
+        have = size if r == len(tasks) else (
+            f"(SELECT count(*) FROM done{r} d JOIN cells c ON c.id = d.id AND c.y = 1 "
+            f"JOIN ranks q ON q.task = c.task AND q.r = {r} WHERE d.fold = f.fold)")
+        out.append(f"have{r} AS MATERIALIZED (SELECT fold, have, row_number() OVER (ORDER BY have, size, fold) AS turn "
+                   f"FROM (SELECT f.fold, {have} AS have, {size} AS size FROM folds f) x)")
+        out.append(f"slot{r} AS MATERIALIZED (SELECT fold, row_number() OVER (ORDER BY have + j, turn) AS i FROM have{r}, "
+                   f"(SELECT unnest(range(1, 1 + (SELECT count(*) FROM own WHERE own = {r}))) AS j) n)")
+        done = f"SELECT * FROM done{r} UNION ALL SELECT o.id, s.fold FROM own o JOIN slot{r} s ON s.i = o.i WHERE o.own = {r}"
+    out.append(f"dealt AS ({done})")
+    return ",\n".join(out)
+
+
+@register("kfold_multilabel", _with(DOC_WIDE, sql_iterative_folds("doc_wide", td.DOC_TASKS, 5, 42)) +
+          "\nSELECT id, fold FROM dealt")
 def q_kfold_multilabel(spark, sf_dir):
-    wide = td.doc_labels_wide(spark, sf_dir)
-    wide = wide.select("id", *[F.col(t).cast("int").alias(t) for t in td.DOC_TASKS])
-    return sp.kfold_multilabel(wide, td.DOC_TASKS, 5, 42).select("id", "fold")
+    return sp.kfold_multilabel(td.doc_labels_wide(spark, sf_dir), td.DOC_TASKS, 5, 42).select("id", "fold")
+
+
+@register("kfold_multilabel_sparse", _with(DOC_MARKS_CTE, sql_iterative_folds("doc_marks", td.MARK_TASKS, 5, 42)) +
+          "\nSELECT id, fold FROM dealt")
+def q_kfold_multilabel_sparse(spark, sf_dir):
+    """Iterative stratification over twelve sparse tasks."""
+    return sp.kfold_multilabel(td.doc_marks_wide(spark, sf_dir), td.MARK_TASKS, 5, 42).select("id", "fold")
 
 
 @register("fold_guard", _with(SQL_EMB_T0, f"cells AS ({td.SQL_EMB_CELLS})") +
@@ -849,9 +930,9 @@ N_SEED = 20
 N_ACTIVE = 10  # all-negative documents are rare: 6 at the smallest scale
 
 
-def _sql_draw(src: str, part: str, per: int) -> str:
+def _sql_draw(src: str, part: str, per: int, seed: int | None = None) -> str:
     return (f"SELECT * EXCLUDE (rn) FROM (SELECT s.*, row_number() OVER (PARTITION BY {part} ORDER BY "
-            f"{sql_hash52(SEED, 'id')}, id) AS rn FROM ({src}) s) d WHERE rn <= {per}")
+            f"{sql_hash52(SEED if seed is None else seed, 'id')}, id) AS rn FROM ({src}) s) d WHERE rn <= {per}")
 
 
 @register("seed_set_balanced", _with(SQL_AL_BASE) + "\n" + _sql_draw(
@@ -925,12 +1006,15 @@ def q_quarantine_rows(spark, sf_dir):
                                        F.length("text").cast("long").alias("n_chars"), "error"))
 
 
+FP_TASKS = 64  # the documents table is a file of one row group: texts are dealt out to so many tasks
+
+
 @register("hash_fingerprint", _with(fp.sql_fingerprint_bits("documents", "doc_id", "text")) +
           "\nSELECT doc_id, count(*) AS n_bits, string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit) AS bits "
           "FROM fp_bits GROUP BY doc_id")
 def q_hash_fingerprint(spark, sf_dir):
     """One row per valid string: bit count and the sorted bit ids as text (the sparse fingerprint)."""
-    fps, _ = fp.hash_fingerprint(td.table(spark, sf_dir, "documents"), "text", "doc_id")
+    fps, _ = fp.hash_fingerprint(td.table(spark, sf_dir, "documents"), "text", "doc_id", partitions=FP_TASKS)
     return fps.select("doc_id", F.size("bits").cast("long").alias("n_bits"),
                       F.array_join(F.transform("bits", lambda b: b.cast("string")), ",").alias("bits"))
 
@@ -989,17 +1073,18 @@ RUN_N = 5
 RUN_DROPOUT = 0.2
 
 
-def _sql_run_history() -> list[str]:
-    """The BALD loop: every iteration fits, evaluates and queries in a nested query."""
+def _sql_run_history(score: str = SQL_BALD, evaluate: bool = True) -> list[str]:
+    """The loop: every iteration fits, evaluates and queries (BALD, or another score per cell) in a nested query."""
     ctes = ["train_0 AS (SELECT * FROM seed)", "pool_0 AS (SELECT * FROM pool)"]
     for i in range(RUN_ITERS):
         fit = sql_centroid_weights(f"SELECT * FROM train_{i}", "SELECT * FROM feats")
         probs = sql_probs("probs", f"SELECT DISTINCT id FROM pool_{i} WHERE y IS NOT NULL", K, rate=RUN_DROPOUT)
-        ctes.append(f"q_{i} AS ({_with(fit, probs, f'bald AS ({SQL_BALD})')} SELECT p.id, p.task, p.y FROM bald b "
+        ctes.append(f"q_{i} AS ({_with(fit, probs, f'bald AS ({score})')} SELECT p.id, p.task, p.y FROM bald b "
                     f"JOIN pool_{i} p ON b.id = p.id AND b.task = p.task WHERE p.y IS NOT NULL "
                     f"ORDER BY b.score DESC, b.id, b.task LIMIT {RUN_N})")
-        ctes.append(f"m_{i} AS ({_with(fit, sql_probs('probs', SQL_TEST_IDS, 1, dropout=False), SQL_REPORT_SCORES, sql_curve('report_scores'))}"
-                    f" SELECT * FROM mtab)")
+        if evaluate:
+            ctes.append(f"m_{i} AS ({_with(fit, sql_probs('probs', SQL_TEST_IDS, 1, dropout=False), SQL_REPORT_SCORES, sql_curve('report_scores'))}"
+                        f" SELECT * FROM mtab)")
         ctes.append(f"train_{i + 1} AS (SELECT * FROM train_{i} UNION ALL SELECT * FROM q_{i})")
         ctes.append(f"pool_{i + 1} AS (SELECT p.* FROM pool_{i} p WHERE NOT EXISTS "
                     f"(SELECT 1 FROM q_{i} q WHERE q.id = p.id AND q.task = p.task))")
@@ -1019,6 +1104,40 @@ def _run(spark, sf_dir, evaluate=True):
     return cfg, seed, pool
 
 
+MANY_SEEDS = [3, 5]
+MANY_STRATEGIES = {"BALD": SQL_BALD, "greedy": SQL_GREEDY}
+
+
+def _sql_one_of_many(run_id: int, seed: int, score: str) -> str:
+    draw = _sql_draw("SELECT id, task, y FROM train_cells WHERE y IS NOT NULL", "task, y", N_STEP_SEED // 2, seed)
+    ctes = [f"seed AS ({draw})",
+            "pool AS (SELECT c.id, c.task, c.y FROM train_cells c WHERE NOT EXISTS "
+            "(SELECT 1 FROM seed s WHERE s.id = c.id AND s.task = c.task))", *_sql_run_history(score, evaluate=False)]
+    return f"run_{run_id} AS ({_with(*ctes)} SELECT CAST({run_id} AS BIGINT) AS run_id, iteration, id, task, y FROM hist)"
+
+
+_MANY = [(i * len(MANY_STRATEGIES) + j, seed, name) for i, seed in enumerate(MANY_SEEDS) for j, name in enumerate(MANY_STRATEGIES)]
+
+
+@register("al_runs", _with(SQL_AL_DATA, *[_sql_one_of_many(r, seed, MANY_STRATEGIES[name]) for r, seed, name in _MANY]) + "\n" +
+          " UNION ALL ".join(f"SELECT * FROM run_{r}" for r, _, _ in _MANY))
+def q_al_runs(spark, sf_dir):
+    """History of four runs (two seeds, two strategies) that share one loop."""
+    from tidepool.plans import runs as mr
+    inp = al_inputs(spark, sf_dir)
+    cells = cut_lineage(inp.train_cells)
+    train = pool = None
+    for r, seed_no, _ in _MANY:
+        seed = cut_lineage(smp.seed_set_aux(cells, EMB_TASKS, N_STEP_SEED, seed_no).select("id", "task", "y"))
+        own = [d.withColumn("run_id", F.lit(r).cast("long")) for d in (seed, smp.remainder_pool(cells, seed, by="cells"))]
+        train, pool = own if train is None else (train.unionByName(own[0]), pool.unionByName(own[1]))
+    cfg = lp.RunConfig(iterations=RUN_ITERS, history_path=scratch_path(spark, "al_runs_history"),
+                       step=lp.StepConfig(passes=K, dropout=RUN_DROPOUT))
+    mr.al_runs(train, pool, inp.feats, [mr.RunSpec(r, name, seed, RUN_N) for r, seed, name in _MANY], cfg)
+    return read_history(spark, cfg.history_path).select(
+        F.col("run_id").cast("long"), F.col("iteration").cast("long"), F.col("id").cast("long"), "task", "y")
+
+
 RUN_METRICS = ["balanced_acc", "roc_auc", "average_precision", "ECE"]
 
 
@@ -1125,7 +1244,7 @@ clusters AS (SELECT s.doc_id, c.key AS cluster, CAST(m.pos = m.centre AND s.doc_
 
 
 def _doc_fps(spark, sf_dir):
-    fps, _ = fp.hash_fingerprint(td.table(spark, sf_dir, "documents"), "text", "doc_id", size=CLUSTER_BITS)
+    fps, _ = fp.hash_fingerprint(td.table(spark, sf_dir, "documents"), "text", "doc_id", size=CLUSTER_BITS, partitions=FP_TASKS)
     return cut_lineage(fps)
 
 
@@ -1141,3 +1260,25 @@ def q_similarity_clusters(spark, sf_dir):
 def q_split_by_cluster(spark, sf_dir):
     docs = td.table(spark, sf_dir, "documents").select("doc_id", "source")
     return clu.split_by_cluster(docs, _doc_fps(spark, sf_dir), "doc_id", 0.8, 42).select("doc_id", "cluster", "role")
+
+
+@register("experiment_grid_data_sets",
+          _with(DOC_WIDE, SQL_DOC_LONG, f"cells AS ({td.SQL_EMB_CELLS})",
+                "both_sets AS (SELECT 'documents' AS dataset, task, id, y FROM doc_long UNION ALL "
+                "SELECT 'embeddings', task, id, y FROM cells WHERE y IS NOT NULL)",
+                "t AS (SELECT dataset, task, dense_rank() OVER (ORDER BY dataset, task) - 1 AS ti FROM "
+                "(SELECT DISTINCT dataset, task FROM both_sets) d)",
+                "grid AS (SELECT CAST(t.ti * 3 + s.si AS BIGINT) AS run_id, t.dataset, t.task, CAST(s.seed AS BIGINT) AS seed FROM t, "
+                f"(SELECT unnest({GRID_SEEDS}) AS seed, unnest(range(3)) AS si) s)",
+                "drawn AS (SELECT g.*, c.id, c.y, row_number() OVER (PARTITION BY g.run_id, c.y ORDER BY "
+                "CAST(('0x' || substr(md5(concat_ws('|', CAST(g.seed AS VARCHAR), CAST(c.id AS VARCHAR))), 1, 13)) AS BIGINT), "
+                "c.id) AS rn FROM grid g JOIN both_sets c ON c.dataset = g.dataset AND c.task = g.task)") +
+          f"\nSELECT run_id, dataset, task, seed, id, y FROM drawn WHERE rn <= {N_GRID_SEED // 2}")
+def q_experiment_grid_data_sets(spark, sf_dir):
+    """A grid over two data sets with their own tasks, and every run's seed set."""
+    docs = _doc_long(spark, sf_dir).select(F.lit("documents").alias("dataset"), "task", "id", "y")
+    emb = td.emb_cells(spark, sf_dir).select(F.lit("embeddings").alias("dataset"), "task", "id", "y")
+    cells = docs.unionByName(emb)
+    grid = cut_lineage(lp.experiment_grid(cells.where("y is not null").select("dataset", "task"), GRID_SEEDS, ["BALD"]))
+    seeds = smp.seed_sets_for_runs(cells, grid, N_GRID_SEED, by=["dataset", "task"])
+    return seeds.join(grid.select("run_id", "seed"), "run_id").select("run_id", "dataset", "task", "seed", "id", "y")

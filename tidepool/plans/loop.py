@@ -21,8 +21,8 @@ from tidepool.operators import selection as sel
 from tidepool.operators.scoring import (
     DEFAULT_DROPOUT, DEFAULT_PASSES, centroid_weights, score_deterministic, score_mc, train_surrogate,
 )
-from tidepool.session import broadcast_scope, cut_lineage
-from tidepool.sources.io import append_history, read_if_present
+from tidepool.session import broadcast_scope, cut_lineage, release
+from tidepool.sources.history import append_history, compact_history, has_iteration, read_run, tail_iterations
 
 STRATEGIES = ("BALD", "EPIG_MT", "greedy", "ucb", "uniform")
 
@@ -105,6 +105,7 @@ class RunConfig:
     history_path: str | None = None
     metrics_path: str | None = None
     surrogate: str = "centroid"  # or "logistic"
+    compact_every: int = 64      # partitions a run may leave before its history is compacted; 0: never
 
 
 def fit_surrogate(name: str, train: DataFrame, feats: DataFrame, tasks: list[str]) -> DataFrame:
@@ -170,42 +171,46 @@ def al_run(train: DataFrame, pool: DataFrame, feats: DataFrame, cfg: RunConfig,
                 append_history(res.query.select(F.lit(cfg.run_id).cast("long").alias("run_id"),
                                                 F.lit(it).cast("long").alias("iteration"), "id", "task", "y"),
                                cfg.history_path)
+                if cfg.compact_every and len(tail_iterations(spark, cfg.history_path, cfg.run_id, None)) > cfg.compact_every:
+                    compact_history(spark, cfg.history_path, cfg.run_id)
             new = res.query.select("id", "task", "y")
-            queried = cut_lineage(new if queried is None else queried.unionByName(new))
+            before, queried = queried, cut_lineage(new if queried is None else queried.unionByName(new))
+        release(weights, res.query, before)  # files that only this iteration and the one before read
     train, pool = working_sets()
     return {"train": cut_lineage(train), "pool": cut_lineage(pool)}
 
 
 def iteration_done(spark: SparkSession, history_path: str, run_id: int, iteration: int) -> bool:
-    """Does the history hold rows for (run_id, iteration)?  Partition-pruned, reads at most one row.
+    """Does the history hold rows for (run_id, iteration)?  Opens that one partition (or the run's merged set).
 
     No history means no; a damaged one raises.
     """
-    h = read_if_present(spark, history_path)
-    if h is None:
-        return False
-    return bool(h.where((F.col("run_id") == run_id) & (F.col("iteration") == iteration)).limit(1).collect())
+    return has_iteration(spark, history_path, run_id, iteration)
 
 
 def stored_iterations(spark: SparkSession, history_path: str, run_id: int) -> set[int]:
     """Iterations of a run that the history holds (one number per iteration comes back)."""
-    h = read_if_present(spark, history_path)
+    h = read_run(spark, history_path, run_id)
     if h is None:
         return set()
-    return {int(r[0]) for r in h.where(F.col("run_id") == run_id).select("iteration").distinct().collect()}
+    return {int(r[0]) for r in h.select("iteration").distinct().collect()}
 
 
 def iterations_done(spark: SparkSession, history_path: str, run_id: int, iterations: list[int]) -> DataFrame:
-    """(iteration, done) for several iterations in one job over the partition listing."""
-    h = spark.read.parquet(history_path).where(F.col("run_id") == run_id).select("iteration").distinct()
+    """(iteration, done) for several iterations in one job over the run's partitions."""
     want = spark.createDataFrame([(int(i),) for i in iterations], "iteration long")
-    return want.join(h.withColumn("done", F.lit(1)), "iteration", "left") \
+    h = read_run(spark, history_path, run_id)
+    if h is None:
+        return want.select("iteration", F.lit(0).alias("done"))
+    return want.join(h.select("iteration").distinct().withColumn("done", F.lit(1)), "iteration", "left") \
         .select("iteration", F.coalesce("done", F.lit(0)).alias("done"))
 
 
 def stored_queries(spark: SparkSession, history_path: str, run_id: int, upto: int | None = None) -> DataFrame:
     """Query rows (id, task, y) of a run's iterations, up to one of them."""
-    h = spark.read.parquet(history_path).where(F.col("run_id") == run_id)
+    h = read_run(spark, history_path, run_id)
+    if h is None:
+        raise ValueError(f"{history_path} holds nothing of run {run_id}")
     if upto is not None:
         h = h.where(F.col("iteration") <= upto)
     return h.select("id", "task", "y")
@@ -222,16 +227,18 @@ def experiment_grid(tasks: DataFrame, seeds: list[int], strategies: list[str],
                     feature_types: list[str] | None = None) -> DataFrame:
     """Runs = tasks x seeds x strategies (x feature types), mixed-radix ``run_id``.
 
-    ``tasks``: one column ``task`` (derived from the data).  Parameters are
+    ``tasks``: one column ``task`` (derived from the data), or ``dataset`` and ``task`` where
+    the grid spans data sets with tasks of their own.  Parameters are
     exploded per task row, so the grid is one narrow job; ``run_id`` then
     leads every key when runs share a job.
     """
     ft = feature_types or ["default"]
-    t = tasks.select("task").distinct()
-    t = t.withColumn("ti", F.dense_rank().over(Window.orderBy("task")) - 1)
-    g = (t.select("task", "ti", F.posexplode(F.array(*[F.lit(s) for s in seeds])).alias("si", "seed"))
+    axes = [c for c in ("dataset", "task") if c in tasks.columns]
+    t = tasks.select(*axes).distinct()
+    t = t.withColumn("ti", F.dense_rank().over(Window.orderBy(*axes)) - 1)
+    g = (t.select(*axes, "ti", F.posexplode(F.array(*[F.lit(s) for s in seeds])).alias("si", "seed"))
          .select("*", F.posexplode(F.array(*[F.lit(s) for s in strategies])).alias("gi", "strategy"))
          .select("*", F.posexplode(F.array(*[F.lit(f) for f in ft])).alias("fi", "feature_type")))
     run_id = ((F.col("ti") * len(seeds) + F.col("si")) * len(strategies) + F.col("gi")) * len(ft) + F.col("fi")
-    return g.select(run_id.cast("long").alias("run_id"), "task", F.col("seed").cast("long"), "strategy",
+    return g.select(run_id.cast("long").alias("run_id"), *axes, F.col("seed").cast("long"), "strategy",
                     "feature_type")

@@ -13,8 +13,13 @@ Configuration keys follow the established key names where they exist
 ``train_test_split_exists``, ``aux_task``, ``aux_task_samples``).  Keys added here:
 ``surrogate`` (``centroid`` or ``logistic``), ``output_dir`` (folder for the
 initial set, the validation set, history and metrics tables), ``group_col`` (group key for the scaffold-style
-split, since no chemistry is computed), ``train_file`` / ``test_file`` (when
-the split exists), ``butina_threshold`` and ``run_id``.
+split, since no chemistry is computed), ``butina_threshold`` and ``run_id``.
+
+With ``train_test_split_exists`` each side has its own files (``train_target_file``,
+``test_target_file`` and ``train_`` / ``test_`` forms of the feature files), loaded by the same
+rules; a key on both sides raises.  Sides that are only listed (``train_file`` and
+``test_file`` with the keys) select from ``target_file``.  ``use_all_tasks_to_split`` draws the split on
+``all_tasks``; the run then goes on with ``selected_tasks`` only.
 """
 
 from __future__ import annotations
@@ -67,11 +72,8 @@ def fingerprint_job(spark: SparkSession, input_path: str, output_path: str, colu
 
 
 def _dense_features(spark: SparkSession, path: str, key_col: str) -> DataFrame:
-    """Wide feature file (key column first, then numeric columns) -> (id, x array<float>)."""
-    wide = sio.read_table(spark, path)
-    cols = [c for c in wide.columns if c != key_col]
-    packed = rs.pack_features(wide, cols, keep=[key_col])
-    return packed.select(F.col(key_col).alias("id"), F.col("x").cast("array<float>").alias("x"))
+    """Wide feature file (key column, then numeric columns) -> (id, x array<float>)."""
+    return sio.read_features(spark, path, key_col)
 
 
 def _bits_from_dense(feats: DataFrame) -> DataFrame:
@@ -85,17 +87,21 @@ def _file_order() -> "F.Column":
     return F.struct(F.input_file_name(), F.monotonically_increasing_id())
 
 
-def load_labelled(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame]:
+def load_labelled(spark: SparkSession, config: dict, side: str = "") -> tuple[DataFrame, DataFrame]:
     """(cells ``(id, task, y)``, features ``(id, x)``) with the key-consistency rules applied:
     labels keep only keys with features, one row per key (first in file order), and
-    features keep only labelled keys — always joined by key, never by position."""
+    features keep only labelled keys — always joined by key, never by position.
+
+    ``side``: ``train_`` or ``test_`` where the split exists and each side has its own files."""
     key = config.get("Compound_col", "SMILES")
-    tasks = task_list(config)
-    labels = sio.read_table(spark, config["target_file"], normalize=True, label_cols=tasks)
+    tasks = split_tasks(config)
+    labels = sio.read_table(spark, config[f"{side}target_file"], normalize=True, label_cols=tasks)
     ftype = config.get("features_type", "BERT")
-    feat_path = config["ECFP_features_file"] if ftype == "FP" else config["BERT_features_file"]
+    feat_path = config[f"{side}ECFP_features_file" if ftype == "FP" else f"{side}BERT_features_file"]
     feat_key = config.get("features_key_col", "SMILES")
     feats = _dense_features(spark, feat_path, feat_key)
+    # text keys are read as strings: they take the type of the labels' key (one that cannot have no label)
+    feats = feats.withColumn("id", F.col("id").try_cast(labels.schema[key].dataType))
     feats = rs.dedup_keep_first(feats.withColumn("_o", _file_order()), ["id"], ["_o"]).drop("_o")
     wide = labels.select(F.col(key).alias("id"), *[F.col(t).cast("double").alias(t) for t in tasks],
                          _file_order().alias("_o"))
@@ -114,10 +120,8 @@ def split_train_test(cells: DataFrame, feats: DataFrame, config: dict, split_see
     if splitter == "RandomSplitter":
         return sp.split_random(ids, frac, split_seed)
     if splitter == "RandomStratifiedSplitter":
-        tasks = task_list(config)
-        wide = rs.to_wide(cells, tasks)
-        return sp.split_stratified(wide.withColumn("_sig", sp.label_signature(tasks)), ["_sig"], frac,
-                                   split_seed).select("id", "role")
+        tasks = split_tasks(config)
+        return sp.split_multilabel(rs.to_wide(cells, tasks), tasks, frac, split_seed).select("id", "role")
     if splitter == "ScaffoldSplitter":
         gcol = config.get("group_col")
         if not gcol:
@@ -140,6 +144,30 @@ def task_list(config: dict) -> list[str]:
     return [tasks] if isinstance(tasks, str) else list(tasks)
 
 
+def split_tasks(config: dict) -> list[str]:
+    """Tasks that the train/test split looks at."""
+    return list(config["all_tasks"]) if config.get("use_all_tasks_to_split") else task_list(config)
+
+
+def load_split(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells of the selected tasks, features, roles): read, and split or tagged as the configuration says."""
+    if config.get("train_test_split_exists") and "train_target_file" in config:
+        (train, train_x), (test, test_x) = (load_labelled(spark, config, side) for side in ("train_", "test_"))
+        roles = sp.split_existing(train.select("id").distinct(), test.select("id").distinct(), "id")
+        cells, feats = train.unionByName(test), train_x.unionByName(test_x)
+    else:
+        cells, feats = load_labelled(spark, config)
+        if config.get("train_test_split_exists"):
+            key = F.col(config.get("Compound_col", "SMILES")).alias("id")
+            roles = sp.split_existing(*(sio.read_table(spark, config[f]).select(key).distinct()
+                                        for f in ("train_file", "test_file")), "id")
+        else:
+            roles = split_train_test(cells, feats, config)
+    if config.get("use_all_tasks_to_split"):
+        cells = cells.where(F.col("task").isin(task_list(config)))
+    return cells, feats, cut_lineage(roles)
+
+
 def spark_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -155,14 +183,7 @@ def active_learning_run(spark: SparkSession, config: dict) -> dict:
     tasks = task_list(config)
     main = config.get("main_task", tasks[0])
     out_dir = config["output_dir"].rstrip("/")
-    cells, feats = load_labelled(spark, config)
-    if config.get("train_test_split_exists"):
-        tr = sio.read_table(spark, config["train_file"]).select(F.col(config.get("Compound_col", "SMILES")).alias("id"))
-        te = sio.read_table(spark, config["test_file"]).select(F.col(config.get("Compound_col", "SMILES")).alias("id"))
-        roles = sp.split_existing(tr, te)
-    else:
-        roles = split_train_test(cells, feats, config)
-    roles = cut_lineage(roles)
+    cells, feats, roles = load_split(spark, config)
     train_all = cells.join(roles.where(F.col("role") == "train"), "id", "left_semi")
     test_cells = cut_lineage(cells.join(roles.where(F.col("role") == "test"), "id", "left_semi"))
     n0 = int(config.get("main_task_initial_set_samples", 100))
@@ -174,10 +195,8 @@ def active_learning_run(spark: SparkSession, config: dict) -> dict:
     seed_set = cut_lineage(seed_set)
     sio.write_table(seed_set, f"{out_dir}/initial_set")
     rest = smp.remainder_pool(train_all, seed_set, by="cells")
-    # pool / validation 85 / 15, stratified on the label signature, with the run seed
-    wide = rs.to_wide(rest, tasks)
-    pv = sp.split_stratified(wide.withColumn("_sig", sp.label_signature(tasks)), ["_sig"], 0.85, seed,
-                             roles=("pool", "val")).select("id", "role")
+    # pool / validation 85 / 15, stratified on the label patterns, with the run seed; read by both sides
+    pv = cut_lineage(sp.split_multilabel(rs.to_wide(rest, tasks), tasks, 0.85, seed, roles=("pool", "val")).select("id", "role"))
     pool = rest.join(pv.where(F.col("role") == "pool"), "id", "left_semi")
     val = rest.join(pv.where(F.col("role") == "val"), "id", "left_semi")
     sio.write_table(val, f"{out_dir}/validation")

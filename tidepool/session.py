@@ -130,6 +130,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame | None) -> None:
+    """Delete the files of checkpoints made by :func:`cut_lineage` that nothing reads any more."""
+    for df in frames:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        saved = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if saved.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(saved.get())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

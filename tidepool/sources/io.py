@@ -10,13 +10,16 @@ does the sentinel -1, which stands for a missing label.
 
 from __future__ import annotations
 
+import csv
+import hashlib
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.sources.history import HistorySchemaError, append_history, read_history, read_if_present  # noqa: F401
+
 
 MISSING_LABELS = (-1.0,)
 
@@ -61,6 +64,42 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return df
 
 
+def read_features(spark: SparkSession, path: str, key_col: str) -> DataFrame:
+    """Wide feature file (a key column, all others numeric) -> ``(id, x array<float>)``, columns in file order.
+
+    A text line is cut straight into key and array: only its header says how wide it is, the
+    file is scanned once, and no plan holds a column per unit.  NaN, empty and unreadable
+    numbers are NULL.  The key may be quoted; a quoted line break in it is not supported.
+    """
+    ext = os.path.splitext(path.rstrip("/"))[1].lower()
+    if ext == ".parquet":
+        wide = normalize_missing(spark.read.parquet(path))
+        units = [c for c in wide.columns if c != key_col]
+        return wide.select(F.col(f"`{key_col}`").alias("id"), F.array(*[F.col(f"`{c}`").cast("float") for c in units]).alias("x"))
+    sep = "\t" if ext == ".tab" else ","
+    lines = spark.read.text(path)
+    head = lines.first()  # one line of one file
+    names = next(csv.reader([head[0]], delimiter=sep)) if head else []
+    if key_col not in names:
+        raise ValueError(f"{path} has no column {key_col!r}")
+    at, width = names.index(key_col), len(names)
+    line = F.col("value")
+    # the fields before the key are numbers, so the first quote of a line opens the key
+    before = F.regexp_extract(line, f"^(?:[^{sep}]*{sep}){{{at}}}", 0) if at else F.lit("")
+    rest = F.substr(line, F.length(before) + 1)
+    quoted = rest.startswith('"')
+    raw = F.when(quoted, F.regexp_extract(rest, '^"(?:[^"]|"")*"', 0)).otherwise(F.substring_index(rest, sep, 1))
+    key = F.when(quoted, F.replace(F.substr(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+    after = F.substr(rest, F.length(raw) + 2)
+    numbers = F.slice(F.split(before, sep), 1, at) if at else F.array().cast("array<string>")
+    if at < width - 1:
+        numbers = F.concat(numbers, F.split(after, sep))
+    x = F.transform(numbers, lambda v: F.when(~F.isnan(v.try_cast("float")), v.try_cast("float")))
+    # the header is known by its digest, so that the plan does not hold it either
+    header = (F.length(line) == len(head[0])) & (F.md5(line) == hashlib.md5(head[0].encode()).hexdigest())
+    return lines.where(~header).select(key.alias("id"), x.alias("x"))
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> str:
     writer = df.write.mode(mode)
@@ -73,39 +112,3 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     else:
         writer.parquet(path)
     return path
-
-
-class HistorySchemaError(ValueError):
-    pass
-
-
-def append_history(df: DataFrame, path: str, partition_by: tuple[str, ...] = ("run_id", "iteration")) -> str:
-    """Append rows to a history table partitioned by run and iteration.
-
-    Dynamic partition overwrite makes a retried iteration idempotent: re-running
-    iteration i replaces only partition (run_id, i).  A header mismatch with the
-    existing table raises instead of warning.
-    """
-    existing = read_if_present(df.sparkSession, path)
-    if existing is not None:
-        want = [f.name for f in existing.schema.fields]
-        got = [c for c in df.columns]
-        if sorted(want) != sorted(got):
-            raise HistorySchemaError(f"history columns differ: expected {want}, got {got}")
-        df = df.select(*[c for c in want])
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
-    return path
-
-
-def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None if there is none.  A damaged table raises."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)

@@ -23,6 +23,9 @@ from tidepool.functions.hashing import HASH_SCALE, hash52, sql_hash52
 N_EMB_TASKS = 10
 EMB_TASKS = [f"t{k}" for k in range(N_EMB_TASKS)]
 DOC_TASKS = ["quality", "toxic"]
+#: marks that stand in for sparse tasks of documents: does the text hold it?
+DOC_MARKS = ["@", "|", "#", "+", "$", "*", "(", "license", "0", "\u00fc", "\u00e8", "the "]
+MARK_TASKS = [f"m{k:02d}" for k in range(len(DOC_MARKS))]
 HIDE_SEED = "hide"
 HIDE_FRAC = 0.15
 HIDE_BELOW = int(HIDE_FRAC * HASH_SCALE)
@@ -59,6 +62,13 @@ def doc_labels_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w
 
 
+def doc_marks_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve sparse tasks of documents (``DOC_MARKS``), with gaps."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return d.select("id", *[F.when(~_hidden("id", F.lit(t)), F.contains("text", F.lit(m)).cast("double")).alias(t)
+                            for t, m in zip(MARK_TASKS, DOC_MARKS)])
+
+
 def lineitem_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_orderkey").alias("id"), "l_linenumber", F.col("l_linestatus").alias("task"),
@@ -88,6 +98,11 @@ SELECT d.doc_id AS id,
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """
 
+SQL_DOC_MARKS_WIDE = "SELECT doc_id AS id, " + ", ".join(
+    f"CASE WHEN {sql_hash52(HIDE_SEED, 'doc_id', chr(39) + t + chr(39))} >= {HIDE_BELOW} "
+    f"THEN CAST(CAST(contains(text, '{m}') AS INTEGER) AS DOUBLE) END AS {t}"
+    for t, m in zip(MARK_TASKS, DOC_MARKS)) + " FROM documents"
+
 SQL_LINEITEM_SCORES = """
 SELECT l_orderkey AS id, l_linenumber, l_linestatus AS task,
        CAST(CAST(l_returnflag = 'R' AS INTEGER) AS DOUBLE) AS y, l_discount * 10 AS p, l_quantity / 10 - 2.5 AS z
