@@ -1023,16 +1023,21 @@ def q_hash_fingerprint(spark, sf_dir):
 # 2.6 training, 2.11 iteration, resume, grid
 # ---------------------------------------------------------------------------------
 
-from tidepool.operators.scoring import centroid_weights, sql_centroid_weights, train_surrogate  # noqa: E402
+from tidepool.operators.scoring import (  # noqa: E402
+    centroid_weights, sql_centroid_weights, sql_logistic_weights, train_surrogate,
+)
 from tidepool.plans import loop as lp  # noqa: E402
 from tidepool.plans.setup import SQL_AL_DATA  # noqa: E402
 from tidepool.session import cut_lineage  # noqa: E402
 
 
-@register("train_surrogate")
+@register("train_surrogate", sql_rounded(
+    "WITH RECURSIVE " + ",\n".join([SQL_AL_DATA.strip(), sql_logistic_weights("SELECT * FROM train_cells", "SELECT * FROM feats", 64).strip()]) +
+    "\nSELECT task, w[65] AS bias, sqrt(list_dot_product(w[1:64], w[1:64])) AS w_norm FROM logit", ["bias", "w_norm"]))
 def q_train_surrogate(spark, sf_dir):
+    """Logistic regression of ten tasks, run until the values stand (any converged solver gives them)."""
     inp = al_inputs(spark, sf_dir)
-    w = train_surrogate(inp.train_cells, inp.feats, reg=0.01, max_iter=50)
+    w = train_surrogate(inp.train_cells, inp.feats, reg=0.01, tol=1e-11)
     return rounded(w.select("task", "bias", F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, v: a + v * v)).alias("w_norm")))
 
 
