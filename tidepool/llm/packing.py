@@ -16,7 +16,8 @@ a retried task, which reads the same rows, gives the same ids.
 
 Token ids come from a public tokenizer file (``tokenizer_path``).  Its pre-tokenizer
 never joins characters across a space or a line feed, so a text's ids are those of its
-space-separated chunks; a task keeps the ids of chunks it has seen in a bounded table.
+space-separated chunks; a worker keeps the ids of chunks it has seen, from task to task, in a
+table of at most ``CACHE_CHUNKS`` entries of at most ``LONG_CHUNK`` characters.
 
 Defined cases: a NULL or empty text is its end id alone; repeated rows are packed as
 documents of their own; an empty table gives an empty result; only the id and text
@@ -40,7 +41,7 @@ from tidepool.llm.common import table, text_of
 WINDOW = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 LONG_CHUNK = 64
 GROUP_CHARS = 1_000_000  # texts encoded together
 WORD_END = "</w>"
@@ -94,8 +95,8 @@ class Encoder:
         if missing:
             self.known.update(self._learn(list(missing)))
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4") for words in split]
-        for c in missing:  # a word with marks is put together again when it is met again
-            if len(c) > LONG_CHUNK or (m := LETTERS_THEN_MARKS.fullmatch(c)) and m[2]:
+        for c in missing:
+            if len(c) > LONG_CHUNK:
                 del self.known[c]
         return out
 
@@ -262,7 +263,6 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield from table_of(w for doc, ids in zip(ids_of[at:stop], encoded)
                                     for w in packer.add(doc, np.append(ids, np.uint32(END_ID))))
                 at = stop
-        enc.known = {}  # workers live on; their memory is the next task's
         yield from table_of(packer.close())
     names = ["doc_id", *numbers] + (["ids"] if with_ids else [])
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
