@@ -13,8 +13,10 @@ unknown at the model's lowest score less ``UNKNOWN_PENALTY``, and becomes its UT
 
 No piece of such a model has a mark behind another character (checked when the file is
 loaded), so the boundary before a mark that follows another character is always common to all
-paths.  Runs between such boundaries are therefore streamed by themselves, and a task keeps
-the ids of short runs it has seen in a bounded table.
+paths.  So is every boundary between two characters that stand next to each other in no piece, such as
+those between a word and a full stop.  Runs between such boundaries are therefore streamed by
+themselves, and a worker keeps the ids of runs of at most ``LONG_RUN`` characters it has seen, from task to task, in a table of at
+most ``CACHE_RUNS`` entries.
 
 Defined cases: NULL and empty texts have no ids and decode to an empty text; a U+2581 in a
 text is read as a space (so decoding gives a space); repeated rows are encoded row by
@@ -24,6 +26,7 @@ row; an empty table gives an empty result; only the id and text columns are read
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ from tidepool.llm.common import table, text_of
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_RUNS = 400_000
+CACHE_RUNS = 1_000_000
 LONG_RUN = 64
 
 
@@ -47,8 +50,16 @@ class PieceModel:
         self.pieces, self.byte_ids, self.texts = pieces, byte_ids, texts
         self.longest = max(map(len, pieces), default=1)
         self.unknown = min((s for _, s in pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        #: Pieces with their ids and scores, and the ends of pieces that are none (False).
-        self.suffixes = {p[-n:]: False for p in pieces for n in range(1, len(p))} | pieces
+        #: Trie of the pieces read backwards: character -> [(score, (id,)) of the piece that begins here, next characters].
+        self.backwards: dict[str, list] = {}
+        for p, found in pieces.items():
+            level, node = self.backwards, [None, {}]
+            for c in reversed(p):
+                node = level.setdefault(c, [None, {}])
+                level = node[1]
+            node[0] = (found[1], (found[0],))
+        #: Pairs of characters that some piece holds next to each other.
+        self.joins = {p[i:i + 2] for p in pieces for i in range(len(p) - 1)}
         self.cuts_at_marks = not any(MARK in p.lstrip(MARK) for p in pieces)
 
     @classmethod
@@ -81,31 +92,38 @@ class StreamingViterbi:
 
     def push(self, chars: Iterable[str]) -> Iterator[int]:
         """Read characters; yields the ids that become certain."""
-        m, longest = self.model, self.model.longest
-        get, scores, back, w = m.suffixes.get, self.scores, self.back, self.window
-        for c in chars:
-            w = (w + c)[-longest:]
-            best, step, ids = None, 0, ()
-            for n in range(1, min(len(w), len(scores)) + 1):
-                found = get(w[-n:])
-                if found is None:  # no piece ends like this
-                    break
-                if found:
-                    s = scores[-n] + found[1]
-                    if best is None or s >= best:
-                        best, step, ids = s, n, (found[0],)
-            if c not in m.pieces:
-                s = scores[-1] + m.unknown
-                if best is None or s > best:
-                    best, step, ids = s, 1, tuple(m.byte_ids[b] for b in c.encode("utf-8", "replace"))
-            scores.append(best)
-            if len(scores) > longest:
-                del scores[0]
-            back.append((step, ids))
-            if len(back) % self.check_every == 0:
-                self.window, self.held = w, max(self.held, len(back))
+        if not isinstance(chars, str):
+            chars = "".join(chars)
+        m, keep = self.model, self.model.longest - 1
+        for at in range(0, len(chars), self.check_every):
+            block = chars[at:at + self.check_every]
+            scores, back, text = self.scores, self.back, self.window + block
+            for i in range(len(self.window), len(text)):
+                best, step, ids = None, 0, ()
+                level, k = m.backwards, i
+                for c in text[i::-1]:
+                    node = level.get(c)
+                    if node is None:  # no piece ends like this
+                        break
+                    found, level = node
+                    if found:
+                        s = scores[k] + found[0]
+                        if best is None or s >= best:
+                            best, step, ids = s, i - k + 1, found[1]
+                    k -= 1
+                c = text[i]
+                if c not in m.pieces:
+                    s = scores[i] + m.unknown
+                    if best is None or s > best:
+                        best, step, ids = s, 1, tuple(m.byte_ids[b] for b in c.encode("utf-8", "replace"))
+                scores.append(best)
+                back.append((step, ids))
+            # a piece that ends in the next character begins at most ``keep`` characters before it
+            self.window = text[len(text) - keep:] if 0 < keep < len(text) else text if keep else ""
+            self.scores = scores[-len(self.window) - 1:]
+            self.held = max(self.held, len(back))
+            if len(block) == self.check_every:
                 yield from self._commit(self._common())
-        self.window, self.held = w, max(self.held, len(back))
 
     def _common(self) -> int:
         """Latest boundary (counted from the last commit) on the paths of all boundaries in the window."""
@@ -121,15 +139,14 @@ class StreamingViterbi:
         low = frontier.pop()
         return low
 
-    def _commit(self, boundary: int) -> Iterator[int]:
+    def _commit(self, boundary: int) -> list[int]:
         path, at = [], boundary
         while at > 0:
             step, ids = self.back[at - 1]
             path.append(ids)
             at -= step
-        for ids in reversed(path):
-            yield from ids
         del self.back[:boundary]
+        return [i for ids in reversed(path) for i in ids]
 
     def finish(self) -> Iterator[int]:
         """The ids not committed yet; the stream begins anew."""
@@ -156,20 +173,42 @@ class PieceEncoder:
                 held = ""
         return out + [held] if held else out
 
+    def _parts(self, run: str) -> list[str]:
+        """The run cut between characters that no piece joins."""
+        joins, out, start = self.model.joins, [], 0
+        for i in range(1, len(run)):
+            if run[i - 1:i + 1] not in joins:
+                out.append(run[start:i])
+                start = i
+        return [*out, run[start:]]
+
     def _stream(self, run: str) -> bytes:
         v = StreamingViterbi(self.model)
-        return np.array([*v.push(run), *v.finish()], dtype="<u4").tobytes()
+        return array("I", [*v.push(run), *v.finish()]).tobytes()
+
+    def _remembered(self, run: str) -> bytes:
+        """Ids of a run without sure boundaries, streamed unless the table has them."""
+        ids = self.known.get(run)
+        if ids is None:
+            ids = self._stream(run)
+            self._remember(run, ids)
+        return ids
+
+    def _remember(self, run: str, ids: bytes) -> None:
+        if len(run) <= LONG_RUN:
+            if len(self.known) >= CACHE_RUNS:
+                self.known.clear()
+            self.known[run] = ids
 
     def encode(self, text: str) -> np.ndarray:
         known, out = self.known, []
         for run in self.runs(text):
             ids = known.get(run)
             if ids is None:
-                ids = self._stream(run)
-                if len(run) <= LONG_RUN:
-                    if len(known) >= CACHE_RUNS:
-                        known.clear()
-                    known[run] = ids
+                parts = self._parts(run)
+                ids = b"".join(map(self._remembered, parts))
+                if len(parts) > 1:
+                    self._remember(run, ids)
             out.append(ids)
         return np.frombuffer(b"".join(out), dtype="<u4")
 
@@ -207,7 +246,6 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     ids.append(x.astype(np.int32))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names)
-        enc.known.clear()  # workers live on; their memory is the next task's
     names = ["id", "n_ids", "ids_crc32", "round_trip"] + ["ids"] * with_ids
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     schema = f"id {kind}, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
