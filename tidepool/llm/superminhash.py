@@ -13,12 +13,14 @@ candidates.  With the 32 bands of 5 slots used here a pair at similarity 0.8 sha
 3e-6, one at 0.9 with 1e-12.  Verification computes the exact similarity of full sets.  Union-find
 grouping joins verified links into components.
 
-Equal sets are one node from the start.  A bucket (texts that share a key) never makes
-all its pairs: first its members are verified against its most central member only (the one that shares
-most keys with others, which for edited copies is their original).  Components of these
-links then tell which buckets still hold texts of different components; only pairs across
-components are verified there, in order of size class, so no link that joins two
-components is lost.  Keys, hubs and groups with more than one in ``HOT_SHARE`` of all rows, at
+Equal sets are one node from the start.  A bucket (nodes that share a key) never makes
+all its pairs: its members are verified against its hub only, the most central member (the one that
+shares most keys with others, which for edited copies is their original).  That leaves pairs of a hub's
+members in different components of the links found.  Two sets of that similarity share an element
+among the first ``n - ceil(0.8 n) + 1`` of each, in any common order; with the elements that the hub lacks in front, those that
+the fewest members hold first, these are a copy's own edits, so members that are not close to the hub meet only those that share
+their edits.  Such pairs across components are verified too, hence no link between components is
+lost.  Keys, hubs and groups with more than one in ``HOT_SHARE`` of all rows, at
 most ``HOT_SHARE`` of them, meet their rows by a broadcast or by salts.
 
 Defined cases: texts with fewer words than a shingle are one element; NULL or wordless
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -124,14 +126,14 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
 
 # -- joins that survive hot keys --------------------------------------------------------------------
 
-def join_hot(rows: DataFrame, info: DataFrame, key: str, hot) -> DataFrame:
-    """``rows`` joined with ``info`` (one row per ``key``); info rows that are ``hot`` are broadcast.
+def join_hot(rows: DataFrame, info: DataFrame, keys: list[str], hot) -> DataFrame:
+    """``rows`` joined with ``info`` (one row per key); info rows that are ``hot`` are broadcast.
 
     ``hot`` is a condition that holds for at most ``HOT_SHARE`` rows of ``info``.
     """
     few = F.broadcast(info.where(hot))
-    return rows.join(few, key).unionByName(
-        rows.join(few.select(key), key, "left_anti").join(info.where(~hot), key))
+    return rows.join(few, keys).unionByName(
+        rows.join(few.select(*keys), keys, "left_anti").join(info.where(~hot), keys))
 
 
 def over(count: str, total: int):
@@ -142,7 +144,7 @@ def over(count: str, total: int):
 # -- links --------------------------------------------------------------------------------------------
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, set) of the nodes in ``wanted`` (node, rep), from the texts of their representative rows."""
+    """(num, set) of the nodes in ``wanted`` (num, node, rep), from the texts of their representative rows."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = pa.schema([("node", pa.binary()), ("set", pa.list_(pa.int64()))])
 
@@ -156,26 +158,40 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, sh
     ids = wanted.select(F.col("rep").cast(id_type).alias("_rep")).distinct()
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")) \
         .join(ids, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
-    sets = texts.mapInArrow(build, "node binary, set array<long>").join(wanted.select("node"), "node", "left_semi")
-    return sets.groupBy("node").agg(F.first("set").alias("set"))
+    sets = texts.mapInArrow(build, "node binary, set array<long>").join(wanted.select("node", "num"), "node")
+    return sets.groupBy("num").agg(F.first("set").alias("set"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity; hubs among ``a`` are salted."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, link, edits, common) of pairs (a, b): size of ``b``, similarity reached, what ``b`` has and ``a`` lacks, and
+    so many of their common elements as complete the prefix of ``b``.
+
+    Hubs among ``a`` are salted.
+    """
     degrees = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
-    total = pairs.count()
-    hubs = F.broadcast(degrees.where(over("d", total)).select("a", F.lit(HUB_SALTS).alias("salts")))
-    salted = pairs.join(hubs, "a", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)).cast("long"))).drop("salts")
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")).join(hubs, "a", "left") \
-        .select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt"))
-    both = salted.join(left, ["a", "salt"]).join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
+    hubs = F.broadcast(degrees.where(over("d", pairs.count())).select("a", F.lit(HUB_SALTS).cast("long").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    salted = pairs.join(hubs, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts)).drop("salts")
+    left = sets.select(F.col("num").alias("a"), F.col("set").alias("sa")).join(hubs, "a", "left") \
+        .select("a", "sa", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    both = sets.select(F.col("num").alias("b"), F.col("set").alias("sb")).join(salted, "b").join(left, ["a", "salt"])
+    both = both.select("a", "b", "sb", F.size("sa").alias("na"), F.size("sb").alias("n"), F.array_intersect("sb", "sa").alias("common"))
+    inter = F.size("common")
+    rest = F.greatest(prefix_length("n", percent) - (F.col("n") - inter), F.lit(0))
+    return both.select("a", "b", "n", (100 * inter >= percent * (F.col("na") + F.col("n") - inter)).alias("link"),
+                       F.array_except("sb", "common").alias("edits"), F.slice("common", F.lit(1), rest).alias("common"))
+
 
+def prefix_length(n: str, percent: int):
+    return (F.col(n) - F.ceil(F.col(n) * percent / 100) + 1).cast("int")
 
-def close_in_size(a: str, b: str, percent: int):
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+
+def compare(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    pairs = materialize(pairs, "smh-pairs")
+    ends = pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct()
+    wanted = materialize(nodes.select("num", "node", "rep").join(ends, "num", "left_semi"), "smh-wanted")
+    sets = materialize(full_sets(docs, wanted, id_col, text_col, shingle), "smh-sets")
+    return materialize(compared(pairs, sets, percent), "smh-compared")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80,
@@ -183,65 +199,72 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """(id, n, component_id) per row: size of its set and smallest id reachable over links of ``percent`` similarity."""
     rows = materialize(signatures(docs, id_col, text_col, shingle, bands, band_rows), "smh-signatures")
     nodes = materialize(rows.where("node is not null").groupBy("node").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")), "smh-nodes")
-    buckets = nodes.select("node", "n", F.explode("keys").alias("key"))
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("num", F.monotonically_increasing_id()), "smh-nodes")
+    buckets = nodes.select("num", F.explode("keys").alias("key"))
     shared = materialize(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "smh-shared")
-    members = buckets.count() if shared.isEmpty() else bands * nodes.count()
-    live = materialize(join_hot(buckets, shared, "key", over("c", members)), "smh-buckets")
-
-    weight = live.groupBy("node").agg(F.sum("c").alias("w"))
-    heads = live.join(weight, "node").groupBy("key", "c").agg(
-        F.max_by(F.struct(F.col("node").alias("a"), F.col("n").alias("na")), F.struct("w", "node")).alias("hub")) \
-        .select("key", "c", "hub.a", "hub.na")
-    heads = materialize(heads, "smh-hubs")
-    stars = join_hot(live.drop("c"), heads, "key", over("c", members)).where(F.col("node") != F.col("a")) \
-        .where(close_in_size("n", "na", percent)).select("a", F.col("node").alias("b")).distinct()
-    links = links_of(stars, nodes, docs, id_col, text_col, shingle, percent)
+    members = bands * nodes.count()
+    live = materialize(join_hot(buckets, shared, ["key"], over("c", members)), "smh-buckets")
+
+    weight = live.groupBy("num").agg(F.sum("c").alias("w"))
+    hubs = materialize(live.join(weight, "num").groupBy("key", "c").agg(F.max(F.struct("w", "num")).alias("hub"))
+                       .select("key", "c", F.col("hub.num").alias("a")), "smh-hubs")
+    stars = join_hot(live.drop("c"), hubs, ["key"], over("c", members)).where(F.col("num") != F.col("a")) \
+        .select("a", F.col("num").alias("b")).distinct()
+    starred = compare(stars, nodes, docs, id_col, text_col, shingle, percent)
+    links = starred.where("link").select("a", "b")
 
     star = connected_components(links, "a", "b")
-    across = cross_pairs(live, star, percent, members)
-    more = links_of(across, nodes, docs, id_col, text_col, shingle, percent)
+    across = pairs_across(starred, star, percent)
+    more = compare(across, nodes, docs, id_col, text_col, shingle, percent).where("link").select("a", "b")
     if not more.isEmpty():
         star = connected_components(links.unionAll(more), "a", "b")
     return name_groups(rows, nodes, star)
 
 
-def links_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    pairs = materialize(pairs, "smh-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = materialize(nodes.select("node", "rep").join(ends, "node", "left_semi"), "smh-wanted")
-    sets = materialize(full_sets(docs, wanted, id_col, text_col, shingle), "smh-sets")
-    return materialize(verified(pairs, sets, percent), "smh-links")
+def pairs_across(starred: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one hub's members that lie in different components and share an element of their prefixes in reach.
 
-
-def cross_pairs(live: DataFrame, star: DataFrame, percent: int, members: int) -> DataFrame:
-    """Pairs of a bucket that lie in different components and are close enough in size."""
-    comp = live.select("node").distinct().join(star, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
-    placed = live.join(comp, "node")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")) \
-        .where("lo != hi").select("key", "m")
+    Members of the hub's own component are met by the others only, never by each other.
+    """
+    total = starred.count()
+    label = star.select(F.col("node").alias("num"), F.col("root").alias("comp"))
+    degrees = starred.groupBy("a").agg(F.count(F.lit(1)).alias("d")).join(label, F.col("a") == F.col("num"), "left") \
+        .select("a", "d", F.coalesce("comp", "a").alias("ca"))
+    placed = starred.drop("link").join(label, F.col("b") == F.col("num"), "left") \
+        .select("a", "b", "n", "edits", "common", F.coalesce("comp", "b").alias("cb"))
+    placed = materialize(join_hot(placed, degrees, ["a"], over("d", total)), "smh-placed")
+    mixed = placed.groupBy("a").agg(F.max("d").alias("d"), F.sum((F.col("ca") != F.col("cb")).cast("long")).alias("apart")) \
+        .where("apart > 0 and d > 1").select("a", "d")
     mixed = materialize(mixed, "smh-mixed")
-    left = materialize(join_hot(placed.drop("c"), mixed, "key", over("m", members)), "smh-across")
-    # one-sided size classes: a pair's smaller set is at least ``percent`` of the larger, so its class is the same or the next
-    width = np.log(100 / percent)
-    left = left.withColumn("cls", F.floor(F.log(F.col("n")) / float(width)))
-    near = left.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"),
-                       F.explode(F.array(F.col("cls"), F.col("cls") - 1)).alias("cls"))
-    return left.select("key", "cls", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(near, ["key", "cls"]) \
-        .where((F.col("ca") != F.col("cb")) & close_in_size("na", "nb", percent)
-               & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))) \
-        .select("a", "b").distinct()
+    placed = join_hot(placed.drop("d"), mixed, ["a"], over("d", total)) \
+        .withColumn("apart", F.col("ca") != F.col("cb")).withColumn("u", F.size("edits"))
+    member = ["a", "b", "n", "cb", "apart"]
+    edits = materialize(placed.select(*member, F.explode("edits").alias("token")), "smh-edits")
+    held = materialize(edits.groupBy("a", "token").agg(F.count(F.lit(1)).alias("c")), "smh-held")
+    rarest = Window.partitionBy("a", "b").orderBy("c", "token")
+    edits = join_hot(edits, held, ["a", "token"], over("c", edits.count())) \
+        .withColumn("i", F.row_number().over(rarest) - 1).where(F.col("i") < prefix_length("n", percent))
+    common = placed.select(*member, "u", F.posexplode("common").alias("at", "token")).withColumn("i", F.col("u") + F.col("at"))
+    tokens = materialize(edits.select(*member, "token", "i").unionAll(common.select(*member, "token", "i")), "smh-prefixes")
+    left = tokens.where("apart").select("a", "token", "b", "n", "cb", "i")
+    right = tokens.select("a", "token", F.col("b").alias("b2"), F.col("n").alias("n2"), F.col("cb").alias("cb2"), F.col("i").alias("i2"))
+    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    reach = 1 + F.least(F.col("n") - 1 - F.col("i"), F.col("n2") - 1 - F.col("i2"))
+    return left.join(right, ["a", "token"]).where((F.col("cb") != F.col("cb2")) & (reach >= need)
+                                                  & (100 * F.col("n") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n"))) \
+        .select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
 
 
 def name_groups(rows: DataFrame, nodes: DataFrame, star: DataFrame) -> DataFrame:
     """(id, n, component_id): every group is named by its smallest id."""
     total = rows.count()
-    rooted = materialize(nodes.select("node", "rep", "copies").join(star, "node", "left")
-                         .select("node", "rep", "copies", F.coalesce("root", "node").alias("root")), "smh-rooted")
+    rooted = materialize(nodes.select("num", "node", "rep", "copies").join(star.withColumnRenamed("node", "num"), "num", "left")
+                         .select("node", "rep", "copies", F.coalesce("root", "num").alias("root")), "smh-rooted")
     names = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("size")), "smh-names")
-    named = join_hot(rooted, names, "root", over("size", total)).select("node", "copies", "component_id")
+    named = join_hot(rooted, names, ["root"], over("size", total)).select("node", "copies", "component_id")
     named = materialize(named, "smh-named")
-    filled = join_hot(rows.where("node is not null").select("id", "n", "node"), named, "node", over("copies", total))
+    filled = join_hot(rows.where("node is not null").select("id", "n", "node"), named, ["node"], over("copies", total))
     return filled.select("id", "n", "component_id").unionAll(
         rows.where("node is null").select("id", "n", F.col("id").alias("component_id")))
 
