@@ -21,10 +21,11 @@ from tidepool.functions.hashing import hash52
 BALD_EPS = 1e-10
 UCB_BETA = 2.0
 CHECK_EPS = 1e-6
-EPIG_TARGET_BLOCK = 4096                 # targets per in-task tile
+EPIG_TARGET_BLOCK = 4096                 # targets per cogroup block, at least
 EPIG_BLOCK_CELLS = 4_000_000             # targets x passes per cogroup block (32 MB)
 EPIG_POOL_GROUP = 262_144                # pool cells per cogroup group
-EPIG_POOL_TILE = 1024                    # pool rows per in-task tile
+EPIG_POOL_TILE = 256                     # pool rows per in-task tile
+EPIG_TARGET_TILE = 2048                  # targets per in-task tile
 
 
 def _mean(ps="ps"):
@@ -72,6 +73,18 @@ def _epig_block(P: np.ndarray, mp: np.ndarray, Q: np.ndarray, mq: np.ndarray) ->
     return S.sum(axis=1)
 
 
+def _epig_sums(P: np.ndarray, Q: np.ndarray) -> np.ndarray:
+    """:func:`_epig_block` of pool rows P against all targets Q, in tiles of both sides: memory does not grow with either."""
+    mp, mq = P.mean(axis=1), Q.mean(axis=1)
+    s = np.zeros(len(P))
+    for r in range(0, len(P), EPIG_POOL_TILE):
+        rs = slice(r, r + EPIG_POOL_TILE)
+        for c in range(0, len(Q), EPIG_TARGET_TILE):
+            cs = slice(c, c + EPIG_TARGET_TILE)
+            s[rs] += _epig_block(P[rs], mp[rs], Q[cs], mq[cs])
+    return s
+
+
 def _to_matrix(col: pa.Array, n: int) -> np.ndarray:
     vals = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return vals.reshape(n, -1)
@@ -87,7 +100,8 @@ def epig(pool: DataFrame, targets: DataFrame, target_block: int | None = None,
 
     Pool groups of about ``pool_group`` cells are cogrouped with target blocks of about
     ``target_block`` targets (each side replicated across the other's blocks, never
-    forming pairs as rows), and the partial sums are added up.
+    forming pairs as rows), and the partial sums are added up.  A task compares tiles of
+    both sides, so it holds its two sides and one tile's products.
 
     ``by``: a column of both sides (such as the run); pool cells meet the targets of their own
     value only.  Every value has as many targets.
@@ -125,10 +139,7 @@ def _epig_blocked(pool: DataFrame, targets: DataFrame, n_t: int, target_block: i
         s = np.zeros(len(pdf))
         if not tdf.empty:
             Q = np.stack(tdf["qs"].to_numpy()).astype(np.float64)
-            mp, mq = P.mean(axis=1), Q.mean(axis=1)
-            for r in range(0, len(pdf), EPIG_POOL_TILE):
-                rs = slice(r, r + EPIG_POOL_TILE)
-                s[rs] = _epig_block(P[rs], mp[rs], Q, mq)
+            s = _epig_sums(P, Q)
         return pd.DataFrame({"id": pdf["id"].to_numpy(), "task": pdf["task"].to_numpy(),
                              **{c: pdf[c].to_numpy() for c in own}, "s": s})
 
