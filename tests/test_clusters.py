@@ -81,3 +81,19 @@ def test_clusters_without_pairs_or_rows(spark):
     lone = spark.createDataFrame([(1, [1]), (2, [2])], "doc_id long, bits array<int>")
     assert {r["doc_id"]: r["cluster"] for r in clu.similarity_clusters(lone, "doc_id").collect()} == {1: 1, 2: 2}
     assert clu.similarity_clusters(lone.limit(0), "doc_id").count() == 0
+
+
+def test_a_set_is_moved_once_for_its_cell_not_for_each_candidate(spark):
+    clique = [(f"k{a:03d}", f"k{b:03d}") for a in range(60) for b in range(a + 1, 60)]
+    _, moved = clu._moves(spark.createDataFrame(clique, "a string, b string"))
+    assert moved.count() == 60  # of 1,770 candidates
+
+
+def test_candidates_across_cells_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(clu, "CELL_SETS", 4)
+    rows = [(f"k{i:03d}", sorted({*range(40), 100 + i % 7})) for i in range(50)] + [("z", [500, 501]), ("y", [500, 501, 502])]
+    reps = spark.createDataFrame(rows, "key string, bits array<int>")
+    got = {(r["a"], r["b"]): r["sim"] for r in clu.similar_pairs(reps, 0.6).collect()}
+    want = {tuple(sorted(p)): s for p, s in _brute(rows, 0.6).items()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+

@@ -5,7 +5,8 @@ with an exact set-similarity join (prefix filtering): with bits ordered
 globally from rarest to most common, two sets with J >= t must share one of
 the first ``|A| - ceil(t |A|) + 1`` bits of each; a length filter prunes
 more.  Posting lists are cut into blocks, so a common bit is spread over many
-tasks.  Candidates are then verified exactly.  Identical bit sets are
+tasks.  Candidates are then verified exactly, cell against cell, so a set is moved
+once for many candidates.  Identical bit sets are
 collapsed first (they are always neighbours of each other), so copies of one
 text never produce pairs; what remains is the neighbour graph itself.
 
@@ -21,14 +22,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators.ranking import join_hot
-from tidepool.session import cut_lineage, release
+from tidepool.session import broadcast, cut_lineage, release
 
 DEFAULT_THRESHOLD = 0.7
 POSTING_BLOCK = 4_096    # rows of a posting list that meet in one join key
+ORDER_SLOTS = 1 << 20    # counters that put the bits in order, however many bits there are (8 MB to every executor)
+PART_BITS = 1 << 20      # bits that a task puts in order at once
+CELL_SETS = 256          # sets of a cell: candidates of two cells are verified together
 
 
 def _rank_key() -> "F.Column":
@@ -53,20 +59,50 @@ def collapse_identical(fps: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return g.select("key", "bits", "mult"), members.select("member", "key")
 
 
+def _slot_counts(freq: DataFrame) -> np.ndarray:
+    """Counts ``(bit, df)`` added up in ``ORDER_SLOTS`` counters (bits modulo that number)."""
+    t = freq.select(F.pmod("bit", F.lit(ORDER_SLOTS)).cast("int").alias("slot"), F.col("df").cast("long").alias("df")).toArrow()
+    out = np.zeros(ORDER_SLOTS, dtype=np.int64)
+    np.add.at(out, t["slot"].to_numpy(), t["df"].to_numpy())
+    return out
+
+
 def _prefix_rows(sized: DataFrame, freq: DataFrame, t: float, k: int, block: int) -> DataFrame:
-    """Prefix tokens by a join with the frequency table and a per-row window.
+    """Prefix tokens of every set, in the order of (count of the bit's slot, bit), found row by row.
 
-    ``nb`` is the number of blocks that the token's posting list is cut into: it has at most ``df`` rows.
+    Any one order of the bits is exact; the slots only decide which bits pass for rare.  ``df`` is the slot's count,
+    so the token's posting list has at most ``df`` rows; ``nb`` is the number of blocks that it is cut into.
     """
-    from pyspark.sql import Window
-    toks = sized.select("key", "len", F.explode("bits").alias("bit"))
-    ranked = join_hot(toks, freq, ["bit"], "df")
-    w = Window.partitionBy("key").orderBy("df", "bit")
-    # small slack keeps float rounding from ever shortening a prefix (longer is still exact)
-    plen = F.col("len") - F.ceil(F.lit(t) * F.col("len") - F.lit(1e-9)) + k
-    return ranked.withColumn("pos", F.row_number().over(w)).where((F.col("pos") <= plen) & (F.col("df") > 1)) \
-        .select("key", "len", "bit", F.col("pos").cast("int").alias("pos"), F.ceil(F.col("df") / block).cast("int").alias("nb"),
-                F.floor(F.log("len") / F.lit(max(-math.log(t), 1e-9)) + F.lit(1e-9)).alias("cls"))
+    counts = broadcast(sized.sparkSession, _slot_counts(freq))
+
+    def part(b: pa.RecordBatch) -> pa.RecordBatch:
+        bits = b.column(1).flatten().to_numpy(zero_copy_only=False)
+        lens = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(lens)), lens)
+        df = counts.value[np.mod(bits, ORDER_SLOTS)]
+        order = np.lexsort((bits, df, row))
+        pos = np.arange(1, len(bits) + 1) - np.repeat(np.cumsum(lens) - lens, lens)
+        # small slack keeps float rounding from ever shortening a prefix (longer is still exact)
+        plen = lens - np.ceil(t * lens - 1e-9).astype(np.int64) + k
+        keep = (pos <= plen[row]) & (df[order] > 1)
+        row, at = row[keep], order[keep]
+        return pa.RecordBatch.from_arrays(
+            [b.column(0).take(pa.array(row)), pa.array(lens[row], pa.int32()), pa.array(bits[at], pa.int32()),
+             pa.array(pos[keep], pa.int32()), pa.array(-(-df[at] // block), pa.int32())], ["key", "len", "bit", "pos", "nb"])
+
+    def run(batches):
+        for b in batches:
+            upto = np.cumsum(b.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < b.num_rows:  # a part has at most PART_BITS bits, or one row
+                before = upto[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(upto, before + PART_BITS, "right")))
+                yield part(b.slice(at, stop - at))
+                at = stop
+
+    kind = sized.schema["key"].dataType.simpleString()
+    cls = F.floor(F.log("len") / F.lit(max(-math.log(t), 1e-9)) + F.lit(1e-9))
+    return sized.select("key", "bits", "len").mapInArrow(run, f"key {kind}, len int, bit int, pos int, nb int").withColumn("cls", cls)
 
 
 def _sides(prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,27 +138,92 @@ def similar_pairs(reps: DataFrame, threshold: float = DEFAULT_THRESHOLD,
 
     A bit's posting list is cut into blocks of about ``block`` rows, and blocks are joined
     against blocks, so a bit that is common to a third of the sets is spread over
-    (blocks x blocks) join keys.  Survivors are verified on the full sets.
+    (blocks x blocks) join keys.  Survivors are verified on the full sets
+    (:func:`verified_pairs`).
     """
     t = float(threshold)
     k = int(prefix_extra)
     sized = reps.select("key", "bits", F.size("bits").alias("len")).where(F.col("len") > 0)
-    freq = cut_lineage(sized.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("df")))
+    freq = sized.select(F.explode("bits").alias("bit")).groupBy(F.pmod("bit", F.lit(ORDER_SLOTS)).alias("bit")) \
+        .agg(F.count(F.lit(1)).alias("df"))
     prefix = cut_lineage(_prefix_rows(sized, freq, t, k, block))  # read by both sides of the self-join
     short, long = _sides(prefix)
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("la") + F.col("lb")) - F.lit(1e-9))
     left = F.least(F.col("la") - F.col("ia"), F.col("lb") - F.col("ib"))
-    matches = short.join(long, ["bit", "cls", "x", "y"]).where(
+    # the size that Spark expects of the prefix rows is far too small: it must not broadcast them
+    matches = short.join(long.hint("merge"), ["bit", "cls", "x", "y"]).where(
         ((F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("a") < F.col("b"))))
         & (F.col("la") >= F.lit(t) * F.col("lb")) & (left + k >= need))
     per_pair = matches.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("la").alias("la"), F.first("lb").alias("lb"))
-    cand = per_pair.where(F.col("m") >= F.least(F.lit(k), need)).select("a", "b")
-    bits = sized.select("key", "bits")
-    v = cand.join(bits.withColumnRenamed("key", "a").withColumnRenamed("bits", "ba"), "a") \
-        .join(bits.withColumnRenamed("key", "b").withColumnRenamed("bits", "bb"), "b")
-    inter = F.size(F.array_intersect("ba", "bb"))
-    sim = inter / (F.size("ba") + F.size("bb") - inter)
-    return v.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), sim.alias("sim")).where(F.col("sim") >= F.lit(t))
+    cand = cut_lineage(per_pair.where(F.col("m") >= F.least(F.lit(k), need)).select("a", "b"))
+    release(prefix)
+    return verified_pairs(sized.select("key", "bits"), cand, t)
+
+
+def _cells(cand: DataFrame) -> DataFrame:
+    """``(key, cell)``: sets that share candidates stand in the same cell, of about ``CELL_SETS`` sets at most.
+
+    A set's label is the least key within two steps along candidates; a label with many sets is cut by a hash.
+    """
+    both = cand.unionByName(cand.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = cut_lineage(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("l")))
+    label = cut_lineage(both.join(near.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("l")))
+    release(near)
+    sizes = label.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    cut = F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / CELL_SETS))
+    return cut_lineage(join_hot(label, sizes, ["l"], "n").select(F.col("a").alias("key"), F.xxhash64("l", cut).alias("cell")))
+
+
+def _moves(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates ``(a, b, g)`` with the pair of cells that they meet in, and the sets ``(g, key)`` needed there."""
+    cells = _cells(cand)
+    pairs = cut_lineage(cand.join(cells.select(F.col("key").alias("a"), F.col("cell").alias("ca")), "a")
+                        .join(cells.select(F.col("key").alias("b"), F.col("cell").alias("cb")), "b")
+                        .select("a", "b", F.xxhash64(F.least("ca", "cb"), F.greatest("ca", "cb")).alias("g")))
+    release(cells)
+    return pairs, pairs.select("g", F.col("a").alias("key")).unionByName(pairs.select("g", F.col("b").alias("key"))).distinct()
+
+
+def verified_pairs(sets: DataFrame, cand: DataFrame, t: float) -> DataFrame:
+    """``(a, b, sim)``, a < b, of the candidates with Jaccard similarity >= ``t`` on the full sets.
+
+    Candidates are dealt out by their two cells, and a set is moved once for each pair of cells that needs it,
+    not once for each candidate.  A task reads the sets of a pair of cells, then its candidates, as a stream.
+    """
+    pairs, wanted = _moves(cand)
+    kind = cand.schema["a"].dataType.simpleString()
+    rows = wanted.join(sets, "key").select("g", F.col("key").alias("a"), F.lit(None).cast(kind).alias("b"), "bits") \
+        .unionByName(pairs.select("g", "a", "b", F.lit(None).cast(sets.schema["bits"].dataType).alias("bits")))
+
+    def run(batches):
+        group, held = None, {}
+        for batch in batches:
+            out_a, out_b, out_s = [], [], []
+            gs, ks, bs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            bits = batch.column(3)
+            for i, (g, a, b) in enumerate(zip(gs, ks, bs)):
+                if g != group:
+                    group, held = g, {}
+                if b is None:
+                    x = bits[i].values.to_numpy(zero_copy_only=False)
+                    held.setdefault(a, []).append((len(x), np.unique(x)))
+                    continue
+                for na, xa in held.get(a, ()):
+                    for nb, xb in held.get(b, ()):
+                        inter = len(np.intersect1d(xa, xb, assume_unique=True))
+                        sim = inter / (na + nb - inter)
+                        if sim >= t:
+                            out_a.append(a)
+                            out_b.append(b)
+                            out_s.append(sim)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, batch.column(1).type), pa.array(out_b, batch.column(1).type),
+                                              pa.array(out_s, pa.float64())], ["a", "b", "sim"])
+
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # sets (no b) before the candidates of their cells
+    found = rows.repartition(n, "g").sortWithinPartitions("g", F.col("b").asc_nulls_first()) \
+        .mapInArrow(run, f"a {kind}, b {kind}, sim double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
 
 
 def butina(reps: DataFrame, pairs: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -170,11 +271,10 @@ def butina(reps: DataFrame, pairs: DataFrame, max_rounds: int | None = None) ->
 
 def similarity_clusters(fps: DataFrame, key: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """``(key, cluster, is_centre)`` for every input row (copies share their representative's cluster)."""
-    reps, members = collapse_identical(cut_lineage(fps.select(key, "bits")), key)
-    # AQE may coalesce the (few, wide) representative rows into one partition; spread
-    # them by key so the per-row prefix work runs on every core
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    reps = cut_lineage(reps.repartition(n, "key"))
+    saved = cut_lineage(fps.select(key, "bits"))
+    reps, members = collapse_identical(saved, key)
+    members = cut_lineage(members)
+    release(saved)
     pairs = cut_lineage(similar_pairs(reps, threshold))
     cl = butina(reps, pairs)
     return members.join(cl, "key").select(F.col("member").alias(key), "cluster",

@@ -1250,7 +1250,7 @@ clusters AS (SELECT s.doc_id, c.key AS cluster, CAST(m.pos = m.centre AND s.doc_
 
 def _doc_fps(spark, sf_dir):
     fps, _ = fp.hash_fingerprint(td.table(spark, sf_dir, "documents"), "text", "doc_id", size=CLUSTER_BITS, partitions=FP_TASKS)
-    return cut_lineage(fps)
+    return fps
 
 
 @register("similarity_clusters", "WITH RECURSIVE " + SQL_CLUSTERS + "\nSELECT * FROM clusters")
