@@ -98,3 +98,24 @@ def test_recurrence_is_judged_alike_on_small_and_large_hosts(spark):
     assert all(text[i] == f"own text {i}" for i in range(8))
     assert all(text[1000 + i] == f"own text {i}" for i in range(750))
     assert all(t.startswith("a shared story") for i, t in text.items() if i >= 3000)
+
+
+def test_a_page_is_freed_without_the_collector():
+    import gc
+    gc.collect()
+    gc.disable()
+    try:
+        before = len(gc.get_objects())
+        for _ in range(50):
+            H.main_text("<body><nav>a</nav><article><p>b<b>c</b></p></article></body>", {1})
+            H.page_hashes("<body><nav>a</nav><article><p>b<b>c</b></p></article></body>")
+        assert len(gc.get_objects()) - before < 200  # a hundred pages of eight elements and their lists
+    finally:
+        gc.enable()
+
+
+def test_batches_are_taken_in_slices(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(H, "SLICE_CHARS", 10)
+    b = pa.RecordBatch.from_arrays([pa.array(["abc", None, "x" * 50, "", "abcdef", "abcdef"])], ["html"])
+    assert [p.column(0).to_pylist() for p in H.slices(b, 0)] == [["abc", None], ["x" * 50, ""][:1], ["", "abcdef"], ["abcdef"]]

@@ -80,6 +80,21 @@ ROOTS = frozenset(["article", "main"])
 NO_DROP = frozenset(["html", "body"])
 SALTS = 64
 LONG = 600
+SLICE_CHARS = 4_000_000  # markup taken from a batch at once
+
+
+def slices(batch: pa.RecordBatch, html: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``SLICE_CHARS`` bytes of markup (column ``html``), one row at least."""
+    import pyarrow.compute as pc
+    size = pc.fill_null(pc.binary_length(batch.column(html)), 0).to_pylist()
+    at = 0
+    while at < len(size):
+        stop, total = at + 1, size[at]
+        while stop < len(size) and total + size[stop] <= SLICE_CHARS:
+            total += size[stop]
+            stop += 1
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 class Element:
@@ -242,7 +257,9 @@ def page_hashes(page: str) -> dict[int, bool]:
         size[e.index] += sum(len(x) for x in e.items if isinstance(x, str))
         if e.parent is not None and e.tag != "a":
             size[e.parent.index] += size[e.index]
-    return {subtree_hash(page, e): size[e.index] > LONG for e in countable(elements)}
+    found = {subtree_hash(page, e): size[e.index] > LONG for e in countable(elements)}
+    free(elements)
+    return found
 
 
 def block_texts(e: Element, skip: set[int]) -> list[str]:
@@ -277,11 +294,25 @@ def block_texts(e: Element, skip: set[int]) -> list[str]:
     return blocks
 
 
+def free(elements: list[Element]) -> None:
+    """Cuts the circles of parents and children, so the page goes at once and not when the collector runs."""
+    for e in elements:
+        e.parent = None
+        e.items.clear()
+
+
 def main_text(page: str, template: set[int]) -> str:
     """Text of the content root without the subtrees whose hashes are in ``template``."""
     if not page:
         return ""
     elements = parse(page)
+    try:
+        return _root_text(page, elements, template)
+    finally:
+        free(elements)
+
+
+def _root_text(page: str, elements: list[Element], template: set[int]) -> str:
     skip = {e.index for e in countable(elements) if subtree_hash(page, e) in template} if template else set()
     hidden = set()
     for e in elements:
@@ -317,7 +348,7 @@ def host_of(url: str) -> Column:
 
 def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task function: (k1, k2, host, html) to (k1, k2, host, hashes, long)."""
-    for b in batches:
+    for b in (part for batch in batches for part in slices(batch, 3)):
         found = [page_hashes(p or "") for p in b.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), b.column(2), pa.array([list(x) for x in found], pa.list_(pa.int64())),
@@ -354,7 +385,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         .select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 2)):
             texts = [main_text(p or "", set(t or ())) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("page_id", "url")}
