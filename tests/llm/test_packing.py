@@ -89,3 +89,19 @@ def test_pieces_hold_every_id_once_without_padding(spark):
     assert sum(r.length for r in twice.collect()) == 2 * sum(len(ids[i]) for i in range(4))
     nulls = spark.createDataFrame([(None, "a"), (2 ** 62 + 1, "b")], "doc_id long, text string")
     assert {r.doc_id for r in packing.pack_documents(nulls).collect()} == {None, 2 ** 62 + 1}
+
+
+def test_words_of_plain_letters_pass_the_model_alone():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(packing.TOKENIZER)
+    enc, whole = packing.Encoder(path), Tokenizer.from_file(path)
+    assert enc.plain is not None
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(1, 70))) for _ in range(3000)]
+    words += [w[:4] + rnd.choice(["", ".", "?!", "-", ",a", "'s", "é", "\u0131", "K", "7", "\u00b5"]) for w in words]
+    words += ["", ".", "'", "<|endoftext|>", "a'", "'a", "\u00e9\u0301.", "\u017f"]
+    for got, w in zip(enc.encode(words), words):
+        assert got.tolist() == whole.encode(w, add_special_tokens=False).ids, w

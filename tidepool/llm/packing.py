@@ -46,7 +46,16 @@ LONG_CHUNK = 64
 GROUP_CHARS = 1_000_000  # texts encoded together
 WORD_END = "</w>"
 #: Plain letters, then ASCII marks other than the apostrophe: two pre-tokens.
-LETTERS_THEN_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Normaliser and pre-tokenizer that leave words of a-z as they are.
+PLAIN_FORM = [
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}]
 
 
 # -------------------------------------------------------------------- encoding
@@ -61,29 +70,57 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.plain = self._plain(path)
+
+    @staticmethod
+    def _plain(path: str):
+        """The same model behind a cut at white space only: all that a tokenizer of this form does to words of a-z."""
+        import json
+
+        from tokenizers import Tokenizer
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        if [parts.get("normalizer"), parts.get("pre_tokenizer")] != PLAIN_FORM or parts["model"].get("type") != "BPE":
+            return None
+        return Tokenizer.from_str(json.dumps({**parts, "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}))
 
     def _encode_each(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _encode_words(self, words: list[str], tokenizer=None) -> list[bytes]:
         """Words of plain letters are one pre-token each, so they may be encoded as one text and cut at word ends."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array((tokenizer or self.tokenizer).encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1
         if len(stops) != len(words):
             return self._encode_each(words)
-        return [x.tobytes() for x in np.split(ids, stops[:-1])]
+        raw, stops = ids.tobytes(), (4 * stops).tolist()
+        return [raw[i:j] for i, j in zip([0, *stops], stops)]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        split = {c: m for c in chunks if (m := LETTERS_THEN_MARKS.fullmatch(c))}
-        words = list({m[1] for m in split.values()} - self.known.keys())
+        known, plain, other, marks, rest, marked = self.known, set(), set(), set(), [], []
+        for c in chunks:
+            w = c.rstrip(MARKS)
+            if w.isascii() and w.isalpha() and w.islower():
+                if w not in known:
+                    plain.add(w)
+            elif LETTERS.fullmatch(w):
+                if w not in known:
+                    other.add(w)
+            else:
+                rest.append(c)
+                continue
+            if len(w) < len(c):
+                m = c[len(w):]
+                marked.append((c, w, m))
+                marks.add(m)
         out = {}
-        for i in range(0, len(words), 20_000):
-            out.update(zip(words[i:i + 20_000], self._encode_words(words[i:i + 20_000])))
-        rest = list({m[2] for m in split.values() if m[2]}.union(c for c in chunks if c not in split) - self.known.keys())
+        for words, tokenizer in ((list(plain), self.plain), (list(other), None)):
+            for i in range(0, len(words), 20_000):
+                out.update(zip(words[i:i + 20_000], self._encode_words(words[i:i + 20_000], tokenizer)))
+        rest += marks - known.keys()
         out.update(zip(rest, self._encode_each(rest)))
-        for c, m in split.items():
-            if m[2]:
-                out[c] = (out.get(m[1]) or self.known[m[1]]) + (out.get(m[2]) or self.known[m[2]])
+        for c, w, m in marked:
+            out[c] = (out.get(w) or known[w]) + (out.get(m) or known[m])
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
