@@ -105,3 +105,31 @@ def test_words_of_plain_letters_pass_the_model_alone():
     words += ["", ".", "'", "<|endoftext|>", "a'", "'a", "\u00e9\u0301.", "\u017f"]
     for got, w in zip(enc.encode(words), words):
         assert got.tolist() == whole.encode(w, add_special_tokens=False).ids, w
+
+
+def test_a_failed_group_leaves_no_empty_ids(monkeypatch):
+    import pytest
+    enc = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    want = enc.encode(["the cat sat."])[0].tolist()
+    monkeypatch.setattr(enc, "_learn", lambda chunks: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        enc.encode(["a new word"])
+    monkeypatch.undo()
+    assert enc.encode(["the cat sat.", "a new word"])[0].tolist() == want
+    assert len(enc.encode(["a new word"])[0]) == 3
+
+
+def test_each_chunk_is_looked_up_once(monkeypatch):
+    class Counted(packing.Chunks):
+        looked = 0
+
+        def __getitem__(self, chunk):
+            Counted.looked += 1
+            return super().__getitem__(chunk)
+    enc = packing.Encoder(public_tokenizers.path(packing.TOKENIZER))
+    enc.encode(["one two three"])
+    known = Counted()
+    known.update(enc.known)
+    enc.known = known
+    enc.encode(["one two three one"])
+    assert Counted.looked == 4 and not known.new

@@ -60,13 +60,24 @@ PLAIN_FORM = [
 
 # -------------------------------------------------------------------- encoding
 
+class Chunks(dict):
+    """Ids by chunk; a look-up of a new chunk gives an empty buffer that :meth:`Encoder.encode` fills."""
+
+    def __init__(self):
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, chunk: str) -> bytearray:
+        x = self[chunk] = self.new[chunk] = bytearray()
+        return x
+
+
 class Encoder:
     """Ids of texts by a tokenizers file, remembered by chunk."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = Chunks()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
@@ -97,14 +108,14 @@ class Encoder:
         return [raw[i:j] for i, j in zip([0, *stops], stops)]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        known, plain, other, marks, rest, marked = self.known, set(), set(), set(), [], []
+        known, new, plain, other, marks, rest, marked = self.known, self.known.new, set(), set(), set(), [], []
         for c in chunks:
             w = c.rstrip(MARKS)
             if w.isascii() and w.isalpha() and w.islower():
-                if w not in known:
+                if w in new or w not in known:
                     plain.add(w)
             elif LETTERS.fullmatch(w):
-                if w not in known:
+                if w in new or w not in known:
                     other.add(w)
             else:
                 rest.append(c)
@@ -117,24 +128,31 @@ class Encoder:
         for words, tokenizer in ((list(plain), self.plain), (list(other), None)):
             for i in range(0, len(words), 20_000):
                 out.update(zip(words[i:i + 20_000], self._encode_words(words[i:i + 20_000], tokenizer)))
-        rest += marks - known.keys()
+        rest += [m for m in marks if m in new or m not in known]
         out.update(zip(rest, self._encode_each(rest)))
         for c, w, m in marked:
             out[c] = (out.get(w) or known[w]) + (out.get(m) or known[m])
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_folded(t).replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split) - self.known.keys()
-        if len(self.known) + len(missing) > CACHE_CHUNKS:
-            self.known = {}
-            missing = set().union(*split)
-        if missing:
-            self.known.update(self._learn(list(missing)))
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4") for words in split]
-        for c in missing:
-            if len(c) > LONG_CHUNK:
-                del self.known[c]
+        known = self.known
+        parts = [list(map(known.__getitem__, _folded(t).replace("\n", " ").split(" "))) for t in texts]
+        if known.new:
+            try:
+                learned = self._learn(list(known.new))
+            except BaseException:
+                self.known = Chunks()  # no empty buffer may stay for a later task
+                raise
+            for c, x in known.new.items():
+                x += learned[c]
+            known.update(learned)
+            known.new = {}
+            for c in learned:
+                if len(c) > LONG_CHUNK:
+                    del known[c]
+        out = [np.frombuffer(b"".join(p), dtype="<u4") for p in parts]
+        if len(known) > CACHE_CHUNKS:
+            self.known = Chunks()
         return out
 
 
