@@ -142,3 +142,32 @@ def test_other_languages_do_not_change_a_score(spark):
     noise = [(" ".join("".join(rnd.choices("qwxzjkv日本#", k=8)) for _ in range(200)), f"l{i}") for i in range(100)]
     alone, among = scores(spark, rows), scores(spark, rows + noise)
     assert alone == pytest.approx({k: among[k] for k in alone}, abs=1e-6)
+
+
+def test_turns_do_not_change_a_score(spark):
+    rows = some_rows(7) + [("", None), ("-- |", "en"), ("a\x0bb\x0cc\td", "de")]
+    want = brute_force(rows)
+    for turn_bytes, grams in ((1 << 30, 1000), (100, 5)):
+        got = scores(spark, rows, bucket_grams=grams, turn_bytes=turn_bytes)
+        for k, v in want.items():
+            assert got[k] is None if v is None else got[k] == pytest.approx(v, abs=1e-4), k
+
+
+def test_n_grams_travel_as_chunks_and_each_in_one_turn(spark):
+    rows = [(t, lang, i, 0) for i, (t, lang) in enumerate(some_rows(8, 300))]
+    docs = spark.createDataFrame(rows, "text string, lang string, k1 long, k2 long").coalesce(1)
+    dealt = [docs.mapInArrow(w._chunks(3, turn, 4, True), w._CHUNK).collect() for turn in range(4)]
+    assert sum(r.n for turn in dealt for r in turn) == sum(len(t.split()) + 1 for t, _, _, _ in rows)
+    assert all(r.bucket % 4 == turn for turn in range(4) for r in dealt[turn])
+    assert sum(map(len, dealt)) <= 3 * 4 * 3  # buckets, turns, languages
+
+
+def test_word_hashes_tell_words_apart():
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choices("ab| \t\n\u00e9\u65e5\x00", k=rnd.randint(0, 200))) for _ in range(500)] + ["x" * 100 + " " + "x" * 101, ""]
+    raw = [t.encode() for t in texts]
+    doc, h = w.word_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    words = [(i, x) for i, t in enumerate(raw) for x in t.split()]
+    assert doc.tolist() == [i for i, _ in words]
+    assert len(set(h.tolist())) == len({x for _, x in words}) == len({(x, y) for (_, x), y in zip(words, h.tolist())})
+    assert [bool(y & 1) for y in h.tolist()] == [bool(x.strip(w.MARKS)) for _, x in words]

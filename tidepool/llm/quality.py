@@ -192,6 +192,11 @@ def _discounts(counts: DataFrame) -> DataFrame:
     """Modified Kneser-Ney discounts d1, d2, d3 of each language from its counts of counts."""
     n = [F.sum(F.when(F.col("a") == i, 1).otherwise(0)).cast("double") for i in (1, 2, 3, 4)]
     d = counts.groupBy("lang").agg(*[x.alias(f"n{i + 1}") for i, x in enumerate(n)])
+    return discounts_of(d)
+
+
+def discounts_of(d: DataFrame, *more: str | Column) -> DataFrame:
+    """Discounts d1, d2, d3 from counts of counts (lang, n1..n4), with the columns ``more``."""
     y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2")))
 
     def bounded(e: Column, top: int, default: float) -> Column:
@@ -200,7 +205,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
     def ratio(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return d.select(
-        "lang", bounded(1 - 2 * y * ratio("n2", "n1"), 1, 0.5).alias("d1"),
+        "lang", *more, bounded(1 - 2 * y * ratio("n2", "n1"), 1, 0.5).alias("d1"),
         bounded(2 - 3 * y * ratio("n3", "n2"), 2, 0.75).alias("d2"),
         bounded(3 - 4 * y * ratio("n4", "n3"), 3, 0.9).alias("d3"))
 

@@ -10,9 +10,13 @@
   context and, where it goes with it, from the orders below: a text is not predicted from itself
   or from its copies.  What is left does not depend on the document, so each n-gram has one
   probability and a document's score is a sum of look-ups.
-* Look-ups: the n-grams' 64-bit hashes are dealt to buckets whose number follows the counted
-  n-grams; each task holds one bucket's sorted hash array at a time, streams the documents' hashes
-  of that bucket past it, and gives one partial sum per document and block.
+* Order 3, which the queries use: the 4-grams of the texts are dealt to buckets by their third word, in
+  turns, as chunks of a block's words and their places (``_partial_sums``).  No row per n-gram is shuffled or kept,
+  and words are compared by the 63 bits of their hashes, n-grams by their words.  All 4-grams of one third
+  word are met in one task.
+* Other orders: a row per n-gram, probabilities by joins (``left_out``); the n-grams' 64-bit hashes are dealt
+  to buckets whose number follows the counted n-grams; each task holds one bucket's sorted hash array at a time,
+  streams the documents' hashes of that bucket past it, and gives one partial sum per document and block.
 
 Log perplexity is the mean over a document's distinct n-grams that predict a word.  Marks between spaces
 and the end symbol are counted by the model but are no words here; a text without words has
@@ -29,10 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import materialize, text_of
+from tidepool.llm.common import freed_shuffles, materialize, text_of
 
 ORDER = 3
-BUCKET_GRAMS = 2_000_000
+BUCKET_GRAMS = 1_200_000
+BLOCK_BYTES = 16 << 20
+TURNS = 8
+TURN_BYTES = 16 << 20
 BLOCK_WORDS = 400_000
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _BOS, _EOS = 0x5BD1E9955BD1E995, 0x1B873593CC9E2D51
@@ -167,6 +174,76 @@ def left_out(top: DataFrame, order: int) -> DataFrame:
     return below
 
 
+# ------------------------------------------------- order 3, without rows of n-grams
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, *range(9, 14)]] = True
+_SAYS = ~_SPACE
+_SAYS[list(MARKS)] = False
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+_LOW = np.uint64(1)
+
+
+def word_hashes(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of the words of the texts ``raw[edges[i]:edges[i + 1]]`` (UTF-8).
+
+    The lowest bit of a hash says whether the word is more than marks.
+    """
+    ink = ~_SPACE[raw]
+    first, last = ink.copy(), ink.copy()
+    first[1:] &= ~ink[:-1]
+    last[:-1] &= ~ink[1:]
+    for marked, at in ((first, edges[:-1][edges[:-1] < len(raw)]), (last, edges[1:][edges[1:] > 0] - 1)):
+        marked[at] = ink[at]
+    at, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if not len(at):
+        return at, at.astype(np.uint64)
+    n = end - at
+    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    h = _mix(n.astype(np.uint64) + _M3)
+    for i in np.flatnonzero(n > 64):
+        h[i] = xxhash.xxh64_intdigest(raw[at[i]:end[i]].tobytes())
+    left, k = np.flatnonzero(n <= 64), 0
+    while len(left):
+        rest = n[left] - 8 * k
+        h[left] = _mix((h[left] * _M3) ^ (eight[at[left] + 8 * k] & _MASKS[np.minimum(rest, 8)]))
+        left, k = left[rest > 8], k + 1
+    says = np.logical_or.reduceat(_SAYS[raw], at)
+    doc = np.repeat(np.arange(len(edges) - 1), np.diff(np.searchsorted(at, edges)))
+    return doc, (h & ~_LOW) | says.astype(np.uint64)
+
+
+def four_grams(raw: np.ndarray, edges: np.ndarray, salts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """(word hashes by place, document) of every 4-gram that ends in a word or in a text's end."""
+    doc, h = word_hashes(raw, edges)
+    n_docs = len(edges) - 1
+    n = np.bincount(doc, minlength=n_docs)
+    off = np.zeros(n_docs + 1, dtype=np.int64)
+    np.cumsum(n + 4, out=off[1:])
+    seq = np.full(off[-1], _BOS & ~1, dtype=np.uint64)
+    seq[np.arange(len(h)) + 4 * doc + 3] = h
+    seq[off[1:] - 1] = _EOS & ~1
+    seq ^= np.repeat(salts, n + 4)
+    ends = np.arange(off[-1] - 3 * n_docs) + 3 * (np.repeat(np.arange(n_docs), n + 1) + 1)
+    return [seq[ends - 3 + j] for j in range(4)], np.repeat(np.arange(n_docs), n + 1)
+
+
+def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list, np.ndarray]]:
+    """(bytes, edges, languages, keys) of runs of rows (text, lang, k1, k2) of about ``BLOCK_BYTES`` bytes."""
+    for b in batches:
+        text = b.column(0).cast(pa.large_string())
+        edges = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset:text.offset + len(text) + 1]
+        raw = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)
+        langs = b.column(1).to_pylist()
+        keys = np.array([b.column(2).to_numpy(), b.column(3).to_numpy()], dtype=np.int64).T
+        at = 0
+        while at < len(langs):
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + BLOCK_BYTES, side="right")) - 1)
+            yield raw[edges[at]:edges[to]], edges[at:to + 1] - edges[at], langs[at:to], keys[at:to]
+            at = to
+
+
 def _dealt(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     at = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[at], np.arange(n + 1))
@@ -174,6 +251,230 @@ def _dealt(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), at[edges[b]:edges[b + 1]]
 
 
+def _bucket(g: np.ndarray, n: int) -> np.ndarray:
+    return ((g >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Unsigned numbers, 1, 2 or 4 bytes each."""
+    top = int(x.max(initial=0))
+    return x.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32).tobytes()
+
+
+def _wide(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, dtype=f"u{len(x) // n if n else 1}").astype(np.int64)
+
+
+_CHUNK = "bucket int, kind int, `to` int, lang string, words binary, n int, grams binary, docs binary, keys binary"
+
+
+def _rows(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.replace("`", "").split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows), fields)], [f for f, _ in fields])
+
+
+def _chunks(n: int, turn: int, turns: int, with_docs: bool):
+    """Task function: rows (text, lang, k1, k2) to the 4-grams whose third word is this turn's, by bucket and language."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for raw, edges, langs, keys in _text_blocks(batches):
+            kinds = list(dict.fromkeys(langs))
+            code = {x: i for i, x in enumerate(kinds)}
+            lang = np.array([code[x] for x in langs])
+            salts = np.array([_salt(x) & ~1 for x in kinds], dtype=np.uint64)
+            words, doc = four_grams(raw, edges, salts[lang])
+            bucket = _bucket(words[2], n * turns)
+            mine = np.flatnonzero(bucket % turns == turn)
+            words, doc = [w[mine] for w in words], doc[mine]
+            group = bucket[mine] // turns * len(kinds) + lang[doc]
+            for b, at in _dealt(group, n * len(kinds)):
+                u, grams = np.unique(np.concatenate([w[at] for w in words]), return_inverse=True)
+                d, local = np.unique(doc[at], return_inverse=True) if with_docs else (at[:0], at[:0])
+                yield _rows([(b // len(kinds) * turns + turn, 1, 0, kinds[b % len(kinds)], u.tobytes(), len(at), _small(grams),
+                              _small(local), keys[d].tobytes())], _CHUNK)
+    return run
+
+
+class _Group:
+    """The 4-grams of a bucket: its n-grams and their counts, by place of their words in ``words``."""
+
+    def __init__(self, chunks: list[dict]):
+        self.langs = list(dict.fromkeys(c["lang"] for c in chunks))
+        own = [np.frombuffer(c["words"], dtype=np.uint64) for c in chunks]
+        self.words, to = np.unique(np.concatenate(own), return_inverse=True)
+        starts = np.cumsum([0, *map(len, own)])
+        self.lang = np.zeros(len(self.words), dtype=np.int64)
+        for c, s, u in zip(chunks, starts, own):
+            self.lang[to[s:s + len(u)]] = self.langs.index(c["lang"])
+        at = [to[s + _wide(c["grams"], 4 * c["n"]).reshape(4, -1)] for c, s in zip(chunks, starts)]
+        w0, w1, w2, w3 = np.concatenate(at, axis=1).astype(np.int64)
+        low = (1 << 32) - 1
+        context, c = np.unique(w1 << 32 | w2, return_inverse=True)
+        tri, self.tri = np.unique(c << 32 | w3, return_inverse=True)
+        self.says = (self.words[w3] & _LOW).astype(bool)
+        self.a3 = np.bincount(np.unique(self.tri << 32 | w0) >> 32, minlength=len(tri))
+        self.context3, self.second3 = tri >> 32, (context & low)[tri >> 32]
+        bi, self.bi3, self.a2 = np.unique(self.second3 << 32 | tri & low, return_inverse=True, return_counts=True)
+        self.context2 = bi >> 32
+        self.last, self.uni2, self.a1 = np.unique(bi & low, return_inverse=True, return_counts=True)
+
+    def dealt_words(self, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(bucket of the word, language, places in ``last``), always in the same order."""
+        for b, at in _dealt(_bucket(self.words[self.last], n) * len(self.langs) + self.lang[self.last], n * len(self.langs)):
+            yield b // len(self.langs), b % len(self.langs), at
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows sorted by ``key``, a list for each of its values."""
+    held: list[dict] = []
+    for batch in batches:
+        for i in range(len(batch)):
+            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+            if held and held[0][key] != row[key]:
+                yield held[0][key], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[0][key], held
+
+
+_COUNTED = "bucket int, `to` int, lang string, words binary, n int, vals binary, k int, n1 long, n2 long, n3 long, n4 long, more long, t long"
+
+
+def _stats(k: int, lang: str | None, a: np.ndarray) -> tuple:
+    n = np.bincount(np.minimum(a, 5), minlength=6)
+    return (-1, -1, lang, None, 0, None, k, *map(int, n[1:]), int(a.sum()))
+
+
+def _count(n: int):
+    """Task function: chunks to the counts of counts of orders 3 and 2, and the words that end them by bucket of the word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, chunks in _by_bucket(batches, "bucket"):
+            g = _Group(chunks)
+            rows = []
+            for i, lang in enumerate(g.langs):
+                rows += [_stats(3, lang, g.a3[g.lang[g.second3] == i]), _stats(2, lang, g.a2[g.lang[g.context2] == i])]
+            for to, i, at in g.dealt_words(n):
+                rows.append((bucket, to, g.langs[i], g.words[g.last[at]].tobytes(), len(at), _small(g.a1[at]), 0, 0, 0, 0, 0, 0, 0))
+            yield _rows(rows, _COUNTED)
+    return run
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: the words of a bucket to the counts of counts of order 1 and, for each asking bucket, its words' counts."""
+    for to, rows in _by_bucket(batches, "to"):
+        own = [np.frombuffer(r["words"], dtype=np.uint64) for r in rows]
+        u, at = np.unique(np.concatenate(own), return_inverse=True)
+        a = np.bincount(at, weights=np.concatenate([_wide(r["vals"], r["n"]) for r in rows])).astype(np.int64)
+        langs = list(dict.fromkeys(r["lang"] for r in rows))
+        lang = np.zeros(len(u), dtype=np.int64)
+        starts = np.cumsum([0, *map(len, own)])
+        for r, s, w in zip(rows, starts, own):
+            lang[at[s:s + len(w)]] = langs.index(r["lang"])
+        out = [_stats(1, x, a[lang == i]) for i, x in enumerate(langs)]
+        out += [(r["bucket"], to, r["lang"], None, r["n"], _small(a[at[s:s + len(w)]]), 0, 0, 0, 0, 0, 0, 0) for r, s, w in zip(rows, starts, own)]
+        yield _rows(out, _COUNTED)
+
+
+def _cuts(a: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Discounts of counts; ``d`` has d1, d2, d3 of each count's language."""
+    return np.where(a <= 0, 0.0, np.minimum(np.where(a == 1, d[0], np.where(a == 2, d[1], d[2])), a))
+
+
+def _probabilities(a, cut, cut1, t, m, p, q) -> tuple[np.ndarray, np.ndarray]:
+    """(p, q): probability of an n-gram, and with one of its events left out, see ``left_out``."""
+    lower = np.where(a > 1, p, q)
+    left = (np.maximum(a - 1 - cut1, 0.0) + (m - cut + cut1) * lower) / np.maximum(t - 1, 1)
+    return (a - cut + m * p) / t, np.where(t <= 1, lower, left)
+
+
+def _score(n: int):
+    """Task function: a bucket's word counts, then its chunks, to partial sums (k1, k2, nll, n) per document and block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches, "bucket"):
+            known = {(r["to"], r["lang"]): _wide(r["docs"], r["n"]) for r in rows if r["kind"] == 0}
+            chunks = [r for r in rows if r["kind"] == 1]
+            g = _Group(chunks)
+            stats = {r["lang"]: r["stats"] for r in chunks}
+            s = np.array([stats[x] for x in g.langs], dtype=np.float64).T
+            a1 = np.zeros(len(g.last), dtype=np.int64)
+            for to, i, at in g.dealt_words(n):
+                a1[at] = known[to, g.langs[i]]
+
+            def cuts(a, k, lang):
+                d = s[3 * k - 3:3 * k, lang]
+                return _cuts(a, d), _cuts(a - 1, d)
+            lang = g.lang[g.last]
+            t, m, kinds = s[9:12, lang]
+            lower = 1 / (kinds + 1)
+            p, q = _probabilities(a1, *cuts(a1, 1, lang), t, m, lower, lower)
+            for k, a, context, below, word in ((2, g.a2, g.context2, g.uni2, g.context2), (3, g.a3, g.context3, g.bi3, g.second3)):
+                cut, cut1 = cuts(a, k, g.lang[word])
+                t, m = np.bincount(context, weights=a)[context], np.bincount(context, weights=cut)[context]
+                p, q = _probabilities(a, cut, cut1, t, m, p[below], q[below])
+            nll = -np.log(q).astype(np.float32).astype(np.float64)
+            keys = [np.frombuffer(c["keys"], dtype=np.int64).reshape(-1, 2) for c in chunks]
+            starts = np.cumsum([0, *map(len, keys)])
+            doc = np.concatenate([s + _wide(c["docs"], c["n"]) for c, s in zip(chunks, starts)])
+            event = np.unique(doc[g.says] << 32 | g.tri[g.says])
+            doc, keys = event >> 32, np.concatenate(keys)
+            number = np.bincount(doc, minlength=len(keys))
+            total = np.bincount(doc, weights=nll[event & ((1 << 32) - 1)], minlength=len(keys))
+            at = np.flatnonzero(number)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at, 0]), pa.array(keys[at, 1]), pa.array(total[at]), pa.array(number[at])],
+                                             ["k1", "k2", "nll", "n"])
+    return run
+
+
+def _language_stats(counted: DataFrame) -> DataFrame:
+    """(_l, stats): d1, d2, d3 of the orders 1 to 3, and the events, discounts and kinds of order 1, a row per language."""
+    from tidepool.llm.quality import discounts_of
+    c = [f"n{i}" for i in (1, 2, 3, 4)] + ["more", "t"]
+    n = counted.where("k > 0").groupBy("lang", "k").agg(*[F.sum(x).alias(x) for x in c])
+    d = discounts_of(n, "k", "t", *[F.col(x) for x in ("n1", "n2", "n3", "n4", "more")])
+    m = F.col("n1") * F.col("d1") + F.col("n2") * F.col("d2") + (F.col("n3") + F.col("n4") + F.col("more")) * F.col("d3")
+    kinds = F.col("n1") + F.col("n2") + F.col("n3") + F.col("n4") + F.col("more")
+    d = d.select("lang", "k", "d1", "d2", "d3", F.col("t").cast("double").alias("t"), m.alias("m"), kinds.cast("double").alias("kinds"))
+    of = [F.max(F.when(F.col("k") == k, F.col(x))) for k in (1, 2, 3) for x in ("d1", "d2", "d3")]
+    return d.groupBy(F.col("lang").alias("_l")).agg(F.array(*of, *[F.max(F.when(F.col("k") == 1, F.col(x))) for x in ("t", "m", "kinds")]).alias("stats"))
+
+
+def _partial_sums(rows: DataFrame, bucket_grams: int, turn_bytes: int) -> DataFrame:
+    """(k1, k2, nll, n) of every text, by the model of order 3 and two rounds of turns over the texts.
+
+    A 4-gram goes to the bucket of its third word, where all counts of its trigrams, of their contexts and
+    of its bigrams come together; only the counts of the last words are met by an exchange of their own.  There are up to
+    ``TURNS`` turns (fewer below ``turn_bytes`` of text each); a turn deals out its share of the buckets and its shuffle
+    files go at its end, so that no step holds all n-grams on disk.  The first round counts, the second scores.
+    """
+    size = rows.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    turns = min(TURNS, max(1, -(-size // turn_bytes)))
+    n = max(1, -(-size // (6 * turns * bucket_grams)))
+
+    def dealt(turn, with_docs):
+        return rows.mapInArrow(_chunks(n, turn, turns, with_docs), _CHUNK)
+    counted = None
+    for turn in range(turns):
+        c = dealt(turn, False).repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(n), _COUNTED)
+        c = materialize(c, f"word-c{turn}")
+        counted = c if counted is None else counted.unionAll(c)
+    words = materialize(counted.where("k = 0").repartition(n, "to").sortWithinPartitions("to").mapInArrow(_count_words, _COUNTED), "word-a")
+    stats = materialize(_language_stats(counted.unionAll(words)), "word-d")
+    empty = F.lit(None).cast("binary")
+    asked = words.where("k = 0").select("bucket", F.lit(0).alias("kind"), "to", "lang", empty.alias("words"), "n",
+                                        empty.alias("grams"), F.col("vals").alias("docs"), empty.alias("keys"))
+    sums = None
+    for turn in range(turns):
+        c = dealt(turn, True).unionAll(asked.where(F.col("bucket") % turns == turn)).repartition(n, "bucket") \
+            .join(F.broadcast(stats), F.col("lang").eqNullSafe(F.col("_l")), "left").drop("_l") \
+            .sortWithinPartitions("bucket").mapInArrow(_score(n), "k1 long, k2 long, nll double, n long")
+        c = materialize(c.groupBy("k1", "k2").agg(F.sum("nll").alias("nll"), F.sum("n").alias("n")), f"word-s{turn}")
+        sums = c if sums is None else sums.unionAll(c)
+    return sums
+
+
+# ----------------------------------------------------------- other orders: look-ups
+
 _BLOB = "bucket int, kind int, keys binary, vals binary, docs binary"
 
 
@@ -182,10 +483,6 @@ def _blob(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["bucket", "kind", "keys", "vals", "docs"])
 
 
-def _bucket(g: np.ndarray, n: int) -> np.ndarray:
-    return ((g >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
-
-
 def _model_blobs(order: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -252,11 +549,18 @@ def text_keys(text: Column, lang: Column) -> tuple[Column, Column]:
 
 
 def log_perplexity(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
-                   bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
+                   bucket_grams: int = BUCKET_GRAMS, turn_bytes: int = TURN_BYTES) -> DataFrame:
     """(k1, k2, log_ppl): held-out log perplexity of every distinct (text, language), see ``text_keys``."""
     text, lang = text_of(text_col), F.col(lang_col).cast("string")
     k1, k2 = text_keys(text, lang)
     rows = docs.select(text.alias("text"), lang.alias("lang"), k1.alias("k1"), k2.alias("k2"))
+    with freed_shuffles(docs.sparkSession):
+        sums = _partial_sums(rows, bucket_grams, turn_bytes) if order == 3 else _looked_up(rows, order, bucket_grams)
+        return materialize(sums.groupBy("k1", "k2").agg((F.sum("nll") / F.sum("n")).alias("log_ppl")), "word-ppl")
+
+
+def _looked_up(rows: DataFrame, order: int, bucket_grams: int) -> DataFrame:
+    """(k1, k2, nll, n) of every text and block, by a model of any order with a row per n-gram."""
     words = [f"w{j}" for j in range(order + 1)]
     columns = ", ".join(f"{w} long" for w in words)
     top = rows.mapInArrow(_distinct(order + 1), f"lang string, {columns}").distinct()
@@ -264,6 +568,5 @@ def log_perplexity(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     n = -(-model.count() // bucket_grams) or 1
     blobs = model.select(*words[1:], "q").mapInArrow(_model_blobs(order, n), _BLOB) \
         .unionAll(rows.mapInArrow(_document_blobs(order, n), _BLOB))
-    parts = blobs.repartition(n, "bucket").sortWithinPartitions("bucket", "kind") \
+    return blobs.repartition(n, "bucket").sortWithinPartitions("bucket", "kind") \
         .mapInArrow(_look_up, "k1 long, k2 long, nll double, n long")
-    return materialize(parts.groupBy("k1", "k2").agg((F.sum("nll") / F.sum("n")).alias("log_ppl")), "word-ppl")
