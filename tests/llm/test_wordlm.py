@@ -171,3 +171,50 @@ def test_word_hashes_tell_words_apart():
     assert doc.tolist() == [i for i, _ in words]
     assert len(set(h.tolist())) == len({x for _, x in words}) == len({(x, y) for (_, x), y in zip(words, h.tolist())})
     assert [bool(y & 1) for y in h.tolist()] == [bool(x.strip(w.MARKS)) for _, x in words]
+
+
+def test_a_frequent_word_is_dealt_to_several_buckets_and_scored_the_same(spark):
+    rnd = random.Random(11)
+    rows = [(" ".join(x for _ in range(20) for x in ("the", f"w{rnd.randrange(30)}")), "en") for _ in range(40)]
+    texts = [(t, lang, i, 0) for i, (t, lang) in enumerate(rows)]
+    blocks = spark.createDataFrame(texts, "text string, lang string, k1 long, k2 long").coalesce(1).mapInArrow(w._word_blocks, w._WORDS)
+    often = w._often_words(blocks, 100)
+    assert max(often.parts) >= 16  # "the" has 800 places, parts of 50
+    places = defaultdict(int)
+    for turn in range(4):
+        for r in blocks.mapInArrow(w._chunks(6, turn, 4, True, often), w._CHUNK).collect():
+            assert r.bucket % 4 == turn
+            places[r.bucket] += r.n
+    assert sum(places.values()) == 41 * 40
+    assert max(places.values()) < 400  # all 800 of "the" met in one bucket
+    want = brute_force(rows)
+    got = scores(spark, rows, bucket_grams=100, turn_bytes=2000)
+    assert all(got[k] == pytest.approx(v, abs=1e-4) for k, v in want.items())
+
+
+def test_texts_are_hashed_in_pieces_and_kept_as_places_in_word_lists():
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choices(["a", "b", "c", "日", "|", "dd"], k=rnd.randint(0, 300))) for _ in range(200)]
+    langs = [rnd.choice(["en", None]) for _ in texts]
+    batch = w.pa.RecordBatch.from_arrays([w.pa.array(texts), w.pa.array(langs, w.pa.string()), *[w.pa.array(range(200))] * 2],
+                                         ["text", "lang", "k1", "k2"])
+    (whole,) = w._word_blocks(iter([batch]))
+    before, w.PIECE_BYTES = w.PIECE_BYTES, 500
+    try:
+        (pieces,) = w._word_blocks(iter([batch]))
+    finally:
+        w.PIECE_BYTES = before
+    assert whole.column(1)[0].as_py() == sum(len(t.split()) + 4 for t in texts)
+
+    def events(block):
+        out = defaultdict(int)
+        for c in w._chunks(3, 0, 1, True)(iter([block])):
+            for r in c.to_pylist():
+                words = w._unpacked(r["words"], r["w"])
+                grams = words[w._wide(r["grams"], 4 * r["m"]).reshape(4, -1)]
+                docs = np.frombuffer(r["keys"], dtype=np.uint32)[w._wide(r["docs"], r["n"])]
+                for d, e in zip(docs, w._wide(r["events"], r["n"])):
+                    out[(int(d), r["lang"], *grams[:, e].tolist())] += 1
+        return out
+    assert events(whole) == events(pieces)
+    assert sum(events(whole).values()) == sum(len(t.split()) + 1 for t in texts)

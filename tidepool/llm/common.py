@@ -20,18 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet (writer's ``options``) under the shared checkpoint folder and read it back.
 
     Like ``checkpoint()`` it cuts the lineage and survives lost executors, but the
     copy is compressed and later reads can prune columns.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of materialized rows that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def freed_shuffles(spark: SparkSession) -> Iterator[None]:
     """Shuffle files go as soon as the write that made them ends, not when the driver collects its garbage."""

@@ -50,8 +50,9 @@ def repeated_words(words: list[bytes], window: int = 5) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
-    seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=len(words))
+    distinct = dict.fromkeys(words)
+    seen = dict(zip(distinct, range(len(distinct))))
+    ids = np.fromiter(map(seen.__getitem__, words), dtype=np.int64, count=len(words))
     vocabulary = len(seen)
     if vocabulary == len(words):
         return 0
@@ -79,9 +80,9 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of one text."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
-    n_space = sum(raw.count(c) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
+    n_space = len(raw) - len(raw.translate(None, b" \t\n\x0b\x0c\r"))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    return (len(words), len(text) - n_space, sum(raw.count(c.encode()) for c in SYMBOLS),
+    return (len(words), len(text) - n_space, len(raw) - len(raw.translate(None, SYMBOLS.encode())),
             len(lines) - len(set(lines)), repeated_words(words))
 
 
