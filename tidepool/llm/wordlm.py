@@ -307,7 +307,8 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         blocks = [batch] if "ids" in batch.schema.names else _word_blocks(iter([batch]))
         for block in blocks:
             for i in range(len(block)):
-                yield {c: block.column(c)[i].as_py() for c in block.schema.names}
+                yield {c: block.column(c)[i].as_buffer() if c in ("words", "ids", "keys") else block.column(c)[i].as_py()
+                       for c in block.schema.names}
 
 
 def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,9 +395,11 @@ def _chunks(n: int, turn: int, turns: int, with_docs: bool, often: _Often | None
             edge = np.arange(4 * len(kinds)).reshape(-1, 4)
             mine[edge[:, [0, 1, 3]]] = False
             width = _width(len(words) - 1)
-            seq = np.zeros((size, 4), dtype=np.uint8)
-            seq[:, :width] = np.frombuffer(pa.decompress(x["ids"], size * width, codec="zstd"), dtype=np.uint8).reshape(width, size).T
-            seq = seq.view("<u4").ravel()
+            planes = np.frombuffer(pa.decompress(x["ids"], size * width, codec="zstd"), dtype=np.uint8).reshape(width, size)
+            seq = planes[-1].astype(np.int32)
+            for plane in planes[-2::-1]:
+                seq <<= 8
+                seq |= plane
             third = np.flatnonzero(mine[seq])
             b = bucket[seq[third]]
             if len(often.words):
@@ -406,7 +409,7 @@ def _chunks(n: int, turn: int, turns: int, with_docs: bool, often: _Often | None
                 b[at] = (b[at] + before % p[at]) % (n * turns)
                 at = np.flatnonzero(b % turns == turn)
                 third, b = third[at], b[at]
-            n_docs = len(x["keys"]) // 16
+            n_docs = x["keys"].size // 16
             off = np.zeros(n_docs + 1, dtype=np.int64)
             np.cumsum(_wide(x["sizes"], n_docs) + 4, out=off[1:])
             doc = np.searchsorted(off, third, side="right") - 1
