@@ -2,11 +2,15 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidepool import session
 from tidepool.operators import cluster as clu
 from tidepool.operators import ranking as rk
+from tidepool.operators import setjoin as sj
 
 
 def _sets(seed, n=240, hot=1_000_000):
@@ -97,3 +101,70 @@ def test_candidates_across_cells_are_verified(spark, monkeypatch):
     want = {tuple(sorted(p)): s for p, s in _brute(rows, 0.6).items()}
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
 
+
+
+def _near_copies(seed, n=400, size=120, universe=1 << 14):
+    """Sets of many bits that all share some by chance; every third is a near copy of one before, with 0 to 30 of its bits changed."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        s = set(rnd.sample(range(universe), rnd.randrange(size // 2, size * 2)))
+        if i % 3 == 2:
+            s = set(out[rnd.randrange(i)])
+            for x in rnd.sample(sorted(s), rnd.randrange(31)):
+                s.discard(x)
+                s.add(rnd.randrange(universe))
+        out.append(sorted(s))
+    return [(i, s) for i, s in enumerate(out)]
+
+
+@pytest.mark.parametrize("t,turn_bits", [(0.7, 1 << 22), (0.7, 1 << 13), (0.8, 1 << 14), (0.55, 1 << 15)])
+def test_neighbours_find_all_similar_pairs_in_any_turns(spark, monkeypatch, t, turn_bits):
+    monkeypatch.setattr(sj, "TURN_BITS", turn_bits)
+    rows = _near_copies(int(t * 100))
+    reps = spark.createDataFrame(rows, "key long, bits array<int>").repartition(3)
+    got = {(r["a"], r["b"]): r["sim"] for r in clu.similar_pairs(reps, t).collect()}
+    want = _brute(rows, t)
+    assert len(want) > 20 and got.keys() == want.keys()
+    assert all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
+def test_checkpoints_have_no_row_for_each_bit(spark):
+    rows = _near_copies(5)
+    fps = spark.createDataFrame(rows, "doc_id long, bits array<int>")
+    saved = []
+    session.CHECKPOINT_OBSERVERS.append(lambda df: saved.append(df.count()))
+    try:
+        assert clu.similarity_clusters(fps, "doc_id").count() == len(rows)
+    finally:
+        session.CHECKPOINT_OBSERVERS.pop()
+    assert max(saved) <= 3 * len(rows)
+
+
+def test_packed_sets_keep_their_bits():
+    rnd = random.Random(3)
+    rows = [[], [0], [5, 5, 1], [-3, 2], None, [2**31 - 1], sorted(rnd.sample(range(1 << 30), 300)), sorted(rnd.sample(range(1 << 20), 5000))]
+    got = sj.packed_column(pa.array([[1, 2]] + rows, pa.list_(pa.int32())).slice(1))
+    assert [x if x is None else sj.unpack(x).tolist() for x in got.to_pylist()] == rows
+    some = [r for r in rows[5:]]
+    assert sj.unpacked_column(got.slice(5), np.array([len(r) for r in some])).tolist() == [x for r in some for x in r]
+    assert len(got[7].as_py()) < 2 * 5000
+
+
+def test_pairs_that_a_task_passes_on_in_pieces_are_the_same(monkeypatch):
+    rows = _near_copies(9, n=90)
+    lens = [len(s) for _, s in rows]
+    bits = sj.packed_column(pa.array([s for _, s in rows], pa.list_(pa.int32())))
+    batch = pa.RecordBatch.from_arrays([pa.array([f"k{i}" for i, _ in rows]), bits, pa.array(lens, pa.int32())], ["key", "bits", "len"])
+    dealt = sj._dealt(batch, np.arange(sj.ORDER_SLOTS), 0.7, 0, 1, 1)
+
+    def pairs():
+        out = {}
+        for b in sj._spread(list(sj._meeting([dealt], 0.7))):
+            for a, c, w in zip(*(x.to_pylist() for x in b.columns)):
+                out[a, c] = out.get((a, c), 0) + w
+        return out
+    want = pairs()
+    monkeypatch.setattr(sj, "MEET_PAIRS", 7)
+    got = pairs()
+    assert got.keys() == want.keys() and all(min(got[p], sj.COMMON) == min(want[p], sj.COMMON) for p in want)

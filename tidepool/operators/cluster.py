@@ -4,11 +4,14 @@ Neighbours are pairs with Jaccard similarity >= ``threshold``.  They are found
 with an exact set-similarity join (prefix filtering): with bits ordered
 globally from rarest to most common, two sets with J >= t must share one of
 the first ``|A| - ceil(t |A|) + 1`` bits of each; a length filter prunes
-more.  Posting lists are cut into blocks, so a common bit is spread over many
+more.  Where t > 1/2, all but tiny sets meet by pairs of bits next to each other in
+that order, which are far rarer (:mod:`tidepool.operators.setjoin`).  Posting lists of
+single bits are cut into blocks, so a common bit is spread over many
 tasks.  Candidates are then verified exactly, cell against cell, so a set is moved
 once for many candidates.  Identical bit sets are
 collapsed first (they are always neighbours of each other), so copies of one
-text never produce pairs; what remains is the neighbour graph itself.
+text never produce pairs; what remains is the neighbour graph itself.  Sets are kept and moved
+as bytes, once on the disk for all steps.
 
 Butina in fixed order (neighbour count desc, key asc) equals a greedy maximal
 independent set taken in that order: in rounds, every live node that ranks
@@ -21,6 +24,7 @@ centre, which is the centre that claims it in the sequential algorithm.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators.ranking import join_hot
-from tidepool.session import broadcast, cut_lineage, release
+from tidepool.operators.setjoin import (
+    ORDER_SLOTS, PART_BITS, least_size, neighbour_candidates, packed, unpack, unpacked,
+)
+from tidepool.session import broadcast, cut_lineage, free_shuffles, release
 
 DEFAULT_THRESHOLD = 0.7
 POSTING_BLOCK = 4_096    # rows of a posting list that meet in one join key
-ORDER_SLOTS = 1 << 20    # counters that put the bits in order, however many bits there are (8 MB to every executor)
-PART_BITS = 1 << 20      # bits that a task puts in order at once
 CELL_SETS = 256          # sets of a cell: candidates of two cells are verified together
+PLACE_BITS = 15          # rows of a partition that are marked together, as a power of two
 
 
 def _rank_key() -> "F.Column":
@@ -48,15 +54,63 @@ def _digest() -> list["F.Column"]:
 
 
 def collapse_identical(fps: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(representatives ``(key, bits, mult)``, members ``(member, key)``): one node per distinct bit set.
+    """(representatives ``(key, bits, len, mult)``, members ``(member, key)``): one node per distinct bit set.
 
-    Equal sets meet by a 128-bit digest; the sets themselves are moved once per map task and group.
+    ``bits`` of the representatives are bytes (:func:`tidepool.operators.setjoin.packed`).  If those of ``fps`` are too, it
+    is a checkpoint.  Equal sets meet by a 128-bit digest; the sets themselves stay where they are, and the
+    representatives are read from there.
     """
-    d = fps.select(F.col(key).alias("member"), "bits", *_digest())
-    g = cut_lineage(d.groupBy("_d1", "_d2").agg(F.min("member").alias("key"), F.count(F.lit(1)).alias("mult"),
-                                                F.first("bits").alias("bits")))
+    saved = fps if dict(fps.dtypes)["bits"] == "binary" else cut_lineage(packed(fps.select(key, "bits")))
+    d = saved.select(F.col(key).alias("member"), F.monotonically_increasing_id().alias("place"), *_digest())
+    # the least key, null last, and the place of its row
+    least = F.min(F.struct(F.col("member").isNull().alias("none"), "member", "place"))
+    g = cut_lineage(d.groupBy("_d1", "_d2").agg(least.alias("m"), F.count(F.lit(1)).alias("mult"))
+                    .select("_d1", "_d2", F.col("m.member").alias("key"), F.col("m.place").alias("place"), "mult"))
     members = join_hot(d.select("member", "_d1", "_d2"), g.select("_d1", "_d2", "key", "mult"), ["_d1", "_d2"], "mult")
-    return g.select("key", "bits", "mult"), members.select("member", "key")
+    return _rows_at(saved.withColumnRenamed(key, "key"), g.select("place", "mult")), members.select("member", "key")
+
+
+def _rows_at(saved: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows ``(key, bits, len, mult)`` of the checkpoint ``saved`` that stand at ``places`` (with ``mult``).
+
+    The places go to all tasks, as a compressed count (0 for other rows) for every row: about 1 bit a row.
+    """
+    span = 1 << PLACE_BITS
+
+    def marks(batches):
+        for b in batches:
+            out = []
+            for at in b.column(1):
+                rows, mult = at.values.field(0).to_numpy(), at.values.field(1).to_numpy()
+                count = np.zeros(span, dtype=np.int64)
+                count[rows] = mult
+                out.append(zlib.compress(count.view(np.uint8).reshape(span, 8).T.tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["block", "counts"])
+
+    blocks = places.groupBy(F.shiftright("place", PLACE_BITS).alias("block")).agg(F.collect_list(F.struct(
+        F.col("place").bitwiseAND(F.lit(span - 1)).cast("int").alias("at"), F.col("mult").cast("long").alias("mult"))).alias("rows")) \
+        .mapInArrow(marks, "block long, counts binary").toArrow()
+    counts = broadcast(saved.sparkSession, dict(zip(blocks["block"].to_pylist(), blocks["counts"].to_pylist())))
+
+    def run(batches):
+        block, count = None, np.zeros(span, dtype=np.int64)
+        for b in batches:
+            place = b.column(3).to_numpy()
+            mult = np.zeros(len(place), dtype=np.int64)
+            for x in np.unique(place >> PLACE_BITS):
+                if x != block:
+                    block, held = x, counts.value.get(int(x))
+                    count = np.zeros(span, np.int64) if held is None else \
+                        np.frombuffer(zlib.decompress(held), np.uint8).reshape(8, span).T.copy().view(np.int64).reshape(-1)
+                m = place >> PLACE_BITS == x
+                mult[m] = count[place[m] & span - 1]
+            keep = np.flatnonzero(mult)
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(keep)) for c in b.columns[:3]] + [pa.array(mult[keep])],
+                                             ["key", "bits", "len", "mult"])
+
+    kind = saved.schema["key"].dataType.simpleString()
+    return saved.select("key", "bits", "len", F.monotonically_increasing_id().alias("place")) \
+        .mapInArrow(run, f"key {kind}, bits binary, len int, mult long")
 
 
 def _slot_counts(freq: DataFrame) -> np.ndarray:
@@ -138,16 +192,34 @@ def similar_pairs(reps: DataFrame, threshold: float = DEFAULT_THRESHOLD,
 
     A bit's posting list is cut into blocks of about ``block`` rows, and blocks are joined
     against blocks, so a bit that is common to a third of the sets is spread over
-    (blocks x blocks) join keys.  Survivors are verified on the full sets
-    (:func:`verified_pairs`).
+    (blocks x blocks) join keys.  If ``t`` > 1/2 this is done for pairs with a tiny set only; other
+    sets meet by pairs of neighbouring bits (:func:`tidepool.operators.setjoin.neighbour_candidates`).
+    Survivors are verified on the full sets (:func:`verified_pairs`).
     """
     t = float(threshold)
     k = int(prefix_extra)
-    sized = reps.select("key", "bits", F.size("bits").alias("len")).where(F.col("len") > 0)
+    ready = dict(reps.dtypes)["bits"] == "binary"
+    sets = reps.select("key", "bits", "len") if ready else cut_lineage(packed(reps.select("key", "bits")))
+    sets = sets.where((F.col("len") > 0) & F.col("key").isNotNull())
+    least = least_size(t)
+    tiny = sets if math.isinf(least) else sets.where(F.col("len") * F.lit(t) < F.lit(least) + 1e-6)
+    cand = None
+    if math.isinf(least) or tiny.where(F.col("len") < least).limit(1).collect():
+        cand = _bit_candidates(unpacked(tiny), t, k, block, least)
+    if not math.isinf(least):
+        more = neighbour_candidates(sets.where(F.col("len") >= least), t)
+        cand = more if cand is None else cut_lineage(cand.unionByName(more).distinct())
+    return verified_pairs(sets, cand, t)
+
+
+def _bit_candidates(sized: DataFrame, t: float, k: int, block: int, below: float) -> DataFrame:
+    """Candidates ``(a, b)`` by single bits; the shorter set has fewer than ``below``."""
     freq = sized.select(F.explode("bits").alias("bit")).groupBy(F.pmod("bit", F.lit(ORDER_SLOTS)).alias("bit")) \
         .agg(F.count(F.lit(1)).alias("df"))
     prefix = cut_lineage(_prefix_rows(sized, freq, t, k, block))  # read by both sides of the self-join
     short, long = _sides(prefix)
+    if not math.isinf(below):
+        short = short.where(F.col("la") < below)
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("la") + F.col("lb")) - F.lit(1e-9))
     left = F.least(F.col("la") - F.col("ia"), F.col("lb") - F.col("ib"))
     # the size that Spark expects of the prefix rows is far too small: it must not broadcast them
@@ -157,7 +229,7 @@ def similar_pairs(reps: DataFrame, threshold: float = DEFAULT_THRESHOLD,
     per_pair = matches.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("la").alias("la"), F.first("lb").alias("lb"))
     cand = cut_lineage(per_pair.where(F.col("m") >= F.least(F.lit(k), need)).select("a", "b"))
     release(prefix)
-    return verified_pairs(sized.select("key", "bits"), cand, t)
+    return cand
 
 
 def _cells(cand: DataFrame) -> DataFrame:
@@ -185,14 +257,14 @@ def _moves(cand: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def verified_pairs(sets: DataFrame, cand: DataFrame, t: float) -> DataFrame:
-    """``(a, b, sim)``, a < b, of the candidates with Jaccard similarity >= ``t`` on the full sets.
+    """``(a, b, sim)``, a < b, of the candidates with Jaccard similarity >= ``t`` on the full (packed) sets.
 
     Candidates are dealt out by their two cells, and a set is moved once for each pair of cells that needs it,
     not once for each candidate.  A task reads the sets of a pair of cells, then its candidates, as a stream.
     """
     pairs, wanted = _moves(cand)
     kind = cand.schema["a"].dataType.simpleString()
-    rows = wanted.join(sets, "key").select("g", F.col("key").alias("a"), F.lit(None).cast(kind).alias("b"), "bits") \
+    rows = wanted.join(sets.select("key", "bits").hint("merge"), "key").select("g", F.col("key").alias("a"), F.lit(None).cast(kind).alias("b"), "bits") \
         .unionByName(pairs.select("g", "a", "b", F.lit(None).cast(sets.schema["bits"].dataType).alias("bits")))
 
     def run(batches):
@@ -200,12 +272,12 @@ def verified_pairs(sets: DataFrame, cand: DataFrame, t: float) -> DataFrame:
         for batch in batches:
             out_a, out_b, out_s = [], [], []
             gs, ks, bs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            bits = batch.column(3)
+            bits = batch.column(3).to_pylist()
             for i, (g, a, b) in enumerate(zip(gs, ks, bs)):
                 if g != group:
                     group, held = g, {}
                 if b is None:
-                    x = bits[i].values.to_numpy(zero_copy_only=False)
+                    x = unpack(bits[i])
                     held.setdefault(a, []).append((len(x), np.unique(x)))
                     continue
                 for na, xa in held.get(a, ()):
@@ -271,12 +343,16 @@ def butina(reps: DataFrame, pairs: DataFrame, max_rounds: int | None = None) ->
 
 def similarity_clusters(fps: DataFrame, key: str, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """``(key, cluster, is_centre)`` for every input row (copies share their representative's cluster)."""
-    saved = cut_lineage(fps.select(key, "bits"))
+    spark = fps.sparkSession
+    saved = cut_lineage(packed(fps.select(key, "bits")))
+    free_shuffles(spark)
     reps, members = collapse_identical(saved, key)
-    members = cut_lineage(members)
-    release(saved)
+    members, nodes = cut_lineage(members), cut_lineage(reps.select("key", "mult"))
+    free_shuffles(spark)
     pairs = cut_lineage(similar_pairs(reps, threshold))
-    cl = butina(reps, pairs)
+    release(saved)
+    free_shuffles(spark)
+    cl = butina(nodes, pairs)
     return members.join(cl, "key").select(F.col("member").alias(key), "cluster",
                                           (F.col("is_centre") & (F.col("member") == F.col("key"))).alias("is_centre"))
 

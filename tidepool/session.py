@@ -7,6 +7,7 @@ only set when the setting is absent (local tests), never overriding a cluster.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -142,6 +143,15 @@ def release(*frames: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver's JVM collects its garbage, which a driver with free memory puts off for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
