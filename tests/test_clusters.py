@@ -1,6 +1,8 @@
 """The set join with common bits, and the joint surrogate's neighbours: exact and spread."""
 
+import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepool import session
 from tidepool.operators import cluster as clu
+from tidepool.operators import fingerprint as fp
 from tidepool.operators import ranking as rk
 from tidepool.operators import setjoin as sj
 
@@ -168,3 +171,18 @@ def test_pairs_that_a_task_passes_on_in_pieces_are_the_same(monkeypatch):
     monkeypatch.setattr(sj, "MEET_PAIRS", 7)
     got = pairs()
     assert got.keys() == want.keys() and all(min(got[p], sj.COMMON) == min(want[p], sj.COMMON) for p in want)
+
+
+def test_fingerprints_equal_md5_of_every_n_gram():
+    rnd = random.Random(2)
+    alpha = "ab \u00e9\t\n\r  \x0b  \u65e5x"
+    texts = ["".join(rnd.choice(alpha) for _ in range(rnd.randrange(1, 120))) for _ in range(200)]
+    texts += ["x" * 55, "x" * 56 + " y " + "z" * 200, "", " ", "\n", " q ", "a"]
+    for n, size in ((3, 1 << 20), (1, 64), (2, 1000)):
+        want = []
+        for text in texts:
+            tok = [x for x in re.split("[ \t\n\r]+", text) if x]
+            grams = [" ".join(tok[i:i + k]) for k in range(1, n + 1) for i in range(len(tok) - k + 1)]
+            want.append(sorted({int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % size for g in grams}))
+        got = fp.fingerprint_column(pa.array(["left out"] + texts).slice(1), n, size)
+        assert got.to_pylist() == want

@@ -13,14 +13,22 @@ no letter or digit at all (``Invalid``), no token (``Featurization failed``).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.functions.md5 import first_words
+
 DEFAULT_SIZE = 1024
 DEFAULT_RADIUS = 2
 TOKEN_SPLIT = "[ \\t\\n\\r]+"
 VALID_CHAR = "[\\p{L}\\p{N}]"
+PART_BYTES = 1 << 19     # bytes of texts whose n-grams a task hashes at once
+_MARK = np.ones(256, dtype=bool)
+_MARK[[ord(c) for c in " \t\n\r"]] = False
 
 NA, NOT_STRING, INVALID, FAILED = "NA value", "Not a string", "Invalid", "Featurization failed"
 
@@ -29,29 +37,53 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, TOKEN_SPLIT), lambda t: t != "")
 
 
-def with_ngrams(df: DataFrame, max_n: int) -> tuple[DataFrame, list[str]]:
-    """Adds token n-grams of length 1..max_n of column ``_g1`` as columns ``_g2``, ``_g3``, ...
+def fingerprint_column(texts: pa.Array, max_n: int, size: int) -> pa.Array:
+    """Sorted distinct bit ids of the token n-grams of length 1..max_n of every text (``list<int32>``).
 
-    Each is built from the previous one in one linear pass (``zip_with`` of shifted
-    slices): no per-gram slicing of the text.  As columns they are evaluated once,
-    though both the next length and the fingerprint read them.
+    The tokens of all texts are laid out one after another with one blank between them, so an n-gram
+    is a stretch of that layout and none is ever built by itself.
     """
-    names = ["_g1"]
-    for n in range(2, max_n + 1):
-        k = F.greatest(F.size("_g1") - (n - 1), F.lit(0))
-        df = df.withColumn(f"_g{n}", F.zip_with(F.slice(names[-1], 1, k), F.slice("_g1", n, k),
-                                                lambda a, b: F.concat(a, F.lit(" "), b)))
-        names.append(f"_g{n}")
-    return df, names
-
-
-def gram_bit(gram: Column, size: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("long"), F.lit(size)).cast("int")
-
-
-def fingerprint_bits(grams: list[str], size: int = DEFAULT_SIZE) -> Column:
-    """Sorted distinct bit ids of n-gram columns (``array<string>``)."""
-    return F.array_sort(F.array_distinct(F.transform(F.concat(*grams), lambda g: gram_bit(g, size))))
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0]:offsets[-1]]
+    offsets -= offsets[0]
+    mark = _MARK[data]  # whether a byte is part of a token
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    start = np.flatnonzero(mark & (edge[:-1] | ~np.concatenate([[False], mark[:-1]])))
+    end = np.flatnonzero(mark & (edge[1:] | ~np.concatenate([mark[1:], [False]]))) + 1
+    row = np.searchsorted(offsets, start, "right") - 1
+    long = end - start
+    at = np.cumsum(long + 1) - (long + 1)
+    line = np.full(int((long + 1).sum()), ord(" "), dtype=np.uint8)
+    line[np.arange(int(long.sum())) + np.repeat(np.arange(len(long)), long)] = data[mark]
+    found = []
+    for n in range(1, max_n + 1):
+        i = np.flatnonzero(row[n - 1:] == row[:len(row) - n + 1])
+        last = i + n - 1
+        bits = first_words(line, at[i], at[last] + long[last] - at[i]).astype(np.int64) % size
+        found.append(row[i] << 32 | bits)
+    both = np.sort(np.concatenate(found))
+    if len(both):
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(both >> 32, minlength=len(texts)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(both & 0xFFFFFFFF, pa.int32()))
+
+
+def _fingerprints(rows: DataFrame, max_n: int, size: int) -> DataFrame:
+    """``(key, bits)`` of rows ``(key, text)``."""
+    def run(batches):
+        for batch in batches:
+            upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:  # a part has at most PART_BYTES bytes, or one row
+                before = upto[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(upto, before + PART_BYTES, "right")))
+                b = batch.slice(at, stop - at)
+                yield pa.RecordBatch.from_arrays([b.column(0), fingerprint_column(b.column(1), max_n, size)], ["key", "bits"])
+                at = stop
+
+    key = rows.schema[0]
+    return rows.mapInArrow(run, f"key {key.dataType.simpleString()}, bits array<int>").withColumnRenamed("key", key.name)
 
 
 def reject_reason(df: DataFrame, col: str) -> Column:
@@ -96,8 +128,7 @@ def hash_fingerprint(df: DataFrame, col: str, key: str, size: int = DEFAULT_SIZE
     rows = good.select(key, col)
     if partitions:
         rows = rows.repartition(partitions, key)
-    grams, names = with_ngrams(rows.select(key, tokens(F.col(col)).alias("_g1")), radius + 1)
-    return grams.select(key, fingerprint_bits(names, size).alias("bits")), bad
+    return _fingerprints(rows.select(key, F.col(col).cast("string").alias(col)), radius + 1, size), bad
 
 
 def explode_bits(fps: DataFrame, key: str) -> DataFrame:

@@ -31,7 +31,7 @@ from tidepool.session import broadcast, cut_lineage, free_shuffles, release
 ORDER_SLOTS = 1 << 20    # counters that put the bits in order, however many bits there are (4 MB to every executor)
 COUNT_CHUNK = 1 << 14    # counters that are added up at once
 PART_BITS = 1 << 20      # bits that a task puts in order at once
-TURNS = 4                # turns that the pairs of neighbours are dealt out in, at most
+TURNS = 8                # turns that the pairs of neighbours are dealt out in, at most
 TURN_BITS = 1 << 22      # bits of all sets that make a turn worth its while
 COMMON = 4               # pairs of neighbours that a candidate has in common (all, if it need not have so many)
 MEET_PAIRS = 1 << 21     # pairs of sets that a task holds before it passes them on
